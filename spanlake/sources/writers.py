@@ -18,20 +18,28 @@ def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None,
     return path
 
 
+def csv_field(c) -> F.Column:
+    """One CSV field with minimal quoting: quoted (inner quotes doubled) only when it holds
+    a comma, a quote, CR or LF; null is written as the empty field."""
+    c = F.coalesce(c.cast("string"), F.lit(""))
+    return F.when(c.rlike('[,"\r\n]'),
+                  F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+
 def write_response_logs(df: DataFrame, path: str, n: int = 10,
                         folder_col: str = "query_folder") -> str:
-    """Headerless CSV logs, one folder per query, CRLF line ends, '' for blanks.
+    """Headerless CSV logs, one folder per query, CRLF record ends, '' for blanks.
 
-    ``df`` holds ``i, query, file_path, prompt, ans_spans, ans_0..ans_{n-1}`` plus the
-    folder column.  Rows are clustered by folder so each folder gets few files."""
+    Records are formatted as text columns so newlines inside quoted fields stay as they
+    are (the CSV sink would rewrite them to the record separator).  ``df`` holds
+    ``i, query, file_path, prompt, ans_spans, ans_0..ans_{n-1}`` plus the folder column;
+    rows are clustered by folder so each folder gets few files."""
     cols = ["i", "query", "file_path", "prompt", "ans_spans"] + [f"ans_{j}" for j in range(n)]
-    out = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-                      if c != "i" else F.col(c) for c in cols], F.col(folder_col))
-    (out.repartition(folder_col).sortWithinPartitions(folder_col, "i")
-     .write.mode("overwrite").partitionBy(folder_col)
-     .option("header", "false").option("quoteAll", "false").option("escape", '"')
-     .option("lineSep", "\r\n").option("emptyValue", "")
-     .csv(path))
+    rec = F.concat_ws(",", *[csv_field(F.col(c)) for c in cols]).alias("value")
+    (df.select(F.col(folder_col), F.col("i"), rec)
+     .repartition(folder_col).sortWithinPartitions(folder_col, "i")
+     .select(folder_col, "value")
+     .write.mode("overwrite").partitionBy(folder_col).option("lineSep", "\r\n").text(path))
     return path
 
 
