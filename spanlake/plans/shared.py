@@ -60,3 +60,36 @@ def sql_strip(x: str) -> str:
 
 def sql_ints(x: str) -> str:
     return f"array_to_string(list_transform({x}, lambda v: CAST(v AS VARCHAR)), ',')"
+
+
+def sql_spans(L: str) -> str:
+    """Span string ``start:len:tag;...`` of an int list expression (start order)."""
+    runs = f"regexp_extract_all(array_to_string({L}, ''), '[03]1*')"
+    starts = f"list_filter(range(0, len({L})), lambda i: {L}[i + 1] IN (0, 3))"
+    return (f"array_to_string(list_transform({starts}, lambda s, j: CAST(s AS VARCHAR) || ':' || "
+            f"CAST(length({runs}[j]) AS VARCHAR) || ':' || CAST({L}[s + 1] AS VARCHAR)), ';')")
+
+
+def sql_fuzzy(a: str, c: str) -> str:
+    big = f"greatest(length({a}), length({c}))"
+    L = f"((9 * {big}) // 10 + 1)"
+    small = f"least(length({a}), length({c}))"
+    return (f"(length({a}) > 0 AND {small} * 10 > 9 * {big} AND {small} >= {L} AND "
+            f"len(list_filter(range(1, length({a}) - {L} + 2), "
+            f"lambda i: contains({c}, substr({a}, i, {L})))) > 0)")
+
+
+def sql_match(a: str, c: str) -> str:
+    return f"({sql_strip(a)} = {sql_strip(c)} OR (coalesce({a}, '') <> '' AND {sql_fuzzy(a, c)}))"
+
+
+def sql_pass(c: str, k: str, n: int = 10) -> str:
+    return (f"CASE WHEN {n} - {c} < {k} THEN 1.0 WHEN {c} <= 0 THEN 0.0 ELSE 1.0 - list_reduce("
+            f"list_transform(range({n} - {c} + 1, {n} + 1), lambda i: 1.0 - {k} / i), "
+            f"lambda x, y: x * y) END")
+
+
+SQL_CANDS_LONG = """cl AS (
+  SELECT i, query, file_path, ans_spans, unnest(range(0, 10)) AS j,
+         unnest([ans_0, ans_1, ans_2, ans_3, ans_4, ans_5, ans_6, ans_7, ans_8, ans_9]) AS cand
+  FROM fx_cands)"""
