@@ -59,15 +59,18 @@ def split_windows(df: DataFrame, width: int, arrays: list[str], labels: str = "l
     of length >= width with no separator or a prefix >= width is rejected (the benchmark
     fails or never ends on those)."""
     plen, nwin = window_plan(F.col(labels), width)
-    staged = df.withColumn("plen", plen).withColumn("n_windows", nwin)
+    staged = df.withColumn("plen", plen)
     long_seq = F.size(labels) >= width
     bad = long_seq & (F.col("plen").isNull() | (F.col("plen") >= width))
+    # No filter on the derived columns (the optimizer would push it below the projection
+    # and re-evaluate the array expressions inside it): a rejected sequence simply gets
+    # zero windows, and the reject table is a separate, lazily evaluated projection.
+    staged = staged.withColumn("n_windows", F.when(bad, F.lit(0)).otherwise(nwin))
     rejects = staged.where(bad).select(key, F.lit("window_split").alias("check"),
                                        F.when(F.col("plen").isNull(), "no separator")
                                        .otherwise("prefix >= width").alias("detail"))
-    good = staged.where(~bad | bad.isNull())
     body = F.lit(width) - F.col("plen")
-    exploded = good.select("*", F.explode(
+    exploded = staged.select("*", F.explode(
         F.when(F.col("n_windows") > 0, F.sequence(F.lit(0), F.col("n_windows") - 1))
         .otherwise(F.array().cast("array<int>"))).alias("split_id"))
 
