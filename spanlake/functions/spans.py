@@ -21,9 +21,10 @@ def extract_spans(labels) -> Column:
                                 F.lit("[03]1*"), F.lit(0))
     starts = F.filter(F.sequence(F.lit(0), F.size(l) - 1),
                       lambda i: F.get(l, i).isin(0, 3))
-    spans = F.transform(starts, lambda s, j: F.struct(
+    # zip_with evaluates the run list once per row (a lambda body would re-run it per span)
+    spans = F.zip_with(starts, runs, lambda s, r: F.struct(
         s.cast("int").alias("start"),
-        F.length(F.get(runs, j)).cast("int").alias("len"),
+        F.length(r).cast("int").alias("len"),
         F.get(l, s).cast("int").alias("tag")))
     return F.when(F.size(l) > 0, spans).otherwise(F.array().cast(
         "array<struct<start:int,len:int,tag:int>>"))

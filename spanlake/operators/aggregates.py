@@ -95,18 +95,21 @@ def exact_match_rate(df: DataFrame, target: str = "target", output: str = "outpu
                      by: list[str] | None = None) -> DataFrame:
     """Share of sequences whose span sets (complete target vs output) are equal."""
     hit = (extract_spans(target) == extract_spans(output)).cast("int")
-    g = df.groupBy(*by) if by else df.groupBy()
-    return g.agg(F.count(F.lit(1)).alias("n"), F.sum(hit).cast("long").alias("exact"),
-                 F.round(F.avg(hit), 9).alias("exact_match"))
+    return _rate(df, hit, by)
 
 
 def twostep_exact_match_rate(df: DataFrame, target: str = "target", output: str = "predicted",
                              by: list[str] | None = None) -> DataFrame:
     """The same over provenance-labelled sequences."""
     hit = (extract_spans_twostep(target) == extract_spans_twostep(output)).cast("int")
+    return _rate(df, hit, by)
+
+
+def _rate(df: DataFrame, hit: F.Column, by: list[str] | None) -> DataFrame:
+    """n, hits and their share; the (costly) hit expression is referenced once."""
     g = df.groupBy(*by) if by else df.groupBy()
-    return g.agg(F.count(F.lit(1)).alias("n"), F.sum(hit).cast("long").alias("exact"),
-                 F.round(F.avg(hit), 9).alias("exact_match"))
+    out = g.agg(F.count(F.lit(1)).alias("n"), F.sum(hit).cast("long").alias("exact"))
+    return out.withColumn("exact_match", F.round(F.col("exact") / F.col("n"), 9))
 
 
 def _cands(df: DataFrame, n: int):
@@ -122,9 +125,10 @@ def match_count(df: DataFrame, n: int = N_CANDIDATES) -> DataFrame:
 def any_match_rate(log: DataFrame, n: int = N_CANDIDATES) -> DataFrame:
     """A row is correct if any non-blank candidate matches; per query and total."""
     hit = F.exists(_cands(log, n), lambda c: (strip_text(c) != "") & span_match(F.col("ans_spans"), c))
-    return log.withColumn("hit", hit.cast("int")).rollup("query").agg(
+    out = log.select("query", hit.cast("int").alias("hit")).rollup("query").agg(
         F.count(F.lit(1)).alias("total"), F.sum("hit").cast("long").alias("correct"),
-        F.round(F.avg("hit"), 9).alias("any_match"), F.grouping_id().cast("int").alias("is_total"))
+        F.grouping_id().cast("int").alias("is_total"))
+    return out.withColumn("any_match", F.round(F.col("correct") / F.col("total"), 9))
 
 
 def pass_at_k(log: DataFrame, ks=PASS_KS, n: int = N_CANDIDATES) -> DataFrame:

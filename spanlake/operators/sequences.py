@@ -58,8 +58,10 @@ def split_windows(df: DataFrame, width: int, arrays: list[str], labels: str = "l
     chunk of ``width - prefix`` positions.  Returns ``(windows, rejects)``; a sequence
     of length >= width with no separator or a prefix >= width is rejected (the benchmark
     fails or never ends on those)."""
-    plen, nwin = window_plan(F.col(labels), width)
-    staged = df.withColumn("plen", plen)
+    staged = df.withColumn("plen", first_sep_index(labels) + 1)
+    n = F.size(labels)
+    nwin = F.when(n < width, F.lit(1)).otherwise(
+        F.ceil((n - F.col("plen")) / (F.lit(width) - F.col("plen"))).cast("int"))
     long_seq = F.size(labels) >= width
     bad = long_seq & (F.col("plen").isNull() | (F.col("plen") >= width))
     # No filter on the derived columns (the optimizer would push it below the projection
@@ -138,17 +140,21 @@ def compose_twostep(blocks: DataFrame, mode: str = "all") -> DataFrame:
     def chosen(flag: str):
         return F.filter("bl", lambda bk: F.when(F.col("nb") == 1, F.lit(1)).otherwise(bk[flag]) == 1)
 
-    def joined(sel, part, sep_item, typ):
+    def joined(sel, count, part, sep_item):
+        """Parts of the selected blocks with a separator item between consecutive ones."""
         return F.flatten(F.transform(sel, lambda bk, i: F.when(
-            i < F.size(sel) - 1, F.concat(part(bk), F.array(sep_item))).otherwise(part(bk))))
+            i < count - 1, F.concat(part(bk), F.array(sep_item))).otherwise(part(bk))))
 
     header_prov = F.transform(F.slice(first["labels"], 1, F.col("p")), lambda x: F.struct(
         x.cast("int").alias("label"), F.lit(-1).alias("block_index"), F.lit(-1).alias("block_offset")))
-    pred_sel, targ_sel = chosen("predicted"), chosen("relevance_label")
-    tokens = F.concat(F.slice(first["tokens"], 1, F.col("p")),
-                      joined(pred_sel, body_tokens, F.lit(SEP_TOKEN), "string"))
-    predicted = F.concat(header_prov, joined(pred_sel, body_prov, sep_prov, _PROV))
-    target = F.concat(header_prov, joined(targ_sel, body_prov, sep_prov, _PROV))
+    # stage the selections and the header once per group (each is used several times)
+    g = (g.withColumn("_psel", chosen("predicted")).withColumn("_tsel", chosen("relevance_label"))
+         .withColumn("_np", F.size("_psel")).withColumn("_nt", F.size("_tsel"))
+         .withColumn("_hprov", header_prov).withColumn("_htok", F.slice(first["tokens"], 1, F.col("p"))))
+    pred_sel, targ_sel = F.col("_psel"), F.col("_tsel")
+    tokens = F.concat(F.col("_htok"), joined(pred_sel, F.col("_np"), body_tokens, F.lit(SEP_TOKEN)))
+    predicted = F.concat(F.col("_hprov"), joined(pred_sel, F.col("_np"), body_prov, sep_prov))
+    target = F.concat(F.col("_hprov"), joined(targ_sel, F.col("_nt"), body_prov, sep_prov))
     out = g.select("query_name", "code_file_path", "p", "nb", tokens.alias("tokens"),
                    predicted.alias("predicted"), target.alias("target"))
     n = F.size("tokens")
