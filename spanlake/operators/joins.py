@@ -3,6 +3,7 @@ beyond it the join falls back to a shuffle join (with AQE skew splitting)."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,16 +39,50 @@ def join_source_text(ex: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def vocab_encode(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str, out_col: str = "ids",
-                 max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                 max_rows: int = DEFAULT_BROADCAST_ROWS, strategy: str = "auto") -> DataFrame:
     """Token -> id through the vocabulary; the lookup key is the token in single
     quotes; a miss takes the id of the quoted unknown token.
 
-    Tokens are exploded with their position, looked up with a (size-checked)
-    broadcast join, and re-assembled per key.  Partial aggregation collapses the
-    tokens of a sequence inside its partition before the shuffle."""
+    ``strategy``:
+    * ``"map"`` - the vocabulary (size-checked: at most ``max_rows`` entries) is
+      broadcast once as a hash map and each token array is mapped in Arrow batches:
+      a narrow operator, no shuffle of the (large) token side at all.
+    * ``"join"`` - tokens are exploded with their position, looked up with a join
+      (broadcast when the vocabulary is small, else a shuffle hash join with AQE skew
+      splitting), and re-assembled per key together with the rest of the row: one
+      shuffle, whose partial aggregation collapses a sequence inside its partition.
+    * ``"auto"`` - ``map`` when the vocabulary is within the bound, else ``join``."""
+    if strategy not in ("auto", "map", "join"):
+        raise ValueError(strategy)
+    small = vocab.limit(max_rows + 1).count() <= max_rows
+    if strategy == "map" and not small:
+        raise ValueError("vocabulary larger than max_rows: use the join strategy")
+    if strategy == "map" or (strategy == "auto" and small):
+        return _encode_map(df, vocab, tokens_col, out_col)
+    return _encode_join(df, vocab, key, tokens_col, out_col, max_rows)
+
+
+def _encode_map(df: DataFrame, vocab: DataFrame, tokens_col: str, out_col: str) -> DataFrame:
+    rows = vocab.select("token", "id").collect()  # bounded by the caller's size check
+    table = {r["token"]: r["id"] for r in rows}
+    unk = table.get(f"'{UNK_TOKEN}'")
+    bc = df.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("array<int>")
+    def encode(tokens: pd.Series) -> pd.Series:
+        m = bc.value
+        return tokens.map(lambda ts: None if ts is None else [m.get(f"'{t}'", unk) for t in ts])
+
+    return df.withColumn(out_col, encode(F.col(tokens_col)))
+
+
+def _encode_join(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str, out_col: str,
+                 max_rows: int) -> DataFrame:
     unk = token_id(vocab, UNK_TOKEN)
     v = broadcast_if_small(vocab.select(F.col("token").alias("_qtok"), F.col("id").alias("_id")),
                            max_rows)
+    # only (key, position, token) travel through the lookup; carrying the whole row per
+    # token would copy it once per token
     ex = df.select(key, F.posexplode(tokens_col).alias("_pos", "_tok"))
     hit = (ex.withColumn("_qtok", F.concat(F.lit("'"), F.col("_tok"), F.lit("'")))
            .join(v, "_qtok", "left")
