@@ -38,7 +38,7 @@ def _c(x) -> Column:
 
 def token_count(text, pattern: str = TOKEN_PATTERN) -> Column:
     """Number of tokens of ``text`` under a regex tokenizer (JVM-side, codegen)."""
-    return F.size(F.regexp_extract_all(_c(text), F.lit(pattern), F.lit(0))).cast("int")
+    return F.regexp_count(_c(text), F.lit(pattern)).cast("int")
 
 
 def model_alias(model, aliases: dict[str, str] | None = None) -> Column:

@@ -20,15 +20,26 @@ def count_by_query(df: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("int").alias("is_total")))
 
 
-def file_rollup(rows: DataFrame) -> DataFrame:
-    """Per (query, file): em = 1 iff every row has em 1; class, tokens, first row."""
-    return rows.groupBy("query_name", "code_file_path").agg(
-        F.min("em").cast("int").alias("em"),
-        F.max("example_type").cast("int").alias("example_type"),
-        F.min("example_type").cast("int").alias("min_example_type"),
-        F.max("file_tokens").cast("int").alias("file_tokens"),
-        F.min("row_id").alias("first_row_id"),
-        F.count(F.lit(1)).alias("n_rows"))
+def file_rollup(rows: DataFrame, max_tokens: int | None = None) -> DataFrame:
+    """Per (query, file): em = 1 iff every row has em 1; class, tokens, first row.
+
+    With ``max_tokens`` the row-level budget filter (B3, ``file_tokens < max_tokens``)
+    is applied inside the aggregation: rows over budget are skipped by conditional
+    aggregates and files with no row left are dropped.  Same result as filtering
+    first, but the optimizer cannot push a filter below the projection that computes
+    ``file_tokens`` - which would evaluate the token count twice per row."""
+    keep = F.lit(True) if max_tokens is None else (F.col("file_tokens") < max_tokens)
+
+    def on(c):
+        return F.when(keep, F.col(c))
+    out = rows.groupBy("query_name", "code_file_path").agg(
+        F.min(on("em")).cast("int").alias("em"),
+        F.max(on("example_type")).cast("int").alias("example_type"),
+        F.min(on("example_type")).cast("int").alias("min_example_type"),
+        F.max(on("file_tokens")).cast("int").alias("file_tokens"),
+        F.min(on("row_id")).alias("first_row_id"),
+        F.count_if(keep).alias("n_rows"))
+    return out if max_tokens is None else out.where(F.col("n_rows") > 0)
 
 
 def with_bucket(files: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def q_file_rollup(spark, d):
 
 
 def _files_meta(spark, d):
-    return filter_file_budget(D.file_rollup(filter_query_budget(fx.fx_files(spark, d))))
+    return filter_file_budget(D.file_rollup(fx.fx_files(spark, d), max_tokens=3000))
 
 
 @reg("bucket_counts", with_fx(["fx_files"], """

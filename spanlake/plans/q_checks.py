@@ -108,7 +108,7 @@ LEFT JOIN (SELECT query_name, count(*) AS drawn FROM smp GROUP BY 1) s ON a.quer
 WHERE a.avail <= 20 OR coalesce(s.drawn, 0) <> 20""", sql_sample("fx_files")))
 def q_chk_sample_size(spark, d):
     f = fx.fx_files(spark, d)
-    avail = filter_file_budget(file_rollup(filter_query_budget(f))).where(F.col("em").isin(0, 1))
+    avail = filter_file_budget(file_rollup(f, max_tokens=3000)).where(F.col("em").isin(0, 1))
     return J.chk_sample_size(sample_files(f), avail, 20)
 
 

@@ -27,7 +27,7 @@ def reg(key, sql=None):
 
 
 def _files_meta(spark, d):
-    return filter_file_budget(file_rollup(filter_query_budget(fx.fx_files(spark, d))))
+    return filter_file_budget(file_rollup(fx.fx_files(spark, d), max_tokens=3000))
 
 
 BLOCK_ROWS = "br AS (SELECT * FROM fx_rows WHERE turn < 1 + conv_id % 4)"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.operators.aggregates import file_rollup
-from spanlake.operators.filters import filter_file_budget, filter_query_budget
+from spanlake.operators.filters import TEST_BUDGET, filter_file_budget
 from spanlake.operators.sampling import stratified_sample
 from spanlake.plans import fixtures as fx
 
@@ -18,8 +18,8 @@ def ints(col) -> F.Column:
 
 
 def sample_files(files: DataFrame) -> DataFrame:
-    """Test-side sample: B3 -> D2 -> B4 -> buckets -> F1."""
-    return stratified_sample(filter_file_budget(file_rollup(filter_query_budget(files))))
+    """Test-side sample: B3 (inside the rollup) -> D2 -> B4 -> buckets -> F1."""
+    return stratified_sample(filter_file_budget(file_rollup(files, max_tokens=TEST_BUDGET)))
 
 
 def rows_test(spark: SparkSession, d: str) -> DataFrame:
