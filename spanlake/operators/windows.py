@@ -28,6 +28,32 @@ def global_row_number(df: DataFrame, order_by: list[str], name: str = "rn",
     return out.withColumn(name, F.col("_off") + pos).drop("_pid", "_mid", "_off")
 
 
+def group_row_number(df: DataFrame, groups: list[str], order_by: list[str], name: str = "rn",
+                     checkpoint: bool = True, max_offset_rows: int = 2_000_000) -> DataFrame:
+    """1-based ``row_number()`` within each group, without putting a group in one task.
+
+    A plain window sorts each group inside a single task, so one hot group (a third of
+    the rows) lands on one executor.  Here the rows are range-sorted on
+    (groups, order): a hot group spreads over many partitions.  Each row's position in
+    its partition comes from ``monotonically_increasing_id``; a small table with one
+    row per (group, partition) holds counts and first positions, and a running sum over
+    it gives every (group, partition) its offset.  That table has at most
+    #groups + #partitions rows; it is broadcast when within ``max_offset_rows``."""
+    from spanlake.operators.joins import broadcast_if_small
+    tagged = (df.orderBy(*groups, *order_by)
+              .withColumn("_pid", F.spark_partition_id())
+              .withColumn("_pos", F.monotonically_increasing_id()
+                          - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    if checkpoint:
+        tagged = tagged.checkpoint(eager=True)
+    cnt = tagged.groupBy(*groups, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_p0"))
+    w = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)
+    offs = cnt.select(*groups, "_pid", "_p0", (F.sum("_n").over(w) - F.col("_n")).alias("_off"))
+    out = tagged.join(broadcast_if_small(offs, max_offset_rows), [*groups, "_pid"])
+    return (out.withColumn(name, (F.col("_off") + F.col("_pos") - F.col("_p0") + 1).cast("int"))
+            .drop("_pid", "_pos", "_p0", "_off"))
+
+
 def bucket_of(em="em", example_type="example_type"):
     """Bucket 0..3 = success x positive, failure x positive, success x negative, failure x negative."""
     et = F.col(example_type) if isinstance(example_type, str) else example_type
@@ -41,11 +67,13 @@ def rank_in_bucket(files: DataFrame, top: int | None = None) -> DataFrame:
     With ``top`` only ranks <= top are kept; Spark then plans a partial
     WindowGroupLimit before the shuffle, so a huge bucket ships at most ``top``
     rows per input partition."""
+    if top is None:
+        # all ranks: distributed group numbering (no task holds a whole bucket)
+        return group_row_number(files, ["query_name", "bucket"], ["first_row_id", "code_file_path"],
+                                "rank_in_bucket")
     w = Window.partitionBy("query_name", "bucket").orderBy("first_row_id", "code_file_path")
     out = files.withColumn("rank_in_bucket", F.row_number().over(w))
-    if top is not None:
-        out = out.where(F.col("rank_in_bucket") <= top)
-    return out
+    return out.where(F.col("rank_in_bucket") <= top)
 
 
 def singleton_files(rows: DataFrame, keys=("query_name", "code_file_path")) -> DataFrame:
@@ -55,8 +83,14 @@ def singleton_files(rows: DataFrame, keys=("query_name", "code_file_path")) -> D
 
 
 def row_index(df: DataFrame, partition: str = "query_name", order=("row_id",),
-              name: str = "i") -> DataFrame:
-    """Per-query 0-based counter in a given order (after any filtering)."""
+              name: str = "i", distributed: bool = True) -> DataFrame:
+    """Per-query 0-based counter in a given order (after any filtering).
+
+    ``distributed`` numbers through ``group_row_number`` so a large query is spread
+    over many tasks; ``False`` uses a plain window (fine for small inputs)."""
+    if distributed:
+        out = group_row_number(df, [partition], list(order), "_rn")
+        return out.withColumn(name, (F.col("_rn") - 1).cast("int")).drop("_rn")
     w = Window.partitionBy(partition).orderBy(*order)
     return df.withColumn(name, (F.row_number().over(w) - 1).cast("int"))
 

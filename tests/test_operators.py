@@ -146,3 +146,26 @@ def test_union_topup_only_for_short_queries(spark):
     out = S.union_topup(sampled, pool, 10)
     n = {r["query_name"]: r["n"] for r in out.groupBy("query_name").agg(F.count("*").alias("n")).collect()}
     assert n == {"a": 10, "b": 6}  # b drew 3 (< 10) and gets its 3 multi-span rows again
+
+
+def test_group_row_number_spreads_hot_group(spark):
+    from pyspark.sql import Window
+    from spanlake.operators.windows import group_row_number
+    rnd = random.Random(5)
+    rows = [("hot" if rnd.random() < 0.6 else f"g{rnd.randint(0, 20)}", rnd.randint(0, 10**9), i)
+            for i in range(5000)]
+    df = spark.createDataFrame(rows, "g string, k long, i long").repartition(16)
+    got = group_row_number(df, ["g"], ["k", "i"], "rn")
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k", "i")))
+    a = sorted((r["i"], r["rn"]) for r in got.select("i", "rn").collect())
+    b = sorted((r["i"], r["rn"]) for r in want.select("i", "rn").collect())
+    assert a == b
+    # the hot group is numbered in several partitions (AQE would merge this tiny input)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sorted_parts = df.orderBy("g", "k", "i").withColumn("p", F.spark_partition_id())
+        assert sorted_parts.where("g = 'hot'").select("p").distinct().count() > 1
+        got2 = group_row_number(df, ["g"], ["k", "i"], "rn")
+        assert sorted((r["i"], r["rn"]) for r in got2.select("i", "rn").collect()) == b
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
