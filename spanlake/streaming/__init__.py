@@ -1,0 +1,3 @@
+"""Evaluation over response logs that arrive as files (Structured Streaming)."""
+
+from spanlake.streaming.evaluate import stream_log_metrics  # noqa: F401

@@ -1,0 +1,57 @@
+"""Running any-match and pass@k over response-log files as they land.
+
+The benchmark evaluates finished logs in batch; when logs are produced query by query
+(the generation stage writes one log per query) the same operators can run as a
+streaming aggregation: each new file is parsed with the batch reader's options, matched
+once, and folded into running sums.  State is one row (global sums), so no watermark is
+needed; progress and state live under the shared checkpoint folder, so a restarted
+driver resumes where it stopped."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from spanlake.functions.matching import N_CANDIDATES, PASS_KS, pass_at_k_scalar, span_match
+from spanlake.functions.text import strip_text
+from spanlake.session import scratch_dir
+from spanlake.sources.schemas import response_log_schema
+
+
+def read_log_stream(spark: SparkSession, path: str, n: int = N_CANDIDATES,
+                    max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming twin of ``read_response_logs`` (same schema and CSV options)."""
+    schema = response_log_schema(n)
+    r = (spark.readStream.schema(schema).option("header", "false").option("multiLine", "true")
+         .option("escape", '"').option("quote", '"').option("lineSep", "\r\n")
+         .option("recursiveFileLookup", "true"))
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    df = r.csv(path)
+    str_cols = [f.name for f in schema.fields if f.dataType == T.StringType()]
+    return df.na.fill("", subset=str_cols)
+
+
+def log_metrics(log: DataFrame, n: int = N_CANDIDATES, ks=PASS_KS) -> DataFrame:
+    """One-row running totals: rows, rows with any match, and the pass@k sums."""
+    cands = F.array(*[F.col(f"ans_{j}") for j in range(n)])
+    good = F.filter(cands, lambda c: (strip_text(c) != "") & span_match(F.col("ans_spans"), c))
+    m = log.select(F.size(good).alias("c"))
+    return m.agg(F.count(F.lit(1)).alias("total"),
+                 F.sum((F.col("c") > 0).cast("long")).alias("any_match_rows"),
+                 *[F.sum(pass_at_k_scalar(n, F.col("c"), k)).alias(f"pass_sum_{k}") for k in ks])
+
+
+def stream_log_metrics(spark: SparkSession, path: str, query_name: str = "log_metrics",
+                       n: int = N_CANDIDATES, checkpoint: str | None = None,
+                       trigger_once: bool = False):
+    """Start the running evaluation into an in-memory table ``query_name`` (complete mode).
+
+    Returns the ``StreamingQuery``; read results with ``spark.table(query_name)``."""
+    agg = log_metrics(read_log_stream(spark, path, n), n)
+    w = (agg.writeStream.outputMode("complete").format("memory").queryName(query_name)
+         .option("checkpointLocation", checkpoint or scratch_dir(spark, "stream-ckpt")))
+    if trigger_once:
+        w = w.trigger(availableNow=True)
+    return w.start()
