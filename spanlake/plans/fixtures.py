@@ -61,15 +61,19 @@ def fx_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fx_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """Code blocks of a file for two-step composition: header [query, SEP] + 5 body tokens."""
-    r = fx_rows(spark, d).where(F.col("turn") < 1 + F.col("conv_id") % 4)
-    body = F.slice(F.split(F.col("text"), " "), 1, 5)
+    """Code blocks for two-step composition: every turn is a block of the file formed by
+    the turns of one role in one conversation; header [query, SEP] + all words of the turn."""
+    r = fx_rows(spark, d)
+    body = F.split(F.col("text"), " ")
     return r.select(
-        "row_id", "split", "query_name", "code_file_path", "example_type", "conv_id", "turn",
+        "row_id", "split", "query_name", "example_type", "conv_id", "turn", "role", "text",
+        "answer_spans",
+        F.concat(F.lit("src/c"), F.col("conv_id").cast("string"), F.lit("_"), F.col("role"),
+                 F.lit(".py")).alias("code_file_path"),
         F.col("turn").cast("int").alias("block_index"),
         F.col("turn").cast("int").alias("block_ordinal"),
         F.struct(F.col("turn").cast("int").alias("index")).alias("context_block"),
-        (F.col("role") == "assistant").cast("int").alias("relevance_label"),
+        (F.length("text") % 2 == 0).cast("int").alias("relevance_label"),
         F.when(F.length("text") % 3 > 0, 1).otherwise(0).cast("int").alias("predicted"),
         F.concat(F.array(F.col("query_name"), F.lit(SEP_TOKEN)), body).alias("subtokenized_input_sequence"),
         F.concat(F.array(F.lit(LABEL_PAD), F.lit(LABEL_PAD)),
@@ -77,12 +81,11 @@ def fx_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fx_seq(spark: SparkSession, d: str) -> DataFrame:
-    """Token/label sequences: 80 words of a document, a query prefix of 3-5 pad labels."""
+    """Token/label sequences over the whole text of every document (words split on
+    blanks): a query prefix of 3-5 pad labels, the separator token at its end."""
     docs = table(spark, d, "documents").select("doc_id", "lang", "text")
-    words = F.split(F.col("text"), " ")
-    toks = F.slice(words, 1, 80)
     p = (F.lit(3) + F.col("doc_id") % 3).cast("int")
-    base = docs.where(F.size(words) > 8).select("doc_id", "lang", toks.alias("toks"), p.alias("plen"))
+    base = docs.select("doc_id", "lang", F.split(F.col("text"), " ").alias("toks"), p.alias("plen"))
     tokens = F.transform("toks", lambda t, i: F.when(i == F.col("plen") - 1, F.lit(SEP_TOKEN)).otherwise(t))
     labels = F.transform("toks", lambda t, i: F.when(i < F.col("plen"), F.lit(LABEL_PAD))
                          .otherwise(F.length(t) % 4).cast("int"))
@@ -94,12 +97,11 @@ def fx_seq(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fx_vocab(spark: SparkSession, d: str) -> DataFrame:
-    """Quoted distinct benchmark words whose length is not a multiple of 5, id by token
-    order, then the unknown and separator tokens."""
+    """Every distinct benchmark word, quoted, id by token order, then the unknown and
+    separator tokens (document words outside the benchmark texts are misses)."""
     from spanlake.operators.windows import global_row_number
     b = table(spark, d, "benchmark")
     toks = (b.select(F.explode(F.split("text", " ")).alias("w"))
-            .where(F.length("w") % 5 != 0)
             .select(F.concat(F.lit("'"), F.col("w"), F.lit("'")).alias("token")).distinct())
     ranked = global_row_number(toks, ["token"], "id")
     n = ranked.agg(F.count(F.lit(1)).alias("n"))
@@ -111,12 +113,14 @@ def fx_vocab(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fx_logits(spark: SparkSession, d: str) -> DataFrame:
-    """12 positions x 5 logits from each embedding; target = (vec_id + pos) % 5."""
+    """One position per embedding value: the 5 logits of position p are values p..p+4
+    (cyclically); target = (vec_id + p) % 5."""
     e = table(spark, d, "embeddings")
-    logits = F.transform(F.sequence(F.lit(0), F.lit(11)),
-                         lambda p: F.transform(F.slice("embedding", p * 5 + 1, 5),
-                                               lambda v: v.cast("double")))
-    targets = F.transform(F.sequence(F.lit(0), F.lit(11)),
+    n = F.size("embedding")
+    logits = F.transform(F.sequence(F.lit(0), n - 1),
+                         lambda p: F.transform(F.sequence(F.lit(0), F.lit(4)),
+                                               lambda c: F.get(F.col("embedding"), (p + c) % n).cast("double")))
+    targets = F.transform(F.sequence(F.lit(0), n - 1),
                           lambda p: ((F.col("vec_id") + p) % 5).cast("int"))
     return e.select("vec_id", (F.col("vec_id") / 4).cast("long").alias("batch_id"),
                     logits.alias("logits"), targets.alias("targets"))

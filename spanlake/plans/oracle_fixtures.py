@@ -31,14 +31,15 @@ _FX = {
          CAST(len(regexp_extract_all(text, '{TOKEN_RE}')) AS INTEGER) AS file_tokens
   FROM conversations)"""),
     "fx_blocks": (["fx_rows"], """fx_blocks AS (
-  SELECT row_id, split, query_name, code_file_path, example_type, conv_id, turn,
+  SELECT row_id, split, query_name, example_type, conv_id, turn, role, text, answer_texts,
+         'src/c' || CAST(conv_id AS VARCHAR) || '_' || role || '.py' AS code_file_path,
          CAST(turn AS INTEGER) AS block_index, CAST(turn AS INTEGER) AS block_ordinal,
-         CAST(role = 'assistant' AS INTEGER) AS relevance_label,
+         CAST(length(text) % 2 = 0 AS INTEGER) AS relevance_label,
          CASE WHEN length(text) % 3 > 0 THEN 1 ELSE 0 END AS predicted,
-         list_concat([query_name, '[SEP]_'], list_slice(string_split(text, ' '), 1, 5)) AS tokens,
-         list_concat([4, 4], list_transform(list_slice(string_split(text, ' '), 1, 5),
+         list_concat([query_name, '[SEP]_'], string_split(text, ' ')) AS tokens,
+         list_concat([4, 4], list_transform(string_split(text, ' '),
                                             lambda t: CAST(length(t) % 4 AS INTEGER))) AS labels
-  FROM fx_rows WHERE turn < 1 + conv_id % 4)"""),
+  FROM fx_rows)"""),
     "fx_seq": ([], """fx_seq AS (
   SELECT doc_id AS example_id, doc_id, lang, plen, tokens, labels,
          list_transform(labels, lambda x, i: CASE WHEN (i - 1 + doc_id) % 97 = 0 THEN 2 ELSE x END) AS output
@@ -47,22 +48,21 @@ _FX = {
            list_transform(toks, lambda t, i: CASE WHEN i = plen THEN '[SEP]_' ELSE t END) AS tokens,
            list_transform(toks, lambda t, i: CAST(CASE WHEN i <= plen THEN 4 ELSE length(t) % 4 END AS INTEGER)) AS labels
     FROM (SELECT doc_id, lang, CAST(3 + doc_id % 3 AS INTEGER) AS plen,
-                 list_slice(string_split(text, ' '), 1, 80) AS toks
-          FROM documents WHERE len(string_split(text, ' ')) > 8)))"""),
+                 string_split(text, ' ') AS toks
+          FROM documents)))"""),
     "fx_vocab": ([], """fx_vocab_base AS (
   SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS INTEGER) AS id
   FROM (SELECT DISTINCT '''' || w || '''' AS token
-        FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark)
-        WHERE length(w) % 5 <> 0)),
+        FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark))),
 fx_vocab AS (
   SELECT token, id FROM fx_vocab_base
   UNION ALL SELECT '''[UNK]_''' AS token, CAST(count(*) AS INTEGER) AS id FROM fx_vocab_base
   UNION ALL SELECT '''[SEP]_''' AS token, CAST(count(*) + 1 AS INTEGER) AS id FROM fx_vocab_base)"""),
     "fx_logits": ([], """fx_logits AS (
   SELECT vec_id, vec_id // 4 AS batch_id,
-         list_transform(range(0, 12), lambda p: list_transform(list_slice(embedding, p * 5 + 1, p * 5 + 5),
-                                                               lambda v: CAST(v AS DOUBLE))) AS logits,
-         list_transform(range(0, 12), lambda p: CAST((vec_id + p) % 5 AS INTEGER)) AS targets
+         list_transform(range(0, len(embedding)), lambda p: list_transform(range(0, 5),
+             lambda c: CAST(embedding[(p + c) % len(embedding) + 1] AS DOUBLE))) AS logits,
+         list_transform(range(0, len(embedding)), lambda p: CAST((vec_id + p) % 5 AS INTEGER)) AS targets
   FROM embeddings)"""),
     "fx_cands": ([], """fx_cands AS (
   SELECT CAST(item_id AS INTEGER) AS i, 'q' || CAST(item_id % 4 AS VARCHAR) AS query,

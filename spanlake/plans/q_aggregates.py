@@ -157,10 +157,11 @@ def _sql_prov(P: str) -> str:
 def _sql_spans2(P: str) -> str:
     runs = f"regexp_extract_all(array_to_string(list_transform({P}, lambda x: x.label), ''), '[03]1*')"
     starts = f"list_filter(range(0, len({P})), lambda i: {P}[i + 1].label IN (0, 3))"
-    item = (f"array_to_string(list_transform(list_slice({P}, s + 1, s + length({runs}[j])), "
+    item = (f"array_to_string(list_transform(list_slice({P}, z[1] + 1, z[1] + length(z[2])), "
             f"lambda x: CAST(x.bi AS VARCHAR) || '.' || CAST(x.bo AS VARCHAR)), ',') || '|' || "
-            f"CAST({P}[s + 1].label AS VARCHAR)")
-    return f"array_to_string(list_sort(list_distinct(list_transform({starts}, lambda s, j: {item}))), ';')"
+            f"CAST({P}[z[1] + 1].label AS VARCHAR)")
+    return (f"array_to_string(list_sort(list_distinct(list_transform(list_zip({starts}, {runs}), "
+            f"lambda z: {item}))), ';')")
 
 
 def _prov_str(c):
@@ -225,13 +226,17 @@ def q_group_blocks(spark, d):
 @reg("stitch_windows", with_fx(["fx_seq"], f"""
 SELECT example_id,
        CAST(CASE WHEN len(labels) < 16 THEN 1 ELSE ceil((len(labels) - plen) / (16 - plen)) END AS BIGINT) AS n_windows,
-       plen, {sql_ints('labels')} AS labels, {sql_ints('output')} AS output, false AS split_gap
+       CAST(coalesce(list_filter(range(1, len(labels)), lambda i: labels[i] = 4 AND labels[i + 1] <> 4)[1], -1)
+            AS INTEGER) AS plen,
+       {sql_ints('labels')} AS labels, {sql_ints('output')} AS output, false AS split_gap
 FROM fx_seq"""))
 def q_stitch_windows(spark, d):
     """Split at width 16 and stitch back: the identity on every sequence."""
     w, _ = split_windows(fx.fx_seq(spark, d).select("example_id", "labels", "output"), 16, ["labels", "output"])
     s = stitch_windows(w, ["labels", "output"])
-    return s.select("example_id", "n_windows", F.col("plen").cast("int"), ints("labels").alias("labels"),
+    # plen -1: no query prefix (a short sequence kept whole)
+    return s.select("example_id", "n_windows", F.coalesce(F.col("plen").cast("int"), F.lit(-1)).alias("plen"),
+                    ints("labels").alias("labels"),
                     ints("output").alias("output"), "split_gap")
 
 
@@ -241,7 +246,7 @@ SELECT count(*) AS n_batches, round(sum(batch_mean), 9) AS total_loss,
 FROM (SELECT batch_id, sum(ce_sum) / sum(positions) AS batch_mean, sum(ce_sum) AS ce_sum,
              sum(positions) AS positions
       FROM (SELECT vec_id // 4 AS batch_id,
-                   list_sum(list_transform(range(1, 13), lambda p:
+                   list_sum(list_transform(range(1, len(targets) + 1), lambda p:
                        list_max(logits[p]) + ln(list_sum(list_transform(logits[p], lambda x: exp(x - list_max(logits[p])))))
                        - logits[p][targets[p] + 1])) AS ce_sum,
                    len(targets) AS positions

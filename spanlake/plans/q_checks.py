@@ -48,8 +48,9 @@ _FIRST_SEP_OUT = "list_filter(range(1, len(output)), lambda i: output[i] = 4 AND
 
 @reg("chk_has_sep", with_fx(["fx_seq"], f"""
 SELECT 'chk_has_sep' AS "check", CAST(example_id AS VARCHAR) AS key,
-       'separator label not on separator token' AS detail
-FROM fx_seq WHERE coalesce(tokens[{_FIRST_SEP_OUT}] <> '[SEP]_', true)"""))
+       CASE WHEN list_position(tokens, '[SEP]_') IS NULL THEN 'no separator'
+            ELSE 'separator label not on separator token' END AS detail
+FROM fx_seq WHERE list_position(tokens, '[SEP]_') IS NULL OR coalesce(tokens[{_FIRST_SEP_OUT}] <> '[SEP]_', true)"""))
 def q_chk_has_sep(spark, d):
     """Separator check against the *output* labels: outputs whose first separator label
     moved off the separator token are reported."""
@@ -139,11 +140,13 @@ def q_chk_positive(spark, d):
 SELECT 'chk_group_counts' AS "check", b.query_name || '|' || b.code_file_path AS key,
        CAST(b.n AS VARCHAR) || '/' || CAST(coalesce(p.n, 0) AS VARCHAR) || '/' || CAST(b.n AS VARCHAR) AS detail
 FROM (SELECT query_name, code_file_path, count(*) AS n FROM fx_blocks GROUP BY 1, 2) b
-LEFT JOIN (SELECT query_name, code_file_path, count(*) AS n FROM fx_blocks WHERE row_id % 5 <> 0 GROUP BY 1, 2) p
+LEFT JOIN (SELECT query_name, code_file_path, count(*) AS n FROM fx_blocks WHERE len(tokens) > 20 GROUP BY 1, 2) p
   ON b.query_name = p.query_name AND b.code_file_path = p.code_file_path
 WHERE b.n <> coalesce(p.n, 0)"""))
 def q_chk_group_counts(spark, d):
-    """Predictions missing for some blocks (row_id % 5 = 0) are reported per file."""
+    """A relevance model that skips short blocks (20 tokens or fewer): files with missing
+    predictions are reported."""
     b = fx.fx_blocks(spark, d)
-    preds = b.where(F.col("row_id") % 5 != 0).select("query_name", "code_file_path", "block_ordinal")
+    preds = b.where(F.size("subtokenized_input_sequence") > 20).select("query_name", "code_file_path",
+                                                                        "block_ordinal")
     return J.chk_group_counts(b, preds)

@@ -52,11 +52,11 @@ def _span_inputs(spark, d):
 
 
 @reg("predict_labels", with_fx(["fx_seq"], f"""
-SELECT example_id, {sql_ints('output')} AS predicted, 1024 AS n_positions FROM fx_seq"""))
+SELECT example_id, {sql_ints('list_resize(output, 1024, 4)')} AS predicted, 1024 AS n_positions FROM fx_seq"""))
 def q_predict_labels(spark, d):
+    """Predictions over the padded / cut 1024-position inputs."""
     p = I.predict_labels(_span_inputs(spark, d), fakes.hint_predictor, inputs=("ids", "hint"), batch_size=4)
-    return p.select("example_id", ints(F.slice("predicted", 1, F.size("target"))).alias("predicted"),
-                    F.size("predicted").alias("n_positions"))
+    return p.select("example_id", ints("predicted").alias("predicted"), F.size("predicted").alias("n_positions"))
 
 
 @reg("predict_relevance", with_fx(["fx_blocks"], "SELECT row_id, predicted FROM fx_blocks"))
@@ -69,7 +69,8 @@ def q_predict_relevance(spark, d):
 
 
 @reg("example_em", with_fx(["fx_seq"], f"""
-SELECT example_id, CAST({sql_spans('labels')} = {sql_spans('output')} AS INTEGER) AS em FROM fx_seq"""))
+SELECT example_id, CAST({sql_spans('labels')} = {sql_spans('list_resize(output, 1024, 4)')} AS INTEGER) AS em
+FROM fx_seq"""))
 def q_example_em(spark, d):
     """em of every example at once: encode, inputs, pad, predict, spans, compare with the
     complete (untruncated) target."""

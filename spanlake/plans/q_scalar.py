@@ -93,9 +93,10 @@ def q_few_shot_values(spark, d):
 
 @reg("segment_ids", with_fx(["fx_seq"], """
 SELECT example_id,
-       array_to_string(list_transform(tokens, lambda t, i: CASE WHEN i - 1 >= list_position(tokens, '[SEP]_')
-                                                           THEN '1' ELSE '0' END), ',') AS segments,
-       CAST(len(tokens) AS INTEGER) AS mask_ones, true AS has_sep
+       CASE WHEN list_position(tokens, '[SEP]_') IS NOT NULL THEN
+         array_to_string(list_transform(tokens, lambda t, i: CASE WHEN i - 1 >= list_position(tokens, '[SEP]_')
+                                                             THEN '1' ELSE '0' END), ',') END AS segments,
+       CAST(len(tokens) AS INTEGER) AS mask_ones, list_position(tokens, '[SEP]_') IS NOT NULL AS has_sep
 FROM fx_seq"""))
 def q_segment_ids(spark, d):
     vocab = fx.fx_vocab(spark, d)
@@ -106,19 +107,17 @@ def q_segment_ids(spark, d):
 
 
 @reg("pad_truncate", with_fx(["fx_seq"], """
-SELECT example_id, CAST(len(list_resize(labels, 1024, 4)) AS INTEGER) AS len_full,
-       CAST(list_sum(list_resize(labels, 1024, 4)) AS BIGINT) AS sum_full,
-       array_to_string(list_transform(list_resize(labels, 64, 4), lambda v: CAST(v AS VARCHAR)), ',') AS labels_64,
-       array_to_string(list_transform(list_resize(list_transform(tokens, lambda t: 1), 64, 0),
-                                      lambda v: CAST(v AS VARCHAR)), ',') AS mask_64
+SELECT example_id, CAST(len(list_resize(labels, 1024, 4)) AS INTEGER) AS n,
+       array_to_string(list_transform(list_resize(labels, 1024, 4), lambda v: CAST(v AS VARCHAR)), ',') AS labels,
+       CAST(list_sum(list_resize(list_transform(tokens, lambda t: 1), 1024, 0)) AS BIGINT) AS mask_ones
 FROM fx_seq"""))
 def q_pad_truncate(spark, d):
+    """Labels padded with 4 / cut to 1024 positions (long documents are cut), mask with 0."""
     s = fx.fx_seq(spark, d)
-    full = SQ.pad_truncate("labels", SQ.SPAN_MAX_LEN, SQ.LABEL_PAD)
-    return s.select("example_id", F.size(full).alias("len_full"),
-                    F.aggregate(full, F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_full"),
-                    ints(SQ.pad_truncate("labels", 64, SQ.LABEL_PAD)).alias("labels_64"),
-                    ints(SQ.pad_truncate(SQ.input_mask("tokens"), 64, 0)).alias("mask_64"))
+    labels = SQ.pad_truncate("labels", SQ.SPAN_MAX_LEN, SQ.LABEL_PAD)
+    mask = SQ.pad_truncate(SQ.input_mask("tokens"), SQ.SPAN_MAX_LEN, 0)
+    return s.select("example_id", F.size(labels).alias("n"), ints(labels).alias("labels"),
+                    F.aggregate(mask, F.lit(0).cast("long"), lambda a, x: a + x).alias("mask_ones"))
 
 
 VOCAB_ENC_BLOCKS = """enc AS (
@@ -150,15 +149,17 @@ def q_pad_truncate_relevance(spark, d):
 
 
 def _sql_first_sep(L):
-    return (f"CAST(list_filter(range(1, len({L})), lambda i: {L}[i] = 4 AND {L}[i + 1] <> 4)[1] - 1 AS INTEGER)")
+    return (f"CAST(coalesce(list_filter(range(1, len({L})), lambda i: {L}[i] = 4 AND {L}[i + 1] <> 4)[1] - 1, -1)"
+            f" AS INTEGER)")
 
 
 @reg("first_sep_index", with_fx(["fx_seq"], f"""
 SELECT example_id, {_sql_first_sep('labels')} AS sep_target, {_sql_first_sep('output')} AS sep_output FROM fx_seq"""))
 def q_first_sep_index(spark, d):
     s = fx.fx_seq(spark, d)
-    return s.select("example_id", SQ.first_sep_index("labels").alias("sep_target"),
-                    SQ.first_sep_index("output").alias("sep_output"))
+    # -1: no separator
+    return s.select("example_id", F.coalesce(SQ.first_sep_index("labels"), F.lit(-1)).alias("sep_target"),
+                    F.coalesce(SQ.first_sep_index("output"), F.lit(-1)).alias("sep_output"))
 
 
 @reg("extract_spans", with_fx(["fx_seq"], f"""

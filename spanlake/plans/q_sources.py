@@ -54,13 +54,12 @@ def read_examples(spark, d):
 
 # A2 ---------------------------------------------------------------------------
 @reg("read_query_meta", with_fx(["fx_meta"], """
-SELECT query_name, CASE WHEN query_name LIKE 'q%' AND CAST(substr(query_name, 2) AS INTEGER) % 5 = 0
-                        THEN upper("desc") ELSE "desc" END AS "desc",
+SELECT query_name, CASE WHEN query_name LIKE 'q%' THEN upper("desc") ELSE "desc" END AS "desc",
        reccomendation, folder
 FROM fx_meta"""))
 def read_query_meta(spark, d):
-    """Metadata written as JSON arrays in several files (plus a later override file for some
-    names), then read back: the last entry of a name wins."""
+    """Metadata written as JSON arrays in several files, plus a later file that repeats the
+    'q' names with new descriptions; read back, the last entry of a name wins."""
     root = scratch_dir(spark, "meta")
     meta = fx.fx_meta(spark, d).select(F.col("query_name").alias("name"), "desc", "reccomendation", "folder")
 
@@ -70,8 +69,7 @@ def read_query_meta(spark, d):
                            .alias("value"))
          .write.mode("overwrite").partitionBy("b").text(path))
     write_arrays(meta, os.path.join(root, "a_base"), 3)
-    over = meta.where(F.col("name").startswith("q") &
-                      (F.substring("name", 2, 10).cast("int") % 5 == 0)).withColumn("desc", F.upper("desc"))
+    over = meta.where(F.col("name").startswith("q")).withColumn("desc", F.upper("desc"))
     write_arrays(over, os.path.join(root, "b_override"), 1)
     return R.read_query_meta(spark, root)
 

@@ -30,7 +30,7 @@ def _files_meta(spark, d):
     return filter_file_budget(file_rollup(fx.fx_files(spark, d), max_tokens=3000))
 
 
-BLOCK_ROWS = "br AS (SELECT * FROM fx_rows WHERE turn < 1 + conv_id % 4)"
+BLOCK_ROWS = "br AS (SELECT * FROM fx_blocks)"
 SINGLE = """single AS (
   SELECT * FROM br WHERE (query_name, code_file_path) IN (
     SELECT query_name, code_file_path FROM br GROUP BY 1, 2 HAVING count(*) = 1))"""
@@ -41,8 +41,8 @@ SEEDED = """seeded AS (
 
 
 def _block_rows(spark, d):
-    r = fx.fx_rows(spark, d)
-    return r.where(F.col("turn") < 1 + F.col("conv_id") % 4)
+    """Rows grouped into files of several blocks (one file per conversation and role)."""
+    return fx.fx_blocks(spark, d)
 
 
 # E1-E5 ---------------------------------------------------------------------------
@@ -53,7 +53,7 @@ def q_rank_in_bucket(spark, d):
     return r.select("query_name", "bucket", "code_file_path", "rank_in_bucket")
 
 
-@reg("singleton_files", with_fx(["fx_rows"], "SELECT row_id, query_name FROM single",
+@reg("singleton_files", with_fx(["fx_blocks"], "SELECT row_id, query_name FROM single",
                                 BLOCK_ROWS + ",\n" + SINGLE))
 def q_singleton_files(spark, d):
     return E.singleton_files(_block_rows(spark, d)).select("row_id", "query_name")
@@ -68,13 +68,15 @@ def q_row_index(spark, d):
 
 
 @reg("split_index", with_fx(["fx_seq"], """
-SELECT example_id, CAST(unnest(range(0, n)) AS INTEGER) AS split_id, plen
+SELECT example_id, CAST(unnest(range(0, n)) AS INTEGER) AS split_id, p AS plen
 FROM (SELECT example_id, plen,
+             CAST(coalesce(list_filter(range(1, len(labels)), lambda i: labels[i] = 4 AND labels[i + 1] <> 4)[1], -1)
+                  AS INTEGER) AS p,
              CAST(CASE WHEN len(labels) < 16 THEN 1 ELSE ceil((len(labels) - plen) / (16 - plen)) END AS INTEGER) AS n
       FROM fx_seq)"""))
 def q_split_index(spark, d):
     w, _ = split_windows(fx.fx_seq(spark, d).select("example_id", "labels"), 16, ["labels"])
-    return w.select("example_id", "split_id", F.col("plen").cast("int").alias("plen"))
+    return w.select("example_id", "split_id", F.coalesce(F.col("plen").cast("int"), F.lit(-1)).alias("plen"))
 
 
 @reg("example_index", with_fx(["fx_seq"], """
@@ -92,7 +94,7 @@ def q_stratified_sample(spark, d):
                                                       "draw_order", "code_file_path")
 
 
-@reg("seeded_sample_n", with_fx(["fx_rows"], "SELECT query_name, row_id, sample_rank FROM seeded",
+@reg("seeded_sample_n", with_fx(["fx_blocks"], "SELECT query_name, row_id, sample_rank FROM seeded",
                                 BLOCK_ROWS + ",\n" + SINGLE + ",\n" + SEEDED))
 def q_seeded_sample_n(spark, d):
     s = S.seeded_sample_n(E.singleton_files(_block_rows(spark, d)), 10)
@@ -124,7 +126,7 @@ def q_bucket_major_order(spark, d):
 
 
 # G1-G3 -------------------------------------------------------------------------------
-@reg("union_topup", with_fx(["fx_rows"], """
+@reg("union_topup", with_fx(["fx_blocks"], """
 SELECT query_name, row_id, CAST(len(answer_texts) AS INTEGER) AS n_answers FROM seeded
 UNION ALL
 SELECT query_name, row_id, CAST(len(answer_texts) AS INTEGER) AS n_answers FROM single

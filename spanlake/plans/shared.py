@@ -66,8 +66,9 @@ def sql_spans(L: str) -> str:
     """Span string ``start:len:tag;...`` of an int list expression (start order)."""
     runs = f"regexp_extract_all(array_to_string({L}, ''), '[03]1*')"
     starts = f"list_filter(range(0, len({L})), lambda i: {L}[i + 1] IN (0, 3))"
-    return (f"array_to_string(list_transform({starts}, lambda s, j: CAST(s AS VARCHAR) || ':' || "
-            f"CAST(length({runs}[j]) AS VARCHAR) || ':' || CAST({L}[s + 1] AS VARCHAR)), ';')")
+    # list_zip evaluates both lists once (a lambda body would recompute them per span)
+    return (f"array_to_string(list_transform(list_zip({starts}, {runs}), lambda z: CAST(z[1] AS VARCHAR) || ':' || "
+            f"CAST(length(z[2]) AS VARCHAR) || ':' || CAST({L}[z[1] + 1] AS VARCHAR)), ';')")
 
 
 def sql_fuzzy(a: str, c: str) -> str:
