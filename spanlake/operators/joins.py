@@ -63,17 +63,44 @@ def vocab_encode(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str, out
 
 
 def _encode_map(df: DataFrame, vocab: DataFrame, tokens_col: str, out_col: str) -> DataFrame:
+    """Vectorized lookup in Arrow: the token list column of each batch is flattened,
+    matched against the broadcast vocabulary keys (``index_in``, a C++ hash lookup),
+    misses take the unknown id, and the ids are re-wrapped with the same list offsets."""
+    from pyspark.sql import types as T
     rows = vocab.select("token", "id").collect()  # bounded by the caller's size check
-    table = {r["token"]: r["id"] for r in rows}
-    unk = table.get(f"'{UNK_TOKEN}'")
-    bc = df.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("array<int>")
-    def encode(tokens: pd.Series) -> pd.Series:
-        m = bc.value
-        return tokens.map(lambda ts: None if ts is None else [m.get(f"'{t}'", unk) for t in ts])
-
-    return df.withColumn(out_col, encode(F.col(tokens_col)))
+    table = {}
+    for r in rows:  # the lookup key is the token inside single quotes
+        t = r["token"]
+        if t is not None and len(t) >= 2 and t[0] == "'" and t[-1] == "'":
+            table[t[1:-1]] = r["id"]
+    unk = next((r["id"] for r in rows if r["token"] == f"'{UNK_TOKEN}'"), None)
+    bc = df.sparkSession.sparkContext.broadcast((list(table.keys()), list(table.values()), unk))
+    schema = T.StructType([f for f in df.schema.fields if f.name != out_col]
+                          + [T.StructField(out_col, T.ArrayType(T.IntegerType()))])
+    names = [f.name for f in schema.fields]
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        keys, ids, unk_id = bc.value
+        key_arr, id_arr = pa.array(keys, pa.string()), pa.array(ids, pa.int32())
+        for b in batches:
+            toks = b.column(tokens_col)
+            if isinstance(toks, pa.ChunkedArray):
+                toks = toks.combine_chunks()
+            flat = toks.flatten()
+            pos = pc.index_in(flat, value_set=key_arr)
+            enc = pc.take(id_arr, pos)
+            if unk_id is not None:
+                enc = pc.fill_null(enc, pa.scalar(unk_id, pa.int32()))
+            offsets = toks.offsets
+            if toks.offset:
+                offsets = pc.subtract(offsets, offsets[0])
+            lists = pa.ListArray.from_arrays(offsets, enc, mask=toks.is_null())
+            cols = [b.column(n) for n in names[:-1]] + [lists]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return df.mapInArrow(run, schema)
 
 
 def _encode_join(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str, out_col: str,
