@@ -27,8 +27,11 @@ def fuzzy_match(a, b) -> Column:
     la, lb = F.length(a), F.length(b)
     big = F.greatest(la, lb)
     L = F.floor(F.lit(MATCH_NUM) * big / F.lit(MATCH_DEN)).cast("int") + 1
-    probe = F.exists(F.sequence(F.lit(1), F.greatest(la - L + 1, F.lit(1))),
-                     lambda i: F.contains(b, F.substring(a, i, L)))
+    n = F.greatest(la - L + 1, F.lit(1))
+    # (start, L) pairs are built as a HOF argument so L is computed once per pair of
+    # texts, not once per probe; ``exists`` stops at the first hit
+    probes = F.arrays_zip(F.sequence(F.lit(1), n).alias("i"), F.array_repeat(L, n).alias("L"))
+    probe = F.exists(probes, lambda z: F.contains(b, F.substring(a, z["i"], z["L"])))
     return (la > 0) & (F.least(la, lb) * MATCH_DEN > big * MATCH_NUM) & (F.least(la, lb) >= L) & probe
 
 

@@ -25,17 +25,19 @@ def _c(x) -> Column:
 def first_sep_index(labels) -> Column:
     """0-based index of the first pad label followed by a non-pad label; null if none."""
     l = _c(labels)
-    n = F.size(l)
-    hits = F.filter(F.sequence(F.lit(0), n - 2),
-                    lambda i: (F.get(l, i) == LABEL_PAD) & (F.get(l, i + 1) != LABEL_PAD))
-    return F.when(n >= 2, F.get(hits, 0))
+    # pairs (l[i], l[i+1]) by zipping with the shifted array: no element access inside a
+    # lambda, so an expression argument is evaluated once per row
+    flags = F.zip_with(l, F.slice(l, 2, F.greatest(F.size(l) - 1, F.lit(0))),
+                       lambda a, b: (a == LABEL_PAD) & (b != LABEL_PAD))
+    p = F.array_position(flags, F.lit(True))
+    return F.when(p > 0, (p - 1).cast("int"))
 
 
 def segment_ids(ids, sep_id) -> Column:
     """0 up to and including the first separator id, 1 after; null when no separator."""
     a = _c(ids)
-    p = F.array_position(a, sep_id if isinstance(sep_id, Column) else F.lit(sep_id))
-    return F.when(p > 0, F.transform(a, lambda x, i: F.when(i >= p, 1).otherwise(0)))
+    p = F.array_position(a, sep_id if isinstance(sep_id, Column) else F.lit(sep_id)).cast("int")
+    return F.when(p > 0, F.concat(F.array_repeat(F.lit(0), p), F.array_repeat(F.lit(1), F.size(a) - p)))
 
 
 def input_mask(ids) -> Column:

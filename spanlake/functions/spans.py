@@ -17,17 +17,18 @@ def extract_spans(labels) -> Column:
     span sets are equal iff the arrays are equal).  Labels are single digits, so
     run lengths come from one regex pass over the joined digits."""
     l = _c(labels)
+    # ``l`` only ever appears as a higher-order-function argument, so it is evaluated
+    # once per row even when it is itself an expression (inside a lambda body it would
+    # be re-evaluated per element).  The run list is zipped with the starts for the same
+    # reason; the tag is the first digit of the run.
     runs = F.regexp_extract_all(F.array_join(F.transform(l, lambda x: x.cast("string")), ""),
                                 F.lit("[03]1*"), F.lit(0))
-    starts = F.filter(F.sequence(F.lit(0), F.size(l) - 1),
-                      lambda i: F.get(l, i).isin(0, 3))
-    # zip_with evaluates the run list once per row (a lambda body would re-run it per span)
-    spans = F.zip_with(starts, runs, lambda s, r: F.struct(
+    starts = F.filter(F.transform(l, lambda x, i: F.when(x.isin(0, 3), i).otherwise(F.lit(-1))),
+                      lambda i: i >= 0)
+    return F.zip_with(starts, runs, lambda s, r: F.struct(
         s.cast("int").alias("start"),
         F.length(r).cast("int").alias("len"),
-        F.get(l, s).cast("int").alias("tag")))
-    return F.when(F.size(l) > 0, spans).otherwise(F.array().cast(
-        "array<struct<start:int,len:int,tag:int>>"))
+        F.substring(r, 1, 1).cast("int").alias("tag")))
 
 
 def extract_spans_twostep(seq) -> Column:
