@@ -10,21 +10,33 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _span_parts(l: Column) -> tuple[Column, Column]:
+    """(span starts, span run strings) of a label array, aligned by position."""
+    runs = F.regexp_extract_all(F.array_join(l.cast("array<string>"), ""), F.lit("[03]1*"), F.lit(0))
+    starts = F.array_compact(F.transform(l, lambda x, i: F.when((x == 0) | (x == 3), i)))
+    return starts, runs
+
+
+def same_spans(a, b) -> Column:
+    """True iff two label arrays have the same span set.  A span set is fully given by the
+    aligned (starts, runs) lists - a run string carries tag and length - so the lists are
+    compared directly, without building span structs."""
+    sa, ra = _span_parts(_c(a))
+    sb, rb = _span_parts(_c(b))
+    return (sa == sb) & (ra == rb)
+
+
 def extract_spans(labels) -> Column:
     """Spans of a label array: a 0 or 3 followed by a maximal run of 1.
 
-    Returns ``array<struct<start:int,len:int,tag:int>>`` in start order (so two
-    span sets are equal iff the arrays are equal).  Labels are single digits, so
-    run lengths come from one regex pass over the joined digits."""
-    l = _c(labels)
-    # ``l`` only ever appears as a higher-order-function argument, so it is evaluated
-    # once per row even when it is itself an expression (inside a lambda body it would
-    # be re-evaluated per element).  The run list is zipped with the starts for the same
-    # reason; the tag is the first digit of the run.
-    runs = F.regexp_extract_all(F.array_join(F.transform(l, lambda x: x.cast("string")), ""),
-                                F.lit("[03]1*"), F.lit(0))
-    starts = F.filter(F.transform(l, lambda x, i: F.when(x.isin(0, 3), i).otherwise(F.lit(-1))),
-                      lambda i: i >= 0)
+    Returns ``array<struct<start:int,len:int,tag:int>>`` in start order (so two span
+    sets are equal iff the arrays are equal).  Labels are single digits, so the runs come
+    from one native regex pass over the digit string (built by a native array cast), and
+    the starts from one lambda pass plus the native ``array_compact``; the two lists are
+    zipped, and the tag is the run's first digit.  Lambdas run interpreted, so the number
+    of per-element lambda passes is what this keeps small.  The input only appears as a
+    function argument, so an expression input is evaluated once per row."""
+    starts, runs = _span_parts(_c(labels))
     return F.zip_with(starts, runs, lambda s, r: F.struct(
         s.cast("int").alias("start"),
         F.length(r).cast("int").alias("len"),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.functions.matching import N_CANDIDATES, PASS_KS, pass_at_k_scalar, span_match
-from spanlake.functions.spans import extract_spans, extract_spans_twostep
+from spanlake.functions.spans import extract_spans_twostep, same_spans
 from spanlake.functions.text import NO_ANSWER, SPAN_JOIN, strip_text
 from spanlake.operators.windows import bucket_of
 
@@ -105,7 +105,7 @@ def file_answer_agg(rows: DataFrame, row_separator: str = "", sep: str = SPAN_JO
 def exact_match_rate(df: DataFrame, target: str = "target", output: str = "output",
                      by: list[str] | None = None) -> DataFrame:
     """Share of sequences whose span sets (complete target vs output) are equal."""
-    hit = (extract_spans(target) == extract_spans(output)).cast("int")
+    hit = same_spans(target, output).cast("int")
     return _rate(df, hit, by)
 
 

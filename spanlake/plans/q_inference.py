@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
-from spanlake.functions.spans import extract_spans
+from spanlake.functions.spans import same_spans
 from spanlake.operators import inference as I
 from spanlake.operators import joins as C
 from spanlake.operators.sequences import pad_relevance_inputs, pad_span_inputs, span_inputs
@@ -75,7 +75,7 @@ def q_example_em(spark, d):
     """em of every example at once: encode, inputs, pad, predict, spans, compare with the
     complete (untruncated) target."""
     p = I.predict_labels(_span_inputs(spark, d), fakes.hint_predictor, inputs=("ids", "hint"), batch_size=4)
-    return p.select("example_id", (extract_spans("target") == extract_spans("predicted")).cast("int").alias("em"))
+    return p.select("example_id", same_spans("target", "predicted").cast("int").alias("em"))
 
 
 def _prompts(spark, d):

@@ -161,3 +161,19 @@ def test_token_count_matches_python_regex(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r["n"] for r in df.select(T.token_count("t").alias("n")).collect()]
     assert got == [len(re.findall(T.TOKEN_PATTERN, t)) for t in texts]
+
+
+def test_same_spans_agrees_with_span_sets(spark):
+    rnd = random.Random(21)
+    pairs = []
+    for _ in range(400):
+        a = [rnd.choice([0, 1, 1, 2, 3, 4]) for _ in range(rnd.randint(0, 30))]
+        b = list(a)
+        if rnd.random() < 0.6 and b:
+            b[rnd.randrange(len(b))] = rnd.choice([0, 1, 2, 3, 4])
+        if rnd.random() < 0.2:
+            b = b + [rnd.choice([2, 4])] * rnd.randint(1, 3)  # trailing outside labels
+        pairs.append((a, b))
+    df = spark.createDataFrame(pairs, "a array<int>, b array<int>")
+    got = [r["x"] for r in df.select(SP.same_spans("a", "b").alias("x")).collect()]
+    assert got == [set(py_spans(a)) == set(py_spans(b)) for a, b in pairs]
