@@ -54,20 +54,21 @@ def vocab_encode(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str, out
     * ``"auto"`` - ``map`` when the vocabulary is within the bound, else ``join``."""
     if strategy not in ("auto", "map", "join"):
         raise ValueError(strategy)
-    small = vocab.limit(max_rows + 1).count() <= max_rows
-    if strategy == "map" and not small:
-        raise ValueError("vocabulary larger than max_rows: use the join strategy")
-    if strategy == "map" or (strategy == "auto" and small):
-        return _encode_map(df, vocab, tokens_col, out_col)
+    if strategy in ("auto", "map"):
+        # one bounded read: at most max_rows + 1 entries ever reach the driver
+        rows = vocab.select("token", "id").limit(max_rows + 1).collect()
+        if len(rows) <= max_rows:
+            return _encode_map(df, rows, tokens_col, out_col)
+        if strategy == "map":
+            raise ValueError("vocabulary larger than max_rows: use the join strategy")
     return _encode_join(df, vocab, key, tokens_col, out_col, max_rows)
 
 
-def _encode_map(df: DataFrame, vocab: DataFrame, tokens_col: str, out_col: str) -> DataFrame:
+def _encode_map(df: DataFrame, rows: list, tokens_col: str, out_col: str) -> DataFrame:
     """Vectorized lookup in Arrow: the token list column of each batch is flattened,
     matched against the broadcast vocabulary keys (``index_in``, a C++ hash lookup),
     misses take the unknown id, and the ids are re-wrapped with the same list offsets."""
     from pyspark.sql import types as T
-    rows = vocab.select("token", "id").collect()  # bounded by the caller's size check
     table = {}
     for r in rows:  # the lookup key is the token inside single quotes
         t = r["token"]

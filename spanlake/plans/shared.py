@@ -14,7 +14,7 @@ from spanlake.plans import fixtures as fx
 def ints(col) -> F.Column:
     """array<int> as a comma-joined string (for reports / value hashing)."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return F.array_join(c.cast("array<string>"), ",")
 
 
 def sample_files(files: DataFrame) -> DataFrame:
