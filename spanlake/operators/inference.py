@@ -24,9 +24,18 @@ from pyspark.sql import types as T
 _WORKER_CACHE: dict = {}
 
 
+def _factory_key(factory: Callable):
+    """Importable factories are keyed by name (each task unpickles a new function object,
+    so ``id`` would rebuild the model per task); closures and lambdas fall back to ``id``."""
+    mod, qual = getattr(factory, "__module__", None), getattr(factory, "__qualname__", "")
+    if mod and qual and "<" not in qual:
+        return mod, qual
+    return "id", id(factory)
+
+
 def _cached(factory: Callable):
-    """Build the user object once per Python worker process (keyed by the factory)."""
-    key = id(factory), getattr(factory, "__qualname__", "")
+    """Build the user object once per Python worker process (workers are reused)."""
+    key = _factory_key(factory)
     if key not in _WORKER_CACHE:
         _WORKER_CACHE[key] = factory()
     return _WORKER_CACHE[key]
