@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlake.session import ensure_checkpoint_dir
+
 
 def global_row_number(df: DataFrame, order_by: list[str], name: str = "rn",
                       checkpoint: bool = True) -> DataFrame:
@@ -18,6 +20,7 @@ def global_row_number(df: DataFrame, order_by: list[str], name: str = "rn",
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
     if checkpoint:
+        ensure_checkpoint_dir(df.sparkSession)
         tagged = tagged.checkpoint(eager=True)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n"))
@@ -45,6 +48,7 @@ def group_row_number(df: DataFrame, groups: list[str], order_by: list[str], name
               .withColumn("_pos", F.monotonically_increasing_id()
                           - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
     if checkpoint:
+        ensure_checkpoint_dir(df.sparkSession)
         tagged = tagged.checkpoint(eager=True)
     cnt = tagged.groupBy(*groups, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_p0"))
     w = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)

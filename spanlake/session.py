@@ -61,6 +61,11 @@ def _checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Make sure ``checkpoint()`` has its (shared) directory; returns it."""
+    return _checkpoint_root(spark)
+
+
 def scratch_dir(spark: SparkSession, name: str = "tmp") -> str:
     """A fresh sub-folder of the shared checkpoint location."""
     root = _checkpoint_root(spark)

@@ -153,3 +153,15 @@ def test_plans_native_and_limited(spark):
     assert "WindowGroupLimit" in _plan(q["stratified_sample"](spark, d))
     assert "WindowGroupLimit" in _plan(q["seeded_sample_n"](spark, d))
     assert "BroadcastHashJoin" in _plan(q["join_query_meta"](spark, d))
+    assert "BroadcastHashJoin" in _plan(q["join_folder_map"](spark, d))
+    assert "WindowGroupLimit" in _plan(q["few_shot_pick"](spark, d))
+
+
+def test_few_shot_join_becomes_broadcast_at_run_time(spark):
+    """The per-query few-shot side is small; AQE turns the join into a broadcast from
+    the measured size (no forced hint)."""
+    from spanlake.plans.catalog import all_queries
+    df = all_queries()["join_few_shot"](spark, "/root/testdata/sf0.001")
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in final and "BroadcastHashJoin" in final
