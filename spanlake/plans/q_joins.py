@@ -24,7 +24,7 @@ def reg(key, sql=None):
 
 
 ROWS_TEST = "fx_rows_test AS (SELECT * FROM fx_rows WHERE split = 'test')"
-ROWS_TRAIN = "fx_rows_train AS (SELECT * FROM fx_rows WHERE split = 'train')"
+ROWS_TRAIN = "fx_rows_train AS (SELECT * FROM fx_rows WHERE split = 'train' AND file_tokens < 1000)"
 PICKS = """picks AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_name, example_type
                                               ORDER BY md5(CAST(row_id AS VARCHAR) || '|42'), row_id) AS rk

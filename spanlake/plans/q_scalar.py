@@ -61,7 +61,7 @@ def q_join_spans(spark, d):
 PICKS = """picks AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_name, example_type
                                               ORDER BY md5(CAST(row_id AS VARCHAR) || '|42'), row_id) AS rk
-                 FROM fx_rows WHERE split = 'train') WHERE rk = 1)"""
+                 FROM fx_rows WHERE split = 'train' AND file_tokens < 1000) WHERE rk = 1)"""
 SHOTS = f"""shots AS (
   SELECT query_name,
          max(CASE WHEN example_type = 1 THEN {SQL_SANITIZE} END) AS positive_context,

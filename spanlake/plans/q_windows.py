@@ -105,7 +105,7 @@ def q_seeded_sample_n(spark, d):
 SELECT query_name, example_type, row_id FROM (
   SELECT *, row_number() OVER (PARTITION BY query_name, example_type
                                ORDER BY md5(CAST(row_id AS VARCHAR) || '|42'), row_id) AS rk
-  FROM fx_rows WHERE split = 'train') WHERE rk = 1"""))
+  FROM fx_rows WHERE split = 'train' AND file_tokens < 1000) WHERE rk = 1"""))
 def q_few_shot_pick(spark, d):
     return S.few_shot_pick(rows_train(spark, d)).select("query_name", "example_type", "row_id")
 

@@ -27,7 +27,9 @@ def rows_test(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rows_train(spark: SparkSession, d: str) -> DataFrame:
-    return fx.fx_rows(spark, d).where(F.col("split") == "train")
+    """The train partition: train split under the train token budget (B3, < 1000)."""
+    from spanlake.operators.filters import TRAIN_BUDGET, filter_query_budget
+    return filter_query_budget(fx.fx_rows(spark, d).where(F.col("split") == "train"), TRAIN_BUDGET)
 
 
 # SQL twins -----------------------------------------------------------------
