@@ -34,9 +34,19 @@ def filter_example_type(df: DataFrame, mode: str, col: str = "example_type") ->
     raise ValueError(f"unknown example mode {mode!r}")
 
 
-def partition_by_query(df: DataFrame, partitions: int | None = None, col: str = "query_name") -> DataFrame:
-    """Hash-partition rows by query (the per-query 'sub-datasets' of the benchmark)."""
-    return df.repartition(partitions, col) if partitions else df.repartition(col)
+def partition_by_query(df: DataFrame, partitions: int | None = None, col: str = "query_name",
+                       spread: int = 16, salt_key: str | None = None) -> DataFrame:
+    """Cluster rows by query (the per-query 'sub-datasets' of the benchmark).
+
+    Rows are hash-partitioned on (query, salt) with ``spread`` salt values derived from
+    ``salt_key`` (default: every column), so one query holding a large share of the rows
+    spreads over up to ``spread`` tasks instead of one.  Per-query work downstream
+    (aggregates) stays correct because it combines partial results."""
+    salt_src = F.col(salt_key) if salt_key else F.struct(*[F.col(c) for c in df.columns])
+    salt = F.pmod(F.xxhash64(salt_src), F.lit(spread))
+    keyed = df.withColumn("_salt", salt)
+    out = keyed.repartition(partitions, col, "_salt") if partitions else keyed.repartition(col, "_salt")
+    return out.drop("_salt")
 
 
 def positive_partition(df: DataFrame) -> DataFrame:

@@ -9,9 +9,13 @@ from spanlake.functions.text import flatten_path
 
 
 def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None,
-                mode: str = "overwrite") -> str:
-    """Persist a stage as Parquet (optionally partitioned) and return the path."""
-    w = df.write.mode(mode)
+                mode: str = "overwrite", max_records_per_file: int = 5_000_000) -> str:
+    """Persist a stage as Parquet (optionally partitioned) and return the path.
+
+    Every task writes its own rows into each partition folder (no clustering shuffle), and
+    files are capped at ``max_records_per_file`` rows, so a large query folder becomes
+    many bounded files."""
+    w = df.write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
@@ -27,17 +31,20 @@ def csv_field(c) -> F.Column:
 
 
 def write_response_logs(df: DataFrame, path: str, n: int = 10,
-                        folder_col: str = "query_folder") -> str:
+                        folder_col: str = "query_folder", spread: int = 4) -> str:
     """Headerless CSV logs, one folder per query, CRLF record ends, '' for blanks.
 
     Records are formatted as text columns so newlines inside quoted fields stay as they
     are (the CSV sink would rewrite them to the record separator).  ``df`` holds
     ``i, query, file_path, prompt, ans_spans, ans_0..ans_{n-1}`` plus the folder column;
-    rows are clustered by folder so each folder gets few files."""
+    rows are clustered by (folder, salt): each folder gets at most ``spread`` files and no
+    single task writes a whole large query."""
     cols = ["i", "query", "file_path", "prompt", "ans_spans"] + [f"ans_{j}" for j in range(n)]
     rec = F.concat_ws(",", *[csv_field(F.col(c)) for c in cols]).alias("value")
-    (df.select(F.col(folder_col), F.col("i"), rec)
-     .repartition(folder_col).sortWithinPartitions(folder_col, "i")
+    # (folder, salt) clustering: a query with many rows is written by several tasks
+    salt = F.pmod(F.xxhash64(F.col("file_path")), F.lit(spread))
+    (df.select(F.col(folder_col), F.col("i"), rec, salt.alias("_salt"))
+     .repartition(folder_col, "_salt").sortWithinPartitions(folder_col, "i")
      .select(folder_col, "value")
      .write.mode("overwrite").partitionBy(folder_col).option("lineSep", "\r\n").text(path))
     return path

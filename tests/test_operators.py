@@ -169,3 +169,17 @@ def test_group_row_number_spreads_hot_group(spark):
         assert sorted((r["i"], r["rn"]) for r in got2.select("i", "rn").collect()) == b
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_partition_by_query_spreads_a_hot_query(spark):
+    from spanlake.operators.filters import partition_by_query
+    rows = [("hot", i) for i in range(3000)] + [(f"q{i % 5}", 10_000 + i) for i in range(500)]
+    df = spark.createDataFrame(rows, "query_name string, row_id long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        p = partition_by_query(df, 32, salt_key="row_id").withColumn("pid", F.spark_partition_id())
+        spread = p.where("query_name = 'hot'").select("pid").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert spread > 4
+    assert p.count() == len(rows)
