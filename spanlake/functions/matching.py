@@ -49,3 +49,42 @@ def pass_at_k_scalar(n, c, k) -> Column:
     return (F.when(n - c < k, F.lit(1.0))
             .when(c <= 0, F.lit(0.0))
             .otherwise(F.lit(1.0) - prod)).cast("double")
+
+
+def legacy_confirm(a, c, native: bool) -> bool:
+    """difflib's verdict for one pair that the native test accepted (per-row helper)."""
+    import difflib
+    if not native or a is None or c is None:
+        return bool(native)
+    if a.strip() == c.strip():
+        return True
+    m = difflib.SequenceMatcher(None, a, c).find_longest_match()
+    return 10 * m.size > 9 * len(a) and 10 * m.size > 9 * len(c)
+
+
+def match_flags(answer, cands) -> Column:
+    """Per candidate: non-blank and matching the answer (``array<boolean>``), native."""
+    a, cs = _c(answer), _c(cands)
+    return F.transform(cs, lambda c: (strip_text(c) != "") & span_match(a, c))
+
+
+def with_legacy_flags(df, answer: str, cands: list[str], out_col: str = "_flags"):
+    """Add ``out_col``: the benchmark matcher's verdict per candidate for long texts.
+
+    The native test (true longest common substring) runs first in the JVM; only the
+    candidates it accepts are re-checked with difflib's default heuristic, which can only
+    reject more.  The re-check runs in Arrow batches (``mapInPandas``)."""
+    from pyspark.sql import types as T
+    staged = df.withColumn(out_col, match_flags(F.col(answer), F.array(*[F.col(c) for c in cands])))
+    schema = staged.schema
+
+    def run(batches):
+        for b in batches:
+            flags = []
+            for row_a, row_f, *row_c in zip(b[answer], b[out_col], *[b[c] for c in cands]):
+                flags.append(None if row_f is None else
+                             [legacy_confirm(row_a, c, bool(f)) for c, f in zip(row_c, row_f)])
+            b = b.copy()
+            b[out_col] = flags
+            yield b
+    return staged.mapInPandas(run, schema)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.functions.matching import N_CANDIDATES, PASS_KS, pass_at_k_scalar, span_match
+from spanlake.functions.matching import N_CANDIDATES, PASS_KS, pass_at_k_scalar, span_match, with_legacy_flags
 from spanlake.functions.spans import extract_spans_twostep, same_spans
 from spanlake.functions.text import NO_ANSWER, SPAN_JOIN, strip_text
 from spanlake.operators.windows import bucket_of
@@ -127,26 +127,33 @@ def _cands(df: DataFrame, n: int):
     return F.array(*[F.col(f"ans_{j}") for j in range(n)])
 
 
-def match_count(df: DataFrame, n: int = N_CANDIDATES) -> DataFrame:
+def match_count(df: DataFrame, n: int = N_CANDIDATES, legacy_autojunk: bool = False) -> DataFrame:
     """Per log row: number c of non-blank candidates that match the answer (duplicates count)."""
+    if legacy_autojunk:
+        staged = with_legacy_flags(df, "ans_spans", [f"ans_{j}" for j in range(n)])
+        return staged.withColumn("c", F.size(F.array_remove("_flags", False)).cast("int")).drop("_flags")
     good = F.filter(_cands(df, n), lambda c: (strip_text(c) != "") & span_match(F.col("ans_spans"), c))
     return df.withColumn("c", F.size(good).cast("int"))
 
 
-def any_match_rate(log: DataFrame, n: int = N_CANDIDATES) -> DataFrame:
+def any_match_rate(log: DataFrame, n: int = N_CANDIDATES, legacy_autojunk: bool = False) -> DataFrame:
     """A row is correct if any non-blank candidate matches; per query and total."""
-    hit = F.exists(_cands(log, n), lambda c: (strip_text(c) != "") & span_match(F.col("ans_spans"), c))
+    if legacy_autojunk:
+        log = with_legacy_flags(log, "ans_spans", [f"ans_{j}" for j in range(n)])
+        hit = F.coalesce(F.array_contains("_flags", True), F.lit(False))
+    else:
+        hit = F.exists(_cands(log, n), lambda c: (strip_text(c) != "") & span_match(F.col("ans_spans"), c))
     out = log.select("query", hit.cast("int").alias("hit")).rollup("query").agg(
         F.count(F.lit(1)).alias("total"), F.sum("hit").cast("long").alias("correct"),
         F.grouping_id().cast("int").alias("is_total"))
     return out.withColumn("any_match", F.round(F.col("correct") / F.col("total"), 9))
 
 
-def pass_at_k(log: DataFrame, ks=PASS_KS, n: int = N_CANDIDATES) -> DataFrame:
+def pass_at_k(log: DataFrame, ks=PASS_KS, n: int = N_CANDIDATES, legacy_autojunk: bool = False) -> DataFrame:
     """Mean over rows of the unbiased pass@k, for every k in one scan and one match.
 
     All k are summed in a single aggregate, then stacked to one row per k."""
-    m = match_count(log, n)
+    m = match_count(log, n, legacy_autojunk)
     sums = m.agg(F.count(F.lit(1)).alias("total"),
                  *[F.sum(pass_at_k_scalar(n, F.col("c"), k)).alias(f"p{k}") for k in ks])
     stack = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"p{k}").alias("s")) for k in ks]))

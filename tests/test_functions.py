@@ -177,3 +177,28 @@ def test_same_spans_agrees_with_span_sets(spark):
     df = spark.createDataFrame(pairs, "a array<int>, b array<int>")
     got = [r["x"] for r in df.select(SP.same_spans("a", "b").alias("x")).collect()]
     assert got == [set(py_spans(a)) == set(py_spans(b)) for a, b in pairs]
+
+
+def test_legacy_autojunk_matches_difflib_on_long_texts(spark):
+    """With legacy_autojunk the count equals the benchmark's difflib-based count, also for
+    texts of 200+ characters where the default (true longest block) may accept more."""
+    from spanlake.operators.aggregates import match_count
+    rnd = random.Random(17)
+    rows = []
+    for i in range(60):
+        base = "".join(rnd.choice("ab e") for _ in range(rnd.randint(150, 400)))
+        cands = []
+        for j in range(10):
+            c = list(base)
+            for _ in range(rnd.randint(0, 6)):
+                c.insert(rnd.randrange(len(c) + 1), rnd.choice("abz"))
+            cands.append("".join(c) if j != 9 else "  ")
+        rows.append((i, base, *cands))
+    cols = "i int, ans_spans string, " + ", ".join(f"ans_{j} string" for j in range(10))
+    df = spark.createDataFrame(rows, cols)
+    legacy = {r["i"]: r["c"] for r in match_count(df, legacy_autojunk=True).select("i", "c").collect()}
+    native = {r["i"]: r["c"] for r in match_count(df).select("i", "c").collect()}
+    for i, a, *cs in rows:
+        want = sum(1 for c in cs if c.strip() and py_fuzzy(a, c))
+        assert legacy[i] == want
+        assert native[i] >= want
