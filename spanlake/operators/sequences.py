@@ -90,19 +90,27 @@ def split_windows(df: DataFrame, width: int, arrays: list[str], labels: str = "l
 def stitch_windows(windows: DataFrame, arrays: list[str], key: str = "example_id",
                    labels: str = "labels") -> DataFrame:
     """Merge the windows of each example: window 0 whole, later windows without the
-    query prefix (prefix length from the target labels of window 0)."""
-    agg = windows.groupBy(key).agg(
+    query prefix.
+
+    The prefix is cut from each later window *before* grouping (a plain per-row
+    ``slice``, code-generated); after grouping, the sorted windows' arrays are
+    concatenated with native field extraction + ``flatten`` - no per-window lambda.  The
+    prefix length is the windows' ``plen`` column when present, else the window's own
+    first separator (all windows of an example share it; ``chk_windows`` verifies)."""
+    p = F.col("plen") if "plen" in windows.columns else first_sep_index(labels) + 1
+    staged = windows.select(key, "split_id", p.alias("_p"), *arrays)
+
+    def body(a: str) -> Column:
+        return F.when(F.col("split_id") == 0, F.col(a)).otherwise(
+            F.slice(a, F.col("_p") + 1, F.greatest(F.size(a) - F.col("_p"), F.lit(0))))
+
+    trimmed = staged.select(key, "split_id", "_p", *[body(a).alias(a) for a in arrays])
+    agg = trimmed.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("split_id", *arrays))).alias("_w"),
-        F.count(F.lit(1)).alias("n_windows"), F.max("split_id").alias("_max_split"))
-    plen = first_sep_index(F.get(F.col("_w"), 0)[labels]) + 1
-    staged = agg.withColumn("plen", plen)
-
-    def merge(a: str) -> Column:
-        return F.flatten(F.transform("_w", lambda w: F.when(w["split_id"] == 0, w[a]).otherwise(
-            F.slice(w[a], F.col("plen") + 1, F.greatest(F.size(w[a]) - F.col("plen"), F.lit(0))))))
-
-    return staged.select(key, "n_windows", "plen", *[merge(a).alias(a) for a in arrays],
-                         ((F.col("_max_split") + 1) != F.col("n_windows")).alias("split_gap"))
+        F.count(F.lit(1)).alias("n_windows"), F.max("split_id").alias("_max_split"),
+        F.max(F.when(F.col("split_id") == 0, F.col("_p"))).alias("plen"))
+    return agg.select(key, "n_windows", "plen", *[F.flatten(F.col(f"_w.{a}")).alias(a) for a in arrays],
+                      ((F.col("_max_split") + 1) != F.col("n_windows")).alias("split_gap"))
 
 
 _PROV = "array<struct<label:int,block_index:int,block_offset:int>>"
