@@ -120,7 +120,7 @@ def _rate(df: DataFrame, hit: F.Column, by: list[str] | None) -> DataFrame:
     """n, hits and their share; the (costly) hit expression is referenced once."""
     g = df.groupBy(*by) if by else df.groupBy()
     out = g.agg(F.count(F.lit(1)).alias("n"), F.sum(hit).cast("long").alias("exact"))
-    return out.withColumn("exact_match", F.round(F.col("exact") / F.col("n"), 9))
+    return out.withColumn("exact_match", F.round(F.when(F.col("n") > 0, F.col("exact") / F.col("n")), 9))
 
 
 def _cands(df: DataFrame, n: int):
@@ -146,7 +146,7 @@ def any_match_rate(log: DataFrame, n: int = N_CANDIDATES, legacy_autojunk: bool
     out = log.select("query", hit.cast("int").alias("hit")).rollup("query").agg(
         F.count(F.lit(1)).alias("total"), F.sum("hit").cast("long").alias("correct"),
         F.grouping_id().cast("int").alias("is_total"))
-    return out.withColumn("any_match", F.round(F.col("correct") / F.col("total"), 9))
+    return out.withColumn("any_match", F.round(F.when(F.col("total") > 0, F.col("correct") / F.col("total")), 9))
 
 
 def pass_at_k(log: DataFrame, ks=PASS_KS, n: int = N_CANDIDATES, legacy_autojunk: bool = False) -> DataFrame:
@@ -159,8 +159,8 @@ def pass_at_k(log: DataFrame, ks=PASS_KS, n: int = N_CANDIDATES, legacy_autojunk
     stack = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"p{k}").alias("s")) for k in ks]))
     out = sums.select("total", stack.alias("x"))
     return out.select(F.col("x.k").cast("int").alias("k"), F.col("total").cast("long").alias("total"),
-                      F.round("x.s", 9).alias("pass_sum"),
-                      F.round(F.col("x.s") / F.col("total"), 9).alias("pass_at_k"))
+                      F.round(F.coalesce(F.col("x.s"), F.lit(0.0)), 9).alias("pass_sum"),
+                      F.round(F.when(F.col("total") > 0, F.col("x.s") / F.col("total")), 9).alias("pass_at_k"))
 
 
 def group_blocks(blocks: DataFrame, mode: str = "all") -> DataFrame:

@@ -83,7 +83,8 @@ def chk_windows(windows: DataFrame, seqs: DataFrame, width: int, key: str = "exa
     p = first_sep_index(labels) + 1
     expect = seqs.select(key, n.alias("n"), p.alias("p"))
     j = g.join(expect, key, "full")
-    exp_s = F.when(F.col("n") < width, F.lit(1)).otherwise(F.ceil((F.col("n") - F.col("p")) / (width - F.col("p"))))
+    exp_s = (F.when(F.col("n") < width, F.lit(1))
+             .when(F.lit(width) - F.col("p") > 0, F.ceil((F.col("n") - F.col("p")) / (F.lit(width) - F.col("p")))))
     stitched = F.col("total_len") - (F.col("s") - 1) * F.col("p")
     bad_ids = (F.col("lo") != 0) | (F.col("hi") + 1 != F.col("s"))
     bad_count = F.col("s") != exp_s

@@ -183,3 +183,12 @@ def test_partition_by_query_spreads_a_hot_query(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert spread > 4
     assert p.count() == len(rows)
+
+
+def test_metrics_on_empty_input(spark):
+    cols = "i int, query string, ans_spans string, " + ", ".join(f"ans_{j} string" for j in range(10))
+    empty = spark.createDataFrame([], cols)
+    rows = {r["k"]: r for r in D.pass_at_k(empty).collect()}
+    assert set(rows) == {1, 2, 5, 10}
+    assert all(r["total"] == 0 and r["pass_at_k"] is None for r in rows.values())
+    assert D.any_match_rate(empty).count() <= 1  # runs; Spark emits no rollup row for empty input
