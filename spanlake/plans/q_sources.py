@@ -75,14 +75,18 @@ def read_query_meta(spark, d):
 
 
 # A3 ---------------------------------------------------------------------------
-@reg("read_source_files")
+@reg("read_source_files", """
+SELECT page_id, CAST(length(html) + 1 AS INTEGER) AS n_chars, true AS relative FROM pages""")
 def read_source_files(spark, d):
-    """Pages written one file per page, read back whole, keyed by relative path."""
+    """Pages written one file per page (the text sink ends each file with a newline), read
+    back whole and keyed by the relative path ``page_id=<id>/part-...``."""
     root = scratch_dir(spark, "files")
     (fx.fx_pages(spark, d).repartition("page_id").select("page_id", "content")
      .write.mode("overwrite").partitionBy("page_id").text(root))
     files = R.read_source_files(spark, root)
-    return files.select("code_file_path", F.length("content").alias("n_chars"))
+    return files.select(F.regexp_extract("code_file_path", r"^page_id=(\d+)/", 1).cast("long").alias("page_id"),
+                        F.length("content").alias("n_chars"),
+                        F.col("code_file_path").startswith("page_id=").alias("relative"))
 
 
 # A4 ---------------------------------------------------------------------------

@@ -165,3 +165,12 @@ def test_few_shot_join_becomes_broadcast_at_run_time(spark):
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString()
     assert "isFinalPlan=true" in final and "BroadcastHashJoin" in final
+
+
+def test_source_files_keyed_by_relative_path(spark, tmp_path):
+    (tmp_path / "pkg").mkdir()
+    (tmp_path / "pkg" / "a.py").write_text("x = 1\n\ny = 2\n")
+    (tmp_path / "b.py").write_text("z")
+    for root in (str(tmp_path), "file:" + str(tmp_path)):
+        got = {r["code_file_path"]: r["content"] for r in R.read_source_files(spark, root).collect()}
+        assert got == {"pkg/a.py": "x = 1\n\ny = 2\n", "b.py": "z"}, root
