@@ -113,7 +113,8 @@ def q_chk_sample_size(spark, d):
     return J.chk_sample_size(sample_files(f), avail, 20)
 
 
-@reg("chk_schema_equal")
+@reg("chk_schema_equal", with_fx(["fx_rows"], """
+SELECT 'chk_schema_equal' AS "check", true AS ok, count(*) AS rows_checked FROM fx_rows"""))
 def q_chk_schema_equal(spark, d):
     """Schema equality of the two sides of the sample top-up union (driver metadata)."""
     r = fx.fx_rows(spark, d)

@@ -93,14 +93,31 @@ def _no_sleep(_s):
     return None
 
 
-@reg("generate_candidates")
+def _sql_generate(extra: str) -> str:
+    """The fake client restated in SQL over the rendered prompts."""
+    from spanlake.plans.q_scalar import PROMPT_CTES, _sql_prompt
+    body = f"""
+SELECT query_name, code_file_path, sha256(prompt) AS prompt_hash, CAST(j AS INTEGER) AS j,
+       CASE WHEN left(md5(prompt), 1) IN ('0', '1', '2') THEN NULL
+            WHEN j = 9 THEN '  '
+            ELSE list_filter(string_split(prompt, chr(10)), lambda l: trim(l) <> '')[-1] || {extra} || ' #' || CAST(j AS VARCHAR)
+       END AS text,
+       CASE left(md5(prompt), 1) WHEN '0' THEN 'RateLimit' WHEN '1' THEN 'InvalidRequest' WHEN '2' THEN 'Error'
+            ELSE 'stop' END AS finish_reason,
+       left(md5(prompt), 1) NOT IN ('0', '1', '2') AS success
+FROM (SELECT query_name, fin.code_file_path, {_sql_prompt()} AS prompt, unnest(range(0, 10)) AS j
+      FROM fin LEFT JOIN shots USING (query_name))"""
+    return with_fx(["fx_rows", "fx_meta"], body, PROMPT_CTES)
+
+
+@reg("generate_candidates", _sql_generate("''"))
 def q_generate_candidates(spark, d):
     p = _prompts(spark, d).repartition(8)
     g = I.generate_candidates(p, fakes.echo_client, n=10, max_attempts=3, timeout=0.0, sleep=_no_sleep)
     return _long_responses(g)
 
 
-@reg("generate_edits")
+@reg("generate_edits", _sql_generate("' [fix ' || query_name || ']'"))
 def q_generate_edits(spark, d):
     p = _prompts(spark, d).withColumn("instruction", F.concat(F.lit("fix "), F.col("query_name"))).repartition(8)
     g = I.generate_candidates(p, fakes.echo_client, n=10, instruction_col="instruction", max_attempts=3,
