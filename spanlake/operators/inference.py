@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanlake.session import ensure_library_on_workers
+
 _WORKER_CACHE: dict = {}
 
 
@@ -44,6 +46,8 @@ def _cached(factory: Callable):
 # I1 ---------------------------------------------------------------------------------
 def map_rows(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema) -> DataFrame:
     """Apply a user pandas function to every batch (adds / replaces columns)."""
+    ensure_library_on_workers(df.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield fn(b)
@@ -52,6 +56,8 @@ def map_rows(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema)
 
 def filter_rows(df: DataFrame, predicate: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
     """Keep the rows for which a user pandas predicate is true (evaluated in batches)."""
+    ensure_library_on_workers(df.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b[predicate(b).astype(bool).values]
@@ -62,6 +68,7 @@ def filter_rows(df: DataFrame, predicate: Callable[[pd.DataFrame], pd.Series]) -
 def _score(df: DataFrame, factory: Callable, inputs: list[str], out_col: str, out_type: T.DataType,
            batch_size: int) -> DataFrame:
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, out_type)])
+    ensure_library_on_workers(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _cached(factory)
@@ -98,6 +105,11 @@ def predict_relevance(df: DataFrame, predictor_factory: Callable, inputs=("ids",
 # I7 ------------------------------------------------------------------------------------
 def token_count_udf(tokenizer: Callable[[str], list]) -> Callable[[Column], Column]:
     """A Pandas UDF counting tokens with a user tokenizer (e.g. a BPE encoder's ``encode``)."""
+    from pyspark.sql import SparkSession
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ensure_library_on_workers(active)
+
     @F.pandas_udf(T.IntegerType())
     def count(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else len(tokenizer(x))).astype("Int32")
@@ -177,6 +189,7 @@ def generate_candidates(df: DataFrame, client_factory: Callable, n: int, prompt_
     schema = T.StructType(df.schema.fields + [T.StructField("prompt_hash", T.StringType()),
                                               T.StructField(out_col, T.ArrayType(RESPONSE))])
     pause = timeout if pause_after_batch is None else pause_after_batch
+    ensure_library_on_workers(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = _cached(client_factory)

@@ -75,6 +75,8 @@ def _encode_map(df: DataFrame, rows: list, tokens_col: str, out_col: str) -> Dat
         if t is not None and len(t) >= 2 and t[0] == "'" and t[-1] == "'":
             table[t[1:-1]] = r["id"]
     unk = next((r["id"] for r in rows if r["token"] == f"'{UNK_TOKEN}'"), None)
+    from spanlake.session import ensure_library_on_workers
+    ensure_library_on_workers(df.sparkSession)
     bc = df.sparkSession.sparkContext.broadcast((list(table.keys()), list(table.values()), unk))
     schema = T.StructType([f for f in df.schema.fields if f.name != out_col]
                           + [T.StructField(out_col, T.ArrayType(T.IntegerType()))])

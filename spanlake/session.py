@@ -61,6 +61,33 @@ def _checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
+_SHIPPED: set = set()
+
+
+def ensure_library_on_workers(spark: SparkSession) -> None:
+    """Ship this package to the Python workers once per SparkContext.
+
+    Operators that run Python in tasks (Pandas UDFs, mapInPandas / mapInArrow) refer to
+    library functions by module name, so the workers must be able to import the package
+    whatever their working directory.  The package is zipped on the driver and added
+    with ``addPyFile`` (executors put it on their ``sys.path``)."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="spanlake-lib-"), "spanlake.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Make sure ``checkpoint()`` has its (shared) directory; returns it."""
     return _checkpoint_root(spark)
