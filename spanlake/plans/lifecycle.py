@@ -59,8 +59,9 @@ def build_prompts(sample: DataFrame, test: DataFrame, train: DataFrame, meta: Da
                   source_files: DataFrame, template: str = SPAN_PROMPT, max_tokens: int = 4000
                   ) -> tuple[DataFrame, DataFrame]:
     """(accepted prompts, rejected prompts) for the sampled files."""
-    answers = D.file_answer_agg(test).select("query_name", "code_file_path", "answer_spans")
     s = sample.select("query_name", "code_file_path", "bucket", "rank_in_bucket", "consume_order")
+    # answers only for the sampled files: semi join with the (small) sample first
+    answers = D.file_answer_agg(C.semi_join_files(test, s)).select("query_name", "code_file_path", "answer_spans")
     j = C.join_query_meta(s, meta).withColumnRenamed("desc", "description")
     j = C.join_source_text(j, source_files).withColumnRenamed("content", "input_code")
     j = j.join(answers, ["query_name", "code_file_path"]).join(few_shot_values(train), "query_name", "left")

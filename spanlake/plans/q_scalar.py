@@ -265,7 +265,10 @@ def file_inputs(spark, d):
     """File-level prompt inputs for the sampled files: D7 answers, description, file text."""
     rows = rows_test(spark, d)
     s = sample_files(rows).select("query_name", "code_file_path")
-    a = file_answer_agg(rows).select("query_name", "code_file_path", "answer_spans", "supporting_fact_spans")
+    # only the sampled files' rows are shuffled and concatenated (semi join with the small
+    # sample first), not every file's
+    a = file_answer_agg(C.semi_join_files(rows, s)).select(
+        "query_name", "code_file_path", "answer_spans", "supporting_fact_spans")
     meta = fx.fx_meta(spark, d)
     j = C.join_query_meta(s, meta).withColumnRenamed("desc", "description").drop("reccomendation")
     j = C.join_source_text(j, source_files_rows(spark, d)).withColumnRenamed("content", "input_code")
