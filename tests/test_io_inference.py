@@ -174,3 +174,12 @@ def test_source_files_keyed_by_relative_path(spark, tmp_path):
     for root in (str(tmp_path), "file:" + str(tmp_path)):
         got = {r["code_file_path"]: r["content"] for r in R.read_source_files(spark, root).collect()}
         assert got == {"pkg/a.py": "x = 1\n\ny = 2\n", "b.py": "z"}, root
+
+
+def test_vocab_without_unknown_token(spark, tmp_path):
+    (tmp_path / "v.txt").write_text("'a'\n'[SEP]_'\n")
+    v = R.read_vocab(spark, str(tmp_path / "v.txt"))
+    seqs = spark.createDataFrame([(1, ["a", "zz"])], "k long, toks array<string>")
+    for strategy in ("map", "join"):
+        got = vocab_encode(seqs, v, "k", "toks", strategy=strategy).first()["ids"]
+        assert got == [0, None], strategy  # a miss has no id to fall back on

@@ -192,3 +192,15 @@ def test_metrics_on_empty_input(spark):
     assert set(rows) == {1, 2, 5, 10}
     assert all(r["total"] == 0 and r["pass_at_k"] is None for r in rows.values())
     assert D.any_match_rate(empty).count() <= 1  # runs; Spark emits no rollup row for empty input
+
+
+def test_span_cut_by_padding_fails_exact_match(spark):
+    """The target is compared untruncated with a 1024-position output: a span crossing
+    position 1024 cannot match, one ending before it can."""
+    from spanlake.functions.sequences import pad_truncate
+    inside = [2] * 1000 + [0, 1, 1] + [2] * 21
+    crossing = [2] * 1022 + [0, 1, 1, 1] + [2] * 4
+    df = spark.createDataFrame([(1, inside), (2, crossing)], "example_id long, labels array<int>")
+    out = df.withColumn("output", pad_truncate("labels", 1024, 4))
+    got = {r["example_id"]: r["exact"] for r in D.exact_match_rate(out, "labels", "output", by=["example_id"]).collect()}
+    assert got == {1: 1, 2: 0}
