@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from spanlake.functions.text import render_prompt, sanitize_blocks, token_count
 from spanlake.operators import aggregates as D
 from spanlake.operators import joins as C
-from spanlake.operators.filters import SAMPLE_FILE_BUDGET, TEST_BUDGET, filter_file_budget, log_row
+from spanlake.operators.filters import (
+    SAMPLE_FILE_BUDGET, TEST_BUDGET, TRAIN_BUDGET, filter_file_budget, filter_query_budget, log_row,
+)
 from spanlake.operators.inference import generate_candidates
 from spanlake.operators.sampling import bucket_major_order, few_shot_pick, stratified_sample
 from spanlake.operators.windows import row_index
@@ -56,9 +58,12 @@ def few_shot_values(train: DataFrame) -> DataFrame:
 
 
 def build_prompts(sample: DataFrame, test: DataFrame, train: DataFrame, meta: DataFrame,
-                  source_files: DataFrame, template: str = SPAN_PROMPT, max_tokens: int = 4000
-                  ) -> tuple[DataFrame, DataFrame]:
-    """(accepted prompts, rejected prompts) for the sampled files."""
+                  source_files: DataFrame, template: str = SPAN_PROMPT, max_tokens: int = 4000,
+                  train_budget: int | None = TRAIN_BUDGET) -> tuple[DataFrame, DataFrame]:
+    """(accepted prompts, rejected prompts) for the sampled files.  Few-shot examples come
+    from the train rows under the train token budget (when they carry ``file_tokens``)."""
+    if train_budget is not None and "file_tokens" in train.columns:
+        train = filter_query_budget(train, train_budget)
     s = sample.select("query_name", "code_file_path", "bucket", "rank_in_bucket", "consume_order")
     # answers only for the sampled files: semi join with the (small) sample first
     answers = D.file_answer_agg(C.semi_join_files(test, s)).select("query_name", "code_file_path", "answer_spans")
