@@ -51,7 +51,10 @@ def vocab_encode(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str, out
       (broadcast when the vocabulary is small, else a shuffle hash join with AQE skew
       splitting), and re-assembled per key together with the rest of the row: one
       shuffle, whose partial aggregation collapses a sequence inside its partition.
-    * ``"auto"`` - ``map`` when the vocabulary is within the bound, else ``join``."""
+    * ``"auto"`` - ``map`` when the vocabulary is within the bound, else ``join``.
+
+    The map strategy is opaque to the optimizer, so every input column passes through
+    Arrow: select the key, the tokens and only the columns needed downstream first."""
     if strategy not in ("auto", "map", "join"):
         raise ValueError(strategy)
     if strategy in ("auto", "map"):

@@ -45,7 +45,7 @@ def q_user_map_filter(spark, d):
 def _span_inputs(spark, d):
     """C3 -> H5 -> H6 over fx_seq, with the output labels as the fake model's hint."""
     vocab = fx.fx_vocab(spark, d)
-    seq = fx.fx_seq(spark, d)
+    seq = fx.fx_seq(spark, d).select("example_id", "tokens", "labels", "output")
     enc = C.vocab_encode(seq, vocab, "example_id", "tokens")
     s = span_inputs(enc, "ids", C.sep_id(vocab))
     return pad_span_inputs(s.withColumn("hint", F.col("output")).withColumn("target", F.col("labels")))
@@ -62,7 +62,8 @@ def q_predict_labels(spark, d):
 @reg("predict_relevance", with_fx(["fx_blocks"], "SELECT row_id, predicted FROM fx_blocks"))
 def q_predict_relevance(spark, d):
     vocab = fx.fx_vocab(spark, d)
-    enc = C.vocab_encode(fx.fx_blocks(spark, d), vocab, "row_id", "subtokenized_input_sequence")
+    blocks = fx.fx_blocks(spark, d).select("row_id", "subtokenized_input_sequence", "predicted")
+    enc = C.vocab_encode(blocks, vocab, "row_id", "subtokenized_input_sequence")
     s = pad_relevance_inputs(span_inputs(enc, "ids", C.sep_id(vocab))).withColumn("hint", F.col("predicted"))
     p = I.predict_relevance(s.drop("predicted"), fakes.hint_relevance, inputs=("ids", "hint"), batch_size=16)
     return p.select("row_id", "predicted")

@@ -58,7 +58,8 @@ LEFT JOIN fx_vocab v ON v.token = '''' || t.tok || ''''
 CROSS JOIN (SELECT id FROM fx_vocab WHERE token = '''[UNK]_''') unk
 GROUP BY example_id"""))
 def q_vocab_encode(spark, d):
-    enc = C.vocab_encode(fx.fx_seq(spark, d), fx.fx_vocab(spark, d), "example_id", "tokens")
+    seq = fx.fx_seq(spark, d).select("example_id", "tokens")
+    enc = C.vocab_encode(seq, fx.fx_vocab(spark, d), "example_id", "tokens")
     return enc.select("example_id", ints("ids").alias("ids"))
 
 

@@ -100,7 +100,7 @@ SELECT example_id,
 FROM fx_seq"""))
 def q_segment_ids(spark, d):
     vocab = fx.fx_vocab(spark, d)
-    enc = C.vocab_encode(fx.fx_seq(spark, d), vocab, "example_id", "tokens")
+    enc = C.vocab_encode(fx.fx_seq(spark, d).select("example_id", "tokens"), vocab, "example_id", "tokens")
     s = span_inputs(enc, "ids", C.sep_id(vocab))
     return s.select("example_id", ints("segments").alias("segments"),
                     F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("mask_ones"), "has_sep")
@@ -139,7 +139,8 @@ FROM enc e JOIN fx_blocks b ON e.row_id = b.row_id
 CROSS JOIN (SELECT id FROM fx_vocab WHERE token = '''[SEP]_''') s""", VOCAB_ENC_BLOCKS))
 def q_pad_truncate_relevance(spark, d):
     vocab = fx.fx_vocab(spark, d)
-    enc = C.vocab_encode(fx.fx_blocks(spark, d), vocab, "row_id", "subtokenized_input_sequence")
+    blocks = fx.fx_blocks(spark, d).select("row_id", "subtokenized_input_sequence", "relevance_label")
+    enc = C.vocab_encode(blocks, vocab, "row_id", "subtokenized_input_sequence")
     p = pad_relevance_inputs(span_inputs(enc, "ids", C.sep_id(vocab)))
 
     def total(c):
