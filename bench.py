@@ -2,7 +2,7 @@
 
 Runs each headline query to completion (``noop`` sink: every row computed, nothing
 collected) on ``local[$BENCH_CPUS]`` over ``$BENCH_SF_DIR`` (default sf0.1); after one
-warm-up query, each query runs ``$BENCH_RUNS`` times (default 2) and the best time is
+warm-up query, each query runs ``$BENCH_RUNS`` times (default 3) and the best time is
 reported.  ``value`` is the sum of the per-query times.
 """
 
@@ -35,7 +35,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = get_spark(f"local[{cpus}]", app="spanlake-bench", shuffle_partitions=int(cpus) * 2,
                       **{"spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("ERROR")
