@@ -74,8 +74,6 @@ def with_legacy_flags(df, answer: str, cands: list[str], out_col: str = "_flags"
     The native test (true longest common substring) runs first in the JVM; only the
     candidates it accepts are re-checked with difflib's default heuristic, which can only
     reject more.  The re-check runs in Arrow batches (``mapInPandas``)."""
-    from pyspark.sql import types as T
-
     from spanlake.session import ensure_library_on_workers
     ensure_library_on_workers(df.sparkSession)
     staged = df.withColumn(out_col, match_flags(F.col(answer), F.array(*[F.col(c) for c in cands])))

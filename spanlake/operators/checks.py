@@ -3,8 +3,6 @@ returns a violation table ``(check, key, detail)``; an empty table means the rul
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 

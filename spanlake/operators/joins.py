@@ -3,7 +3,6 @@ beyond it the join falls back to a shuffle join (with AQE skew splitting)."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 

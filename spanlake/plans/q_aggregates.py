@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanlake.functions.spans import extract_spans_twostep, twostep_spans_to_string
 from spanlake.operators import aggregates as D
 from spanlake.operators.aggregates import with_bucket
-from spanlake.operators.filters import filter_file_budget, filter_query_budget
+from spanlake.operators.filters import filter_file_budget
 from spanlake.operators.sequences import compose_twostep, split_windows, stitch_windows
 from spanlake.plans import fixtures as fx
 from spanlake.plans.oracle_fixtures import with_fx

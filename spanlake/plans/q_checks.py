@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from spanlake.operators import checks as J
 from spanlake.operators.aggregates import file_rollup, match_count
-from spanlake.operators.filters import filter_file_budget, filter_query_budget
+from spanlake.operators.filters import filter_file_budget
 from spanlake.operators.sampling import few_shot_pick
 from spanlake.operators.sequences import pad_span_inputs, split_windows
 from spanlake.plans import fixtures as fx
 from spanlake.plans.oracle_fixtures import with_fx
-from spanlake.plans.shared import SQL_CANDS_LONG, rows_test, rows_train, sample_files, sql_match, sql_sample, sql_strip
+from spanlake.plans.shared import rows_test, rows_train, sample_files, sql_sample
 
 QUERIES, SQL = {}, {}
 

@@ -9,7 +9,7 @@ from spanlake.operators import joins as C
 from spanlake.operators.sampling import few_shot_pick
 from spanlake.plans import fixtures as fx
 from spanlake.plans.oracle_fixtures import with_fx
-from spanlake.plans.shared import ints, rows_test, rows_train, sample_files, sql_ints, sql_sample, sql_spans
+from spanlake.plans.shared import ints, rows_test, rows_train, sample_files, sql_sample, sql_spans
 
 QUERIES, SQL = {}, {}
 

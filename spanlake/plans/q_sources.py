@@ -10,7 +10,7 @@ from spanlake.functions.text import model_alias, token_count
 from spanlake.operators import filters as B
 from spanlake.plans import fixtures as fx
 from spanlake.plans.oracle_fixtures import TOKEN_RE, with_fx
-from spanlake.plans.shared import rows_test, sql_strip
+from spanlake.plans.shared import sql_strip
 from spanlake.session import scratch_dir
 from spanlake.sources import readers as R
 from spanlake.sources import writers as W

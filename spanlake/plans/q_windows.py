@@ -8,11 +8,11 @@ from spanlake.functions.spans import extract_spans, span_set_equal
 from spanlake.operators import sampling as S
 from spanlake.operators import windows as E
 from spanlake.operators.aggregates import file_rollup, with_bucket
-from spanlake.operators.filters import filter_file_budget, filter_query_budget
+from spanlake.operators.filters import filter_file_budget
 from spanlake.operators.sequences import split_windows
 from spanlake.plans import fixtures as fx
 from spanlake.plans.oracle_fixtures import with_fx
-from spanlake.plans.shared import ints, rows_test, rows_train, sample_files, sql_ints, sql_sample, sql_spans
+from spanlake.plans.shared import rows_test, rows_train, sample_files, sql_sample, sql_spans
 
 QUERIES, SQL = {}, {}
 
