@@ -204,3 +204,20 @@ def test_span_cut_by_padding_fails_exact_match(spark):
     out = df.withColumn("output", pad_truncate("labels", 1024, 4))
     got = {r["example_id"]: r["exact"] for r in D.exact_match_rate(out, "labels", "output", by=["example_id"]).collect()}
     assert got == {1: 1, 2: 0}
+
+
+def test_global_row_number_matches_row_number(spark):
+    from pyspark.sql import Window
+    from spanlake.operators.windows import global_row_number
+    rnd = random.Random(9)
+    rows = [(rnd.choice("abcdefgh"), rnd.randint(0, 10**6), i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, k long, i long").repartition(12)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = global_row_number(df, ["g", "k", "i"], "rn")
+        assert got.select("rn").distinct().count() == len(rows)
+        a = sorted((r["i"], r["rn"]) for r in got.select("i", "rn").collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = df.withColumn("rn", F.row_number().over(Window.orderBy("g", "k", "i")) - 1)
+    assert a == sorted((r["i"], r["rn"]) for r in want.select("i", "rn").collect())
