@@ -39,16 +39,6 @@ def pad_relevance_inputs(df: DataFrame, max_len: int = RELEVANCE_MAX_LEN, ids="i
             .withColumn(mask, pad_truncate(mask, max_len, 0)))
 
 
-def window_plan(labels: Column, width: int) -> tuple[Column, Column]:
-    """(prefix length, number of windows) of a sequence for width ``width``."""
-    n = F.size(labels)
-    plen = first_sep_index(labels) + 1
-    body = F.lit(width) - plen
-    nwin = F.when(n < width, F.lit(1)).otherwise(
-        F.ceil((n - plen) / body).cast("int"))
-    return plen, nwin
-
-
 def split_windows(df: DataFrame, width: int, arrays: list[str], labels: str = "labels",
                   key: str = "example_id") -> tuple[DataFrame, DataFrame]:
     """H11 + E4: sliding-window split.

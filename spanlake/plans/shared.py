@@ -53,9 +53,6 @@ def sql_sample(src: str, name: str = "smp") -> str:
                  FROM {name}_fr) WHERE draw_order <= 20)"""
 
 
-SQL_STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
-
-
 def sql_strip(x: str) -> str:
     return f"coalesce(regexp_replace({x}, '^\\s+|\\s+$', '', 'g'), '')"
 

@@ -61,3 +61,11 @@ def test_group_counts_and_schema(spark):
     got = {r["key"]: r["detail"] for r in J.chk_group_counts(blocks, preds).collect()}
     assert got == {"q|b": "1/0/1"}
     assert J.chk_schema_equal(blocks, preds) and not J.chk_schema_equal(blocks, blocks.drop("relevance_label"))
+
+
+def test_missing_keys_reports_lookups_without_a_match(spark):
+    from spanlake.operators.joins import missing_keys
+    ex = spark.createDataFrame([("q1", 1), ("q2", 2), ("q9", 3), ("q9", 4)], "query_name string, row_id int")
+    meta = spark.createDataFrame([("q1",), ("q2",)], "query_name string")
+    got = [(r["check"], r["key"]) for r in missing_keys(ex, meta, ["query_name"], "join_query_meta").collect()]
+    assert got == [("join_query_meta", "q9")]
