@@ -35,6 +35,25 @@ def file_tokens(source_files: DataFrame) -> DataFrame:
     return source_files.select("code_file_path", token_count("content").alias("file_tokens"))
 
 
+def example_em(examples: DataFrame, vocab: DataFrame, predictor_factory: Callable, key: str = "row_id",
+               tokens: str = "subtokenized_input_sequence", labels: str = "label_sequence",
+               extra_inputs: tuple[str, ...] = (), batch_size: int = 4) -> DataFrame:
+    """I4 for every example at once: vocabulary ids -> segments / mask -> pad to 1024 ->
+    user predictor -> span sets of the complete (untruncated) target vs the prediction.
+    Adds ``em`` (0/1); examples without a separator get null."""
+    from spanlake.functions.spans import same_spans
+    from spanlake.operators.inference import predict_labels
+    from spanlake.operators.sequences import pad_span_inputs, span_inputs
+    cols = [key, tokens, labels, *extra_inputs]
+    enc = C.vocab_encode(examples.select(*cols), vocab, key, tokens)
+    s = span_inputs(enc, "ids", C.sep_id(vocab)).withColumn("target", F.col(labels))
+    padded = pad_span_inputs(s.withColumnRenamed(labels, "labels"))
+    p = predict_labels(padded, predictor_factory, inputs=("ids", "segments", "mask", *extra_inputs),
+                       batch_size=batch_size)
+    em = F.when(F.col("has_sep"), same_spans("target", "predicted").cast("int"))
+    return examples.join(p.select(key, em.alias("em")), key, "left")
+
+
 def build_samples(examples: DataFrame, size: int = 20, budget: int = TEST_BUDGET,
                   file_budget: int = SAMPLE_FILE_BUDGET) -> tuple[DataFrame, DataFrame]:
     """Examples with ``em`` and ``file_tokens`` -> (sample, summary).
