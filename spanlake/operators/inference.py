@@ -113,7 +113,9 @@ def token_count_udf(tokenizer: Callable[[str], list]) -> Callable[[Column], Colu
     @F.pandas_udf(T.IntegerType())
     def count(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else len(tokenizer(x))).astype("Int32")
-    return count
+    # marked non-deterministic so a count used in a filter and in the output is computed
+    # once (otherwise the planner evaluates the UDF in two Python nodes)
+    return count.asNondeterministic()
 
 
 # I5 / I6 --------------------------------------------------------------------------------

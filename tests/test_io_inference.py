@@ -183,3 +183,13 @@ def test_vocab_without_unknown_token(spark, tmp_path):
     for strategy in ("map", "join"):
         got = vocab_encode(seqs, v, "k", "toks", strategy=strategy).first()["ids"]
         assert got == [0, None], strategy  # a miss has no id to fall back on
+
+
+def test_custom_tokenizer_evaluated_once_when_filtered(spark):
+    import re
+    count = I.token_count_udf(lambda t: re.findall(r"\w+", t))
+    df = spark.createDataFrame([("a b c",), ("x",)], "t string")
+    q = df.withColumn("n", count("t")).where(F.col("n") < 3)
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert [r["n"] for r in q.collect()] == [1]
