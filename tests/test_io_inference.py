@@ -193,3 +193,18 @@ def test_custom_tokenizer_evaluated_once_when_filtered(spark):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     assert [r["n"] for r in q.collect()] == [1]
+
+
+def test_read_examples_prunes_partitions_and_columns(spark):
+    from spanlake.plans import fixtures as fx
+    from spanlake.plans.q_sources import as_examples
+    from spanlake.sources.schemas import EXAMPLES
+    path = scratch_dir(spark, "t-examples")
+    W.materialize(as_examples(fx.fx_rows(spark, "/root/testdata/sf0.001")), path, ["split", "query_name"])
+    q = R.read_examples(spark, path, "test", EXAMPLES).select("row_id", F.col("answer_spans.span").alias("s"))
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan and "(split#" in plan
+    read_schema = plan.split("ReadSchema: ")[1].split("\n")[0]
+    assert "row_id" in read_schema and "answer_spans" in read_schema
+    assert "context_blocks" not in read_schema and "label_sequence" not in read_schema
+    assert q.count() == fx.fx_rows(spark, "/root/testdata/sf0.001").where("split = 'test'").count()
