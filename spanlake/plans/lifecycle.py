@@ -83,7 +83,12 @@ def build_prompts(sample: DataFrame, test: DataFrame, train: DataFrame, meta: Da
     from the train rows under the train token budget (when they carry ``file_tokens``)."""
     if train_budget is not None and "file_tokens" in train.columns:
         train = filter_query_budget(train, train_budget)
-    s = sample.select("query_name", "code_file_path", "bucket", "rank_in_bucket", "consume_order")
+    from spanlake.session import ensure_checkpoint_dir
+    # the sample is small (<= size files per query) and feeds several branches:
+    # materialize it once instead of re-running its plan in each
+    ensure_checkpoint_dir(sample.sparkSession)
+    s = sample.select("query_name", "code_file_path", "bucket", "rank_in_bucket",
+                      "consume_order").checkpoint(eager=True)
     # answers only for the sampled files: semi join with the (small) sample first
     answers = D.file_answer_agg(C.semi_join_files(test, s)).select("query_name", "code_file_path", "answer_spans")
     j = C.join_query_meta(s, meta).withColumnRenamed("desc", "description")

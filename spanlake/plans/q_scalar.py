@@ -263,8 +263,12 @@ PROMPT_CTES = ",\n".join([ROWS_TEST, sql_sample("fx_rows_test"), SQL_SOURCE, SQL
 
 def file_inputs(spark, d):
     """File-level prompt inputs for the sampled files: D7 answers, description, file text."""
+    from spanlake.session import ensure_checkpoint_dir
     rows = rows_test(spark, d)
-    s = sample_files(rows).select("query_name", "code_file_path")
+    # the sample is small (<= 20 files per query) and used by three branches: materialize
+    # it once (reliable checkpoint in the shared folder) instead of re-running its plan
+    ensure_checkpoint_dir(spark)
+    s = sample_files(rows).select("query_name", "code_file_path").checkpoint(eager=True)
     # only the sampled files' rows are shuffled and concatenated (semi join with the small
     # sample first), not every file's
     a = file_answer_agg(C.semi_join_files(rows, s)).select(
