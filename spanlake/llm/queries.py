@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from spanlake.llm import decontaminate, langid, warc
+from spanlake.llm import decontaminate, langid, mixing, pii, urlfilter, warc
 
 QUERIES = {
     "op2_language": langid.op2_language,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_urls": urlfilter.op5_urls,
+    "op7_pii": pii.op7_pii,
     "op8_warc": warc.op8_warc,
+    "op10_mix": mixing.op10_mix,
 }
 
 SQL: dict[str, str] = {}

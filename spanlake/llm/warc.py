@@ -237,7 +237,8 @@ def read_archives(manifest: DataFrame, root: str, payload: bool = True) -> DataF
                 if rows:
                     yield emit(rows)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, READ_SCHEMA)
+    archives = manifest.select("path")
+    return archives.repartition(max(1, archives.count()), "path").mapInArrow(run, READ_SCHEMA)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
