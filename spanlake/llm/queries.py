@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from spanlake.llm import decontaminate, langid, mixing, pii, urlfilter, warc
+from spanlake.llm import ann, decontaminate, langid, mixing, pii, urlfilter, warc
 
 QUERIES = {
     "op2_language": langid.op2_language,
+    "op3_nearest": ann.op3_nearest,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_urls": urlfilter.op5_urls,
     "op7_pii": pii.op7_pii,
