@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanlake.llm import ann, decontaminate, langid, mixing, pii, urlfilter, warc
+from spanlake.llm import ann, decontaminate, jaccard, langid, mixing, pii, urlfilter, warc
 
 QUERIES = {
     "op2_language": langid.op2_language,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_urls": urlfilter.op5_urls,
     "op7_pii": pii.op7_pii,
     "op8_warc": warc.op8_warc,
+    "op9_jaccard": jaccard.op9_jaccard,
     "op10_mix": mixing.op10_mix,
 }
 
