@@ -42,6 +42,7 @@ BINS = 64
 LINK, LEAD = 0.5, 0.8
 #: Nodes and shingles of a verification block.
 BLOCK, BLOCK_SHINGLES = 512, 400_000
+CHUNK = 1 << 16
 NODES_BROADCAST = 100_000
 
 
@@ -62,23 +63,23 @@ def sketch(s: np.ndarray) -> bytes:
 
 
 def paths(s: np.ndarray, threshold: float = THRESHOLD, runs: int = RUNS, shallow: int = SHALLOW,
-          deep: int = DEEP) -> tuple[list[int], list[tuple[int, int]]]:
-    """(paths of the shallow length, (shallow, deep) pairs of extended paths)."""
+          deep: int = DEEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Paths of the shallow length; of the extended paths their shallow part, and themselves."""
     limit = np.uint64(min(2.0 ** 64 / (threshold * len(s)), 2.0 ** 64 - 2048))
-    level = [(int(x), 0) for x in mix(np.arange(1, runs + 1, dtype=np.uint64))]
-    short: list[int] = []
+    path = mix(np.arange(1, runs + 1, dtype=np.uint64))
+    top = path
+    short = path[:0]
     for depth in range(1, deep + 1):
-        nxt = set()
-        for path, top in level:
-            tag = np.uint64(path)
-            chosen = s[mix(s ^ tag) < limit]
-            for p in mix(mix(chosen + tag) ^ np.uint64(depth)):
-                nxt.add((int(p), int(p) if depth == shallow else top))
-        level = sorted(nxt)
+        # multiplication by an odd number that depends on the path: uniform, as shingles are
+        factor, shift = mix(path) | np.uint64(1), path[:, None]
+        found = [np.nonzero(s[i:i + CHUNK] * factor[:, None] + shift < limit) for i in range(0, len(s), CHUNK)]
+        at = np.concatenate([r for r, _ in found])
+        chosen = np.concatenate([s[c + i * CHUNK] for i, (_, c) in enumerate(found)])
+        path, first = np.unique(mix(mix(chosen + path[at]) ^ np.uint64(depth)), return_index=True)
+        top = path if depth <= shallow else top[at][first]
         if depth == shallow:
-            short = sorted({p for p, _ in level})
-    signed = lambda v: v - (1 << 64) if v >> 63 else v
-    return [signed(p) for p in short], [(signed(top), signed(p)) for p, top in level]
+            short = path
+    return short.view(np.int64), top.view(np.int64), path.view(np.int64)
 
 
 def _describe(batches):
@@ -88,14 +89,14 @@ def _describe(batches):
             sizes.append(len(s))
             nodes.append(node_of(s))
             if len(s):
-                a, ab = paths(s)
+                a, b_top, b_all = paths(s)
                 sketches.append(sketch(s))
             else:
-                a, ab = [], []
+                a = b_top = b_all = np.zeros(0, np.int64)
                 sketches.append(b"")
             short.append(a)
-            far_a.append([x[0] for x in ab])
-            far_b.append([x[1] for x in ab])
+            far_a.append(b_top)
+            far_b.append(b_all)
         longs = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
             [b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()),
