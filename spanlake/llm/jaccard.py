@@ -291,7 +291,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
               .withColumn("nb", F.least(F.col("nb"), F.col("m")).cast("int")).select("label", "nb"))
     sized = materialize(sized.join(blocks, "label").withColumn(
         "own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("nb")).cast("int")), "join-sized")
-    sets = (base.where("doc_id is not null").join(sized.select(F.col("first_id").alias("doc_id"), "node", "copies"), "doc_id")
+    sets = (base.where("doc_id is not null").join(sized.select(F.col("first_id").alias("doc_id"), "node", "copies").hint("merge"), "doc_id")
             .select("node", "text", "copies").mapInArrow(_sets, "node long, copies long, shingles binary"))
     placed = sets.join(sized.select("node", F.col("label").alias("comp"), "nb", "own"), "node")
     # block pair (i, j), i <= j; block i meets itself in (i, i)
