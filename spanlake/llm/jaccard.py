@@ -109,28 +109,44 @@ def _similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b) & (a != 0)).sum(axis=-1) / np.maximum(full, 1)
 
 
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least index connected to each of ``n`` by the pairs (i, j)."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _link(batches):
-    """Edges to leaders from rows sorted by bucket; leaders of the last bucket are carried on."""
+    """Linked nodes of each bucket, from rows sorted by bucket, as edges to the first node of
+    their group: one row per member at most.  Leaders of the last bucket are carried on."""
     last, held_nodes, held = None, np.zeros(0, np.int64), np.zeros((0, BINS), np.uint8)
     for b in batches:
         if not b.num_rows:
             continue
         bucket, node = np.asarray(b.column(0)), np.asarray(b.column(1))
         sk = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, BINS)
-        us, vs = [], []
         alive = np.ones(len(node), bool)
-        if last is not None and bucket[0] == last:
-            own = np.flatnonzero(bucket == last)
-            for at in range(0, len(own), 256):
-                part = own[at:at + 256]
-                for k in range(0, len(held), 1024):
-                    sim = _similar(sk[part][:, None, :], held[None, k:k + 1024])
-                    r, c = np.nonzero(sim >= LINK)
-                    us.append(node[part[r]])
-                    vs.append(held_nodes[k + c])
-                    alive[part[(sim >= LEAD).any(axis=1)]] = False
-        else:
+        if bucket[0] != last:
             held_nodes, held = held_nodes[:0], held[:0]
+        # places: held leaders first, then the rows
+        before, place = len(held), np.concatenate([held_nodes, node])
+        us, vs = [], []
+        own = np.flatnonzero(bucket == last) if before else np.zeros(0, np.int64)
+        for at in range(0, len(own), 256):
+            part = own[at:at + 256]
+            for k in range(0, before, 1024):
+                sim = _similar(sk[part][:, None, :], held[None, k:k + 1024])
+                r, c = np.nonzero(sim >= LINK)
+                us.append(before + part[r])
+                vs.append(k + c)
+                alive[part[(sim >= LEAD).any(axis=1)]] = False
         if bucket[-1] != last:
             held_nodes, held = held_nodes[:0], held[:0]
         last = bucket[-1]
@@ -138,21 +154,20 @@ def _link(batches):
         while len(rows):
             head = np.concatenate([[True], bucket[rows[1:]] != bucket[rows[:-1]]])
             lead = rows[head][np.cumsum(head) - 1]
-            firsts = rows[head]
-            keep = firsts[bucket[firsts] == last]
+            keep = rows[head][bucket[rows[head]] == last]
             held_nodes, held = np.concatenate([held_nodes, node[keep]]), np.concatenate([held, sk[keep]])
-            rest = ~head
-            rows, lead = rows[rest], lead[rest]
+            rows, lead = rows[~head], lead[~head]
             if not len(rows):
                 break
             sim = _similar(sk[rows], sk[lead])
             near = sim >= LINK
-            us.append(node[rows[near]])
-            vs.append(node[lead[near]])
+            us.append(before + rows[near])
+            vs.append(before + lead[near])
             rows = rows[sim < LEAD]
         if us:
-            u, v = np.concatenate(us), np.concatenate(vs)
-            pairs = np.unique(np.column_stack([np.minimum(u, v), np.maximum(u, v)]), axis=0)
+            root = _roots(len(place), np.concatenate(us), np.concatenate(vs))
+            moved = root != np.arange(len(place))
+            pairs = np.unique(np.column_stack([place[moved], place[root[moved]]]), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
 
@@ -283,7 +298,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.first(F.struct("sketch", "short", "far_a", "far_b")).alias("x")).select("node", "copies", "first_id", "n", "x.*"), "join-nodes")
     members = materialize(_buckets(nodes), "join-members")
     linked = (members.join(nodes.select("node", "sketch"), "node").select("bucket", "node", "sketch")
-              .repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_link, "u long, v long"))
+              .repartition(parts, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(_link, "u long, v long"))
     comps = materialize(components(linked), "join-comps")
     sized = comps.join(nodes.select("node", "copies", "first_id", "n"), "node")
     blocks = (sized.groupBy("label").agg(F.count("*").alias("m"), F.sum("n").alias("all_n"))
