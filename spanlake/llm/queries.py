@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from spanlake.llm import ann, decontaminate, jaccard, langid, mixing, pii, urlfilter, warc
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_mix": mixing.op10_mix,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {}
