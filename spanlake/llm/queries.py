@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from spanlake.llm import ann, decontaminate, jaccard, langid, mixing, pii, urlfilter, warc
+from spanlake.llm import ann, decontaminate, jaccard, langid, maxent, mixing, pii, urlfilter, warc
 
 QUERIES = {
     "op2_language": langid.op2_language,
     "op3_nearest": ann.op3_nearest,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_urls": urlfilter.op5_urls,
+    "op6_maxent": maxent.op6_maxent,
     "op7_pii": pii.op7_pii,
     "op8_warc": warc.op8_warc,
     "op9_jaccard": jaccard.op9_jaccard,
