@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from spanlake.llm import ann, decontaminate, jaccard, langid, maxent, mixing, pii, urlfilter, warc
+from spanlake.llm import ann, decontaminate, jaccard, langid, maxent, mixing, pii, suffixes, urlfilter, warc
 
 QUERIES = {
+    "op1_repeats": suffixes.op1_repeats,
     "op2_language": langid.op2_language,
     "op3_nearest": ann.op3_nearest,
     "op4_decontaminate": decontaminate.op4_decontaminate,
