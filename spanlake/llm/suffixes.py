@@ -69,19 +69,20 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
         gram = mix((total[GRAM:] - total[:-GRAM]) * down[:n - GRAM + 1])
-        value, at = gram, np.arange(len(gram), dtype=np.int32)
+        # least hash, leftmost among equals: one number holds the hash's upper half and the position
+        value = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=np.uint64)
         width = 1
         while width < SPAN:
             step = min(width, SPAN - width)
-            right = value[step:] < value[:-step]
-            value, at = np.where(right, value[step:], value[:-step]), np.where(right, at[step:], at[:-step])
+            value = np.minimum(value[step:], value[:-step])
             width += step
+        at = (value & np.uint64(0xFFFFFFFF)).astype(np.int64)
         ends = offsets[i + 1:j + 1] - base
         doc = np.repeat(np.arange(i, j), np.diff(offsets[i:j + 1]))
         start = np.flatnonzero(np.arange(len(value)) + LENGTH <= ends[doc[:len(value)] - i])
         if not len(start):
             continue
-        a, d = at[start].astype(np.int64), doc[start]
+        a, d = at[start], doc[start]
         head = np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])])
         first = start[head]
         last = start[np.concatenate([np.flatnonzero(head)[1:] - 1, [len(start) - 1]])]
