@@ -273,18 +273,22 @@ class BlindTrie:
 
 
 def shallow_groups(words: np.ndarray):
-    """Row groups that agree in all columns of ``words``, in order: multikey quicksort, with
+    """Groups of several rows that agree in all columns of ``words``: multikey quicksort, with
     small segments sorted directly."""
     depth = words.shape[1]
     stack = [(np.arange(len(words)), 0)]
     while stack:
         rows, d = stack.pop()
-        if d == depth or len(rows) == 1:
+        if len(rows) == 1:
+            continue
+        if d == depth:
             yield rows
         elif len(rows) <= SMALL_SEGMENT:
             rows = rows[np.lexsort(tuple(words[rows, c] for c in range(depth - 1, d - 1, -1)))]
-            part = (words[rows[1:]] != words[rows[:-1]]).any(axis=1)
-            yield from np.split(rows, np.flatnonzero(part) + 1)
+            cut = np.flatnonzero((words[rows[1:]] != words[rows[:-1]]).any(axis=1)) + 1
+            start, end = np.append(0, cut), np.append(cut, len(rows))
+            for a, z in np.column_stack([start, end])[end - start > 1].tolist():
+                yield rows[a:z]
         else:
             key = words[rows, d]
             pivot = np.partition(key, len(key) // 2)[len(key) // 2]
@@ -298,8 +302,6 @@ def equal_groups(strings: np.ndarray):
     wide = SHALLOW_WORDS * 8
     words = np.ascontiguousarray(strings[:, :wide]).view(">u8").astype(np.uint64)
     for rows in shallow_groups(words):
-        if len(rows) < 2:
-            continue
         deep = [strings[k, wide:].tobytes() for k in rows]
         trie = BlindTrie(deep, 0)
         for k in range(1, len(deep)):
