@@ -379,10 +379,16 @@ def _finish(n):
             for k in np.flatnonzero(at[1:] > at[:-1]):
                 mask[order[at[k]:at[k + 1]]] = np.frombuffer(got[k], np.uint32)
             bits = np.where(block.id[rows] > block.id[head][entry], np.uint32(0xFFFFFFFF), mask[entry])
+            first, last = block.first[rows], block.last[rows]
+            some = ((np.uint32(2) << (last - first).astype(np.uint32)) - np.uint32(1)).astype(np.uint32)
+            whole = (bits & some) == some
+            np.add.at(marks, first[whole], 1)
+            np.add.at(marks, last[whole] + LENGTH, -1)
+            part = np.flatnonzero(~whole & ((bits & some) != 0))
             for j in range(SPAN):
-                start = (block.first[rows] + j)[(bits >> np.uint32(j) & np.uint32(1)).astype(bool) & (block.first[rows] + j <= block.last[rows])]
-                np.add.at(marks, start, 1)
-                np.add.at(marks, start + LENGTH, -1)
+                on = part[(bits[part] >> np.uint32(j) & np.uint32(1)).astype(bool) & (first[part] + j <= last[part])]
+                np.add.at(marks, first[on] + j, 1)
+                np.add.at(marks, first[on] + j + LENGTH, -1)
         gone = np.cumsum(marks[:-1]) > 0
         kept, removed, spans, size = [], [], [], np.diff(block.offsets)
         for a, z in zip(block.offsets[:-1], block.offsets[1:], strict=True):
