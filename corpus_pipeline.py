@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each class of similar documents the one with the least doc_id stays (once, if its
     row is repeated); documents without id are not compared and stay."""
     first = jaccard.join(docs).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    kept = docs.join(first.hint("merge"), "doc_id").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))
 
 
