@@ -123,7 +123,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES,
         F.col("source").alias("e_source"), F.col("doc_id").alias("e_id"), F.col("size").alias("e_size"), "extra")
     on = (F.col("doc_id").cast("long").eqNullSafe(F.col("e_id")) & (F.col("size") == F.col("e_size"))
           & F.col("source").cast("string").eqNullSafe(F.col("e_source")))
-    joined = rest.join(decided, on, "left").join(of, F.col("source").cast("string").eqNullSafe(F.col("s")), "left")
+    joined = rest.join(decided.hint("merge"), on, "left").join(of, F.col("source").cast("string").eqNullSafe(F.col("s")), "left")
     copies = (F.col("whole") + F.coalesce(F.col("extra"), F.lit(0))).cast("long")
     return joined.select(*rest.columns, "source_size", "target", copies.alias("copies"),
                          (copies * F.col("size")).alias("taken"))
