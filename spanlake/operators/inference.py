@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import time
+import uuid
+from collections import OrderedDict
 from typing import Callable, Iterator
 
 import pandas as pd
@@ -23,24 +25,20 @@ from pyspark.sql import types as T
 
 from spanlake.session import ensure_library_on_workers
 
-_WORKER_CACHE: dict = {}
+_WORKER_CACHE: OrderedDict = OrderedDict()
+_WORKER_CACHE_SIZE = 4
 
 
-def _factory_key(factory: Callable):
-    """Importable factories are keyed by name (each task unpickles a new function object,
-    so ``id`` would rebuild the model per task); closures and lambdas fall back to ``id``."""
-    mod, qual = getattr(factory, "__module__", None), getattr(factory, "__qualname__", "")
-    if mod and qual and "<" not in qual:
-        return mod, qual
-    return "id", id(factory)
-
-
-def _cached(factory: Callable):
-    """Build the user object once per Python worker process (workers are reused)."""
-    key = _factory_key(factory)
-    if key not in _WORKER_CACHE:
-        _WORKER_CACHE[key] = factory()
-    return _WORKER_CACHE[key]
+def _cached(token: str, factory: Callable):
+    """Build the user object once per operator call and Python worker process (workers are
+    reused).  ``token`` is made on the driver for each call, so two calls never share an
+    object whatever their factories look like; the oldest objects are dropped."""
+    if token not in _WORKER_CACHE:
+        _WORKER_CACHE[token] = factory()
+    _WORKER_CACHE.move_to_end(token)
+    while len(_WORKER_CACHE) > _WORKER_CACHE_SIZE:
+        _WORKER_CACHE.popitem(last=False)
+    return _WORKER_CACHE[token]
 
 
 # I1 ---------------------------------------------------------------------------------
@@ -69,9 +67,10 @@ def _score(df: DataFrame, factory: Callable, inputs: list[str], out_col: str, ou
            batch_size: int) -> DataFrame:
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, out_type)])
     ensure_library_on_workers(df.sparkSession)
+    token = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _cached(factory)
+        model = _cached(token, factory)
         for b in batches:
             outs = []
             for s in range(0, len(b), batch_size):
@@ -192,23 +191,20 @@ def generate_candidates(df: DataFrame, client_factory: Callable, n: int, prompt_
                                               T.StructField(out_col, T.ArrayType(RESPONSE))])
     pause = timeout if pause_after_batch is None else pause_after_batch
     ensure_library_on_workers(df.sparkSession)
+    token = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = _cached(client_factory)
+        client = _cached(token, client_factory)
         for b in batches:
-            results = []
-            prompts = list(b[prompt_col])
-            instr = list(b[instruction_col]) if instruction_col else None
-            for s in range(0, len(prompts), prompt_batch_size):
-                res = call_with_retry(client, prompts[s:s + prompt_batch_size], n,
-                                      instr[s:s + prompt_batch_size] if instr else None,
-                                      max_attempts=max_attempts, timeout=timeout, timeout_mf=timeout_mf,
-                                      retry_when_blank=retry_when_blank, sleep=sleep)
-                results.extend(res)
+            # results leave the task as each prompt batch is answered
+            for s in range(0, len(b), prompt_batch_size):
+                part = b.iloc[s:s + prompt_batch_size].copy()
+                prompts = list(part[prompt_col])
+                instr = list(part[instruction_col]) if instruction_col else None
+                part["prompt_hash"] = [hashlib.sha256((p or "").encode()).hexdigest() for p in prompts]
+                part[out_col] = call_with_retry(client, prompts, n, instr, max_attempts=max_attempts, timeout=timeout,
+                                                timeout_mf=timeout_mf, retry_when_blank=retry_when_blank, sleep=sleep)
+                yield part
                 if pause:
                     sleep(pause)
-            b = b.copy()
-            b["prompt_hash"] = [hashlib.sha256((p or "").encode()).hexdigest() for p in prompts]
-            b[out_col] = results
-            yield b
     return df.mapInPandas(run, schema)

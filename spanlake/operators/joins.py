@@ -52,6 +52,9 @@ def vocab_encode(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str, out
       shuffle, whose partial aggregation collapses a sequence inside its partition.
     * ``"auto"`` - ``map`` when the vocabulary is within the bound, else ``join``.
 
+    Both give the same rows: one per input row whatever its key, null token arrays stay
+    null, a null token is a miss, and a token listed twice takes its largest id.
+
     The map strategy is opaque to the optimizer, so every input column passes through
     Arrow: select the key, the tokens and only the columns needed downstream first."""
     if strategy not in ("auto", "map", "join"):
@@ -75,8 +78,8 @@ def _encode_map(df: DataFrame, rows: list, tokens_col: str, out_col: str) -> Dat
     for r in rows:  # the lookup key is the token inside single quotes
         t = r["token"]
         if t is not None and len(t) >= 2 and t[0] == "'" and t[-1] == "'":
-            table[t[1:-1]] = r["id"]
-    unk = next((r["id"] for r in rows if r["token"] == f"'{UNK_TOKEN}'"), None)
+            table[t[1:-1]] = max(r["id"], table.get(t[1:-1], r["id"]))
+    unk = table.get(UNK_TOKEN)
     from spanlake.session import ensure_library_on_workers
     ensure_library_on_workers(df.sparkSession)
     bc = df.sparkSession.sparkContext.broadcast((list(table.keys()), list(table.values()), unk))
@@ -110,9 +113,14 @@ def _encode_map(df: DataFrame, rows: list, tokens_col: str, out_col: str) -> Dat
 
 def _encode_join(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str, out_col: str,
                  max_rows: int) -> DataFrame:
+    from spanlake.session import scratch_dir
     unk = token_id(vocab, UNK_TOKEN)
-    v = broadcast_if_small(vocab.select(F.col("token").alias("_qtok"), F.col("id").alias("_id")),
-                           max_rows)
+    v = broadcast_if_small(vocab.groupBy(F.col("token").alias("_qtok")).agg(F.max("id").alias("_id")), max_rows)
+    # rows are numbered once and stored, so equal or null keys do not mix
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, "vocab-rows")
+    df = df.drop(out_col).withColumn("_row", F.monotonically_increasing_id())
+    df.write.parquet(path)
+    df, key = spark.read.schema(df.schema).parquet(path), "_row"
     # only (key, position, token) travel through the lookup; carrying the whole row per
     # token would copy it once per token
     ex = df.select(key, F.posexplode(tokens_col).alias("_pos", "_tok"))
@@ -121,9 +129,9 @@ def _encode_join(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str, out
            .select(key, "_pos", F.coalesce(F.col("_id"), F.lit(unk)).cast("int").alias("_id")))
     enc = hit.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_e"))
     enc = enc.select(key, F.transform("_e", lambda x: x["_id"]).alias(out_col))
-    # sequences with no tokens keep an empty id array
-    return df.join(enc, key, "left").withColumn(
-        out_col, F.coalesce(F.col(out_col), F.array().cast("array<int>")))
+    # sequences with no tokens keep an empty id array, null sequences stay null
+    return df.join(enc, key, "left").withColumn(out_col, F.when(
+        F.col(tokens_col).isNotNull(), F.coalesce(F.col(out_col), F.array().cast("array<int>")))).drop("_row")
 
 
 def token_id(vocab: DataFrame, token: str) -> int | None:

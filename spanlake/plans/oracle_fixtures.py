@@ -10,10 +10,10 @@ _FX = {
     "fx_files": ([], f"""fx_files AS (
   SELECT d.doc_id AS row_id, 'test' AS split, d.source AS query_name,
          'src/' || d.lang || '/' || CAST(d.doc_id AS VARCHAR) || '.txt' AS code_file_path,
-         d.text AS content, CAST(l.quality AS INTEGER) AS em,
+         d.text AS content, CAST(coalesce(l.quality, CASE WHEN length(d.text) % 3 > 0 THEN 1 ELSE 0 END) AS INTEGER) AS em,
          CAST(d.doc_id % 2 AS INTEGER) AS example_type,
          CAST(len(regexp_extract_all(d.text, '{TOKEN_RE}')) AS INTEGER) AS file_tokens
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""),
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""),
     "fx_rows": ([], f"""fx_rows AS (
   SELECT conv_id * 1000 + turn AS row_id,
          CASE WHEN conv_id % 5 = 0 THEN 'train' ELSE 'test' END AS split,

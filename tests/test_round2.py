@@ -1,0 +1,62 @@
+"""Regressions: worker cache, vocabulary strategies, source-file keys, malformed metadata."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from spanlake.operators import inference as I
+from spanlake.operators import joins as C
+from spanlake.plans import fixtures as fx
+from spanlake.sources import read_query_meta, read_source_files
+from tests.conftest import SF_SMALL
+
+
+def _client(answer):
+    def factory():
+        return lambda prompts, n, instructions: [{"text": answer, "finish_reason": "stop"} for _ in range(len(prompts) * n)]
+    return factory
+
+
+def test_each_call_gets_its_own_client(spark):
+    df = spark.range(6).select(F.concat(F.lit("p"), "id").alias("prompt")).repartition(1)
+    for answer in "ABCDEFGH":
+        out = I.generate_candidates(df, _client(answer), n=1, timeout=0.0, sleep=lambda s: None)
+        assert {r["cands"][0]["text"] for r in out.collect()} == {answer}
+
+
+def test_vocab_strategies_agree(spark):
+    vocab = spark.createDataFrame([("'a'", 1), ("'a'", 7), ("'[UNK]_'", 0), ("'b'", 2)], "token string, id int")
+    unk = fx.UNK_TOKEN
+    vocab = vocab.where("id > 0").unionByName(spark.createDataFrame([(f"'{unk}'", 0)], "token string, id int"))
+    rows = [(1, ["a", "b"]), (1, ["b"]), (None, ["a", "zz", None]), (2, None), (3, []), (None, ["b"])]
+    df = spark.createDataFrame(rows, "k int, tokens array<string>")
+    got = [sorted(map(repr, C.vocab_encode(df, vocab, "k", "tokens", strategy=s).select("k", "tokens", "ids").collect()))
+           for s in ("map", "join")]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    ids = {(r["k"], tuple(r["tokens"]) if r["tokens"] is not None else None): r["ids"]
+           for r in C.vocab_encode(df, vocab, "k", "tokens", strategy="join").collect()}
+    assert ids[(1, ("a", "b"))] == [7, 2] and ids[(2, None)] is None and ids[(3, ())] == [] and ids[(None, ("a", "zz", None))] == [7, 0, 0]
+
+
+def test_source_file_keys(spark, tmp_path):
+    root = tmp_path / "src dir"
+    os.makedirs(root / "x")
+    want = {"x/a b.py": "1\n2", "c%d.py": "q", "p+q.py": "r"}
+    for name, text in want.items():
+        (root / name).write_text(text)
+    got = {r["code_file_path"]: r["content"] for r in read_source_files(spark, str(root)).collect()}
+    assert got == want
+
+
+def test_malformed_metadata_fails(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"name": "n", "desc": "d", "reccomendation": "r"}]')
+    assert read_query_meta(spark, str(tmp_path)).count() == 1
+    (tmp_path / "b.json").write_text('[{"name": "n", ')
+    with pytest.raises(Exception):
+        read_query_meta(spark, str(tmp_path)).collect()
+
+
+def test_every_document_is_an_example(spark):
+    assert fx.fx_files(spark, SF_SMALL).count() >= fx.table(spark, SF_SMALL, "documents").count()
+    assert fx.fx_files(spark, SF_SMALL).where("em is null").count() == 0
