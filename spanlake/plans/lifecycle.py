@@ -5,7 +5,7 @@
 * ``generate_logs`` - file-level prompts for the sample (answers, description, file
   text, few-shot examples), budget check, candidate generation through a user client,
   and the response logs (one folder per query).
-* ``evaluate_logs`` - any-match and pass@k over the logs in one scan.
+* ``evaluate_logs`` - any-match and pass@k over the logs, one scan each.
 
 Each step is a DataFrame transformation; only the client call leaves the JVM."""
 
@@ -13,8 +13,10 @@ from __future__ import annotations
 
 from typing import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanlake.functions.text import render_prompt, sanitize_blocks, token_count
 from spanlake.operators import aggregates as D
@@ -22,10 +24,11 @@ from spanlake.operators import joins as C
 from spanlake.operators.filters import (
     SAMPLE_FILE_BUDGET, TEST_BUDGET, TRAIN_BUDGET, filter_file_budget, filter_query_budget, log_row,
 )
-from spanlake.operators.inference import generate_candidates
+from spanlake.operators.inference import RESPONSE, generate_candidates
 from spanlake.operators.sampling import bucket_major_order, few_shot_pick, stratified_sample
 from spanlake.operators.windows import row_index
 from spanlake.plans.templates import SPAN_PROMPT
+from spanlake.session import scratch_dir
 from spanlake.sources.readers import read_response_logs
 from spanlake.sources.writers import write_response_logs
 
@@ -104,11 +107,27 @@ def build_prompts(sample: DataFrame, test: DataFrame, train: DataFrame, meta: Da
 
 
 def generate_logs(prompts: DataFrame, meta: DataFrame, client_factory: Callable, out_path: str,
-                  n: int = 10, concurrency: int | None = None, **client_opts) -> DataFrame:
+                  n: int = 10, concurrency: int | None = None, store: str | None = None,
+                  **client_opts) -> DataFrame:
     """Candidates for every accepted prompt, written as per-query CSV logs; returns the
-    log rows.  ``concurrency`` partitions bound the parallel calls to the service."""
-    p = prompts.repartition(concurrency) if concurrency else prompts
-    g = generate_candidates(p, client_factory, n=n, **client_opts)
+    log rows.  ``concurrency`` partitions bound the parallel calls to the service.
+
+    Prompts of queries without metadata are left out before any call.  The answers are
+    stored once as Parquet, keyed by ``prompt_hash``, and logs and returned rows are read
+    from there, so nothing is asked twice.  ``store`` names that folder: prompts whose hash
+    an earlier call stored there are not asked again."""
+    spark = prompts.sparkSession
+    known = meta.select("query_name").distinct()
+    asked = prompts.join(known, "query_name", "left_semi").withColumn("prompt_hash", F.sha2("prompt", 256))
+    path = store or scratch_dir(spark, "generated")
+    answers = T.StructType([T.StructField("prompt_hash", T.StringType()), T.StructField("cands", T.ArrayType(RESPONSE))])
+    todo = asked.select("prompt", "prompt_hash").dropDuplicates(["prompt_hash"])
+    if store and _has_rows(spark, store, answers):
+        todo = todo.join(spark.read.schema(answers).parquet(store).select("prompt_hash"), "prompt_hash", "left_anti")
+    todo = todo.select("prompt")
+    todo = todo.repartition(concurrency) if concurrency else todo
+    generate_candidates(todo, client_factory, n=n, **client_opts).select("prompt_hash", "cands").write.mode("append").parquet(path)
+    g = asked.join(spark.read.schema(answers).parquet(path), "prompt_hash").drop("prompt_hash")
     g = row_index(g, "query_name", ("consume_order", "code_file_path"), distributed=False)
     rows = log_row(g.withColumnRenamed("answer_spans", "ans_spans"), n)
     rows = C.join_folder_map(rows.withColumnRenamed("query", "query_name"), meta) \
@@ -117,6 +136,15 @@ def generate_logs(prompts: DataFrame, meta: DataFrame, client_factory: Callable,
     return rows
 
 
+def _has_rows(spark: SparkSession, path: str, schema: T.StructType) -> bool:
+    try:
+        return not spark.read.schema(schema).parquet(path).isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
 def evaluate_logs(spark: SparkSession, path: str, n: int = 10) -> tuple[DataFrame, DataFrame]:
     """(pass@k for k = 1, 2, 5, 10; any-match per query and overall) from the logs."""
     log = read_response_logs(spark, path, n)

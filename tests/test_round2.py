@@ -60,3 +60,44 @@ def test_malformed_metadata_fails(spark, tmp_path):
 def test_every_document_is_an_example(spark):
     assert fx.fx_files(spark, SF_SMALL).count() >= fx.table(spark, SF_SMALL, "documents").count()
     assert fx.fx_files(spark, SF_SMALL).where("em is null").count() == 0
+
+
+def test_nothing_is_asked_twice(spark, tmp_path):
+    from spanlake.plans import lifecycle as L
+
+    def random_client():
+        import uuid
+        return lambda prompts, n, instructions: [{"text": uuid.uuid4().hex, "finish_reason": "stop"} for _ in range(len(prompts) * n)]
+
+    spans = F.lit("x")
+    prompts = spark.range(6).select(F.lit("q").alias("query_name"), F.concat(F.lit("f"), "id").alias("code_file_path"),
+                                    F.col("id").cast("int").alias("consume_order"), spans.alias("answer_spans"),
+                                    F.concat(F.lit("p"), "id").alias("prompt"))
+    lost = prompts.withColumn("query_name", F.lit("unknown"))
+    meta = spark.createDataFrame([("q", "d", "r", "fold")], "query_name string, desc string, reccomendation string, folder string")
+    store = str(tmp_path / "store")
+    opts = dict(n=2, store=store, timeout=0.0, sleep=lambda s: None)
+    rows = L.generate_logs(prompts.unionByName(lost).where("code_file_path <> 'f5' or query_name = 'q'"), meta, random_client, str(tmp_path / "a"), **opts)
+    first = sorted(map(repr, rows.collect()))
+    assert first == sorted(map(repr, rows.collect())) and len(first) == 6
+    again = L.generate_logs(prompts, meta, random_client, str(tmp_path / "b"), **opts)
+    assert sorted(map(repr, again.collect())) == first and spark.read.parquet(store).count() == 6
+
+
+def test_fuzzy_match_equals_probing(spark):
+    import random
+
+    from spanlake.functions.matching import fuzzy_match
+    rng = random.Random(4)
+    rows = []
+    for _ in range(400):
+        a = "".join(rng.choice("ab") for _ in range(rng.randint(0, 24)))
+        k = rng.randint(0, 3)
+        b = rng.choice(["", "a", "b"]) + a[k % 2:len(a) - k // 2] + rng.choice(["", "a", "b"])
+        rows.append((a, b))
+
+    def match(a, b):
+        m = max((j - i for i in range(len(a)) for j in range(i + 1, len(a) + 1) if a[i:j] in b), default=0)
+        return bool(a) and bool(b) and 10 * m > 9 * len(a) and 10 * m > 9 * len(b)
+    got = spark.createDataFrame(rows, "a string, b string").withColumn("m", fuzzy_match("a", "b")).collect()
+    assert all(r["m"] == match(r["a"], r["b"]) for r in got) and any(r["m"] for r in got)
