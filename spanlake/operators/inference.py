@@ -161,7 +161,8 @@ def call_with_retry(client, prompts: list[str], n: int, instructions: list[str]
                     attempt += 1
                     continue
                 return [_failure("Blank Response", n) for _ in range(k)]
-            return [[{"text": c.get("text"), "finish_reason": c.get("finish_reason"), "success": True}
+            reason = "edit done" if instructions else None  # what an edit reports
+            return [[{"text": c.get("text"), "finish_reason": reason or c.get("finish_reason"), "success": True}
                      for c in choices[i * n:(i + 1) * n]] for i in range(k)]
         except (RateLimitError, APIError) as e:
             if attempt < max_attempts:
@@ -189,6 +190,8 @@ def generate_candidates(df: DataFrame, client_factory: Callable, n: int, prompt_
     so a re-run task's duplicate calls can be reconciled downstream."""
     schema = T.StructType(df.schema.fields + [T.StructField("prompt_hash", T.StringType()),
                                               T.StructField(out_col, T.ArrayType(RESPONSE))])
+    if instruction_col and prompt_batch_size != 1:
+        raise ValueError("edits take one prompt at a time")
     pause = timeout if pause_after_batch is None else pause_after_batch
     ensure_library_on_workers(df.sparkSession)
     token = uuid.uuid4().hex

@@ -99,7 +99,7 @@ def _no_sleep(_s):
     return None
 
 
-def _sql_generate(extra: str) -> str:
+def _sql_generate(extra: str, done: str = "stop") -> str:
     """The fake client restated in SQL over the rendered prompts."""
     from spanlake.plans.q_scalar import PROMPT_CTES, _sql_prompt
     body = f"""
@@ -109,7 +109,7 @@ SELECT query_name, code_file_path, sha256(prompt) AS prompt_hash, CAST(j AS INTE
             ELSE list_filter(string_split(prompt, chr(10)), lambda l: trim(l) <> '')[-1] || {extra} || ' #' || CAST(j AS VARCHAR)
        END AS text,
        CASE left(md5(prompt), 1) WHEN '0' THEN 'RateLimit' WHEN '1' THEN 'InvalidRequest' WHEN '2' THEN 'Error'
-            ELSE 'stop' END AS finish_reason,
+            ELSE '{done}' END AS finish_reason,
        left(md5(prompt), 1) NOT IN ('0', '1', '2') AS success
 FROM (SELECT query_name, fin.code_file_path, {_sql_prompt()} AS prompt, unnest(range(0, 10)) AS j
       FROM fin LEFT JOIN shots USING (query_name))"""
@@ -123,7 +123,7 @@ def q_generate_candidates(spark, d):
     return _long_responses(g)
 
 
-@reg("generate_edits", _sql_generate("' [fix ' || query_name || ']'"))
+@reg("generate_edits", _sql_generate("' [fix ' || query_name || ']'", "edit done"))
 def q_generate_edits(spark, d):
     p = _prompts(spark, d).withColumn("instruction", F.concat(F.lit("fix "), F.col("query_name"))).repartition(8)
     g = I.generate_candidates(p, fakes.echo_client, n=10, instruction_col="instruction", max_attempts=3,
