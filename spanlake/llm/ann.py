@@ -210,7 +210,9 @@ def nearest(table_: DataFrame, is_query, k: int = K, shard: int = SHARD, query_b
     asked = reps.where("asked")
     sizes = reps.agg(F.count("*").alias("n"), F.count_if("asked").alias("q")).head()
     shards, blocks = max(1, math.ceil(sizes["n"] / shard)), max(1, math.ceil(sizes["q"] / query_block))
-    index = (reps.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int")).groupBy("dim", "shard")
+    # a partition number of its own keeps small shards from being merged into few long tasks
+    index = (reps.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
+             .repartition(2 * shards, "dim", "shard").groupBy("dim", "shard")
              .applyInArrow(_index_shard, "dim int, shard int, ids binary, vectors binary, graph binary, entry int"))
     index = materialize(index, "ann-index")
     packed = (asked.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks)).cast("int")).groupBy("dim", "block")
