@@ -34,19 +34,13 @@ def filter_example_type(df: DataFrame, mode: str, col: str = "example_type") ->
     raise ValueError(f"unknown example mode {mode!r}")
 
 
-def partition_by_query(df: DataFrame, partitions: int | None = None, col: str = "query_name",
-                       spread: int = 16, salt_key: str | None = None) -> DataFrame:
+def partition_by_query(df: DataFrame, col: str = "query_name") -> DataFrame:
     """Cluster rows by query (the per-query 'sub-datasets' of the benchmark).
 
-    Rows are hash-partitioned on (query, salt) with ``spread`` salt values derived from
-    ``salt_key`` (default: every column), so one query holding a large share of the rows
-    spreads over up to ``spread`` tasks instead of one.  Per-query work downstream
-    (aggregates) stays correct because it combines partial results."""
-    salt_src = F.col(salt_key) if salt_key else F.struct(*[F.col(c) for c in df.columns])
-    salt = F.pmod(F.xxhash64(salt_src), F.lit(spread))
-    keyed = df.withColumn("_salt", salt)
-    out = keyed.repartition(partitions, col, "_salt") if partitions else keyed.repartition(col, "_salt")
-    return out.drop("_salt")
+    A size-driven rebalance for the step that stores them (``materialize`` partitioned by
+    the query): AQE merges small queries and splits a query holding a large share of the
+    rows over as many tasks as its bytes need."""
+    return df.hint("rebalance", col)
 
 
 def positive_partition(df: DataFrame) -> DataFrame:
@@ -87,7 +81,7 @@ def log_row(df: DataFrame, n: int = 10, answer_col: str = "ans_spans", cands_col
     (legacy row-level path) instead of the joined string."""
     ans = F.get(F.col(answer_col), 0) if first_span_only else F.col(answer_col)
     cand = lambda j: strip_text(F.get(F.col(cands_col), j)["text"]).alias(f"ans_{j}")
-    return df.select(F.col("i").cast("int"), F.col("query_name").alias("query"),
+    return df.select(F.col("i").cast("long"), F.col("query_name").alias("query"),
                      F.col("code_file_path").alias("file_path"), F.lit("").alias("prompt"),
                      ans.alias("ans_spans"), *[cand(j) for j in range(n)])
 

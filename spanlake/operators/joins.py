@@ -1,5 +1,5 @@
-"""Joins (C1-C9).  Dimension sides are broadcast only behind a row-count check;
-beyond it the join falls back to a shuffle join (with AQE skew splitting)."""
+"""Joins (C1-C9).  No join is hinted: the planner and AQE broadcast a dimension side by its
+size in bytes, and otherwise use a shuffle join (with AQE skew splitting)."""
 
 from __future__ import annotations
 
@@ -8,14 +8,9 @@ from pyspark.sql import functions as F
 
 from spanlake.functions.sequences import SEP_TOKEN, UNK_TOKEN
 
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows (bounded probe: the
-    count stops after max_rows + 1 rows).  Otherwise leave the choice to the planner."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+# the vocabulary is shipped to the workers only below both bounds
+MAP_VOCAB_ROWS = 500_000
+MAP_VOCAB_BYTES = 32 << 20
 
 
 def missing_keys(left: DataFrame, right: DataFrame, keys: list[str], check: str) -> DataFrame:
@@ -26,10 +21,9 @@ def missing_keys(left: DataFrame, right: DataFrame, keys: list[str], check: str)
                        F.lit("no matching row").alias("detail"))
 
 
-def join_query_meta(ex: DataFrame, meta: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def join_query_meta(ex: DataFrame, meta: DataFrame) -> DataFrame:
     """Attach description and recommendation by query name (inner)."""
-    m = broadcast_if_small(meta.select("query_name", "desc", "reccomendation"), max_rows)
-    return ex.join(m, "query_name", "inner")
+    return ex.join(meta.select("query_name", "desc", "reccomendation"), "query_name", "inner")
 
 
 def join_source_text(ex: DataFrame, files: DataFrame) -> DataFrame:
@@ -38,19 +32,19 @@ def join_source_text(ex: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def vocab_encode(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str, out_col: str = "ids",
-                 max_rows: int = DEFAULT_BROADCAST_ROWS, strategy: str = "auto") -> DataFrame:
+                 strategy: str = "auto") -> DataFrame:
     """Token -> id through the vocabulary; the lookup key is the token in single
     quotes; a miss takes the id of the quoted unknown token.
 
     ``strategy``:
-    * ``"map"`` - the vocabulary (size-checked: at most ``max_rows`` entries) is
+    * ``"map"`` - the vocabulary (at most ``MAP_VOCAB_ROWS`` entries and ``MAP_VOCAB_BYTES``
+      bytes of tokens, measured before anything is collected) is
       broadcast once as a hash map and each token array is mapped in Arrow batches:
       a narrow operator, no shuffle of the (large) token side at all.
     * ``"join"`` - tokens are exploded with their position, looked up with a join
-      (broadcast when the vocabulary is small, else a shuffle hash join with AQE skew
-      splitting), and re-assembled per key together with the rest of the row: one
+      (broadcast by size, else a shuffle join with AQE skew splitting), and re-assembled per key together with the rest of the row: one
       shuffle, whose partial aggregation collapses a sequence inside its partition.
-    * ``"auto"`` - ``map`` when the vocabulary is within the bound, else ``join``.
+    * ``"auto"`` - ``map`` when the vocabulary is within the bounds, else ``join``.
 
     Both give the same rows: one per input row whatever its key, null token arrays stay
     null, a null token is a miss, and a token listed twice takes its largest id.
@@ -60,13 +54,12 @@ def vocab_encode(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str, out
     if strategy not in ("auto", "map", "join"):
         raise ValueError(strategy)
     if strategy in ("auto", "map"):
-        # one bounded read: at most max_rows + 1 entries ever reach the driver
-        rows = vocab.select("token", "id").limit(max_rows + 1).collect()
-        if len(rows) <= max_rows:
-            return _encode_map(df, rows, tokens_col, out_col)
+        size = vocab.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("token")).alias("b")).first()
+        if size["n"] <= MAP_VOCAB_ROWS and (size["b"] or 0) <= MAP_VOCAB_BYTES:
+            return _encode_map(df, vocab.select("token", "id").collect(), tokens_col, out_col)
         if strategy == "map":
-            raise ValueError("vocabulary larger than max_rows: use the join strategy")
-    return _encode_join(df, vocab, key, tokens_col, out_col, max_rows)
+            raise ValueError("vocabulary too large to ship: use the join strategy")
+    return _encode_join(df, vocab, tokens_col, out_col)
 
 
 def _encode_map(df: DataFrame, rows: list, tokens_col: str, out_col: str) -> DataFrame:
@@ -111,11 +104,10 @@ def _encode_map(df: DataFrame, rows: list, tokens_col: str, out_col: str) -> Dat
     return df.mapInArrow(run, schema)
 
 
-def _encode_join(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str, out_col: str,
-                 max_rows: int) -> DataFrame:
+def _encode_join(df: DataFrame, vocab: DataFrame, tokens_col: str, out_col: str) -> DataFrame:
     from spanlake.session import scratch_dir
     unk = token_id(vocab, UNK_TOKEN)
-    v = broadcast_if_small(vocab.groupBy(F.col("token").alias("_qtok")).agg(F.max("id").alias("_id")), max_rows)
+    v = vocab.groupBy(F.col("token").alias("_qtok")).agg(F.max("id").alias("_id"))
     # rows are numbered once and stored, so equal or null keys do not mix
     spark, path = df.sparkSession, scratch_dir(df.sparkSession, "vocab-rows")
     df = df.drop(out_col).withColumn("_row", F.monotonically_increasing_id())
@@ -144,11 +136,9 @@ def sep_id(vocab: DataFrame) -> int | None:
     return token_id(vocab, SEP_TOKEN)
 
 
-def join_folder_map(df: DataFrame, meta: DataFrame, col: str = "query_name",
-                    max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def join_folder_map(df: DataFrame, meta: DataFrame, col: str = "query_name") -> DataFrame:
     """C4: query -> output folder."""
-    m = broadcast_if_small(meta.select(F.col("query_name").alias(col), "folder"), max_rows)
-    return df.join(m, col, "inner")
+    return df.join(meta.select(F.col("query_name").alias(col), "folder"), col, "inner")
 
 
 def join_sample_examples(sample: DataFrame, ex: DataFrame) -> DataFrame:

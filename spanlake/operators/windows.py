@@ -25,14 +25,14 @@ def global_row_number(df: DataFrame, order_by: list[str], name: str = "rn",
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n"))
                             .alias("_off"))
-    # the offsets table has one row per partition: a bounded broadcast
-    out = tagged.join(F.broadcast(offsets), "_pid")
+    # the offsets table has one row per partition; AQE picks the join from its size
+    out = tagged.join(offsets, "_pid")
     pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
     return out.withColumn(name, F.col("_off") + pos).drop("_pid", "_mid", "_off")
 
 
 def group_row_number(df: DataFrame, groups: list[str], order_by: list[str], name: str = "rn",
-                     checkpoint: bool = True, max_offset_rows: int = 2_000_000) -> DataFrame:
+                     checkpoint: bool = True) -> DataFrame:
     """1-based ``row_number()`` within each group, without putting a group in one task.
 
     A plain window sorts each group inside a single task, so one hot group (a third of
@@ -41,8 +41,8 @@ def group_row_number(df: DataFrame, groups: list[str], order_by: list[str], name
     its partition comes from ``monotonically_increasing_id``; a small table with one
     row per (group, partition) holds counts and first positions, and a running sum over
     it gives every (group, partition) its offset.  That table has at most
-    #groups + #partitions rows; it is broadcast when within ``max_offset_rows``."""
-    from spanlake.operators.joins import broadcast_if_small
+    #groups + #partitions rows; the join strategy is left to AQE's measured sizes.  The
+    number is a long: a group may pass 2^31 rows."""
     tagged = (df.orderBy(*groups, *order_by)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id()
@@ -53,8 +53,8 @@ def group_row_number(df: DataFrame, groups: list[str], order_by: list[str], name
     cnt = tagged.groupBy(*groups, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_p0"))
     w = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)
     offs = cnt.select(*groups, "_pid", "_p0", (F.sum("_n").over(w) - F.col("_n")).alias("_off"))
-    out = tagged.join(broadcast_if_small(offs, max_offset_rows), [*groups, "_pid"])
-    return (out.withColumn(name, (F.col("_off") + F.col("_pos") - F.col("_p0") + 1).cast("int"))
+    out = tagged.join(offs, [*groups, "_pid"])
+    return (out.withColumn(name, (F.col("_off") + F.col("_pos") - F.col("_p0") + 1))
             .drop("_pid", "_pos", "_p0", "_off"))
 
 
@@ -94,9 +94,9 @@ def row_index(df: DataFrame, partition: str = "query_name", order=("row_id",),
     over many tasks; ``False`` uses a plain window (fine for small inputs)."""
     if distributed:
         out = group_row_number(df, [partition], list(order), "_rn")
-        return out.withColumn(name, (F.col("_rn") - 1).cast("int")).drop("_rn")
+        return out.withColumn(name, F.col("_rn") - 1).drop("_rn")
     w = Window.partitionBy(partition).orderBy(*order)
-    return df.withColumn(name, (F.row_number().over(w) - 1).cast("int"))
+    return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
 
 
 def example_index(df: DataFrame, order_by: list[str], name: str = "example_id") -> DataFrame:

@@ -15,6 +15,9 @@ from spanlake.functions.sequences import LABEL_PAD, SEP_TOKEN, UNK_TOKEN
 from spanlake.functions.text import token_count
 
 
+ROW_ID_TURNS = 1 << 32
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -38,7 +41,8 @@ def fx_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fx_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Several example rows per file, from conversation turns."""
+    """Several example rows per file, from conversation turns.  ``row_id`` packs the
+    conversation above the turn; 32 bits for the turn keep conversations apart."""
     c = table(spark, d, "conversations")
     lines = F.split(F.col("text"), "\n")
     positive = (F.col("conv_id") % 2) == 1
@@ -48,7 +52,7 @@ def fx_rows(spark: SparkSession, d: str) -> DataFrame:
     facts = F.when(positive, F.transform(F.filter(lines, lambda l: F.length(l) % 2 == 0),
                                          lambda s: F.struct(s.alias("span")))).otherwise(empty_spans)
     return c.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"),
+        (F.col("conv_id") * ROW_ID_TURNS + F.col("turn")).alias("row_id"),
         F.when(F.col("conv_id") % 5 == 0, "train").otherwise("test").alias("split"),
         F.concat(F.lit("q"), ((F.col("conv_id") / 10).cast("long") % 10).cast("string")).alias("query_name"),
         F.concat(F.lit("src/c"), F.col("conv_id").cast("string"), F.lit(".py")).alias("code_file_path"),

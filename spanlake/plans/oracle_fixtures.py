@@ -15,7 +15,7 @@ _FX = {
          CAST(len(regexp_extract_all(d.text, '{TOKEN_RE}')) AS INTEGER) AS file_tokens
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""),
     "fx_rows": ([], f"""fx_rows AS (
-  SELECT conv_id * 1000 + turn AS row_id,
+  SELECT conv_id * 4294967296 + turn AS row_id,
          CASE WHEN conv_id % 5 = 0 THEN 'train' ELSE 'test' END AS split,
          'q' || CAST((conv_id // 10) % 10 AS VARCHAR) AS query_name,
          'src/c' || CAST(conv_id AS VARCHAR) || '.py' AS code_file_path,

@@ -92,21 +92,20 @@ def read_source_files(spark, d):
 # A4 ---------------------------------------------------------------------------
 @reg("read_vocab", """
 WITH w AS (
-  SELECT item_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z]+'),
+  SELECT item_id, unnest(list_transform(regexp_extract_all(text, '[^ \t\r\n]+'),
                                         lambda x, i: {'w': x, 'pos': i})) AS e
   FROM benchmark),
 l AS (SELECT '''' || e.w || '''' AS token, row_number() OVER (ORDER BY item_id, e.pos) - 1 AS line_no FROM w)
 SELECT token, CAST(max(line_no) AS INTEGER) AS id FROM l GROUP BY token""")
 def read_vocab(spark, d):
-    """Vocabulary lines (every word occurrence of the benchmark texts, quoted, repeats
+    """Vocabulary lines (every blank-separated word occurrence of the benchmark texts, quoted, repeats
     included) written over several files, then read back: id = last line number."""
     path = scratch_dir(spark, "vocab")
     b = fx.table(spark, d, "benchmark")
-    lines = b.select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))
+    lines = b.select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^ \t\r\n]+"), F.lit(0)))
                      .alias("pos", "w"))
-    lines = lines.select((F.col("item_id") * 1_000_000 + F.col("pos")).alias("line_no"),
-                         F.concat(F.lit("  '"), F.col("w"), F.lit("' ")).alias("token"))
-    W.write_vocab(lines, path, "line_no", files=4)
+    lines = lines.select("item_id", "pos", F.concat(F.lit("  '"), F.col("w"), F.lit("' ")).alias("token"))
+    W.write_vocab(lines, path, ("item_id", "pos"), files=4)
     return R.read_vocab(spark, path)
 
 
@@ -114,7 +113,7 @@ def read_vocab(spark, d):
 _LOG_COLS = ["i", "query", "file_path", "prompt", "ans_spans"] + [f"ans_{j}" for j in range(10)]
 
 
-@reg("read_response_logs", with_fx(["fx_cands"], f"SELECT {', '.join(_LOG_COLS)} FROM fx_cands"))
+@reg("read_response_logs", with_fx(["fx_cands"], f"SELECT CAST(i AS BIGINT) AS i, {', '.join(_LOG_COLS[1:])} FROM fx_cands"))
 def read_response_logs(spark, d):
     """Logs written as CRLF CSV (quotes, commas, newlines, blanks) and read back."""
     path = scratch_dir(spark, "logs")
@@ -214,8 +213,11 @@ def q_filter_example_type(spark, d):
 SELECT query_name, count(*) AS n, CAST(count(DISTINCT code_file_path) AS BIGINT) AS n_files
 FROM fx_files GROUP BY query_name"""))
 def q_partition_by_query(spark, d):
-    p = B.partition_by_query(fx.fx_files(spark, d))
-    # the aggregate reuses the query partitioning (no second exchange)
+    """The sub-datasets stored one folder per query, then counted from the folders."""
+    path = scratch_dir(spark, "by-query")
+    rows = fx.fx_files(spark, d).select("row_id", "query_name", "code_file_path")
+    B.partition_by_query(rows).write.partitionBy("query_name").parquet(path)
+    p = spark.read.parquet(path)
     return p.groupBy("query_name").agg(F.count(F.lit(1)).alias("n"),
                                        F.countDistinct("code_file_path").alias("n_files"))
 
@@ -235,11 +237,15 @@ def q_filter_span_count(spark, d):
 @reg("filter_known_queries", with_fx(["fx_files", "fx_rows", "fx_meta"], """
 SELECT row_id, query_name FROM fx_files WHERE query_name IN (SELECT query_name FROM fx_meta)
 UNION ALL
-SELECT row_id, query_name FROM fx_rows WHERE query_name IN (SELECT query_name FROM fx_meta WHERE folder < 'k')"""))
+SELECT row_id, 'q' || CAST(conv_id % 40 AS VARCHAR) FROM fx_rows
+WHERE 'q' || CAST(conv_id % 40 AS VARCHAR) IN (SELECT query_name FROM fx_meta)"""))
 def q_filter_known_queries(spark, d):
     meta = fx.fx_meta(spark, d)
     a = B.filter_known_queries(fx.fx_files(spark, d), meta).select("row_id", "query_name")
-    b = B.filter_known_queries(fx.fx_rows(spark, d), meta.where(F.col("folder") < "k")).select("row_id", "query_name")
+    # names by conversation: 40 of them, of which the metadata knows one per nation
+    named = fx.fx_rows(spark, d).withColumn(
+        "query_name", F.concat(F.lit("q"), (F.col("conv_id") % 40).cast("string")))
+    b = B.filter_known_queries(named, meta).select("row_id", "query_name")
     return a.unionByName(b)
 
 
@@ -256,7 +262,7 @@ def q_filter_nonblank(spark, d):
 
 
 @reg("log_row", with_fx(["fx_cands"], f"""
-SELECT CAST(row_number() OVER (PARTITION BY query ORDER BY i) - 1 AS INTEGER) AS i, query, file_path,
+SELECT row_number() OVER (PARTITION BY query ORDER BY i) - 1 AS i, query, file_path,
        '' AS prompt, ans_spans,
        {', '.join(sql_strip(f'ans_{j}') + f' AS ans_{j}' for j in range(9))}, '' AS ans_9
 FROM fx_cands"""))

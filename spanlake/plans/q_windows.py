@@ -47,7 +47,7 @@ def _block_rows(spark, d):
 
 # E1-E5 ---------------------------------------------------------------------------
 @reg("rank_in_bucket", with_fx(["fx_files"], """
-SELECT query_name, bucket, code_file_path, rank_in_bucket FROM smp_fr""", sql_sample("fx_files")))
+SELECT query_name, bucket, code_file_path, CAST(rank_in_bucket AS BIGINT) AS rank_in_bucket FROM smp_fr""", sql_sample("fx_files")))
 def q_rank_in_bucket(spark, d):
     r = E.rank_in_bucket(with_bucket(_files_meta(spark, d)))
     return r.select("query_name", "bucket", "code_file_path", "rank_in_bucket")
@@ -60,7 +60,7 @@ def q_singleton_files(spark, d):
 
 
 @reg("row_index", with_fx(["fx_rows"], """
-SELECT query_name, row_id, CAST(row_number() OVER (PARTITION BY query_name ORDER BY row_id) - 1 AS INTEGER) AS i
+SELECT query_name, row_id, row_number() OVER (PARTITION BY query_name ORDER BY row_id) - 1 AS i
 FROM fx_rows WHERE split = 'test' AND example_type = 1"""))
 def q_row_index(spark, d):
     r = rows_test(spark, d).where(F.col("example_type") == 1)

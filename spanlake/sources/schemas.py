@@ -33,7 +33,7 @@ RESPONSE_LOG_FIXED = ["i", "query", "file_path", "prompt", "ans_spans"]
 
 def response_log_schema(n: int) -> T.StructType:
     """``i, query, file_path, prompt, ans_spans, ans_0 .. ans_{n-1}`` (headerless CSV)."""
-    fields = [T.StructField("i", T.IntegerType())]
+    fields = [T.StructField("i", T.LongType())]
     fields += [T.StructField(c, T.StringType()) for c in RESPONSE_LOG_FIXED[1:]]
     fields += [T.StructField(f"ans_{j}", T.StringType()) for j in range(n)]
     return T.StructType(fields)
