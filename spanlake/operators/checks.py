@@ -71,8 +71,9 @@ def chk_prefix(windows: DataFrame, key: list[str], labels: str = "labels", segme
 
 def chk_windows(windows: DataFrame, seqs: DataFrame, width: int, key: str = "example_id",
                 labels: str = "labels") -> DataFrame:
-    """Split ids run 0..s-1, every window carries the same prefix, the count is
-    ceil((len-p)/(W-p)) for long sequences and the stitched length is s*W - (s-1)*p."""
+    """Split ids run 0..s-1, every window carries the same prefix and the count is
+    ceil((len-p)/(W-p)) for long sequences.  Their stitched length is s*W - (s-1)*p when all
+    windows are padded to W, else the sequence's own length."""
     g = windows.groupBy(key).agg(
         F.count(F.lit(1)).alias("s"), F.min("split_id").alias("lo"), F.max("split_id").alias("hi"),
         F.countDistinct(F.slice(labels, 1, first_sep_index(labels) + 1)).alias("n_prefix"),
@@ -87,7 +88,8 @@ def chk_windows(windows: DataFrame, seqs: DataFrame, width: int, key: str = "exa
     bad_ids = (F.col("lo") != 0) | (F.col("hi") + 1 != F.col("s"))
     bad_count = F.col("s") != exp_s
     bad_prefix = F.col("n_prefix") > 1
-    bad_len = (F.col("n") >= width) & (stitched != F.col("n"))
+    padded = F.col("total_len") == F.col("s") * width
+    bad_len = (F.col("n") >= width) & ~padded & (stitched != F.col("n"))
     detail = (F.when(F.col("s").isNull() | F.col("n").isNull(), "missing")
               .when(bad_ids, "split ids not consecutive").when(bad_count, "window count")
               .when(bad_prefix, "prefix differs").when(bad_len, "stitched length"))
@@ -106,10 +108,15 @@ def chk_class_per_file(rows: DataFrame) -> DataFrame:
 
 
 def chk_negative_empty(picks: DataFrame) -> DataFrame:
-    """A negative few-shot example carries no answer and no fact spans."""
+    """A negative few-shot example carries no answer and no fact spans, and a query has
+    an example of each class under its own name."""
     neg = picks.where(F.col("example_type") == 0)
     bad = (F.size("answer_spans") > 0) | (F.size("supporting_fact_spans") > 0)
-    return _v(neg.where(bad), "chk_negative_empty", _key(["query_name", "row_id"]), F.lit("negative with spans"))
+    spans = _v(neg.where(bad), "chk_negative_empty", _key(["query_name", "row_id"]), F.lit("negative with spans"))
+    classes = picks.groupBy("query_name").agg(F.min("example_type").alias("lo"), F.max("example_type").alias("hi"))
+    one = _v(classes.where(F.col("lo") == F.col("hi")), "chk_negative_empty", F.col("query_name"),
+             F.when(F.col("lo") == 1, "no negative example").otherwise("no positive example"))
+    return spans.unionByName(one)
 
 
 def chk_sample_size(sample: DataFrame, available: DataFrame, size: int = 20) -> DataFrame:
@@ -122,6 +129,13 @@ def chk_sample_size(sample: DataFrame, available: DataFrame, size: int = 20) ->
     return _v(j.where(detail.isNotNull()), "chk_sample_size", F.col("query_name"), detail)
 
 
+def chk_log_size(log: DataFrame, size: int = 20) -> DataFrame:
+    """J8, log half: a query's log holds exactly ``size`` rows (the reader's declared schema
+    and FAILFAST mode hold the column count)."""
+    g = log.groupBy("query").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != size)
+    return _v(g, "chk_sample_size", F.col("query"), F.concat(F.lit("logged "), F.col("n").cast("string")))
+
+
 def chk_schema_equal(a: DataFrame, b: DataFrame) -> bool:
     """Identical schemas before a union (driver-side metadata only)."""
     return a.schema == b.schema

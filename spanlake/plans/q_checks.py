@@ -10,12 +10,13 @@ from spanlake.operators.filters import filter_file_budget
 from spanlake.operators.sampling import few_shot_pick
 from spanlake.operators.sequences import pad_span_inputs, split_windows
 from spanlake.plans import fixtures as fx
-from spanlake.plans.oracle_fixtures import with_fx
-from spanlake.plans.shared import rows_test, rows_train, sample_files, sql_sample
+from spanlake.plans.oracle_fixtures import TOKEN_RE, with_fx
+from spanlake.plans.shared import (
+    SQL_CANDS_LONG, rows_test, rows_train, sample_files, sql_match, sql_sample, sql_strip,
+)
 
 QUERIES, SQL = {}, {}
 
-EMPTY = "SELECT CAST(NULL AS VARCHAR) AS \"check\", CAST(NULL AS VARCHAR) AS key, CAST(NULL AS VARCHAR) AS detail WHERE false"
 
 
 def reg(key, sql=None):
@@ -27,20 +28,36 @@ def reg(key, sql=None):
     return deco
 
 
-@reg("chk_lengths", EMPTY)
+@reg("chk_lengths", f"""
+SELECT 'chk_lengths' AS "check", CAST(doc_id AS VARCHAR) AS key,
+       CAST(w AS VARCHAR) || ',' || CAST(t AS VARCHAR) AS detail
+FROM (SELECT doc_id, len(string_split(text, ' ')) AS w, len(regexp_extract_all(text, '{TOKEN_RE}')) AS t
+      FROM documents)
+WHERE w <> t""")
 def q_chk_lengths(spark, d):
+    """The fixtures' parallel arrays (which agree), and words between blanks against lexer
+    tokens of the same text (which differ wherever there is a sign)."""
     s = fx.fx_seq(spark, d)
     b = fx.fx_blocks(spark, d)
-    return J.chk_lengths(s, ["example_id"], ["tokens", "labels", "output"]).unionByName(
-        J.chk_lengths(b, ["row_id"], ["subtokenized_input_sequence", "label_sequence"]))
+    t = fx.table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("words"),
+                                               F.regexp_extract_all("text", F.lit(TOKEN_RE), F.lit(0)).alias("toks"))
+    return (J.chk_lengths(s, ["example_id"], ["tokens", "labels", "output"])
+            .unionByName(J.chk_lengths(b, ["row_id"], ["subtokenized_input_sequence", "label_sequence"]))
+            .unionByName(J.chk_lengths(t, ["doc_id"], ["words", "toks"])))
 
 
-@reg("chk_padded", EMPTY)
+@reg("chk_padded", with_fx(["fx_seq"], """
+SELECT 'chk_padded' AS "check", CAST(example_id AS VARCHAR) AS key,
+       CAST(len(tokens) AS VARCHAR) || ',' || CAST(len(labels) AS VARCHAR) AS detail
+FROM fx_seq WHERE len(tokens) <> 1024 OR len(labels) <> 1024"""))
 def q_chk_padded(spark, d):
-    s = fx.fx_seq(spark, d).withColumn("ids", F.col("labels")).withColumn("segments", F.col("labels")) \
+    """The padded inputs (which hold the rule) and the sequences before padding."""
+    raw = fx.fx_seq(spark, d)
+    s = raw.withColumn("ids", F.col("labels")).withColumn("segments", F.col("labels")) \
         .withColumn("mask", F.col("labels"))
     p = pad_span_inputs(s)
-    return J.chk_padded(p, ["example_id"], ["ids", "segments", "mask", "labels"], 1024)
+    return J.chk_padded(p, ["example_id"], ["ids", "segments", "mask", "labels"], 1024).unionByName(
+        J.chk_padded(raw, ["example_id"], ["tokens", "labels"], 1024))
 
 
 _FIRST_SEP_OUT = "list_filter(range(1, len(output)), lambda i: output[i] = 4 AND output[i + 1] <> 4)[1]"
@@ -68,19 +85,38 @@ FROM (SELECT example_id, s, list_filter(range(1, len(w)), lambda i: w[i] = 4 AND
                    END AS w
             FROM (SELECT *, unnest(range(0, CAST(CASE WHEN len(labels) < 16 THEN 1
                         ELSE ceil((len(labels) - plen) / (16 - plen)) END AS BIGINT))) AS s FROM fx_seq)))
-WHERE p IS NULL OR len(list_filter(list_slice(w, 1, p), lambda x: x <> 4)) > 0"""))
+WHERE p IS NULL OR len(list_filter(list_slice(w, 1, p), lambda x: x <> 4)) > 0
+UNION ALL
+SELECT 'chk_prefix', CAST(example_id AS VARCHAR), 'prefix not all pad' FROM pfx
+WHERE p IS NULL OR len(list_filter(list_slice(output, 1, p), lambda x: x <> 4)) > 0 OR p > plen
+   OR len(list_filter(list_slice(tokens, 1, p), lambda t: length(t) = 0)) > 0
+UNION ALL
+SELECT 'chk_prefix', lang, 'prefix lengths: ' || CAST(count(DISTINCT p) AS VARCHAR) FROM pfx
+GROUP BY lang HAVING count(DISTINCT p) > 1""", f"pfx AS (SELECT *, {_FIRST_SEP_OUT} AS p FROM fx_seq)"))
 def q_chk_prefix(spark, d):
-    """Prefix check on the output-label windows (split with the target's prefix)."""
+    """Prefix check on the output-label windows (split with the target's prefix); then on
+    whole sequences with the target's segments, a mask that leaves out empty tokens, and
+    one prefix length asked of each language."""
     w, _ = split_windows(fx.fx_seq(spark, d).select("example_id", "labels", "output"), 16, ["labels", "output"])
     w = w.withColumn("k", F.concat_ws("|", F.col("example_id").cast("string"), F.col("split_id").cast("string")))
-    return J.chk_prefix(w, ["k"], labels="output")
-
-
-@reg("chk_windows", EMPTY)
+    seq = (fx.fx_seq(spark, d)
+           .withColumn("segments", F.transform("tokens", lambda t, i: (i >= F.col("plen")).cast("int")))
+           .withColumn("mask", F.transform("tokens", lambda t: (F.length(t) > 0).cast("int"))))
+    return J.chk_prefix(w, ["k"], labels="output").unionByName(
+        J.chk_prefix(seq, ["example_id"], "output", "segments", "mask", ["lang"]))
+
+
+@reg("chk_windows", with_fx(["fx_seq"], """
+SELECT 'chk_windows' AS "check", CAST(example_id AS VARCHAR) AS key, 'window count' AS detail
+FROM (SELECT example_id, CASE WHEN n < 16 THEN 1 ELSE ceil((n - plen) / (16 - plen)) END AS n16,
+             CASE WHEN n < 32 THEN 1 ELSE ceil((n - plen) / (32 - plen)) END AS n32
+      FROM (SELECT example_id, plen, len(labels) AS n FROM fx_seq))
+WHERE n16 <> n32"""))
 def q_chk_windows(spark, d):
+    """Windows of width 16, checked against the rule for 16 (which holds) and for 32."""
     s = fx.fx_seq(spark, d).select("example_id", "labels")
     w, _ = split_windows(s, 16, ["labels"])
-    return J.chk_windows(w, s, 16)
+    return J.chk_windows(w, s, 16).unionByName(J.chk_windows(w, s, 32))
 
 
 @reg("chk_class_per_file", with_fx(["fx_rows"], """
@@ -95,22 +131,39 @@ def q_chk_class_per_file(spark, d):
     return J.chk_class_per_file(fx.fx_rows(spark, d))
 
 
-@reg("chk_negative_empty", EMPTY)
+@reg("chk_negative_empty", with_fx(["fx_rows"], """
+SELECT 'chk_negative_empty' AS "check", query_name || '|' || CAST(row_id AS VARCHAR) AS key,
+       'negative with spans' AS detail
+FROM picks WHERE em = 0 AND len(answer_texts) + len(fact_texts) > 0
+UNION ALL
+SELECT 'chk_negative_empty', query_name, CASE WHEN min(em) = 1 THEN 'no negative example' ELSE 'no positive example' END
+FROM picks GROUP BY query_name HAVING min(em) = max(em)""", """picks AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_name, em
+                                              ORDER BY md5(CAST(row_id AS VARCHAR) || '|42'), row_id) AS rk
+                 FROM fx_rows WHERE split = 'train' AND file_tokens < 1000) WHERE rk = 1)"""))
 def q_chk_negative_empty(spark, d):
-    return J.chk_negative_empty(few_shot_pick(rows_train(spark, d)))
+    """The picks by class (which hold the rule; their queries have both classes), and picks
+    that take the match flag for the class."""
+    train = rows_train(spark, d)
+    own = J.chk_negative_empty(few_shot_pick(train))
+    return own.unionByName(J.chk_negative_empty(few_shot_pick(train.withColumn("example_type", F.col("em")))))
 
 
-@reg("chk_sample_size", with_fx(["fx_files"], """
+@reg("chk_sample_size", with_fx(["fx_files", "fx_cands"], """
 SELECT 'chk_sample_size' AS "check", a.query_name AS key,
        CASE WHEN a.avail <= 20 THEN 'only ' || CAST(a.avail AS VARCHAR) || ' available'
             ELSE 'drawn ' || CAST(coalesce(s.drawn, 0) AS VARCHAR) END AS detail
 FROM (SELECT query_name, count(*) AS avail FROM smp_fr GROUP BY 1) a
 LEFT JOIN (SELECT query_name, count(*) AS drawn FROM smp GROUP BY 1) s ON a.query_name = s.query_name
-WHERE a.avail <= 20 OR coalesce(s.drawn, 0) <> 20""", sql_sample("fx_files")))
+WHERE a.avail <= 20 OR coalesce(s.drawn, 0) <> 20
+UNION ALL
+SELECT 'chk_sample_size', query, 'logged ' || CAST(count(*) AS VARCHAR) FROM fx_cands
+GROUP BY query HAVING count(*) <> 20""", sql_sample("fx_files")))
 def q_chk_sample_size(spark, d):
+    """The sample's size per query, and the rows per query of the response logs."""
     f = fx.fx_files(spark, d)
     avail = filter_file_budget(file_rollup(f, max_tokens=3000)).where(F.col("em").isin(0, 1))
-    return J.chk_sample_size(sample_files(f), avail, 20)
+    return J.chk_sample_size(sample_files(f), avail, 20).unionByName(J.chk_log_size(fx.fx_cands(spark, d), 20))
 
 
 @reg("chk_schema_equal", with_fx(["fx_rows"], """
@@ -125,9 +178,14 @@ def q_chk_schema_equal(spark, d):
         F.lit("chk_schema_equal").alias("check"), F.lit(ok).alias("ok"), "rows_checked")
 
 
-@reg("chk_pass_count", EMPTY)
+@reg("chk_pass_count", with_fx(["fx_cands"], f"""
+SELECT 'chk_pass_count' AS "check", CAST(i AS VARCHAR) AS key, CAST(c AS VARCHAR) AS detail
+FROM (SELECT i, CAST(sum(CASE WHEN {sql_strip('cand')} <> '' AND {sql_match('ans_spans', 'cand')}
+                              THEN 1 ELSE 0 END) AS INTEGER) AS c FROM cl GROUP BY i)
+WHERE c > 5""", SQL_CANDS_LONG))
 def q_chk_pass_count(spark, d):
-    return J.chk_pass_count(match_count(fx.fx_cands(spark, d)), 10)
+    """More than 5 of the 10 candidates match (10 itself cannot be passed)."""
+    return J.chk_pass_count(match_count(fx.fx_cands(spark, d)), 5)
 
 
 @reg("chk_positive", with_fx(["fx_rows"], """
@@ -141,13 +199,14 @@ def q_chk_positive(spark, d):
 SELECT 'chk_group_counts' AS "check", b.query_name || '|' || b.code_file_path AS key,
        CAST(b.n AS VARCHAR) || '/' || CAST(coalesce(p.n, 0) AS VARCHAR) || '/' || CAST(b.n AS VARCHAR) AS detail
 FROM (SELECT query_name, code_file_path, count(*) AS n FROM fx_blocks GROUP BY 1, 2) b
-LEFT JOIN (SELECT query_name, code_file_path, count(*) AS n FROM fx_blocks WHERE len(tokens) > 20 GROUP BY 1, 2) p
+LEFT JOIN (SELECT query_name, code_file_path, count(*) AS n FROM fx_blocks
+           WHERE conv_id IN (SELECT doc_id FROM labels) GROUP BY 1, 2) p
   ON b.query_name = p.query_name AND b.code_file_path = p.code_file_path
 WHERE b.n <> coalesce(p.n, 0)"""))
 def q_chk_group_counts(spark, d):
-    """A relevance model that skips short blocks (20 tokens or fewer): files with missing
+    """Predictions exist for the conversations whose number has a label: files without
     predictions are reported."""
     b = fx.fx_blocks(spark, d)
-    preds = b.where(F.size("subtokenized_input_sequence") > 20).select("query_name", "code_file_path",
-                                                                        "block_ordinal")
+    labelled = fx.table(spark, d, "labels").select(F.col("doc_id").alias("conv_id"))
+    preds = b.join(labelled, "conv_id", "left_semi").select("query_name", "code_file_path", "block_ordinal")
     return J.chk_group_counts(b, preds)
