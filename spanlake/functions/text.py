@@ -85,15 +85,18 @@ def run_stamp(ts) -> Column:
 # --- prompt templates ----------------------------------------------------
 # A template is plain text with ``{{ name }}`` placeholders and one loop form
 # ``{% for x in name %}...{{x}}...{% endfor %}``.  Rendering turns it into a
-# single ``concat`` expression; unknown names render as ''.  As with the usual
+# single ``concat`` expression; unknown names render as ''.  A ``-`` inside a tag's
+# bracket drops the blanks and newlines on that side of the tag.  As with the usual
 # template engine defaults, one trailing newline of the template is dropped.
 _TOKEN_RE = re.compile(
-    r"\{%-?\s*for\s+(\w+)\s+in\s+(\w+)\s*-?%\}(.*?)\{%-?\s*endfor\s*-?%\}|\{\{\s*(\w+)\s*\}\}",
+    r"\{%\s*for\s+(\w+)\s+in\s+(\w+)\s*%\}(.*?)\{%\s*endfor\s*%\}|\{\{\s*(\w+)\s*\}\}",
     re.S)
 
 
 def template_parts(template: str):
     """Split a template into ('text', s) / ('var', name) / ('loop', var, seq, body-parts)."""
+    template = re.sub(r"\s*(\{[%{])-", r"\1", template)
+    template = re.sub(r"-([%}]\})\s*", r"\1", template)
     if template.endswith("\n"):
         template = template[:-1]
     parts, pos = [], 0

@@ -106,7 +106,7 @@ def stitch_windows(windows: DataFrame, arrays: list[str], key: str = "example_id
 _PROV = "array<struct<label:int,block_index:int,block_offset:int>>"
 
 
-def compose_twostep(blocks: DataFrame, mode: str = "all") -> DataFrame:
+def compose_twostep(blocks: DataFrame, mode: str = "all") -> tuple[DataFrame, DataFrame]:
     """Two-step inputs per (query, file).
 
     Header = the first block's tokens through its first separator (segment 0, provenance
@@ -114,7 +114,8 @@ def compose_twostep(blocks: DataFrame, mode: str = "all") -> DataFrame:
     separator token (label 4, segment 1) *between* them; block offsets restart at 0.
     The target sequence takes the blocks whose relevance label is 1.  A file with a
     single block skips prediction (predicted = target = 1).  Tokens stay strings here;
-    encode them with ``vocab_encode``."""
+    encode them with ``vocab_encode``.  Returns ``(sequences, rejects)``: a file whose first
+    block has no separator is rejected (the benchmark stops there)."""
     from spanlake.operators.filters import filter_example_type
     b = filter_example_type(blocks, mode)
     g = b.groupBy("query_name", "code_file_path").agg(F.array_sort(F.collect_list(F.struct(
@@ -123,6 +124,9 @@ def compose_twostep(blocks: DataFrame, mode: str = "all") -> DataFrame:
         F.col("label_sequence").alias("labels")))).alias("bl"))
     first = F.get(F.col("bl"), 0)
     g = g.withColumn("p", first_sep_index(first["labels"]) + 1).withColumn("nb", F.size("bl"))
+    rejects = g.where(F.col("p").isNull()).select(
+        "query_name", "code_file_path", F.lit("compose_twostep").alias("check"), F.lit("no separator").alias("detail"))
+    g = g.where(F.col("p").isNotNull())
     sep_prov = F.struct(F.lit(LABEL_PAD).alias("label"), F.lit(-1).alias("block_index"),
                         F.lit(-1).alias("block_offset"))
 
@@ -156,7 +160,8 @@ def compose_twostep(blocks: DataFrame, mode: str = "all") -> DataFrame:
     out = g.select("query_name", "code_file_path", "p", "nb", tokens.alias("tokens"),
                    predicted.alias("predicted"), target.alias("target"))
     n = F.size("tokens")
-    return (out.withColumn("segments", F.concat(F.array_repeat(F.lit(0), F.col("p")),
-                                                F.array_repeat(F.lit(1), n - F.col("p"))))
-            .withColumn("mask", F.array_repeat(F.lit(1), n))
-            .withColumn("labels", F.transform("predicted", lambda x: x["label"])))
+    out = (out.withColumn("segments", F.concat(F.array_repeat(F.lit(0), F.col("p")),
+                                               F.array_repeat(F.lit(1), n - F.col("p"))))
+           .withColumn("mask", F.array_repeat(F.lit(1), n))
+           .withColumn("labels", F.transform("predicted", lambda x: x["label"])))
+    return out, rejects

@@ -6,30 +6,46 @@ from __future__ import annotations
 import hashlib
 
 
-def hint_predictor():
-    """Span predictor whose scores put 1.0 on the class named by the ``hint`` input at
-    each position (pad label 4 beyond the hint) - a table-backed model."""
+def table_predictor(classes: dict, default: int = 2):
+    """A span predictor backed by a table: the class of a position is the table's entry for
+    its token id (``default`` for ids outside it) after the separator, and the pad label 4
+    in the query prefix (segment 0) and where the mask is 0.  Returns the factory."""
+    def factory():
+        import numpy as np
+        size = max(classes, default=0) + 1
+        table = np.full(size, default, dtype=np.int64)
+        table[list(classes)] = list(classes.values())
+        eye = np.eye(5)
+
+        def predict(batch):
+            out = []
+            for ids, segments, mask in zip(batch["ids"], batch["segments"], batch["mask"]):
+                ids = np.asarray(ids, dtype=np.int64)
+                if segments is None:
+                    out.append(eye[np.full(len(ids), 4)])
+                    continue
+                known = (ids >= 0) & (ids < size)
+                cls = np.where(known, table[np.where(known, ids, 0)], default)
+                body = (np.asarray(segments) == 1) & (np.asarray(mask) == 1)
+                out.append(eye[np.where(body, cls, 4)])
+            return out
+        return predict
+    return factory
+
+
+def parity_relevance():
+    """Two-class block scorer: class = parity of the masked body ids' sum."""
     import numpy as np
-    eye = np.eye(5)
 
     def predict(batch):
         out = []
-        for ids, hint in zip(batch["ids"], batch["hint"]):
-            cls = np.full(len(ids), 4, dtype=np.int64)
-            h = np.asarray(hint, dtype=np.int64)[:len(ids)]
-            cls[:len(h)] = h
-            out.append(eye[cls])
+        for ids, segments, mask in zip(batch["ids"], batch["segments"], batch["mask"]):
+            odd = int((np.asarray(ids) * np.asarray(segments) * np.asarray(mask)).sum()) % 2
+            out.append([0.0, 1.0] if odd else [1.0, 0.0])
         return out
     return predict
 
 
-def hint_relevance():
-    """Two-class block scorer: class = the ``hint`` input."""
-    def predict(batch):
-        return [[0.0, 1.0] if h == 1 else [1.0, 0.0] for h in batch["hint"]]
-    return predict
-
-
 def digest(s: str) -> str:
     return hashlib.md5(s.encode()).hexdigest()
 

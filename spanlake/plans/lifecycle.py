@@ -5,7 +5,8 @@
 * ``generate_logs`` - file-level prompts for the sample (answers, description, file
   text, few-shot examples), budget check, candidate generation through a user client,
   and the response logs (one folder per query).
-* ``evaluate_logs`` - any-match and pass@k over the logs, one scan each.
+* ``evaluate_logs`` - pass@k and any-match over the logs; each is a frame of its own and
+  reads them once.
 
 Each step is a DataFrame transformation; only the client call leaves the JVM."""
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlake.functions.text import render_prompt, sanitize_blocks, token_count
+from spanlake.functions.text import join_spans, render_prompt, sanitize_blocks, token_count
 from spanlake.operators import aggregates as D
 from spanlake.operators import joins as C
 from spanlake.operators.filters import (
@@ -79,31 +80,61 @@ def few_shot_values(train: DataFrame) -> DataFrame:
         F.max(F.when(F.col("example_type") == 0, F.col("ctx"))).alias("negative_context"))
 
 
-def build_prompts(sample: DataFrame, test: DataFrame, train: DataFrame, meta: DataFrame,
-                  source_files: DataFrame, template: str = SPAN_PROMPT, max_tokens: int = 4000,
-                  train_budget: int | None = TRAIN_BUDGET) -> tuple[DataFrame, DataFrame]:
-    """(accepted prompts, rejected prompts) for the sampled files.  Few-shot examples come
-    from the train rows under the train token budget (when they carry ``file_tokens``)."""
-    if train_budget is not None and "file_tokens" in train.columns:
-        train = filter_query_budget(train, train_budget)
+def file_inputs(sample: DataFrame, test: DataFrame, meta: DataFrame, source_files: DataFrame) -> DataFrame:
+    """One row per sampled file with its answers, description and text.  No file is lost:
+    ``reason`` says which lookup failed (null: none)."""
     from spanlake.session import ensure_checkpoint_dir
     # the sample is small (<= size files per query) and feeds several branches:
     # materialize it once instead of re-running its plan in each
     ensure_checkpoint_dir(sample.sparkSession)
-    s = sample.select("query_name", "code_file_path", "bucket", "rank_in_bucket",
-                      "consume_order").checkpoint(eager=True)
+    s = sample.checkpoint(eager=True)
     # answers only for the sampled files: semi join with the (small) sample first
-    answers = D.file_answer_agg(C.semi_join_files(test, s)).select("query_name", "code_file_path", "answer_spans")
-    j = C.join_query_meta(s, meta).withColumnRenamed("desc", "description")
-    j = C.join_source_text(j, source_files).withColumnRenamed("content", "input_code")
-    j = j.join(answers, ["query_name", "code_file_path"]).join(few_shot_values(train), "query_name", "left")
-    vals = {c: F.col(c) for c in ["query_name", "description", "positive_context", "positive_spans",
-                                  "negative_context", "input_code", "reccomendation"]}
-    vals["recommendation"] = F.col("reccomendation")
-    p = j.withColumn("prompt", render_prompt(template, vals)).withColumn("n_tokens", token_count("prompt"))
+    answers = D.file_answer_agg(C.semi_join_files(test, s)).select(
+        "query_name", "code_file_path", "answer_spans", "supporting_fact_spans", F.lit(True).alias("_answered"))
+    described = meta.select("query_name", F.col("desc").alias("description"),
+                            F.col("reccomendation").alias("recommendation"), F.lit(True).alias("_described"))
+    texts = source_files.select("code_file_path", F.col("content").alias("input_code"), F.lit(True).alias("_found"))
+    j = (s.join(described, "query_name", "left").join(texts, "code_file_path", "left")
+         .join(answers, ["query_name", "code_file_path"], "left"))
+    reason = (F.when(F.col("_described").isNull(), "no metadata").when(F.col("_found").isNull(), "no source file")
+              .when(F.col("_answered").isNull(), "no example rows"))
+    return j.withColumn("reason", reason).drop("_described", "_found", "_answered")
+
+
+def row_inputs(rows: DataFrame, meta: DataFrame, source_files: DataFrame | None = None) -> DataFrame:
+    """Prompt inputs of single examples; the code is the example's blocks, or with
+    ``source_files`` the entire file.  Lookups that fail: ``missing_keys``."""
+    j = C.join_query_meta(rows, meta)
+    code = sanitize_blocks(F.col("context_blocks.content"))
+    if source_files is not None:
+        j, code = C.join_source_text(j, source_files), F.col("content")
+    return j.select("row_id", "query_name", F.col("desc").alias("description"),
+                    F.col("reccomendation").alias("recommendation"), code.alias("input_code"),
+                    join_spans(F.col("answer_spans.span")).alias("answer_spans"),
+                    join_spans(F.col("supporting_fact_spans.span")).alias("supporting_fact_spans"))
+
+
+def render(inputs: DataFrame, train: DataFrame, template: str = SPAN_PROMPT) -> DataFrame:
+    """H16 over ``file_inputs`` and the few-shot values; adds ``prompt`` and ``n_tokens``."""
+    j = inputs.join(few_shot_values(train), "query_name", "left")
+    vals = {c: F.col(c) for c in ["query_name", "description", "recommendation", "positive_context",
+                                  "positive_spans", "negative_context", "input_code"]}
+    return j.withColumn("prompt", render_prompt(template, vals)).withColumn("n_tokens", token_count("prompt"))
+
+
+def build_prompts(sample: DataFrame, test: DataFrame, train: DataFrame, meta: DataFrame,
+                  source_files: DataFrame, template: str = SPAN_PROMPT, max_tokens: int = 4000,
+                  train_budget: int | None = TRAIN_BUDGET) -> tuple[DataFrame, DataFrame]:
+    """(accepted prompts, rejected files with their ``reason``) for the sampled files.  Few-shot
+    examples come from the train rows under the train token budget (when they carry
+    ``file_tokens``)."""
+    if train_budget is not None and "file_tokens" in train.columns:
+        train = filter_query_budget(train, train_budget)
+    s = sample.select("query_name", "code_file_path", "bucket", "rank_in_bucket", "consume_order")
+    p = render(file_inputs(s, test, meta, source_files), train, template)
+    p = p.withColumn("reason", F.coalesce("reason", F.when(F.col("n_tokens") > max_tokens, "over budget")))
     keep = ["query_name", "code_file_path", "consume_order", "answer_spans", "prompt", "n_tokens"]
-    return (p.where(F.col("n_tokens") <= max_tokens).select(*keep),
-            p.where(F.col("n_tokens") > max_tokens).select(*keep))
+    return p.where("reason IS NULL").select(*keep), p.where("reason IS NOT NULL").select(*keep, "reason")
 
 
 def generate_logs(prompts: DataFrame, meta: DataFrame, client_factory: Callable, out_path: str,
@@ -128,7 +159,7 @@ def generate_logs(prompts: DataFrame, meta: DataFrame, client_factory: Callable,
     todo = todo.repartition(concurrency) if concurrency else todo
     generate_candidates(todo, client_factory, n=n, **client_opts).select("prompt_hash", "cands").write.mode("append").parquet(path)
     g = asked.join(spark.read.schema(answers).parquet(path), "prompt_hash").drop("prompt_hash")
-    g = row_index(g, "query_name", ("consume_order", "code_file_path"), distributed=False)
+    g = row_index(g, "query_name", ("consume_order", "code_file_path"))
     rows = log_row(g.withColumnRenamed("answer_spans", "ans_spans"), n)
     rows = C.join_folder_map(rows.withColumnRenamed("query", "query_name"), meta) \
         .withColumnRenamed("query_name", "query").withColumnRenamed("folder", "query_folder")

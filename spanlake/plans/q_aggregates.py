@@ -174,7 +174,7 @@ SELECT query_name, code_file_path, CAST(p AS INTEGER) AS p, CAST(nb AS INTEGER)
        {_sql_prov('target')} AS target
 FROM ts""", SQL_TWOSTEP))
 def q_compose_twostep(spark, d):
-    c = compose_twostep(fx.fx_blocks(spark, d))
+    c, _ = compose_twostep(fx.fx_blocks(spark, d))
     return c.select("query_name", "code_file_path", F.col("p").cast("int"), F.col("nb").cast("int"),
                     F.array_join("tokens", "~").alias("tokens"), _prov_str(F.col("predicted")).alias("predicted"),
                     _prov_str(F.col("target")).alias("target"))
@@ -185,7 +185,7 @@ SELECT count(*) AS n, CAST(sum(hit) AS BIGINT) AS exact, round(avg(hit), 9) AS e
 FROM (SELECT CAST({_sql_spans2('predicted')} = {_sql_spans2('target')} AS INTEGER) AS hit FROM ts)""",
                                          SQL_TWOSTEP))
 def q_twostep_exact_match_rate(spark, d):
-    return D.twostep_exact_match_rate(compose_twostep(fx.fx_blocks(spark, d)), "target", "predicted")
+    return D.twostep_exact_match_rate(compose_twostep(fx.fx_blocks(spark, d))[0], "target", "predicted")
 
 
 @reg("any_match_rate", with_fx(["fx_cands"], f"""

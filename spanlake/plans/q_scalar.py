@@ -8,11 +8,9 @@ from spanlake.functions import matching as M
 from spanlake.functions import sequences as SQ
 from spanlake.functions import spans as SP
 from spanlake.functions import text as T
-from spanlake.operators import joins as C
-from spanlake.operators.aggregates import file_answer_agg
-from spanlake.operators.sampling import few_shot_pick
 from spanlake.operators.sequences import compose_twostep, pad_relevance_inputs, span_inputs, split_windows
 from spanlake.plans import fixtures as fx
+from spanlake.plans import lifecycle as L
 from spanlake.plans.oracle_fixtures import TOKEN_RE, with_fx
 from spanlake.plans.q_aggregates import SQL_TWOSTEP, _sql_spans2
 from spanlake.plans.shared import (
@@ -69,23 +67,11 @@ SHOTS = f"""shots AS (
   FROM picks GROUP BY query_name)"""
 
 
-def few_shot_values(spark, d):
-    """H4: positive context, positive span list and negative context per query."""
-    p = few_shot_pick(rows_train(spark, d))
-    v = p.select("query_name", "example_type",
-                 T.sanitize_blocks(F.col("context_blocks.content")).alias("ctx"),
-                 F.col("answer_spans.span").alias("spans"))
-    return v.groupBy("query_name").agg(
-        F.max(F.when(F.col("example_type") == 1, F.col("ctx"))).alias("positive_context"),
-        F.max(F.when(F.col("example_type") == 1, F.col("spans"))).alias("positive_spans"),
-        F.max(F.when(F.col("example_type") == 0, F.col("ctx"))).alias("negative_context"))
-
-
 @reg("few_shot_values", with_fx(["fx_rows"], """
 SELECT query_name, positive_context, array_to_string(positive_spans, '|') AS positive_spans, negative_context
 FROM shots""", PICKS + ",\n" + SHOTS))
 def q_few_shot_values(spark, d):
-    v = few_shot_values(spark, d)
+    v = L.few_shot_values(rows_train(spark, d))
     return v.select("query_name", "positive_context", F.array_join("positive_spans", "|").alias("positive_spans"),
                     "negative_context")
 
@@ -175,7 +161,7 @@ SELECT query_name, code_file_path, {_sql_spans2('predicted')} AS spans_predicted
        {_sql_spans2('target')} AS spans_target
 FROM ts""", SQL_TWOSTEP))
 def q_extract_spans_twostep(spark, d):
-    c = compose_twostep(fx.fx_blocks(spark, d))
+    c, _ = compose_twostep(fx.fx_blocks(spark, d))
     return c.select("query_name", "code_file_path",
                     SP.twostep_spans_to_string(SP.extract_spans_twostep("predicted")).alias("spans_predicted"),
                     SP.twostep_spans_to_string(SP.extract_spans_twostep("target")).alias("spans_target"))
@@ -263,20 +249,9 @@ PROMPT_CTES = ",\n".join([ROWS_TEST, sql_sample("fx_rows_test"), SQL_SOURCE, SQL
 
 def file_inputs(spark, d):
     """File-level prompt inputs for the sampled files: D7 answers, description, file text."""
-    from spanlake.session import ensure_checkpoint_dir
     rows = rows_test(spark, d)
-    # the sample is small (<= 20 files per query) and used by three branches: materialize
-    # it once (reliable checkpoint in the shared folder) instead of re-running its plan
-    ensure_checkpoint_dir(spark)
-    s = sample_files(rows).select("query_name", "code_file_path").checkpoint(eager=True)
-    # only the sampled files' rows are shuffled and concatenated (semi join with the small
-    # sample first), not every file's
-    a = file_answer_agg(C.semi_join_files(rows, s)).select(
-        "query_name", "code_file_path", "answer_spans", "supporting_fact_spans")
-    meta = fx.fx_meta(spark, d)
-    j = C.join_query_meta(s, meta).withColumnRenamed("desc", "description").drop("reccomendation")
-    j = C.join_source_text(j, source_files_rows(spark, d)).withColumnRenamed("content", "input_code")
-    return j.join(a, ["query_name", "code_file_path"])
+    sample = sample_files(rows).select("query_name", "code_file_path")
+    return L.file_inputs(sample, rows, fx.fx_meta(spark, d), source_files_rows(spark, d)).where("reason IS NULL")
 
 
 def _sql_prompt() -> str:
@@ -295,11 +270,8 @@ def _sql_prompt() -> str:
 
 def prompts(spark, d):
     """H16 over the file-level inputs and the per-query few-shot values."""
-    j = file_inputs(spark, d).join(few_shot_values(spark, d), "query_name", "left")
-    vals = {c: F.col(c) for c in ["query_name", "description", "positive_context", "positive_spans",
-                                  "negative_context", "input_code"]}
-    return j.select("query_name", "code_file_path", "answer_spans",
-                    T.render_prompt(SPAN_PROMPT, vals).alias("prompt"))
+    p = L.render(file_inputs(spark, d), rows_train(spark, d))
+    return p.select("query_name", "code_file_path", "answer_spans", "prompt", "n_tokens")
 
 
 @reg("render_prompt", with_fx(["fx_rows", "fx_meta"], f"""
@@ -315,24 +287,26 @@ SELECT query_name, code_file_path, n_tokens, n_tokens > 4000 AS over_budget FROM
          CAST(len(regexp_extract_all({_sql_prompt()}, '{TOKEN_RE}')) AS INTEGER) AS n_tokens
   FROM fin LEFT JOIN shots USING (query_name))""", PROMPT_CTES))
 def q_prompt_budget(spark, d):
-    p = prompts(spark, d).withColumn("n_tokens", T.token_count("prompt"))
+    p = prompts(spark, d)
     return p.select("query_name", "code_file_path", "n_tokens", (F.col("n_tokens") > 4000).alias("over_budget"))
 
 
-@reg("prompt_input_row", with_fx(["fx_rows", "fx_meta"], f"""
-SELECT r.row_id, r.query_name, m."desc" AS description, m.reccomendation AS recommendation,
-       {SQL_SANITIZE} AS input_code, array_to_string(answer_texts, ':::-:::') AS answer_spans,
+_SQL_ROW_INPUT = """
+SELECT '{mode}' AS mode, r.row_id, r.query_name, m."desc" AS description, m.reccomendation AS recommendation,
+       {code} AS input_code, array_to_string(answer_texts, ':::-:::') AS answer_spans,
        array_to_string(fact_texts, ':::-:::') AS supporting_fact_spans
-FROM fx_rows r JOIN fx_meta m ON r.query_name = m.query_name
-WHERE r.split = 'test' AND r.example_type = 1"""))
+FROM fx_rows r JOIN fx_meta m ON r.query_name = m.query_name JOIN src s ON r.code_file_path = s.code_file_path
+WHERE r.split = 'test' AND r.example_type = 1"""
+
+
+@reg("prompt_input_row", with_fx(["fx_rows", "fx_meta"], _SQL_ROW_INPUT.format(mode="blocks", code=SQL_SANITIZE)
+                                 + " UNION ALL " + _SQL_ROW_INPUT.format(mode="file", code="s.content"), SQL_SOURCE))
 def q_prompt_input_row(spark, d):
+    """The example's blocks, and the entire file, as the code of a row-level prompt."""
     r = rows_test(spark, d).where(F.col("example_type") == 1)
-    j = C.join_query_meta(r, fx.fx_meta(spark, d))
-    return j.select("row_id", "query_name", F.col("desc").alias("description"),
-                    F.col("reccomendation").alias("recommendation"),
-                    T.sanitize_blocks(F.col("context_blocks.content")).alias("input_code"),
-                    T.join_spans(F.col("answer_spans.span")).alias("answer_spans"),
-                    T.join_spans(F.col("supporting_fact_spans.span")).alias("supporting_fact_spans"))
+    meta = fx.fx_meta(spark, d)
+    blocks = L.row_inputs(r, meta).select(F.lit("blocks").alias("mode"), "*")
+    return blocks.unionByName(L.row_inputs(r, meta, source_files_rows(spark, d)).select(F.lit("file").alias("mode"), "*"))
 
 
 @reg("prompt_input_file", with_fx(["fx_rows", "fx_meta"], """

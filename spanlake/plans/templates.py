@@ -1,45 +1,30 @@
-"""Prompt templates (our own wording).  ``{{ name }}`` placeholders and one loop form
+"""The prompt template (our own wording).  ``{{ name }}`` placeholders and one loop form
 ``{% for x in seq %}...{% endfor %}``; see ``functions.text.render_prompt``."""
 
-SPAN_PROMPT = """Task: list the code spans that the static-analysis query "{{ query_name }}" would report.
-Query description: {{ description }}
+SPAN_PROMPT = """You check Python files against the rule "{{ query_name }}": {{ description }}
 
-Worked example with reported spans:
+How to answer:
+- copy every piece of code that breaks the rule exactly as the file has it, one after another;
+- when nothing in the file breaks it, answer N/A and add nothing.
+
+The file to check:
 ```python
-{{ positive_context }}
+{{ input_code }}
 ```
-Reported spans:
+
+Two checked files for comparison. In the first, the rule is broken:
 ```python
+{{ positive_context }}
+```
+and the right answer was:
 {% for span in positive_spans %}
 {{span}}
 {% endfor %}
-```
-
-Worked example without reported spans:
+In the second, it is not:
 ```python
 {{ negative_context }}
 ```
-Reported spans:
-```python
-```
-
-File to analyse:
-```python
-{{ input_code }}
-```
-Reported spans:
-```python
-"""
-
-ROW_PROMPT = """Mark one span of the code below for the query "{{ query_name }}".
-What the query finds: {{ description }}
-How such code is usually fixed: {{ recommendation }}
+and the right answer was N/A.
 
-Code:
-```python
-{{ input_code }}
-```
-
-Span to mark:
-```python
+Your answer for the file to check:
 """

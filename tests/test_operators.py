@@ -110,15 +110,15 @@ def _prov(c):
 
 
 def test_compose_twostep_edges(spark):
-    one = compose_twostep(_blocks(spark, [(0, 7, 0, 0, ["a", "b"], [0, 1])])).first()
+    one = compose_twostep(_blocks(spark, [(0, 7, 0, 0, ["a", "b"], [0, 1])]))[0].first()
     # a single block skips prediction: chosen on both sides even with relevance 0
     assert one["tokens"] == ["q", "[SEP]_", "a", "b"]
     assert _prov(one["predicted"]) == [(4, -1, -1), (4, -1, -1), (0, 7, 0), (1, 7, 1)]
     assert _prov(one["target"]) == _prov(one["predicted"])
-    none = compose_twostep(_blocks(spark, [(0, 1, 0, 1, ["a"], [0]), (1, 2, 0, 0, ["b"], [2])])).first()
+    none = compose_twostep(_blocks(spark, [(0, 1, 0, 1, ["a"], [0]), (1, 2, 0, 0, ["b"], [2])]))[0].first()
     assert none["tokens"] == ["q", "[SEP]_"]                       # header only
     assert _prov(none["target"]) == [(4, -1, -1), (4, -1, -1), (0, 1, 0)]
-    both = compose_twostep(_blocks(spark, [(1, 2, 1, 1, ["b"], [2]), (0, 1, 1, 1, ["a", "c"], [3, 1])])).first()
+    both = compose_twostep(_blocks(spark, [(1, 2, 1, 1, ["b"], [2]), (0, 1, 1, 1, ["a", "c"], [3, 1])]))[0].first()
     assert both["tokens"] == ["q", "[SEP]_", "a", "c", "[SEP]_", "b"]
     assert both["segments"] == [0, 0, 1, 1, 1, 1] and both["mask"] == [1] * 6
     assert _prov(both["predicted"]) == [(4, -1, -1), (4, -1, -1), (3, 1, 0), (1, 1, 1), (4, -1, -1), (2, 2, 0)]
