@@ -39,7 +39,8 @@ def partition_by_query(df: DataFrame, col: str = "query_name") -> DataFrame:
 
     A size-driven rebalance for the step that stores them (``materialize`` partitioned by
     the query): AQE merges small queries and splits a query holding a large share of the
-    rows over as many tasks as its bytes need."""
+    rows over as many tasks as its bytes need (an aggregate by query placed directly on
+    it would hold AQE to one task per query: aggregate the stored table instead)."""
     return df.hint("rebalance", col)
 
 

@@ -2,8 +2,9 @@
 
 * ``map_rows`` / ``filter_rows`` — user Python over pandas batches (``mapInPandas``).
 * ``predict_labels`` / ``predict_relevance`` — a user predictor, built once per Python
-  worker from a factory, scores padded sequences in fixed-size batches; argmax and loss
-  stay native (``functions.sequences.argmax_labels``, ``aggregates.batch_loss``).
+  worker from a factory, scores padded sequences in fixed-size batches; only the best
+  classes come back unless the scores are asked for (then ``argmax_labels`` and
+  ``batch_loss`` work on them natively).
 * ``generate_candidates`` — a user text-generation client called per partition with
   retry / back-off inside the worker; every failure becomes data (n failure rows).
 * ``token_count_udf`` — a Pandas UDF around a user tokenizer.
@@ -63,9 +64,17 @@ def filter_rows(df: DataFrame, predicate: Callable[[pd.DataFrame], pd.Series]) -
 
 
 # I2 / I3 -------------------------------------------------------------------------------
-def _score(df: DataFrame, factory: Callable, inputs: list[str], out_col: str, out_type: T.DataType,
-           batch_size: int) -> DataFrame:
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, out_type)])
+def _score(df: DataFrame, factory: Callable, inputs: list[str], predicted: T.DataType, scores: T.DataType,
+           scores_col: str | None, batch_size: int) -> DataFrame:
+    """Model scores per row, reduced to the best class (lowest on ties) inside the batch; the
+    scores themselves leave the worker only when ``scores_col`` asks for them."""
+    import numpy as np
+    fields = [f for f in df.schema.fields if f.name not in ("predicted", scores_col)]
+    keep = [f.name for f in fields]
+    fields.append(T.StructField("predicted", predicted))
+    if scores_col:
+        fields.append(T.StructField(scores_col, scores))
+    schema = T.StructType(fields)
     ensure_library_on_workers(df.sparkSession)
     token = uuid.uuid4().hex
 
@@ -76,29 +85,29 @@ def _score(df: DataFrame, factory: Callable, inputs: list[str], out_col: str, ou
             for s in range(0, len(b), batch_size):
                 chunk = b.iloc[s:s + batch_size]
                 outs.extend(model({c: list(chunk[c]) for c in inputs}))
-            b = b.copy()
-            b[out_col] = outs
-            yield b
+            out = b[keep].copy()
+            out["predicted"] = [np.argmax(np.asarray(o), axis=-1).astype("int32") for o in outs]
+            if scores_col:
+                out[scores_col] = outs
+            yield out
     return df.mapInPandas(run, schema)
 
 
 def predict_labels(df: DataFrame, predictor_factory: Callable, inputs=("ids", "segments", "mask"),
-                   batch_size: int = 4, out_col: str = "logits") -> DataFrame:
-    """Per-position class scores ``array<array<double>>`` from a user predictor.
+                   batch_size: int = 4, out_col: str | None = None) -> DataFrame:
+    """The best class per position, ``predicted``, from a user predictor's class scores
+    (kept as ``array<array<double>>`` when ``out_col`` names a column for them).
 
     ``predictor_factory()`` returns ``f(batch: dict[str, list]) -> list[list[list[float]]]``."""
-    from spanlake.functions.sequences import argmax_labels
-    out = _score(df, predictor_factory, list(inputs), out_col,
-                 T.ArrayType(T.ArrayType(T.DoubleType())), batch_size)
-    return out.withColumn("predicted", argmax_labels(out_col))
+    return _score(df, predictor_factory, list(inputs), T.ArrayType(T.IntegerType()),
+                  T.ArrayType(T.ArrayType(T.DoubleType())), out_col, batch_size)
 
 
 def predict_relevance(df: DataFrame, predictor_factory: Callable, inputs=("ids", "segments", "mask"),
-                      batch_size: int = 16, out_col: str = "class_logits") -> DataFrame:
+                      batch_size: int = 16, out_col: str | None = None) -> DataFrame:
     """Two-class scores per block; ``predicted`` = argmax (lowest index on ties)."""
-    out = _score(df, predictor_factory, list(inputs), out_col, T.ArrayType(T.DoubleType()), batch_size)
-    v = F.col(out_col)
-    return out.withColumn("predicted", (F.array_position(v, F.array_max(v)) - 1).cast("int"))
+    return _score(df, predictor_factory, list(inputs), T.IntegerType(), T.ArrayType(T.DoubleType()),
+                  out_col, batch_size)
 
 
 # I7 ------------------------------------------------------------------------------------

@@ -63,8 +63,8 @@ def vocab_encode(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str, out
 
 
 def _encode_map(df: DataFrame, rows: list, tokens_col: str, out_col: str) -> DataFrame:
-    """Vectorized lookup in Arrow: the token list column of each batch is flattened,
-    matched against the broadcast vocabulary keys (``index_in``, a C++ hash lookup),
+    """Vectorized lookup in Arrow: the token list column of each batch is flattened and
+    dictionary-encoded, each distinct token is looked up once in the broadcast vocabulary,
     misses take the unknown id, and the ids are re-wrapped with the same list offsets."""
     from pyspark.sql import types as T
     table = {}
@@ -75,7 +75,7 @@ def _encode_map(df: DataFrame, rows: list, tokens_col: str, out_col: str) -> Dat
     unk = table.get(UNK_TOKEN)
     from spanlake.session import ensure_library_on_workers
     ensure_library_on_workers(df.sparkSession)
-    bc = df.sparkSession.sparkContext.broadcast((list(table.keys()), list(table.values()), unk))
+    bc = df.sparkSession.sparkContext.broadcast((table, unk))
     schema = T.StructType([f for f in df.schema.fields if f.name != out_col]
                           + [T.StructField(out_col, T.ArrayType(T.IntegerType()))])
     names = [f.name for f in schema.fields]
@@ -83,15 +83,14 @@ def _encode_map(df: DataFrame, rows: list, tokens_col: str, out_col: str) -> Dat
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
-        keys, ids, unk_id = bc.value
-        key_arr, id_arr = pa.array(keys, pa.string()), pa.array(ids, pa.int32())
+        ids, unk_id = bc.value
         for b in batches:
             toks = b.column(tokens_col)
             if isinstance(toks, pa.ChunkedArray):
                 toks = toks.combine_chunks()
-            flat = toks.flatten()
-            pos = pc.index_in(flat, value_set=key_arr)
-            enc = pc.take(id_arr, pos)
+            words = toks.flatten().dictionary_encode()
+            found = pa.array([ids.get(w, unk_id) for w in words.dictionary.to_pylist()], pa.int32())
+            enc = pc.take(found, words.indices)
             if unk_id is not None:
                 enc = pc.fill_null(enc, pa.scalar(unk_id, pa.int32()))
             offsets = toks.offsets

@@ -28,9 +28,11 @@ def get_spark(master: str | None = None, app: str = "spanlake",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # Arrow batches for Python operators: a 1024-position sequence with 1024 x 5
-        # logits is ~60 KB per row, so 2,048 rows keep a batch near 100 MB per task
+        # Arrow batches for Python operators are bounded by rows and, for long texts, bytes
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+        "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
+        # checkpoint files go when their frame is no longer referenced
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.parquet.filterPushdown": "true",
         "spark.sql.optimizer.nestedSchemaPruning.enabled": "true",
     }

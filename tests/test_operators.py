@@ -173,16 +173,15 @@ def test_group_row_number_spreads_hot_group(spark):
 
 def test_partition_by_query_spreads_a_hot_query(spark):
     from spanlake.operators.filters import partition_by_query
-    rows = [("hot", i) for i in range(3000)] + [(f"q{i % 5}", 10_000 + i) for i in range(500)]
-    df = spark.createDataFrame(rows, "query_name string, row_id long")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        p = partition_by_query(df, 32, salt_key="row_id").withColumn("pid", F.spark_partition_id())
-        spread = p.where("query_name = 'hot'").select("pid").distinct().count()
+    name = F.when(F.col("id") < 3000, "hot").otherwise(F.concat(F.lit("q"), F.col("id") % 5))
+    df = spark.range(0, 3500, 1, 16).select(name.alias("query_name"), F.col("id").alias("row_id"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1k")
+    try:  # the split follows the bytes: with a small target size the hot query takes many tasks
+        rows = partition_by_query(df).withColumn("pid", F.spark_partition_id()).collect()
     finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    assert spread > 4
-    assert p.count() == len(rows)
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len({r["pid"] for r in rows if r["query_name"] == "hot"}) > 4
+    assert sorted(r["row_id"] for r in rows) == list(range(3500))
 
 
 def test_metrics_on_empty_input(spark):

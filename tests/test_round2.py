@@ -101,3 +101,61 @@ def test_fuzzy_match_equals_probing(spark):
         return bool(a) and bool(b) and 10 * m > 9 * len(a) and 10 * m > 9 * len(b)
     got = spark.createDataFrame(rows, "a string, b string").withColumn("m", fuzzy_match("a", "b")).collect()
     assert all(r["m"] == match(r["a"], r["b"]) for r in got) and any(r["m"] for r in got)
+
+
+def test_prompt_rejects_carry_their_reason(spark):
+    from spanlake.plans import lifecycle as L
+    names = ["ok", "no_meta", "no_text", "no_rows"]
+    sample = spark.createDataFrame([(n if n == "no_meta" else "q", n, 0, 1, i) for i, n in enumerate(names)],
+                                   "query_name string, code_file_path string, bucket int, rank_in_bucket int, consume_order int")
+    rows = spark.createDataFrame(
+        [(i, n if n == "no_meta" else "q", n, [("code", 0)], [("span",)], [], 1) for i, n in enumerate(names[:3])],
+        "row_id long, query_name string, code_file_path string, context_blocks array<struct<content:string,index:int>>, "
+        "answer_spans array<struct<span:string>>, supporting_fact_spans array<struct<span:string>>, example_type int")
+    meta = spark.createDataFrame([("q", None, "fix")], "query_name string, desc string, reccomendation string")
+    files = spark.createDataFrame([(n, "text of " + n) for n in names if n != "no_text"], "code_file_path string, content string")
+    ok, bad = L.build_prompts(sample, rows, rows, meta, files)
+    assert [r["code_file_path"] for r in ok.collect()] == ["ok"] and "N/A" in ok.first()["prompt"]
+    assert {r["code_file_path"]: r["reason"] for r in bad.collect()} == {
+        "no_meta": "no metadata", "no_text": "no source file", "no_rows": "no example rows"}
+    assert [r["reason"] for r in L.build_prompts(sample, rows, rows, meta, files, max_tokens=1)[1].where("code_file_path = 'ok'").collect()] == ["over budget"]
+    whole = {r["row_id"]: r["input_code"] for r in L.row_inputs(rows, meta, files).collect()}
+    assert whole == {0: "text of ok"}
+
+
+def test_template_trimming(spark):
+    from spanlake.functions.text import render_prompt
+    df = spark.createDataFrame([(["a", "b"], "v")], "xs array<string>, x string")
+    t = "head\n{%- for s in xs -%}\n [{{ s }}] \n{%- endfor %}\ntail {{- x -}}  end\n"
+    assert df.select(render_prompt(t, {"xs": "xs", "x": "x"}).alias("p")).first()["p"] == "head[a][b]\ntailvend"
+
+
+def test_twostep_without_separator_is_rejected(spark):
+    from spanlake.operators.sequences import compose_twostep
+    row = ("q", "f", 0, 0, 0, 1, 1, 1, ["a", "b"], [0, 1])
+    df = spark.createDataFrame(
+        [row], "query_name string, code_file_path string, row_id long, block_ordinal int, block_index int, predicted int, "
+        "relevance_label int, example_type int, subtokenized_input_sequence array<string>, label_sequence array<int>")
+    good, bad = compose_twostep(df)
+    assert good.count() == 0 and [(r["code_file_path"], r["detail"]) for r in bad.collect()] == [("f", "no separator")]
+
+
+def test_sinks_rebalance_by_size(spark, tmp_path):
+    from spanlake.operators.filters import partition_by_query
+    from spanlake.sources import materialize
+    df = spark.range(400).select(F.concat(F.lit("q"), F.col("id") % 20).alias("query_name"), "id").repartition(40)
+    assert "REBALANCE" in partition_by_query(df)._jdf.queryExecution().toString().upper()
+    path = materialize(df, str(tmp_path / "t"), ["query_name"])
+    n_files = sum(f.endswith(".parquet") for _, _, names in os.walk(path) for f in names)
+    assert n_files == 20 and spark.read.parquet(path).count() == 400
+
+
+def test_padded_windows_hold_the_length_rule(spark):
+    from spanlake.operators.checks import chk_windows
+    from spanlake.operators.sequences import split_windows
+    seqs = spark.createDataFrame([(1, [4, 4] + [2] * 9)], "example_id long, labels array<int>")
+    w, _ = split_windows(seqs, 6, ["labels"])
+    padded = w.withColumn("labels", F.slice(F.concat("labels", F.array_repeat(F.lit(4), 6)), 1, 6))
+    assert chk_windows(padded, seqs, 6).count() == 0 and chk_windows(w, seqs, 6).count() == 0
+    cut = w.withColumn("labels", F.when(F.col("split_id") == 1, F.slice("labels", 1, 5)).otherwise(F.col("labels")))
+    assert [r["detail"] for r in chk_windows(cut, seqs, 6).collect()] == ["stitched length"]
