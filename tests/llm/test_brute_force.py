@@ -9,7 +9,9 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from spanlake.llm import ann, decontaminate, jaccard, langid, maxent, mixing, pii, suffixes, warc
 from spanlake.llm.components import components
@@ -43,6 +45,47 @@ def test_repeats(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_repeats_around_hot_grams(spark):
+    # a passage with other edges in every document: no bucket may get all its contexts
+    rng = random.Random(8)
+    passage = "this passage is shared by every document of the table, word by word"
+    noise = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(20, 60)))
+    rows = [(i, f"{noise()} {passage} {noise()}" + " " * (i % 70) + noise()[:4]) for i in range(400)]
+    first = {}
+    for i, t in rows:
+        for k in range(len(t) - 49):
+            first.setdefault(t[k:k + 50], i)
+    want = []
+    for i, t in rows:
+        gone = {p for k in range(len(t) - 49) if first[t[k:k + 50]] < i for p in range(k, k + 50)}
+        want.append((i, len(gone), hashlib.sha256("".join(c for p, c in enumerate(t) if p not in gone).encode()).hexdigest()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for hot in (0, 16, suffixes.HOT):
+        got = suffixes.remove_repeats(docs, hot=hot)
+        assert sorted((r["doc_id"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == want
+    most = lambda hot: _most_contexts(rows, hot)
+    assert most(suffixes.HOT) > 200 and most(16) <= 16
+
+
+def _most_contexts(rows, hot, n=4):
+    """The most contexts that one gram brings to a bucket."""
+    packed = [b.to_pylist()[0] for b in suffixes._pack([pa.RecordBatch.from_pydict({"d": [i for i, _ in rows], "t": [t for _, t in rows]})])]
+    sent = pa.Table.from_batches(suffixes._send_grams(n)([pa.RecordBatch.from_pylist(packed)])).to_pylist()
+    replies = [r for k in range(n) for r in suffixes._find_shared(hot)(pa.Table.from_pylist([x for x in sent if x["bucket"] == k])).to_pylist()]
+    contexts = suffixes._send_contexts(n)(pa.Table.from_pylist(packed), pa.Table.from_pylist(replies)).to_pylist()
+    by = collections.Counter(g for r in contexts if r["shapes"] is not None for g in np.frombuffer(r["grams"], np.uint64).tolist())
+    return max(by.values(), default=0)
+
+
+def test_hot_strings_with_one_hash():
+    text = [b"a" * 50, b"b" * 50, b"a" * 50, b"b" * 49 + b"c"]
+    row = lambda block, own, ids: {"block": block, "bucket": 0, "grams": np.full(len(own), 7, np.uint64).tobytes(), "ids": np.array(ids).tobytes(),
+                                   "shapes": None, "text": zstandard.compress(b"".join(text[k] for k in own))}
+    t = pa.Table.from_pylist([row("x", [0, 1], [5, 2]), row("y", [2, 3], [6, 9])])
+    t = t.set_column(t.schema.get_field_index("shapes"), "shapes", pa.nulls(2, pa.binary()))
+    assert [np.unpackbits(np.frombuffer(a, np.uint8), count=2).tolist() for a in suffixes._judge_bucket(t)["answer"].to_pylist()] == [[0, 0], [1, 0]]
+
+
 def test_equal_groups_match_sorting():
     rng = np.random.default_rng(1)
     m = rng.integers(97, 99, (6000, 50)).astype(np.uint8)
