@@ -2,19 +2,23 @@
 
 Generators of high recall propose spans of four kinds, which may overlap: the base
 patterns (``base`` is set where a match passes its kind's test) and stricter patterns that
-find a number inside a longer run.  Twelve binary format and context features describe a
-candidate, so all candidates of a corpus are counted by (features, base) in a table of at
-most ``2 ** 13`` rows per fold; boosted depth-2 trees are fitted to the counts of one fold
-(is this what a valid span looks like?) and the other fold calibrates, per kind, the
-smallest score that still has ``PRECISION``.  Base spans always stay; the model adds
+find a number inside a longer run, bare and national phone numbers and obfuscated mail.
+Twelve binary format and context features describe a candidate, so all candidates of a
+corpus are counted by features in a table of at most ``2 ** 12`` rows.  The label comes from
+evidence, whether base finds the candidate or not: one with a right format (checksum, issuer,
+octets, number of digits) between clean boundaries is a span, one without is none, and a
+right format with unclean boundaries beside a context word is not counted.  Boosted depth-2
+trees are fitted to one half of each count, and the other half calibrates, per kind, the
+smallest score down to which every score has ``PRECISION``, so that neither frequent nor rare
+spans move others over or under the threshold.  Base spans always stay; the model adds
 candidates whose score reaches the threshold and that overlap no base span and no better
 added one.
 
 Positions are code points, end exclusive.  Patterns are possessive and anchored at the
 start of a run, so long runs cost linear time.
 
-Defined results: null texts are empty and have no spans; kinds without calibration data add
-nothing; repeated rows are judged alike; further columns are ignored (``redact`` passes
+Defined results: null texts are empty and have no spans; kinds with too little calibration
+data (under about eight spans) add nothing; repeated rows are judged alike; further columns are ignored (``redact`` passes
 them through).
 """
 
@@ -37,10 +41,15 @@ _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _DIGIT_RUN = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
+#: A national number (trunk prefix 0) is proposed only after one of these words.
+_CALL = "(?:(?i:tel|tél|phone|fax|mob|call|ruf))"
+_DATE = r"[0-9]{1,2}([./-])[0-9]{1,2}\1[0-9]{2,4}(?![0-9]|[./-][0-9])"
 _OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 _LUHN = """(aggregate(sequence(1, length({d})), 0, (a, i) -> a + if(i % 2 = 1, 1, 0) * int(substring({d}, length({d}) + 1 - i, 1))
   + if(i % 2 = 0, element_at(array(0, 2, 4, 6, 8, 1, 3, 5, 7, 9), int(substring({d}, length({d}) + 1 - i, 1)) + 1), 0)) % 10 = 0)"""
+#: Cards under 16 digits: Amex, Diners, short Visa.
+_ISSUER = "^(3[47][0-9]{13}|3[0689][0-9]{12}|4[0-9]{12})$"
 _DIGITS = "regexp_replace(x.m, '[^0-9]', '')"
 
 #: (kind, pattern, text guard, base test of a match; null: a proposal that is never base)
@@ -53,6 +62,8 @@ GENERATORS = [
     ("card", r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])", "num", None),
     ("phone", _PHONE, "contains(t, '+')", "length(d) between 8 and 15"),
     ("phone", r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])", "num", None),
+    ("phone", rf"(?<![0-9])(?=[(]?0)(?<={_CALL}[A-Za-zé]{{0,8}}[.:]{{0,2}} {{0,2}}[:]? ?)(?!{_DATE})(?:\(0[0-9]{{1,4}}\)|0[0-9]{{1,4}})(?:[ ./-]{{0,2}}[0-9]{{2,8}}){{1,5}}+(?![0-9])",
+     f"num and t rlike '{_CALL}'", None),
 ]
 
 #: Feature tests of a candidate ``x`` (m: match, l: text before, r: character after, d: its digits).
@@ -64,11 +75,13 @@ FEATURES = [
     "not x.l rlike '[A-Za-z0-9_]$'",
     "not x.r rlike '^[A-Za-z0-9_]'",
     "x.l rlike '(?i)(mail|contact|phone|call|tel|fax|card|pay|visa|address|host)'",
-    f"""case x.kind when 0 then x.m rlike '[.][A-Za-z]{{2,}}$' when 1 then x.m rlike '^{_OCTET}([.]{_OCTET}){{3}}$'
-        when 2 then length(d) between 13 and 19 and {_LUHN.format(d='d')} else length(d) between 8 and 15 end""",
+    f"""case x.kind when 0 then x.m rlike '([.]|[^a-z]dot[^a-z] ?)[A-Za-z]{{2,}}$' when 1 then x.m rlike '^{_OCTET}([.]{_OCTET}){{3}}$'
+        when 2 then (length(d) between 16 and 19 or d rlike '{_ISSUER}') and {_LUHN.format(d='d')} else length(d) between 8 and 15 end""",
     "size(array_distinct(split(d, ''))) >= 3",
 ]
 
+_FORMAT, _CLEAN, _NEAR = 1 << 10, 1 << 7 | 1 << 8, 1 << 9
+
 _SPAN = "array<struct<kind:int,s:int,e:int,m:string,l:string,r:string>>"
 
 
@@ -167,27 +180,38 @@ def boost(bits: np.ndarray, yes: np.ndarray, no: np.ndarray, rounds: int = ROUND
 
 
 def calibrate(model: Model, bits: np.ndarray, yes: np.ndarray, no: np.ndarray, precision: float = PRECISION) -> None:
+    """Thresholds from counted feature sets: the walk down the scores ends at the first score
+    whose own spans miss the precision."""
     scores = model.scores(bits)
     for k in range(len(KINDS)):
-        own = np.flatnonzero(bits >> k & 1)
+        own = np.flatnonzero((bits >> k & 1 == 1) & (yes + no > 0))
         hit = total = 0.0
         for s in sorted(set(scores[own]), reverse=True):
             same = own[scores[own] == s]
-            hit, total = hit + yes[same].sum(), total + yes[same].sum() + no[same].sum()
+            right, n = yes[same].sum(), yes[same].sum() + no[same].sum()
+            if right < precision * n:
+                break
+            hit, total = hit + right, total + n
             if (hit + 0.5) / (total + 1) >= precision:
                 model.thresholds[k] = float(s)
 
 
+def evidence(bits: np.ndarray) -> np.ndarray:
+    """What the features prove: 1 a span, 0 none, -1 undecided."""
+    form, clean = bits & _FORMAT != 0, bits & _CLEAN == _CLEAN
+    return np.where(form & clean, 1, np.where(form & (bits & _NEAR != 0), -1, 0))
+
+
 def fit(cands: DataFrame) -> Model:
-    """A model from all candidates of ``cands`` (``_cands``): one count per feature set."""
-    one = cands.select(F.explode("_cands").alias("c")).select(
-        F.pmod(F.xxhash64("c.s", "c.e", "c.bits"), F.lit(2)).alias("fold"), F.col("c.bits").alias("bits"),
-        F.col("c.base").cast("int").alias("y"))
-    rows = one.groupBy("fold", "bits").agg(F.sum("y").alias("yes"), F.sum(1 - F.col("y")).alias("no")).collect()
-    part = [np.array([(r["bits"], r["yes"], r["no"]) for r in sorted(rows, key=lambda r: r["bits"]) if r["fold"] == k],
-                     np.int64).reshape(-1, 3) for k in (0, 1)]
-    model = boost(part[0][:, 0], part[0][:, 1].astype(float), part[0][:, 2].astype(float))
-    calibrate(model, part[1][:, 0], part[1][:, 1], part[1][:, 2])
+    """A model from all candidates of ``cands`` (``_cands``): one count per feature set, half
+    to fit and half to calibrate."""
+    one = cands.select(F.explode("_cands.bits").alias("bits"))
+    rows = sorted((r["bits"], r["count"]) for r in one.groupBy("bits").count().collect())
+    bits, n = np.array(rows, np.int64).reshape(-1, 2).T
+    label = evidence(bits)
+    bits, n, label = bits[label >= 0], n[label >= 0], label[label >= 0]
+    model = boost(bits, (n + 1) // 2 * label * 1.0, (n + 1) // 2 * (1.0 - label))
+    calibrate(model, bits, n // 2 * label, n // 2 * (1 - label))
     return model
 
 
