@@ -1,8 +1,9 @@
 """URL filters: explicit rules, and a path-template tree per host learned from what the rules label.
 
 A url's path is a list of segments; segments that are numbers or long hexadecimal names
-are wildcards, as are segments past ``DEPTH`` (``**``).  Per host the distinct lists with
-their counts form a tree, level by level:
+are wildcards.  Per host the distinct lists with their counts form a tree, level by level;
+past ``DEPTH`` only nodes with both labels grow on, however deep, and the rest of a list
+below another node is one wildcard (``**``):
 
 * a parent with many children that are nearly all rare generalises them into ``*``;
 * children whose block rate does not differ significantly from their siblings' (two-sided
@@ -23,6 +24,7 @@ further columns are ignored.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,11 +64,10 @@ def rule_columns(rules: list = RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def segments(depth: int = DEPTH) -> Column:
+def segments() -> Column:
     raw = F.filter(F.split("path", "/"), lambda s: s != "")
-    parts = F.transform(raw, lambda s: F.when(
+    return F.transform(raw, lambda s: F.when(
         s.rlike(r"^[0-9]+(\.[A-Za-z]{1,5})?$|^[0-9A-Fa-f-]{16,}$"), F.lit("*")).otherwise(s))
-    return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
 
 
 def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
@@ -75,7 +76,8 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
 
 def templates(judged: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(host, segs, template, purity) for each distinct segment list of ``judged``, which
-    has host, segs and label (1 block, 0 allow, null unlabelled)."""
+    has host, segs and label (1 block, 0 allow, null unlabelled); from ``depth`` on only nodes
+    with both labels grow."""
     t = materialize(judged.groupBy("host", "segs").agg(
         F.count("*").alias("n"), F.count("label").alias("lab"), F.coalesce(F.sum("label"), F.lit(0)).alias("blk")), "url-lists")
     total = t.agg(F.sum("lab").alias("lab"), F.sum("blk").alias("blk")).head()
@@ -86,10 +88,15 @@ def templates(judged: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     sums = [F.sum(c).alias(c) for c in ("n", "lab", "blk")]
     hosts = t.groupBy("host").agg(*sums).select("host", smoothed(F.lit(prior)).alias("purity"))
-    t = t.join(hosts, "host").withColumn("node", F.lit(""))
-    for k in range(depth + 1):
+    t = t.join(hosts, "host").withColumns({"node": F.lit(""), "grows": F.lit(True)})
+    for k in count():
         t = materialize(t, f"url-level{k}")
-        kids = (t.where(F.size("segs") > k).withColumn("seg", F.get("segs", F.lit(k)))
+        here = F.col("grows") & (F.size("segs") > k)
+        if k > depth and t.where(here).isEmpty():
+            break
+        # rows that stop here have no segment and thus no child
+        seg = F.when(here, F.when(F.lit(k < depth) | F.col("mixed"), F.get("segs", F.lit(k))).otherwise("**")) if k else F.when(here, F.get("segs", F.lit(k)))
+        kids = (t.withColumn("seg", seg).where("seg is not null")
                 .groupBy("host", "node", "seg").agg(*sums, F.first("purity").alias("up")))
         kids = materialize(kids, f"url-kids{k}")
         up = kids.groupBy("host", "node").agg(
@@ -104,12 +111,15 @@ def templates(judged: DataFrame, depth: int = DEPTH) -> DataFrame:
         named = both.select("host", "node", "seg", general.alias("as"), "up", "lab", "blk", "n")
         merged = named.groupBy("host", "node", "as").agg(F.sum("lab").alias("lab"), F.sum("blk").alias("blk"),
                                                          F.first("up").alias("up"))
-        merged = merged.select("host", "node", "as", smoothed(F.col("up")).alias("purity_k"))
+        merged = merged.select("host", "node", "as", smoothed(F.col("up")).alias("purity_k"),
+                               ((F.col("blk") > 0) & (F.col("blk") < F.col("lab"))).alias("mixed_k"))
         nodes = named.select("host", "node", "seg", "as").join(merged, ["host", "node", "as"])
-        t = (t.withColumn("seg", F.get("segs", F.lit(k)))
+        t = (t.withColumn("seg", seg)
              .join(nodes, ["host", "node", "seg"], "left")
              .select("host", "segs", "n", "lab", "blk", F.coalesce("purity_k", "purity").alias("purity"),
-                     F.when(F.col("as").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), "as")).alias("node")))
+                     F.when(F.col("as").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), "as")).alias("node"),
+                     F.coalesce("mixed_k", F.lit(False)).alias("mixed"),
+                     (F.lit(k < depth) | (F.col("as").isNotNull() & F.col("mixed"))).alias("grows") if k else F.lit(True).alias("grows")))
     return t.select("host", "segs", F.col("node").alias("template"), "purity")
 
 

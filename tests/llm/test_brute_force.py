@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 import zstandard
 
-from spanlake.llm import ann, decontaminate, jaccard, langid, maxent, mixing, pii, suffixes, warc
+from spanlake.llm import ann, decontaminate, jaccard, langid, maxent, mixing, pii, suffixes, urlfilter, warc
 from spanlake.llm.components import components
 from tests.conftest import SF_SMALL
 
@@ -200,6 +200,16 @@ def test_personal_data_beside_base(spark):
         assert [out[len(bare) + k] for k in range(len(none))] == none
 
 
+def test_urls_that_part_deep(spark):
+    deep = "/topic/a/b/c/d"
+    rules = [("block", "h.com", f"/2024/05/12{deep}/spam/"), ("allow", "h.com", f"/2024/05/12{deep}/news/")]
+    urls = [f"http://h.com/{day}{deep}/{kind}/x{i}" for day in ("2024/05/12", "2025/01/02") for kind in ("spam", "news") for i in range(60)]
+    pages = spark.createDataFrame(list(enumerate([*urls, "http://h.com/1/2/3/topic/a/z"])), "page_id long, url string")
+    got = {r["page_id"]: r for r in urlfilter.judge(pages, rules).collect()}
+    assert [got[k]["verdict"] for k in range(240)] == (["block"] * 60 + ["allow"] * 60) * 2
+    assert got[120]["template"].endswith("/d/spam/**") and got[240]["verdict"] == "allow" and len(got) == 241
+
+
 def test_warc_rejects_damage():
     data = warc.member(warc.record(1, "http://a/", b"abc" * 50, warc.digest(b"abc" * 50), None, False))
     assert warc.parse(next(warc.members(io.BytesIO(data * 2))))[2] == b"abc" * 50
