@@ -17,7 +17,7 @@ What one task must pass is the text that one digest covers.
 
 Defined results: a null role or text reads as one space, a null turn sorts first and counts
 no gap, null conv_ids are one conversation; rows of one turn go by role, then by the text's
-first 64 characters, then by its digest; a repeated row is a duplicate of itself; a text of
+first 64 characters, then by its digest; an empty role is no legal one; a repeated row is a duplicate of itself; a text of
 any length is a row like others; a conversation without rows has zeros, an empty audit and
 the empty digest; an empty table gives none; further columns are ignored.
 """

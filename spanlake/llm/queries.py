@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from spanlake.llm import ann, decontaminate, jaccard, langid, maxent, mixing, pii, suffixes, urlfilter, warc
+from spanlake.llm import (ann, conversations, decontaminate, importance, jaccard, langid, maxent, mixing, pii, quality,
+                          suffixes, urlfilter, warc)
 
 QUERIES = {
     "op1_repeats": suffixes.op1_repeats,
@@ -16,9 +17,14 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_mix": mixing.op10_mix,
+    "op11_quality": quality.op11_quality,
+    "op12_importance": importance.op12_importance,
+    "op13_conversations": conversations.op13_conversations,
     "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
     "op4_decontaminate": decontaminate.SQL,
+    "op12_importance": importance.SQL,
+    "op13_conversations": conversations.SQL,
 }
