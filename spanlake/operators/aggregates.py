@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spanlake.functions.matching import N_CANDIDATES, PASS_KS, pass_at_k_scalar, span_match, with_legacy_flags
 from spanlake.functions.spans import extract_spans_twostep, same_spans
 from spanlake.functions.text import NO_ANSWER, SPAN_JOIN, strip_text
-from spanlake.operators.windows import bucket_of
+from spanlake.operators.windows import bucket_of, global_row_number
 
 SAMPLE_SIZE = 20
 
@@ -127,6 +127,36 @@ def _cands(df: DataFrame, n: int):
     return F.array(*[F.col(f"ans_{j}") for j in range(n)])
 
 
+def log_metrics(log: DataFrame, ks=PASS_KS, n: int = N_CANDIDATES, legacy_autojunk: bool = False) -> DataFrame:
+    """All evaluation sums per query and overall (``is_total``) in one scan and one match:
+    total, correct (a candidate matches) and the pass@k sums ``p<k>``."""
+    m = match_count(log, n, legacy_autojunk)
+    return m.select("query", "c").rollup("query").agg(
+        F.count(F.lit(1)).alias("total"), F.sum((F.col("c") > 0).cast("int")).cast("long").alias("correct"),
+        *[F.sum(pass_at_k_scalar(n, F.col("c"), k)).alias(f"p{k}") for k in ks],
+        F.grouping_id().cast("int").alias("is_total"))
+
+
+def _stack_ks(sums: DataFrame, ks) -> DataFrame:
+    stack = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"p{k}").alias("s")) for k in ks]))
+    out = sums.select("total", stack.alias("x"))
+    return out.select(F.col("x.k").cast("int").alias("k"), F.col("total").cast("long").alias("total"),
+                      F.round(F.coalesce(F.col("x.s"), F.lit(0.0)), 9).alias("pass_sum"),
+                      F.round(F.when(F.col("total") > 0, F.col("x.s") / F.col("total")), 9).alias("pass_at_k"))
+
+
+def metrics_pass_at_k(metrics: DataFrame, ks=PASS_KS) -> DataFrame:
+    """D11 from ``log_metrics``."""
+    total = metrics.where("is_total = 1").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), *[F.sum(f"p{k}").alias(f"p{k}") for k in ks])
+    return _stack_ks(total, ks)
+
+
+def metrics_any_match(metrics: DataFrame) -> DataFrame:
+    """D10 from ``log_metrics``."""
+    rate = F.round(F.when(F.col("total") > 0, F.col("correct") / F.col("total")), 9)
+    return metrics.select("query", "total", "correct", "is_total", rate.alias("any_match"))
+
+
 def match_count(df: DataFrame, n: int = N_CANDIDATES, legacy_autojunk: bool = False) -> DataFrame:
     """Per log row: number c of non-blank candidates that match the answer (duplicates count)."""
     if legacy_autojunk:
@@ -156,11 +186,7 @@ def pass_at_k(log: DataFrame, ks=PASS_KS, n: int = N_CANDIDATES, legacy_autojunk
     m = match_count(log, n, legacy_autojunk)
     sums = m.agg(F.count(F.lit(1)).alias("total"),
                  *[F.sum(pass_at_k_scalar(n, F.col("c"), k)).alias(f"p{k}") for k in ks])
-    stack = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"p{k}").alias("s")) for k in ks]))
-    out = sums.select("total", stack.alias("x"))
-    return out.select(F.col("x.k").cast("int").alias("k"), F.col("total").cast("long").alias("total"),
-                      F.round(F.coalesce(F.col("x.s"), F.lit(0.0)), 9).alias("pass_sum"),
-                      F.round(F.when(F.col("total") > 0, F.col("x.s") / F.col("total")), 9).alias("pass_at_k"))
+    return _stack_ks(sums, ks)
 
 
 def group_blocks(blocks: DataFrame, mode: str = "all") -> DataFrame:
@@ -179,15 +205,20 @@ def cross_entropy(logits, target) -> F.Column:
     return lse - F.get(logits, target)
 
 
-def batch_loss(df: DataFrame, batch: int = 4, ordinal: str = "vec_id") -> DataFrame:
+def batch_loss(df: DataFrame, batch: int = 4, ordinal: str = "row_id") -> DataFrame:
     """Sum over batches of the mean cross-entropy over all positions of the batch
-    (padding positions included), plus the plain mean over all positions."""
+    (padding positions included), plus the plain mean over all positions.
+
+    A batch is ``batch`` consecutive rows in the order of ``ordinal``, whatever its gaps; the
+    last one may be short.  Only (ordinal, loss, positions) of a row is numbered.  Null
+    ordinals come last; rows of one ordinal go by positions and loss."""
     per_row = df.select(
-        F.floor(F.col(ordinal) / batch).alias("batch_id"),
+        F.col(ordinal).alias("ordinal"), F.size("targets").alias("positions"),
         F.aggregate(F.zip_with("logits", "targets", lambda l, t: cross_entropy(l, t)),
-                    F.lit(0.0), lambda a, x: a + x).alias("ce_sum"),
-        F.size("targets").alias("positions"))
-    per_batch = per_row.groupBy("batch_id").agg(
+                    F.lit(0.0), lambda a, x: a + x).alias("ce_sum"))
+    line = global_row_number(per_row, [F.asc_nulls_last("ordinal"), "positions", "ce_sum"], "place",
+                             ["ordinal", "positions", "ce_sum"])
+    per_batch = line.groupBy(F.floor(F.col("place") / batch).alias("batch_id")).agg(
         (F.sum("ce_sum") / F.sum("positions")).alias("batch_mean"),
         F.sum("ce_sum").alias("ce_sum"), F.sum("positions").alias("positions"))
     return per_batch.agg(

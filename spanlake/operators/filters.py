@@ -74,17 +74,17 @@ def filter_nonblank(long_df: DataFrame, col: str = "cand") -> DataFrame:
 
 
 def log_row(df: DataFrame, n: int = 10, answer_col: str = "ans_spans", cands_col: str = "cands",
-            first_span_only: bool = False) -> DataFrame:
+            first_span_only: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """``[i, query, file, '', answer, ans_0..]`` with stripped candidate texts.
 
     ``cands`` is ``array<struct<text,finish_reason,success>>``; a failed response
     (null text) is written as ''.  ``first_span_only`` takes the first answer span
-    (legacy row-level path) instead of the joined string."""
+    (legacy row-level path) instead of the joined string; ``keep`` names further columns."""
     ans = F.get(F.col(answer_col), 0) if first_span_only else F.col(answer_col)
     cand = lambda j: strip_text(F.get(F.col(cands_col), j)["text"]).alias(f"ans_{j}")
     return df.select(F.col("i").cast("long"), F.col("query_name").alias("query"),
                      F.col("code_file_path").alias("file_path"), F.lit("").alias("prompt"),
-                     ans.alias("ans_spans"), *[cand(j) for j in range(n)])
+                     ans.alias("ans_spans"), *[cand(j) for j in range(n)], *keep)
 
 
 def relevance_project(df: DataFrame) -> DataFrame:

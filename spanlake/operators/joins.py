@@ -13,22 +13,53 @@ MAP_VOCAB_ROWS = 500_000
 MAP_VOCAB_BYTES = 32 << 20
 
 
-def missing_keys(left: DataFrame, right: DataFrame, keys: list[str], check: str) -> DataFrame:
-    """Violation rows for keys of ``left`` absent from ``right`` (the reference raises)."""
-    miss = left.select(*keys).distinct().join(right.select(*keys).distinct(), keys, "left_anti")
-    return miss.select(F.lit(check).alias("check"),
-                       F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key"),
-                       F.lit("no matching row").alias("detail"))
+ON_MISS = ("keep", "drop", "fail")
 
 
-def join_query_meta(ex: DataFrame, meta: DataFrame) -> DataFrame:
-    """Attach description and recommendation by query name (inner)."""
-    return ex.join(meta.select("query_name", "desc", "reccomendation"), "query_name", "inner")
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], check: str, on_miss: str = "keep") -> DataFrame:
+    """``left`` with the columns of ``right`` by equal keys; ``right`` holds a key once.
 
+    A key without a match is an error of the data.  One left join finds it, and ``on_miss`` says
+    what becomes of the row: ``keep`` - it stays, with the name of the ``check`` in ``missing``
+    (the first one that failed, over several lookups; null: none), for ``found`` and ``rejects``;
+    ``drop`` - it goes; ``fail`` - reading any looked-up column of it stops the job with the
+    check and the key, before a writer commits.  A null key has no match."""
+    if on_miss not in ON_MISS:
+        raise ValueError(on_miss)
+    if on_miss == "drop":
+        return left.join(right, keys, "inner")
+    new = [c for c in right.columns if c not in keys]
+    joined = left.join(right.withColumn("_hit", F.lit(True)), keys, "left")
+    if on_miss == "fail":
+        key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+        stop = F.raise_error(F.concat(F.lit(f"{check}: no matching row for "), key))
+        for c in new:
+            joined = joined.withColumn(c, F.when(F.col("_hit").isNull(), stop).otherwise(F.col(c)))
+        return joined.drop("_hit")
+    before = F.col("missing") if "missing" in left.columns else F.lit(None).cast("string")
+    return joined.withColumn("missing", F.coalesce(before, F.when(F.col("_hit").isNull(), check))).drop("_hit")
 
-def join_source_text(ex: DataFrame, files: DataFrame) -> DataFrame:
-    """Attach the file text by path (shuffle join on the path: both sides grow)."""
-    return ex.join(files.select("code_file_path", "content"), "code_file_path", "inner")
+
+def found(joined: DataFrame) -> DataFrame:
+    """The rows of ``lookup`` whose keys all had a match."""
+    return joined.where("missing IS NULL").drop("missing")
+
+
+def rejects(joined: DataFrame, keys: list[str]) -> DataFrame:
+    """Violation rows (check, key, detail) for the rows of ``lookup`` without a match."""
+    return joined.where("missing IS NOT NULL").select(
+        F.col("missing").alias("check"), F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key"),
+        F.lit("no matching row").alias("detail"))
+
+
+def join_query_meta(ex: DataFrame, meta: DataFrame, on_miss: str = "keep") -> DataFrame:
+    """Attach description and recommendation by query name (``lookup``)."""
+    return lookup(ex, meta.select("query_name", "desc", "reccomendation"), ["query_name"], "query_meta", on_miss)
+
+
+def join_source_text(ex: DataFrame, files: DataFrame, on_miss: str = "keep") -> DataFrame:
+    """Attach the file text by path (shuffle join on the path: both sides grow; ``lookup``)."""
+    return lookup(ex, files.select("code_file_path", "content"), ["code_file_path"], "source_text", on_miss)
 
 
 def vocab_encode(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str, out_col: str = "ids",
@@ -135,9 +166,9 @@ def sep_id(vocab: DataFrame) -> int | None:
     return token_id(vocab, SEP_TOKEN)
 
 
-def join_folder_map(df: DataFrame, meta: DataFrame, col: str = "query_name") -> DataFrame:
-    """C4: query -> output folder."""
-    return df.join(meta.select(F.col("query_name").alias(col), "folder"), col, "inner")
+def join_folder_map(df: DataFrame, meta: DataFrame, col: str = "query_name", on_miss: str = "keep") -> DataFrame:
+    """C4: query -> output folder (``lookup``)."""
+    return lookup(df, meta.select(F.col("query_name").alias(col), "folder"), [col], "folder_map", on_miss)
 
 
 def join_sample_examples(sample: DataFrame, ex: DataFrame) -> DataFrame:

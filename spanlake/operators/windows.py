@@ -8,54 +8,65 @@ from pyspark.sql import functions as F
 from spanlake.session import ensure_checkpoint_dir
 
 
-def global_row_number(df: DataFrame, order_by: list[str], name: str = "rn",
-                      checkpoint: bool = True) -> DataFrame:
-    """0-based dense position of each row in a total order, without a single-partition window.
-
-    Range-sort the rows, tag each with its partition and in-partition position
-    (``monotonically_increasing_id`` packs both), add per-partition offsets from
-    a running sum over the (few) partition counts.  The sorted, tagged rows are
-    checkpointed so both uses see one physical order."""
-    tagged = (df.orderBy(*order_by)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    if checkpoint:
-        ensure_checkpoint_dir(df.sparkSession)
-        tagged = tagged.checkpoint(eager=True)
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n"))
-                            .alias("_off"))
-    # the offsets table has one row per partition; AQE picks the join from its size
-    out = tagged.join(offsets, "_pid")
-    pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return out.withColumn(name, F.col("_off") + pos).drop("_pid", "_mid", "_off")
-
-
-def group_row_number(df: DataFrame, groups: list[str], order_by: list[str], name: str = "rn",
-                     checkpoint: bool = True) -> DataFrame:
+def _number_keys(df: DataFrame, keys: list[str], order_by: list) -> tuple[DataFrame, bool]:
+    """Every distinct key of ``df`` with ``_start``, the number of rows before it in
+    ``order_by``; and whether a key has several rows.
+
+    Only keys and their counts are range-sorted and checkpointed (both uses below need one
+    physical order); the rows are not stored.  A key's offset is its partition's, from a
+    running sum over the partitions' totals, plus its place in the partition."""
+    ensure_checkpoint_dir(df.sparkSession)
+    line = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).orderBy(*order_by)
+            .withColumn("_pid", F.spark_partition_id())
+            .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+            .checkpoint(eager=True))
+    repeated = line.where("_n > 1").limit(1).count() > 0
+    if repeated:
+        place = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+        line = line.withColumn("_pos", F.coalesce(F.sum("_n").over(place), F.lit(0)))
+    totals = line.groupBy("_pid").agg(F.sum("_n").alias("_t"))
+    # one row per partition; AQE picks the join from its size
+    offsets = totals.select("_pid", (F.sum("_t").over(Window.orderBy("_pid")) - F.col("_t")).alias("_off"))
+    return line.join(offsets, "_pid").select(*keys, (F.col("_off") + F.col("_pos")).alias("_start")), repeated
+
+
+def _attach(df: DataFrame, keys: list[str], numbered: DataFrame, repeated: bool, name: str) -> DataFrame:
+    """``df`` with ``name`` = its key's ``_start`` plus its place among the rows of that key
+    (ordered by all their columns).  Keys are joined as structs, in which nulls are equal."""
+    key = F.struct(*keys)
+    numbers = numbered.select(key.alias("_key"), F.col("_start").alias("_num"))
+    rows = df.withColumn("_key", key).join(numbers, "_key")
+    if repeated:
+        whole = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+        rows = rows.withColumn("_num", F.col("_num") + F.row_number().over(
+            Window.partitionBy("_key").orderBy(F.xxhash64(*whole))) - 1)
+    return rows.select(*df.columns, F.col("_num").cast("long").alias(name))
+
+
+def global_row_number(df: DataFrame, order_by: list, name: str = "rn", keys: list[str] | None = None) -> DataFrame:
+    """0-based dense position of each row in a total order, without a single-partition window
+    and without storing rows.  ``keys``: the columns that ``order_by`` reads (by default
+    ``order_by`` itself, if it is names)."""
+    keys = list(keys or order_by)
+    numbered, repeated = _number_keys(df, keys, order_by)
+    return _attach(df, keys, numbered, repeated, name)
+
+
+def group_row_number(df: DataFrame, groups: list[str], order_by: list[str], name: str = "rn") -> DataFrame:
     """1-based ``row_number()`` within each group, without putting a group in one task.
 
-    A plain window sorts each group inside a single task, so one hot group (a third of
-    the rows) lands on one executor.  Here the rows are range-sorted on
-    (groups, order): a hot group spreads over many partitions.  Each row's position in
-    its partition comes from ``monotonically_increasing_id``; a small table with one
-    row per (group, partition) holds counts and first positions, and a running sum over
-    it gives every (group, partition) its offset.  That table has at most
-    #groups + #partitions rows; the join strategy is left to AQE's measured sizes.  The
-    number is a long: a group may pass 2^31 rows."""
-    tagged = (df.orderBy(*groups, *order_by)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_pos", F.monotonically_increasing_id()
-                          - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    if checkpoint:
-        ensure_checkpoint_dir(df.sparkSession)
-        tagged = tagged.checkpoint(eager=True)
-    cnt = tagged.groupBy(*groups, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_p0"))
-    w = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)
-    offs = cnt.select(*groups, "_pid", "_p0", (F.sum("_n").over(w) - F.col("_n")).alias("_off"))
-    out = tagged.join(offs, [*groups, "_pid"])
-    return (out.withColumn(name, (F.col("_off") + F.col("_pos") - F.col("_p0") + 1))
-            .drop("_pid", "_pos", "_p0", "_off"))
+    A plain window sorts each group inside a single task, so one hot group (a third of the
+    rows) lands on one executor.  Here the (group, order) keys are numbered over all groups:
+    a hot group spreads over many range partitions.  A group's first number comes off again
+    on the narrow key table, and the rows get their numbers by a join on the key.  The number
+    is a long: a group may pass 2^31 rows."""
+    keys = list(dict.fromkeys([*groups, *order_by]))
+    numbered, repeated = _number_keys(df, keys, keys)
+    group = F.struct(*groups)
+    first = numbered.groupBy(group.alias("_group")).agg(F.min("_start").alias("_first"))
+    numbered = (numbered.withColumn("_group", group).join(first, "_group")
+                .select(*keys, (F.col("_start") - F.col("_first") + 1).alias("_start")))
+    return _attach(df, keys, numbered, repeated, name)
 
 
 def bucket_of(em="em", example_type="example_type"):

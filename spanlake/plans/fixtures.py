@@ -120,7 +120,8 @@ def fx_vocab(spark: SparkSession, d: str) -> DataFrame:
 
 def fx_logits(spark: SparkSession, d: str) -> DataFrame:
     """One position per embedding value: the 5 logits of position p are values p..p+4
-    (cyclically); target = (vec_id + p) % 5."""
+    (cyclically); target = (vec_id + p) % 5.  ``ordinal`` (3 vec_id, and 1 to 4 more) is
+    unique, has gaps and is not in the order of vec_id."""
     e = table(spark, d, "embeddings")
     n = F.size("embedding")
     logits = F.transform(F.sequence(F.lit(0), n - 1),
@@ -128,7 +129,7 @@ def fx_logits(spark: SparkSession, d: str) -> DataFrame:
                                                lambda c: F.get(F.col("embedding"), (p + c) % n).cast("double")))
     targets = F.transform(F.sequence(F.lit(0), n - 1),
                           lambda p: ((F.col("vec_id") + p) % 5).cast("int"))
-    return e.select("vec_id", (F.col("vec_id") / 4).cast("long").alias("batch_id"),
+    return e.select("vec_id", (F.col("vec_id") * 3 + (F.col("vec_id") % 2) * 4).alias("ordinal"),
                     logits.alias("logits"), targets.alias("targets"))
 
 

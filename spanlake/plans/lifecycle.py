@@ -5,8 +5,7 @@
 * ``generate_logs`` - file-level prompts for the sample (answers, description, file
   text, few-shot examples), budget check, candidate generation through a user client,
   and the response logs (one folder per query).
-* ``evaluate_logs`` - pass@k and any-match over the logs; each is a frame of its own and
-  reads them once.
+* ``evaluate_logs`` - pass@k and any-match over the logs, which are read and matched once.
 
 Each step is a DataFrame transformation; only the client call leaves the JVM."""
 
@@ -103,7 +102,8 @@ def file_inputs(sample: DataFrame, test: DataFrame, meta: DataFrame, source_file
 
 def row_inputs(rows: DataFrame, meta: DataFrame, source_files: DataFrame | None = None) -> DataFrame:
     """Prompt inputs of single examples; the code is the example's blocks, or with
-    ``source_files`` the entire file.  Lookups that fail: ``missing_keys``."""
+    ``source_files`` the entire file.  No example is lost: ``missing`` names the lookup that
+    failed (null: none), see ``joins.found`` and ``joins.rejects``."""
     j = C.join_query_meta(rows, meta)
     code = sanitize_blocks(F.col("context_blocks.content"))
     if source_files is not None:
@@ -111,7 +111,7 @@ def row_inputs(rows: DataFrame, meta: DataFrame, source_files: DataFrame | None
     return j.select("row_id", "query_name", F.col("desc").alias("description"),
                     F.col("reccomendation").alias("recommendation"), code.alias("input_code"),
                     join_spans(F.col("answer_spans.span")).alias("answer_spans"),
-                    join_spans(F.col("supporting_fact_spans.span")).alias("supporting_fact_spans"))
+                    join_spans(F.col("supporting_fact_spans.span")).alias("supporting_fact_spans"), "missing")
 
 
 def render(inputs: DataFrame, train: DataFrame, template: str = SPAN_PROMPT) -> DataFrame:
@@ -139,17 +139,20 @@ def build_prompts(sample: DataFrame, test: DataFrame, train: DataFrame, meta: Da
 
 def generate_logs(prompts: DataFrame, meta: DataFrame, client_factory: Callable, out_path: str,
                   n: int = 10, concurrency: int | None = None, store: str | None = None,
-                  **client_opts) -> DataFrame:
+                  on_miss: str = "fail", **client_opts) -> DataFrame:
     """Candidates for every accepted prompt, written as per-query CSV logs; returns the
     log rows.  ``concurrency`` partitions bound the parallel calls to the service.
 
-    Prompts of queries without metadata are left out before any call.  The answers are
+    Queries without metadata have no folder: they stop the job before any call, or are left
+    out with ``on_miss="skip"``.  The answers are
     stored once as Parquet, keyed by ``prompt_hash``, and logs and returned rows are read
     from there, so nothing is asked twice.  ``store`` names that folder: prompts whose hash
     an earlier call stored there are not asked again."""
     spark = prompts.sparkSession
-    known = meta.select("query_name").distinct()
-    asked = prompts.join(known, "query_name", "left_semi").withColumn("prompt_hash", F.sha2("prompt", 256))
+    placed = C.join_folder_map(prompts, meta)
+    if on_miss == "fail" and (lost := [r["key"] for r in C.rejects(placed, ["query_name"]).distinct().take(5)]):
+        raise ValueError(f"queries without metadata: {lost}")
+    asked = C.found(placed).withColumnRenamed("folder", "query_folder").withColumn("prompt_hash", F.sha2("prompt", 256))
     path = store or scratch_dir(spark, "generated")
     answers = T.StructType([T.StructField("prompt_hash", T.StringType()), T.StructField("cands", T.ArrayType(RESPONSE))])
     todo = asked.select("prompt", "prompt_hash").dropDuplicates(["prompt_hash"])
@@ -160,9 +163,7 @@ def generate_logs(prompts: DataFrame, meta: DataFrame, client_factory: Callable,
     generate_candidates(todo, client_factory, n=n, **client_opts).select("prompt_hash", "cands").write.mode("append").parquet(path)
     g = asked.join(spark.read.schema(answers).parquet(path), "prompt_hash").drop("prompt_hash")
     g = row_index(g, "query_name", ("consume_order", "code_file_path"))
-    rows = log_row(g.withColumnRenamed("answer_spans", "ans_spans"), n)
-    rows = C.join_folder_map(rows.withColumnRenamed("query", "query_name"), meta) \
-        .withColumnRenamed("query_name", "query").withColumnRenamed("folder", "query_folder")
+    rows = log_row(g.withColumnRenamed("answer_spans", "ans_spans"), n, keep=("query_folder",))
     write_response_logs(rows, out_path, n)
     return rows
 
@@ -176,7 +177,11 @@ def _has_rows(spark: SparkSession, path: str, schema: T.StructType) -> bool:
         raise
 
 
-def evaluate_logs(spark: SparkSession, path: str, n: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(pass@k for k = 1, 2, 5, 10; any-match per query and overall) from the logs."""
-    log = read_response_logs(spark, path, n)
-    return D.pass_at_k(log, n=n), D.any_match_rate(log, n)
+def evaluate_logs(spark: SparkSession, path: str, n: int = 10, legacy_autojunk: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(pass@k for k = 1, 2, 5, 10; any-match per query and overall) from the logs: both from
+    one stored table of sums per query, so the logs are read and matched once."""
+    sums = D.log_metrics(read_response_logs(spark, path, n), n=n, legacy_autojunk=legacy_autojunk)
+    store = scratch_dir(spark, "metrics")
+    sums.write.parquet(store)
+    sums = spark.read.schema(sums.schema).parquet(store)
+    return D.metrics_pass_at_k(sums), D.metrics_any_match(sums)

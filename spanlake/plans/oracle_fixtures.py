@@ -59,7 +59,7 @@ fx_vocab AS (
   UNION ALL SELECT '''[UNK]_''' AS token, CAST(count(*) AS INTEGER) AS id FROM fx_vocab_base
   UNION ALL SELECT '''[SEP]_''' AS token, CAST(count(*) + 1 AS INTEGER) AS id FROM fx_vocab_base)"""),
     "fx_logits": ([], """fx_logits AS (
-  SELECT vec_id, vec_id // 4 AS batch_id,
+  SELECT vec_id, vec_id * 3 + (vec_id % 2) * 4 AS ordinal,
          list_transform(range(0, len(embedding)), lambda p: list_transform(range(0, 5),
              lambda c: CAST(embedding[(p + c) % len(embedding) + 1] AS DOUBLE))) AS logits,
          list_transform(range(0, len(embedding)), lambda p: CAST((vec_id + p) % 5 AS INTEGER)) AS targets

@@ -244,7 +244,7 @@ SELECT count(*) AS n_batches, round(sum(batch_mean), 9) AS total_loss,
        round(sum(ce_sum) / sum(positions), 9) AS mean_loss
 FROM (SELECT batch_id, sum(ce_sum) / sum(positions) AS batch_mean, sum(ce_sum) AS ce_sum,
              sum(positions) AS positions
-      FROM (SELECT vec_id // 4 AS batch_id,
+      FROM (SELECT (row_number() OVER (ORDER BY ordinal NULLS LAST) - 1) // 4 AS batch_id,
                    list_sum(list_transform(range(1, len(targets) + 1), lambda p:
                        list_max(logits[p]) + ln(list_sum(list_transform(logits[p], lambda x: exp(x - list_max(logits[p])))))
                        - logits[p][targets[p] + 1])) AS ce_sum,
@@ -252,4 +252,4 @@ FROM (SELECT batch_id, sum(ce_sum) / sum(positions) AS batch_mean, sum(ce_sum) A
             FROM fx_logits)
       GROUP BY batch_id)"""))
 def q_batch_loss(spark, d):
-    return D.batch_loss(fx.fx_logits(spark, d))
+    return D.batch_loss(fx.fx_logits(spark, d), ordinal="ordinal")

@@ -31,24 +31,36 @@ PICKS = """picks AS (
                  FROM fx_rows_train) WHERE rk = 1)"""
 
 
+# The metadata of these lookups lacks the nations of one region and the source folder one
+# language, so each has rows without a match.
+KNOWN_META = "known_meta AS (SELECT * FROM fx_meta WHERE reccomendation <> 'ASIA')"
+
+
+def known_meta(spark, d):
+    return fx.fx_meta(spark, d).where("reccomendation <> 'ASIA'")
+
+
 @reg("join_query_meta", with_fx(["fx_files", "fx_meta"], """
-SELECT f.row_id, f.query_name, m."desc" AS "desc", m.reccomendation
-FROM fx_files f JOIN fx_meta m ON f.query_name = m.query_name"""))
+SELECT f.row_id, f.query_name, m."desc" AS "desc", m.reccomendation,
+       CASE WHEN m.query_name IS NULL THEN 'query_meta' END AS missing
+FROM fx_files f LEFT JOIN known_meta m ON f.query_name = m.query_name""", KNOWN_META))
 def q_join_query_meta(spark, d):
-    return C.join_query_meta(fx.fx_files(spark, d), fx.fx_meta(spark, d)).select(
-        "row_id", "query_name", "desc", "reccomendation")
+    """Rows and rejects: ``missing`` names the lookup that failed."""
+    return C.join_query_meta(fx.fx_files(spark, d), known_meta(spark, d)).select(
+        "row_id", "query_name", "desc", "reccomendation", "missing")
 
 
 @reg("join_source_text", with_fx(["fx_files"], """
-SELECT f.row_id, f.code_file_path, CAST(length(s.text) AS INTEGER) AS n_chars
-FROM fx_files f JOIN (SELECT 'src/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS code_file_path, text
-                      FROM documents) s ON f.code_file_path = s.code_file_path"""))
+SELECT f.row_id, f.code_file_path, CAST(coalesce(length(s.text), 0) AS INTEGER) AS n_chars,
+       CASE WHEN s.code_file_path IS NULL THEN 'source_text' END AS missing
+FROM fx_files f LEFT JOIN (SELECT 'src/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS code_file_path, text
+                           FROM documents WHERE lang <> 'es') s ON f.code_file_path = s.code_file_path"""))
 def q_join_source_text(spark, d):
-    docs = fx.table(spark, d, "documents").select(
+    docs = fx.table(spark, d, "documents").where("lang <> 'es'").select(
         F.concat(F.lit("src/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
         .alias("code_file_path"), F.col("text").alias("content"))
     j = C.join_source_text(fx.fx_files(spark, d).select("row_id", "code_file_path"), docs)
-    return j.select("row_id", "code_file_path", F.length("content").alias("n_chars"))
+    return j.select("row_id", "code_file_path", F.coalesce(F.length("content"), F.lit(0)).alias("n_chars"), "missing")
 
 
 @reg("vocab_encode", with_fx(["fx_seq", "fx_vocab"], f"""
@@ -64,9 +76,10 @@ def q_vocab_encode(spark, d):
 
 
 @reg("join_folder_map", with_fx(["fx_files", "fx_meta"], """
-SELECT f.row_id, m.folder FROM fx_files f JOIN fx_meta m ON f.query_name = m.query_name"""))
+SELECT f.row_id, m.folder, CASE WHEN m.query_name IS NULL THEN 'folder_map' END AS missing
+FROM fx_files f LEFT JOIN known_meta m ON f.query_name = m.query_name""", KNOWN_META))
 def q_join_folder_map(spark, d):
-    return C.join_folder_map(fx.fx_files(spark, d), fx.fx_meta(spark, d)).select("row_id", "folder")
+    return C.join_folder_map(fx.fx_files(spark, d), known_meta(spark, d)).select("row_id", "folder", "missing")
 
 
 @reg("join_sample_examples", with_fx(["fx_rows"], """

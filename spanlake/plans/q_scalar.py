@@ -14,6 +14,7 @@ from spanlake.plans import fixtures as fx
 from spanlake.plans import lifecycle as L
 from spanlake.plans.oracle_fixtures import TOKEN_RE, with_fx
 from spanlake.plans.q_aggregates import SQL_TWOSTEP, _sql_spans2
+from spanlake.plans.q_joins import KNOWN_META, known_meta
 from spanlake.plans.shared import (
     SQL_CANDS_LONG, ints, rows_test, rows_train, sample_files, sql_ints, sql_match, sql_pass, sql_sample,
     sql_spans, sql_strip,
@@ -292,22 +293,26 @@ def q_prompt_budget(spark, d):
     return p.select("query_name", "code_file_path", "n_tokens", (F.col("n_tokens") > 4000).alias("over_budget"))
 
 
-_SQL_ROW_INPUT = """
+def _sql_row_input(mode: str, code: str, missing: str, files: str = "") -> str:
+    return f"""
 SELECT '{mode}' AS mode, r.row_id, r.query_name, m."desc" AS description, m.reccomendation AS recommendation,
        {code} AS input_code, array_to_string(answer_texts, ':::-:::') AS answer_spans,
-       array_to_string(fact_texts, ':::-:::') AS supporting_fact_spans
-FROM fx_rows r JOIN fx_meta m ON r.query_name = m.query_name JOIN src s ON r.code_file_path = s.code_file_path
+       array_to_string(fact_texts, ':::-:::') AS supporting_fact_spans, {missing} AS missing
+FROM fx_rows r LEFT JOIN known_meta m ON r.query_name = m.query_name {files}
 WHERE r.split = 'test' AND r.example_type = 1"""
 
 
-@reg("prompt_input_row", with_fx(["fx_rows", "fx_meta"], _SQL_ROW_INPUT.format(mode="blocks", code=SQL_SANITIZE)
-                                 + " UNION ALL " + _SQL_ROW_INPUT.format(mode="file", code="s.content"), SQL_SOURCE))
+@reg("prompt_input_row", with_fx(["fx_rows", "fx_meta"], _sql_row_input(
+    "blocks", SQL_SANITIZE, "CASE WHEN m.query_name IS NULL THEN 'query_meta' END") + " UNION ALL " + _sql_row_input(
+    "file", "s.content", "CASE WHEN m.query_name IS NULL THEN 'query_meta' WHEN s.content IS NULL THEN 'source_text' END",
+    "LEFT JOIN src s ON r.code_file_path = s.code_file_path AND length(s.content) > 800"), SQL_SOURCE + ",\n" + KNOWN_META))
 def q_prompt_input_row(spark, d):
-    """The example's blocks, and the entire file, as the code of a row-level prompt."""
+    """The example's blocks, and the entire file, as the code of a row-level prompt; metadata of
+    one region and files up to 800 characters are missing, their examples say so."""
     r = rows_test(spark, d).where(F.col("example_type") == 1)
-    meta = fx.fx_meta(spark, d)
+    meta, files = known_meta(spark, d), source_files_rows(spark, d).where(F.length("content") > 800)
     blocks = L.row_inputs(r, meta).select(F.lit("blocks").alias("mode"), "*")
-    return blocks.unionByName(L.row_inputs(r, meta, source_files_rows(spark, d)).select(F.lit("file").alias("mode"), "*"))
+    return blocks.unionByName(L.row_inputs(r, meta, files).select(F.lit("file").alias("mode"), "*"))
 
 
 @reg("prompt_input_file", with_fx(["fx_rows", "fx_meta"], """

@@ -1,5 +1,6 @@
 """The data-quality checks find hand-made violations and stay silent on clean rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanlake.operators import checks as J
@@ -63,9 +64,27 @@ def test_group_counts_and_schema(spark):
     assert J.chk_schema_equal(blocks, preds) and not J.chk_schema_equal(blocks, blocks.drop("relevance_label"))
 
 
-def test_missing_keys_reports_lookups_without_a_match(spark):
-    from spanlake.operators.joins import missing_keys
-    ex = spark.createDataFrame([("q1", 1), ("q2", 2), ("q9", 3), ("q9", 4)], "query_name string, row_id int")
-    meta = spark.createDataFrame([("q1",), ("q2",)], "query_name string")
-    got = [(r["check"], r["key"]) for r in missing_keys(ex, meta, ["query_name"], "join_query_meta").collect()]
-    assert got == [("join_query_meta", "q9")]
+def test_lookups_split_into_rows_and_rejects(spark):
+    from spanlake.operators import joins as C
+    ex = spark.createDataFrame([("q1", "f1", 1), ("q2", "f9", 2), ("q9", "f1", 3), (None, "f9", 4)],
+                               "query_name string, code_file_path string, row_id int")
+    meta = spark.createDataFrame([("q1", "d1", "r1"), ("q2", "d2", None)], "query_name string, desc string, reccomendation string")
+    files = spark.createDataFrame([("f1", "text")], "code_file_path string, content string")
+    both = C.join_source_text(C.join_query_meta(ex, meta), files)
+    assert [(r["row_id"], r["desc"], r["content"]) for r in C.found(both).collect()] == [(1, "d1", "text")]
+    got = {(r["check"], r["key"], r["detail"]) for r in C.rejects(both, ["row_id"]).collect()}
+    assert got == {("source_text", "2", "no matching row"), ("query_meta", "3", "no matching row"), ("query_meta", "4", "no matching row")}
+    assert {r["row_id"] for r in C.join_query_meta(ex, meta, "drop").collect()} == {1, 2}
+    assert "missing" not in C.join_query_meta(ex, meta, "fail").columns
+    with pytest.raises(ValueError):
+        C.lookup(ex, meta, ["query_name"], "x", "ignore")
+
+
+def test_a_miss_stops_the_write(spark, tmp_path):
+    from spanlake.operators import joins as C
+    ex = spark.createDataFrame([("q1", 1), ("q9", 2)], "query_name string, row_id int")
+    meta = spark.createDataFrame([("q1", "d1", "r1")], "query_name string, desc string, reccomendation string")
+    with pytest.raises(Exception, match="query_meta: no matching row for q9"):
+        C.join_query_meta(ex, meta, "fail").write.parquet(str(tmp_path / "out"))
+    assert not (tmp_path / "out" / "_SUCCESS").exists()
+    assert C.join_query_meta(ex.where("row_id = 1"), meta, "fail").first()["desc"] == "d1"

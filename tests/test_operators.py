@@ -220,3 +220,58 @@ def test_global_row_number_matches_row_number(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     want = df.withColumn("rn", F.row_number().over(Window.orderBy("g", "k", "i")) - 1)
     assert a == sorted((r["i"], r["rn"]) for r in want.select("i", "rn").collect())
+
+
+def test_numbering_of_ties_nulls_and_equal_rows(spark):
+    from spanlake.operators.windows import global_row_number, group_row_number, row_index
+    rows = [(g, k, v) for g in ("a", None, "b") for k in (1, None, 2, 2) for v in ("x", "x", None)]
+    df = spark.createDataFrame(rows, "g string, k int, v string").repartition(5)
+    got = global_row_number(df, ["g", "k"], "rn")
+    assert got.columns == ["g", "k", "v", "rn"] and sorted(r["rn"] for r in got.collect()) == list(range(36))
+    low = lambda x: (x is not None, x)  # noqa: E731 - nulls first
+    assert [(r["g"], r["k"]) for r in got.orderBy("rn").collect()] == sorted(((g, k) for g, k, _ in rows), key=lambda r: (low(r[0]), low(r[1])))
+    for r in (group_row_number(df, ["g"], ["k"], "rn"), row_index(df, "g", ("k",)).withColumn("rn", F.col("i") + 1)):
+        by = {}
+        for x in sorted(r.collect(), key=lambda x: x["rn"]):
+            by.setdefault(x["g"], []).append((x["rn"], x["k"]))
+        assert all(v == list(zip(range(1, 13), [None] * 3 + [1] * 3 + [2] * 6)) for v in by.values()) and len(by) == 3
+    down = global_row_number(df, [F.desc_nulls_last("k")], "rn", keys=["k"])
+    assert {r["rn"] for r in down.where("k is null").collect()} == set(range(27, 36))
+    assert global_row_number(df.limit(0), ["g"]).count() == 0
+
+
+def test_numbering_stores_keys_only(spark):
+    import glob
+    import os
+
+    from spanlake.operators.windows import global_row_number
+    from spanlake.session import ensure_checkpoint_dir
+    root = ensure_checkpoint_dir(spark).replace("file:", "")
+    before = set(glob.glob(f"{root}/rdd-*"))
+    df = spark.range(2000).select("id", F.concat(F.repeat(F.sha2(F.col("id").cast("string"), 512), 40), F.lit("payload")).alias("text"))
+    assert global_row_number(df, ["id"]).where("rn = id").count() == 2000
+    new = set(glob.glob(f"{root}/rdd-*")) - before
+    size = sum(os.path.getsize(f) for d in new for f in glob.glob(f"{d}/*"))
+    assert 0 < size < 1_000_000  # the rows take 10 MB
+
+
+def _losses(spark, ordinals):
+    rows = [(o, [[0.1 * i, 1.0, -0.5 * i], [2.0, 0.0, 0.3]], [i % 3, 2]) for i, o in enumerate(ordinals)]
+    return spark.createDataFrame(rows, "row_id long, logits array<array<double>>, targets array<int>").repartition(3)
+
+
+def test_batches_are_consecutive_rows_whatever_the_ordinals(spark):
+    import math
+    dense = D.batch_loss(_losses(spark, range(10))).first()
+    gapped = D.batch_loss(_losses(spark, [4 * i + i * i for i in range(10)])).first()
+    assert dense == gapped and dense["n_batches"] == 3
+    ce = []
+    for i in range(10):
+        for l, t in zip([[0.1 * i, 1.0, -0.5 * i], [2.0, 0.0, 0.3]], [i % 3, 2]):
+            ce.append(math.log(sum(map(math.exp, l))) - l[t])
+    means = [sum(c) / len(c) for c in (ce[0:8], ce[8:16], ce[16:20])]
+    assert abs(dense["total_loss"] - sum(means)) < 1e-8 and abs(dense["mean_loss"] - sum(ce) / 20) < 1e-8
+    # null ordinals come last, repeated ones are rows of their own
+    odd = D.batch_loss(_losses(spark, [None, 1, 1, 1, 1, 7, 7, None, 9])).first()
+    assert odd["n_batches"] == 3
+    assert D.batch_loss(_losses(spark, [1]).limit(0)).first()["n_batches"] == 0
