@@ -183,7 +183,7 @@ def scores(docs: DataFrame, target: DataFrame, text: str = "text", doc_id: str =
                          "importance-scores")
     n_drawn = scored.where(F.col("n_words") >= min_words).count() * percent // 100
     placed = global_row_number(scored.withColumn("_out", F.col("n_words") < min_words),
-                               ["_out", F.desc("score"), F.asc_nulls_last("doc_id")], "_place")
+                               ["_out", F.desc("score"), F.asc_nulls_last("doc_id")], "_place", ["_out", "score", "doc_id"])
     drawn = ~F.col("_out") & (F.col("_place") < n_drawn)
     return placed.select("doc_id", "n_words", "n_features", "weight", "score",
                          F.when(drawn, F.col("_place") + 1).cast("long").alias("rank"))

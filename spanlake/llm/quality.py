@@ -206,7 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     first = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")
     some = marked.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= rows).drop("_place")
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col(text).cast("string").alias("_text"))
-    one = texts.join(some, F.col("_doc") == F.col("_id")).dropDuplicates(["_id", "_label"])
+    # at most 2 * rows ids: broadcast, so that no text is shuffled but the chosen ones
+    one = texts.join(F.broadcast(some), F.col("_doc") == F.col("_id")).dropDuplicates(["_id", "_label"])
     got = one.select(F.col("_label").alias("label"), F.col("_text").alias("text")).mapInArrow(
         _features, "label int, x array<double>").collect()
     x = {k: np.array(sorted(r["x"] for r in got if r["label"] == k)).reshape(-1, FEATURES) for k in (0, 1)}
