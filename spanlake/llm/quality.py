@@ -15,7 +15,8 @@ the driver.  Every document is scored in Arrow batches of bounded passes.
 
 Defined results: null and empty texts have zero features and a score like any other; a text
 over ``PIECE`` bytes is measured in pieces whose counts add up; repeated rows score alike;
-labels other than 0 and 1, and null ids, teach nothing; without documents of both labels all
+of rows that share a doc_id the least text
+teaches; labels other than 0 and 1, and null ids, teach nothing; without documents of both labels all
 weights are 0 and every score is ``LIMIT``; further columns pass through ``score`` and are
 ignored by the query.
 """
@@ -207,8 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     some = marked.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= rows).drop("_place")
     texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col(text).cast("string").alias("_text"))
     # at most 2 * rows ids: broadcast, so that no text is shuffled but the chosen ones
-    one = texts.join(F.broadcast(some), F.col("_doc") == F.col("_id")).dropDuplicates(["_id", "_label"])
-    got = one.select(F.col("_label").alias("label"), F.col("_text").alias("text")).mapInArrow(
+    one = texts.join(F.broadcast(some), F.col("_doc") == F.col("_id")).groupBy("_id", "_label").agg(F.min("_text").alias("text"))
+    got = one.select(F.col("_label").alias("label"), "text").mapInArrow(
         _features, "label int, x array<double>").collect()
     x = {k: np.array(sorted(r["x"] for r in got if r["label"] == k)).reshape(-1, FEATURES) for k in (0, 1)}
     return train(x[1], x[0], count.get(1, 0), count.get(0, 0))
