@@ -3,38 +3,38 @@
 Generators of high recall propose spans of four kinds, which may overlap: the base
 patterns (``base`` is set where a match passes its kind's test) and stricter patterns that
 find a number inside a longer run, bare and national phone numbers and obfuscated mail.
-Twelve binary format and context features describe a candidate, so all candidates of a
-corpus are counted by features in a table of at most ``2 ** 12`` rows.  The label comes from
-evidence, whether base finds the candidate or not: one with a right format (checksum, issuer,
-octets, number of digits) between clean boundaries is a span, one without is none, and a
-right format with unclean boundaries beside a context word is not counted.  Boosted depth-2
-trees are fitted to one half of each count, and the other half calibrates, per kind, the
-smallest score down to which every score has ``PRECISION``, so that neither frequent nor rare
-spans move others over or under the threshold.  Base spans always stay; the model adds
-candidates whose score reaches the threshold and that overlap no base span and no better
-added one.
+Binary format and context features describe a candidate.  Boosted depth-2 trees are fitted to
+the hand-labelled sentences of ``pii_sample``, whose labels are no function of the features.
+Thresholds are calibrated on other sentences than the scores come from: the sentences are
+dealt by hash into folds, each is scored by trees of the other folds, and a kind's threshold
+is the lowest score down to which the proposals have ``PRECISION``.  The model therefore does
+not depend on the corpus: neither its size nor the rates of spans in it move the thresholds.
+Base spans always stay; the model adds candidates whose score reaches the threshold and that
+overlap no base span and no better added one.
 
 Positions are code points, end exclusive.  Patterns are possessive and anchored at the
 start of a run, so long runs cost linear time.
 
-Defined results: null texts are empty and have no spans; kinds with too little calibration
-data (under about eight spans) add nothing; repeated rows are judged alike; further columns are ignored (``redact`` passes
-them through).
+Defined results: null texts are empty and have no spans; repeated rows are judged alike;
+further columns, whatever their names, are ignored by the query, and ``redact`` passes them
+through.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import materialize, table
+from spanlake.llm.common import table
+from spanlake.llm.pii_sample import SENTENCES
 
 KINDS = ["email", "ip", "card", "phone"]
-ROUNDS, RATE, PRECISION = 30, 0.3, 0.9
+ROUNDS, RATE, PRECISION, FOLDS = 40, 0.3, 0.9, 5
 CONTEXT = 24
 
 _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -78,10 +78,10 @@ FEATURES = [
     f"""case x.kind when 0 then x.m rlike '([.]|[^a-z]dot[^a-z] ?)[A-Za-z]{{2,}}$' when 1 then x.m rlike '^{_OCTET}([.]{_OCTET}){{3}}$'
         when 2 then (length(d) between 16 and 19 or d rlike '{_ISSUER}') and {_LUHN.format(d='d')} else length(d) between 8 and 15 end""",
     "size(array_distinct(split(d, ''))) >= 3",
+    "x.m rlike '[(/+-]'",
+    "x.l rlike '(?i)(order|isbn|ean|serial|row|id|epoch|at|track[a-z]*|version|build|section|chapter|number|no)[.:]? *$'",
 ]
 
-_FORMAT, _CLEAN, _NEAR = 1 << 10, 1 << 7 | 1 << 8, 1 << 9
-
 _SPAN = "array<struct<kind:int,s:int,e:int,m:string,l:string,r:string>>"
 
 
@@ -99,23 +99,28 @@ def _matches(kind: int, pattern: str, guard: str) -> str:
         a -> a.out))[0]))[0], cast(array() as {_SPAN}))"""
 
 
+def _rest(docs: DataFrame) -> Column:
+    """The caller's columns as one, so that none of the names below can meet theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+
+
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``_cands``: array of (kind, s, e, base, bits), without duplicates."""
-    t = docs.withColumn("t", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    """(doc, t, cands): the row, its text and the array of (kind, s, e, base, bits) proposed
+    in it, without duplicates."""
+    t = docs.select(_rest(docs), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("t"))
     t = t.withColumn("num", F.col("t").rlike("[0-9].{0,2}[0-9]"))
     for g, (kind, pattern, guard, _) in enumerate(GENERATORS):
-        t = t.withColumn(f"_g{g}", F.expr(_matches(KINDS.index(kind), pattern, guard)))
+        t = t.withColumn(f"g{g}", F.expr(_matches(KINDS.index(kind), pattern, guard)))
     bits = " + ".join(f"if({f}, {1 << i}, 0)" for i, f in enumerate(FEATURES))
     for g, (_, _, _, base) in enumerate(GENERATORS):
-        t = t.withColumn(f"_g{g}", F.expr(
-            f"""transform(_g{g}, x -> transform(array({_DIGITS}), d -> named_struct('kind', x.kind, 's', x.s, 'e', x.e,
+        t = t.withColumn(f"g{g}", F.expr(
+            f"""transform(g{g}, x -> transform(array({_DIGITS}), d -> named_struct('kind', x.kind, 's', x.s, 'e', x.e,
                 'base', {base or 'false'}, 'bits', {bits}))[0])"""))
-    proved = [f"_g{g}" for g in range(len(GENERATORS)) if GENERATORS[g][3]]
-    others = [f"_g{g}" for g in range(len(GENERATORS)) if not GENERATORS[g][3]]
-    t = t.withColumn("_all", F.concat(*proved))
-    t = t.withColumn("_cands", F.concat("_all", F.filter(F.array_distinct(F.concat(*others)), lambda x: ~F.exists(
-        F.col("_all"), lambda b: (b["kind"] == x["kind"]) & (b["s"] == x["s"]) & (b["e"] == x["e"])))))
-    return t.select(*docs.columns, "_cands")
+    proved = [f"g{g}" for g in range(len(GENERATORS)) if GENERATORS[g][3]]
+    others = [f"g{g}" for g in range(len(GENERATORS)) if not GENERATORS[g][3]]
+    t = t.withColumn("own", F.concat(*proved))
+    return t.select("doc", "t", F.concat("own", F.filter(F.array_distinct(F.concat(*others)), lambda x: ~F.exists(
+        F.col("own"), lambda b: (b["kind"] == x["kind"]) & (b["s"] == x["s"]) & (b["e"] == x["e"])))).alias("cands"))
 
 
 @dataclass
@@ -179,55 +184,62 @@ def boost(bits: np.ndarray, yes: np.ndarray, no: np.ndarray, rounds: int = ROUND
     return model
 
 
-def calibrate(model: Model, bits: np.ndarray, yes: np.ndarray, no: np.ndarray, precision: float = PRECISION) -> None:
-    """Thresholds from counted feature sets: the walk down the scores ends at the first score
-    whose own spans miss the precision."""
-    scores = model.scores(bits)
+def calibrate(kinds: np.ndarray, scores: np.ndarray, yes: np.ndarray, precision: float = PRECISION) -> list[float]:
+    """Per kind the lowest score whose candidates, with all above it, have the precision, moved
+    half of the way to the next one below; the scores are of trees that did not see them."""
+    out = []
     for k in range(len(KINDS)):
-        own = np.flatnonzero((bits >> k & 1 == 1) & (yes + no > 0))
-        hit = total = 0.0
-        for s in sorted(set(scores[own]), reverse=True):
-            same = own[scores[own] == s]
-            right, n = yes[same].sum(), yes[same].sum() + no[same].sum()
-            if right < precision * n:
-                break
-            hit, total = hit + right, total + n
-            if (hit + 0.5) / (total + 1) >= precision:
-                model.thresholds[k] = float(s)
-
-
-def evidence(bits: np.ndarray) -> np.ndarray:
-    """What the features prove: 1 a span, 0 none, -1 undecided."""
-    form, clean = bits & _FORMAT != 0, bits & _CLEAN == _CLEAN
-    return np.where(form & clean, 1, np.where(form & (bits & _NEAR != 0), -1, 0))
-
-
-def fit(cands: DataFrame) -> Model:
-    """A model from all candidates of ``cands`` (``_cands``): one count per feature set, half
-    to fit and half to calibrate."""
-    one = cands.select(F.explode("_cands.bits").alias("bits"))
-    rows = sorted((r["bits"], r["count"]) for r in one.groupBy("bits").count().collect())
-    bits, n = np.array(rows, np.int64).reshape(-1, 2).T
-    label = evidence(bits)
-    bits, n, label = bits[label >= 0], n[label >= 0], label[label >= 0]
-    model = boost(bits, (n + 1) // 2 * label * 1.0, (n + 1) // 2 * (1.0 - label))
-    calibrate(model, bits, n // 2 * label, n // 2 * (1 - label))
+        own = kinds == k
+        limit = math.inf
+        levels = sorted(set(scores[own]), reverse=True)
+        for i, s in enumerate(levels):
+            if yes[own & (scores >= s)].mean() >= precision:
+                limit = float((s + levels[i + 1]) / 2) if i + 1 < len(levels) else float(s)
+        out.append(limit)
+    return out
+
+
+def sample(spark: SparkSession) -> list[tuple[str, int, bool, bool, int]]:
+    """(sentence, kind, base, personal, bits) of every candidate of the labelled sentences."""
+    rows = []
+    for line in SENTENCES.strip().split("\n"):
+        text, _, label = line.rpartition("|")
+        kind, _, span = label.partition(" ")
+        rows.append((text, KINDS.index(kind) if span else -1, text.find(span) if span else -1, len(span)))
+    docs = spark.createDataFrame(rows, "text string, kind int, start int, size int")
+    found = with_candidates(docs).select("doc.*", F.explode("cands").alias("x")).select(
+        "text", "x.kind", "x.base", ((F.col("kind") == F.col("x.kind")) & (F.col("start") == F.col("x.s"))
+                                     & (F.col("start") + F.col("size") == F.col("x.e"))).alias("yes"), "x.bits")
+    return sorted(tuple(r) for r in found.collect())
+
+
+def fit(spark: SparkSession) -> Model:
+    """The model of the labelled sentences."""
+    rows = sample(spark)
+    bits, yes = np.array([r[4] for r in rows], np.int64), np.array([r[3] for r in rows], float)
+    fold = np.array([zlib.crc32(r[0].encode()) % FOLDS for r in rows])
+    scores = np.zeros(len(rows))
+    for f in range(FOLDS):
+        scores[fold == f] = boost(bits[fold != f], yes[fold != f], 1 - yes[fold != f]).scores(bits[fold == f])
+    model = boost(bits, yes, 1 - yes)
+    model.thresholds = calibrate(np.array([r[1] for r in rows]), scores, yes)
     return model
 
 
 def with_spans(cands: DataFrame, model: Model) -> DataFrame:
-    """``_base`` and ``_spans`` (base and added), arrays of (kind, s, e) in order."""
+    """(doc, t, base, spans): the base spans, and with the added ones, as arrays of
+    (kind, s, e) in order."""
     limit = "case x.kind " + " ".join(f"when {k} then {'9e99' if math.isinf(v) else repr(v)}D"
                                       for k, v in enumerate(model.thresholds)) + " end"
-    out = cands.withColumn("_base", F.array_sort(F.expr(
-        "transform(filter(_cands, x -> x.base), x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e))")))
-    out = out.withColumn("_more", F.expr(f"""filter(transform(filter(_cands, x -> not x.base), x -> named_struct('kind', x.kind,
+    out = cands.withColumn("base", F.array_sort(F.expr(
+        "transform(filter(cands, x -> x.base), x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e))")))
+    out = out.withColumn("more", F.expr(f"""filter(transform(filter(cands, x -> not x.base), x -> named_struct('kind', x.kind,
         's', x.s, 'e', x.e, 'score', {model.expression()})), x -> x.score >= {limit}
-        and not exists(_base, b -> b.s < x.e and x.s < b.e))"""))
-    out = out.withColumn("_added", F.expr("""transform(filter(_more, x -> not exists(_more, y -> y.s < x.e and x.s < y.e and
+        and not exists(base, b -> b.s < x.e and x.s < b.e))"""))
+    out = out.withColumn("added", F.expr("""transform(filter(more, x -> not exists(more, y -> y.s < x.e and x.s < y.e and
         (y.score > x.score or (y.score = x.score and (y.s < x.s or (y.s = x.s and (y.e > x.e or (y.e = x.e and y.kind < x.kind)))))))),
         x -> named_struct('kind', x.kind, 's', x.s, 'e', x.e))"""))
-    return out.withColumn("_spans", F.array_sort(F.concat("_base", "_added"))).drop("_cands", "_more", "_added")
+    return out.select("doc", "t", "base", F.array_sort(F.concat("base", "added")).alias("spans"))
 
 
 def joined(spans: str) -> Column:
@@ -235,29 +247,32 @@ def joined(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, x -> concat(array({names})[x.kind], ':', x.s, ':', x.e)), ',')")
 
 
-def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
+def redact(docs: DataFrame, model: Model | None = None, text: str = "text") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind's tag (spans that overlap an
     earlier one extend it); ``n_chars`` follows the new text where the column exists."""
-    if model is None:
-        model = fit(materialize(with_candidates(docs.select("text")).select("_cands"), "pii-candidates"))
-    found = with_spans(with_candidates(docs), model)
+    found = with_spans(with_candidates(docs, text), model or fit(docs.sparkSession))
     tags = ", ".join(f"'<{k.upper()}>'" for k in KINDS)
-    new = F.expr(f"""if(size(_spans) = 0, text, aggregate(array_sort(transform(_spans, x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind))),
+    new = F.expr(f"""aggregate(array_sort(transform(spans, x -> named_struct('s', x.s, 'e', x.e, 'kind', x.kind))),
         named_struct('pos', 0, 'out', ''),
-        (a, x) -> if(x.s >= a.pos, named_struct('pos', x.e, 'out', concat(a.out, substring(text, a.pos + 1, x.s - a.pos), array({tags})[x.kind])),
+        (a, x) -> if(x.s >= a.pos, named_struct('pos', x.e, 'out', concat(a.out, substring(t, a.pos + 1, x.s - a.pos), array({tags})[x.kind])),
                      named_struct('pos', greatest(a.pos, x.e), 'out', a.out)),
-        a -> concat(a.out, substring(text, a.pos + 1, length(text)))))""")
-    found = found.withColumn("text", new)
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
-                                 .otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+        a -> concat(a.out, substring(t, a.pos + 1, length(t))))""")
+    found = found.select("doc", F.size("spans").alias("n"), F.when(F.size("spans") > 0, new).alias("new"))
+
+    def column(c: str) -> Column:
+        old = F.col("doc").getField(c)
+        if c == text:
+            return F.when(F.col("n") > 0, F.col("new")).otherwise(old.cast("string"))
+        if c == "n_chars":
+            return F.when(F.col("n") > 0, F.length("new").cast(docs.schema[c].dataType)).otherwise(old)
+        return old
+
+    return found.select(*[column(c).alias(c) for c in docs.columns])
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cands = materialize(with_candidates(docs).select("doc_id", "_cands"), "pii-candidates")
-    found = with_spans(cands, fit(cands))
-    count = [F.expr(f"size(filter(_base, x -> x.kind = {k}))").cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select("doc_id", *count, F.sha2(joined("_base"), 256).alias("base_sha256"), joined("_spans").alias("spans"),
-                        (F.size("_spans") - F.size("_base")).cast("long").alias("n_added"))
+    found = with_spans(with_candidates(docs), fit(spark))
+    count = [F.expr(f"size(filter(base, x -> x.kind = {k}))").cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select("doc.doc_id", *count, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"),
+                        (F.size("spans") - F.size("base")).cast("long").alias("n_added"))

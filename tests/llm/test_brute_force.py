@@ -200,6 +200,84 @@ def test_personal_data_beside_base(spark):
         assert [out[len(bare) + k] for k in range(len(none))] == none
 
 
+def test_personal_data_of_small_corpora(spark):
+    # no number of spans is needed, and the caller's columns stay as they are
+    rows = [(1, "Please call 555-123-4567 today", "mail a@b.org now", 7), (2, "call 555-987-6543", None, 8)]
+    names = ["t", "num", "g0", "own", "cands", "base", "more", "added", "spans", "doc", "new", "n", "a.b", "_all", "_cands"]
+    docs = spark.createDataFrame([(i, x, *[t] * len(names), k) for i, x, t, k in rows],
+                                 "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names) + ", n_chars int")
+    out = pii.redact(docs)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert out.columns == docs.columns and out.schema == docs.schema
+    assert (got[1]["text"], got[2]["text"]) == ("Please call <PHONE> today", "call <PHONE>")
+    assert all(got[1][c] == "mail a@b.org now" for c in names) and got[1]["n_chars"] == len("Please call <PHONE> today")
+    assert pii.redact(docs.where("doc_id = 2")).first()["text"] == "call <PHONE>"
+
+
+def plain_boost(rows, rounds=pii.ROUNDS):
+    """Scores of feature sets by depth-2 trees, in plain Python: (bits, label) -> function."""
+    start = math.log((sum(y for _, y in rows) + 0.5) / (sum(1 - y for _, y in rows) + 0.5))
+    trees, score = [], [start] * len(rows)
+
+    def leaf(idx):
+        g = sum(rows[i][1] - p[i] for i in idx)
+        h = sum(p[i] * (1 - p[i]) for i in idx)
+        return pii.RATE * g / (h + 1), g * g / (h + 1)
+
+    for _ in range(rounds):
+        p = [1 / (1 + math.exp(-x)) for x in score]
+        best = None
+        for f in range(len(pii.FEATURES)):
+            sides, gain = [], 0.0
+            for on in (0, 1):
+                idx = [i for i, (b, _) in enumerate(rows) if (b >> f & 1) == on]
+                top = None
+                for g in range(len(pii.FEATURES)):
+                    two = [leaf([i for i in idx if (rows[i][0] >> g & 1) == v]) for v in (0, 1)]
+                    if top is None or two[0][1] + two[1][1] > top[1] + 1e-12:
+                        top = ((g, two[0][0], two[1][0]), two[0][1] + two[1][1])
+                sides.append(top[0])
+                gain += top[1]
+            if best is None or gain > best[0] + 1e-9:
+                best = (gain, f, sides)
+        trees.append(best[1:])
+        score = [x + (lambda s: s[1 + (b >> s[0] & 1)])(trees[-1][1][b >> trees[-1][0] & 1]) for x, (b, _) in zip(score, rows)]
+    return lambda bits: start + sum((lambda s: s[1 + (bits >> s[0] & 1)])(t[1][bits >> t[0] & 1]) for t in trees)
+
+
+def test_personal_data_model(spark):
+    rows = pii.sample(spark)
+    model = pii.fit(spark)
+    bits = np.array(sorted({r[4] for r in rows}), np.int64)
+    plain = plain_boost([(r[4], float(r[3])) for r in rows], rounds=6)
+    short = pii.boost(np.array([r[4] for r in rows]), np.array([r[3] for r in rows], float), np.array([not r[3] for r in rows], float), rounds=6)
+    assert np.allclose(short.scores(bits), [plain(int(b)) for b in bits], atol=1e-6)
+    assert all(math.isfinite(x) for x in model.thresholds)
+    # labels are no function of the features alone that the trees just repeat: the sentences decide
+    right = [(model.scores(np.array([r[4]]))[0] >= model.thresholds[r[1]]) == r[3] for r in rows]
+    assert sum(right) >= 0.95 * len(rows)
+
+
+def test_added_spans_equal_plain(spark):
+    """Which proposals are added, from the proposals and the model, in plain Python."""
+    random.seed(11)
+    parts = ["call 555-123-4567", "Tel. 030 1234567", "jo (at) ex.com", "378282246310005", "4111111111111112", "+1 212 555 0147", "1700000000000",
+             "a@b.org", "300.1.2.3", "x", "(212) 555-0147 0711 555123", "phone 01 23 45 67 89 555-123-4567"]
+    docs = spark.createDataFrame([(i, " ".join(random.choice(parts) for _ in range(random.randint(0, 7)))) for i in range(300)], "doc_id long, text string")
+    model = pii.fit(spark)
+    cands = pii.with_candidates(docs)
+    got = {r["doc"]["doc_id"]: [tuple(x) for x in r["spans"]] for r in pii.with_spans(cands, model).collect()}
+    some = 0
+    for r in cands.collect():
+        base = {(c["kind"], c["s"], c["e"]) for c in r["cands"] if c["base"]}
+        more = [(-model.scores(np.array([c["bits"]]))[0], c["s"], -c["e"], c["kind"]) for c in r["cands"] if not c["base"]]
+        more = [m for m in more if -m[0] >= model.thresholds[m[3]] and not any(s < -m[2] and m[1] < e for _, s, e in base)]
+        added = {(k, s, -e) for w, s, e, k in more if not any(o < (w, s, e, k) and o[1] < -e and s < -o[2] for o in more)}
+        assert got[r["doc"]["doc_id"]] == sorted(base | added)
+        some += bool(added)
+    assert some > 50
+
+
 def test_urls_that_part_deep(spark):
     deep = "/topic/a/b/c/d"
     rules = [("block", "h.com", f"/2024/05/12{deep}/spam/"), ("allow", "h.com", f"/2024/05/12{deep}/news/")]
