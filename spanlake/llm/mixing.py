@@ -14,10 +14,14 @@ folded to one open document each, the open ones of ``group`` neighbouring groups
 folded next, and so on; no task sees more than a group.  The randomness is a hash of
 documents and seed, so reruns agree.  Everything is DataFrame functions.
 
+Rows are stored once with their sizes, so words are counted once and every row without
+doc_id has a number of its own.
+
 Defined results: a null text has size 0, a null source is a source of its own (ranked
 last), rows that repeat doc_id, source and size are rounded as one unit and taken alike,
-sources without words have target 0, an empty table gives an empty mix; further columns
-pass through unless they carry a result's name.
+rows without doc_id are rounded each by itself, sources without words have target 0, an empty
+table gives an empty mix; further columns, whatever their names, pass through unless they
+carry a result's name.
 """
 
 from __future__ import annotations
@@ -67,12 +71,12 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_CO
 # goes to its partner, the next document.  The smallest one stays open.
 _FOLD = """
 aggregate(slice(docs, 1, size(docs) - 1),
-  named_struct('debt', 0D, 'done', cast(array() as array<struct<doc_id:bigint,size:bigint,extra:int>>)),
+  named_struct('debt', 0D, 'done', cast(array() as array<struct<doc_id:bigint,row:bigint,size:bigint,extra:int>>)),
   (acc, x) -> transform(transform(array(x.mass + acc.debt), due -> named_struct('due', due, 'extra',
       case when due <= 0 then 0 when due >= x.w then 1
            when pmod(xxhash64(x.h, {seed}, {level}), 9007199254740992) / 9007199254740992D * x.w < due then 1 else 0 end)),
     d -> named_struct('debt', d.due - d.extra * x.w,
-                      'done', concat(acc.done, array(named_struct('doc_id', x.doc_id, 'size', x.size, 'extra', d.extra)))))[0])
+                      'done', concat(acc.done, array(named_struct('doc_id', x.doc_id, 'row', x.row, 'size', x.size, 'extra', d.extra)))))[0])
 """
 
 
@@ -80,29 +84,32 @@ def _fold(open_docs: DataFrame, level: int, seed: int) -> DataFrame:
     """Fold each (source, block) to its smallest document, left open with the group's
     remaining mass; ``done``: the decided ones."""
     grouped = open_docs.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct(
-        (-F.col("size")).alias("order"), "h", "doc_id", "size", "w", "mass"))).alias("docs"))
+        (-F.col("size")).alias("order"), "h", "doc_id", "row", "size", "w", "mass"))).alias("docs"))
     folded = grouped.select("source", "block", F.element_at("docs", -1).alias("last"),
                             F.expr(_FOLD.format(seed=seed, level=level)).alias("r"))
     return folded.select("source", "block", "r.done", F.struct(
-        "last.h", "last.doc_id", "last.size", "last.w", (F.col("last.mass") + F.col("r.debt")).alias("mass")).alias("open"))
+        "last.h", "last.doc_id", "last.row", "last.size", "last.w", (F.col("last.mass") + F.col("r.debt")).alias("mass")).alias("open"))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES, group: int = GROUP,
-        seed: int = SEED) -> DataFrame:
-    """``docs`` (doc_id, source, text, ...) with size, source_size, target, copies, taken."""
-    rest = docs.drop(*RESULT).withColumn("size", n_words())
-    rows = materialize(rest.select(F.col("doc_id").cast("long").alias("doc_id"),
-                                   F.col("source").cast("string").alias("source"), "size"), "mix-sizes")
-    sources = materialize(targets(rows.groupBy("source").agg(
+        seed: int = SEED, columns: list[str] | None = None) -> DataFrame:
+    """``docs`` (doc_id, source, text, ...) with size, source_size, target, copies, taken;
+    ``columns``: the ones to pass through (all but those names)."""
+    kept = [c for c in (columns or docs.columns) if c not in RESULT]
+    stored = materialize(docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"), n_words().alias("size"))
+        .withColumn("row", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), "mix-rows")
+    sources = materialize(targets(stored.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, max_copies)
         .withColumn("due", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
         .withColumn("whole", F.floor(F.col("due") + 1e-9).cast("int"))
         .withColumn("p", F.greatest(F.lit(0.0), F.col("due") - F.col("whole"))), "mix-targets")
     of = sources.select(F.col("source").alias("s"), "source_size", "target", "whole", "p", "n")
-    units = rows.where("size > 0").groupBy("source", "doc_id", "size").agg(F.count("*").alias("m"))
+    units = stored.where("size > 0").groupBy("source", "doc_id", "row", "size").agg(F.count("*").alias("m"))
     open_docs = (units.join(of, F.col("source").eqNullSafe(F.col("s"))).where("p > 1e-9")
-                 .select("source", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.ceil(F.col("n") / group)).alias("block"),
-                         F.xxhash64("doc_id", "size", F.lit(seed + 1)).alias("h"), "doc_id", "size",
+                 .select("source", F.pmod(F.xxhash64("doc_id", "row", "size", F.lit(seed)), F.ceil(F.col("n") / group)).alias("block"),
+                         F.xxhash64("doc_id", "row", "size", F.lit(seed + 1)).alias("h"), "doc_id", "row", "size",
                          (F.col("m") * F.col("size")).cast("double").alias("w"),
                          (F.col("p") * F.col("m") * F.col("size")).alias("mass")))
     blocks = math.ceil((sources.agg(F.max("n")).head()[0] or 0) / group)
@@ -116,19 +123,20 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES,
         if blocks <= 1:
             break
         open_docs, blocks = left, math.ceil(blocks / group)
-    last = left.select("source", "doc_id", "size", F.when(
+    last = left.select("source", "doc_id", "row", "size", F.when(
         F.pmod(F.xxhash64("h", F.lit(seed + 2)), F.lit(1 << 53)) / float(1 << 53) < F.col("mass") / F.col("w"), 1)
         .otherwise(0).alias("extra"))
-    decided = decided.unionByName(last).select(
-        F.col("source").alias("e_source"), F.col("doc_id").alias("e_id"), F.col("size").alias("e_size"), "extra")
-    on = (F.col("doc_id").cast("long").eqNullSafe(F.col("e_id")) & (F.col("size") == F.col("e_size"))
-          & F.col("source").cast("string").eqNullSafe(F.col("e_source")))
-    joined = rest.join(decided.hint("merge"), on, "left").join(of, F.col("source").cast("string").eqNullSafe(F.col("s")), "left")
+    decided = decided.unionByName(last).select(F.col("source").alias("e_source"), F.col("doc_id").alias("e_id"),
+                                               F.col("row").alias("e_row"), F.col("size").alias("e_size"), "extra")
+    on = (F.col("doc_id").eqNullSafe(F.col("e_id")) & F.col("row").eqNullSafe(F.col("e_row"))
+          & (F.col("size") == F.col("e_size")) & F.col("source").eqNullSafe(F.col("e_source")))
+    joined = stored.join(decided.hint("merge"), on, "left").join(of, F.col("source").eqNullSafe(F.col("s")), "left")
     copies = (F.col("whole") + F.coalesce(F.col("extra"), F.lit(0))).cast("long")
-    return joined.select(*rest.columns, "source_size", "target", copies.alias("copies"),
-                         (copies * F.col("size")).alias("taken"))
+    return joined.select(*[F.col("doc").getField(c).alias(c) for c in kept], "size", "source_size", "target",
+                         copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    mixed = mix(docs, columns=["doc_id", "source"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from spanlake.llm import ann, decontaminate, jaccard, langid, maxent, mixing, pii, suffixes, urlfilter, warc
 from spanlake.llm.components import components
@@ -369,3 +370,18 @@ def test_mixing(spark):
     target |= {k: level * v for k, v in free.items()}
     for k, v in by["target"].items():
         assert v == pytest.approx(target[None if k != k else k])
+
+
+def test_mixing_without_ids_and_with_clashing_names(spark):
+    rows = [(None, "w " * 10, s) for s in "abc" for _ in range(1000)]
+    names = ["n", "p", "s", "whole", "extra", "row", "doc", "w", "mass", "m", "h", "due", "e_id", "a.b"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(f"mine {c}") for c in names if "." not in c})
+    docs = docs.withColumn("a.b", F.lit("mine a.b"))
+    out = mixing.mix(docs)
+    assert out.columns == [*docs.columns, "size", "source_size", "target", "copies", "taken"]
+    got = out.collect()
+    assert len(got) == 3000 and all(r[c] == f"mine {c}" for r in got[::100] for c in names)
+    for s, target in zip("abc", (5_000, 10_000, 15_000)):
+        own = [r for r in got if r["source"] == s]
+        assert own[0]["target"] == pytest.approx(target) and abs(sum(r["taken"] for r in own) - target) <= 10
+    assert mixing.mix(docs, columns=["doc_id"]).columns == ["doc_id", "size", "source_size", "target", "copies", "taken"]
