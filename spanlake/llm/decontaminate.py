@@ -7,14 +7,14 @@ between blanks.  A pattern class holds patterns of similar length; per class a b
 table skips positions where no pattern can end, the last block of a window's first ``m``
 bytes selects a bucket of patterns, and direct comparison confirms an occurrence.
 
-Patterns are processed in blocks of at most ``block_windows`` windows: what is shipped to
-the tasks is bounded whatever the size of the benchmark, and further blocks are further
-passes over the documents.
+Patterns are processed in blocks of at most ``block_windows`` windows.  The benchmark passes
+through the driver one partition and one block at a time; every block after the first is a
+pass of its own over the documents, stored with the hits so far.
 
 Defined results: null, empty or word-free texts have no words and no hits; items without
 words never occur; equal items are all reported; a null item id counts as the empty
 string; repeated document rows are judged one by one; further columns of the inputs are
-ignored (``remove_contaminated`` passes them through).
+ignored (``remove_contaminated`` passes them through, whatever their names).
 """
 
 from __future__ import annotations
@@ -26,9 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from spanlake.llm.common import python_ready, table
+from spanlake.llm.common import materialize, python_ready, table
 
 WINDOW = 10
 BLOCK_WINDOWS = 50_000
@@ -109,9 +108,6 @@ def item_blocks(bench: DataFrame, window: int, block_windows: int) -> Iterator[d
         yield block
 
 
-_STATE = [T.StructField("_hit", T.BinaryType()), T.StructField("_items", T.ArrayType(T.StringType()))]
-
-
 def _scan(block: dict[bytes, list[str]], text_col: int) -> Callable:
     """A pass over Arrow batches that adds one block's hits to the state of each row: the
     hit words as a bitmap, and the items met."""
@@ -148,15 +144,24 @@ def _scan(block: dict[bytes, list[str]], text_col: int) -> Callable:
     return run
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def scan(docs: DataFrame, bench: DataFrame, text: str = "text", window: int = WINDOW,
          block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """``docs`` with ``_hit`` (bitmap of hit words, null if none) and ``_items`` (ids met)."""
+    """``docs`` with two more columns at the end: the bitmap of hit words (null if none) and
+    the ids met.  Every further block of patterns is a pass of its own over stored rows, so
+    a task and the driver hold one block at a time."""
     python_ready(docs)
-    out = docs.drop("_hit", "_items").withColumns({
-        "_hit": F.lit(None).cast("binary"), "_items": F.lit(None).cast("array<string>")})
+    out = docs.withColumns({_free(docs, "_hit"): F.lit(None).cast("binary"), _free(docs, "_items"): F.lit(None).cast("array<string>")})
     at = out.columns.index(text)
-    for block in item_blocks(bench, window, block_windows):
-        out = out.mapInArrow(_scan(block, at), out.schema)
+    for k, block in enumerate(item_blocks(bench, window, block_windows)):
+        out = (materialize(out, "benchmark-hits") if k else out).mapInArrow(_scan(block, at), out.schema)
     return out
 
 
@@ -187,7 +192,8 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW,
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents in which no window of any item occurs, with their own columns."""
-    return scan(docs, bench, window=window).where(F.col("_hit").isNull()).select(*docs.columns)
+    found = scan(docs, bench, window=window)
+    return found.where(F.col(found.columns[-2]).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
