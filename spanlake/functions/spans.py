@@ -43,6 +43,18 @@ def extract_spans(labels) -> Column:
         F.substring(r, 1, 1).cast("int").alias("tag")))
 
 
+def extract_block_spans(labels, blocks) -> Column:
+    """Spans of a label array with the block id of every position: what the span is known by is
+    its list of (block, position), so equal labels at other blocks are other spans.
+
+    Returns ``array<struct<start:int,len:int,tag:int,blocks:array<int>>>`` in start order; null
+    where the two arrays differ in length."""
+    l, b = _c(labels), _c(blocks)
+    return F.when(F.size(l) == F.size(b), F.transform(extract_spans(l), lambda s: F.struct(
+        s["start"].alias("start"), s["len"].alias("len"), s["tag"].alias("tag"),
+        F.slice(b, s["start"] + 1, s["len"]).cast("array<int>").alias("blocks"))))
+
+
 def extract_spans_twostep(seq) -> Column:
     """Spans over ``array<struct<label,block_index,block_offset>>`` identified by provenance.
 

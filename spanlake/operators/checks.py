@@ -3,6 +3,8 @@ returns a violation table ``(check, key, detail)``; an empty table means the rul
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,51 +19,92 @@ def _key(cols) -> Column:
     return F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
 
 
-def chk_lengths(df: DataFrame, key: list[str], arrays: list[str]) -> DataFrame:
+@dataclass(frozen=True)
+class Rule:
+    """A rule over single rows: ``detail`` says what is wrong (null: nothing)."""
+
+    check: str
+    key: Column
+    detail: Column
+
+
+def evaluate(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The violations of all rules in one pass over ``df``: each row carries an array with an
+    entry per rule, of which the broken ones become rows."""
+    every = F.array(*[F.struct(F.lit(r.check).alias("check"), r.key.cast("string").alias("key"),
+                               r.detail.cast("string").alias("detail")) for r in rules])
+    return df.select(F.inline(F.filter(every, lambda x: x["detail"].isNotNull())))
+
+
+def lengths_rule(key: list[str], arrays: list[str]) -> Rule:
     """Parallel arrays of one row have one length."""
     sizes = [F.size(a) for a in arrays]
     bad = F.lit(False)
     for s in sizes[1:]:
         bad = bad | (s != sizes[0])
-    return _v(df.where(bad), "chk_lengths", _key(key),
-              F.concat_ws(",", *[s.cast("string") for s in sizes]))
+    return Rule("chk_lengths", _key(key), F.when(bad, F.concat_ws(",", *[s.cast("string") for s in sizes])))
 
 
-def chk_padded(df: DataFrame, key: list[str], arrays: list[str], max_len: int) -> DataFrame:
+def padded_rule(key: list[str], arrays: list[str], max_len: int) -> Rule:
     """Every array has exactly ``max_len`` entries after padding."""
     bad = F.lit(False)
     for a in arrays:
         bad = bad | (F.size(a) != max_len)
-    return _v(df.where(bad), "chk_padded", _key(key),
-              F.concat_ws(",", *[F.size(a).cast("string") for a in arrays]))
+    return Rule("chk_padded", _key(key), F.when(bad, F.concat_ws(",", *[F.size(a).cast("string") for a in arrays])))
 
 
-def chk_has_sep(df: DataFrame, key: list[str], tokens: str, labels: str | None = None,
-                sep_token: str = "[SEP]_") -> DataFrame:
+def sep_rule(key: list[str], tokens: str, labels: str | None = None, sep_token: str = "[SEP]_") -> Rule:
     """A separator occurs; with labels, the token at the first separator label is it."""
-    no_sep = F.array_position(tokens, F.lit(sep_token)) == 0
-    bad = no_sep
-    detail = F.when(no_sep, F.lit("no separator"))
+    detail = F.when(F.array_position(tokens, F.lit(sep_token)) == 0, F.lit("no separator"))
     if labels:
         at = F.get(F.col(tokens), first_sep_index(labels))
-        wrong = F.coalesce(at != F.lit(sep_token), F.lit(True))
-        bad = bad | wrong
-        detail = F.coalesce(detail, F.when(wrong, F.lit("separator label not on separator token")))
-    return _v(df.where(bad), "chk_has_sep", _key(key), detail)
+        detail = F.coalesce(detail, F.when(F.coalesce(at != F.lit(sep_token), F.lit(True)), F.lit("separator label not on separator token")))
+    return Rule("chk_has_sep", _key(key), detail)
 
 
-def chk_prefix(windows: DataFrame, key: list[str], labels: str = "labels", segments: str | None = None,
-               mask: str | None = None, group: list[str] | None = None) -> DataFrame:
-    """The query prefix has label 4 (segment 0, mask 1 when given); with ``group``,
-    all rows of a group share one prefix length."""
+def prefix_rule(key: list[str], labels: str = "labels", segments: str | None = None, mask: str | None = None) -> Rule:
+    """The query prefix has label 4 (segment 0, mask 1 when given)."""
     p = first_sep_index(labels) + 1
     bad = F.coalesce(F.exists(F.slice(labels, 1, p), lambda x: x != LABEL_PAD), F.lit(True))
     if segments:
         bad = bad | F.exists(F.slice(segments, 1, p), lambda x: x != 0)
     if mask:
         bad = bad | F.exists(F.slice(mask, 1, p), lambda x: x != 1)
-    out = _v(windows.where(bad), "chk_prefix", _key(key), F.lit("prefix not all pad"))
+    return Rule("chk_prefix", _key(key), F.when(bad, F.lit("prefix not all pad")))
+
+
+def positive_rule() -> Rule:
+    """Row-level prompts need positive examples."""
+    return Rule("chk_positive", F.col("row_id"), F.when(F.col("example_type") != 1, F.col("example_type")))
+
+
+def pass_count_rule(n: int = 10, key: str = "i") -> Rule:
+    """At most n matching candidates per row."""
+    return Rule("chk_pass_count", F.col(key), F.when(F.col("c") > n, F.col("c")))
+
+
+def chk_lengths(df: DataFrame, key: list[str], arrays: list[str]) -> DataFrame:
+    """J1 alone (``lengths_rule``)."""
+    return evaluate(df, [lengths_rule(key, arrays)])
+
+
+def chk_padded(df: DataFrame, key: list[str], arrays: list[str], max_len: int) -> DataFrame:
+    """J2 alone (``padded_rule``)."""
+    return evaluate(df, [padded_rule(key, arrays, max_len)])
+
+
+def chk_has_sep(df: DataFrame, key: list[str], tokens: str, labels: str | None = None,
+                sep_token: str = "[SEP]_") -> DataFrame:
+    """J3 alone (``sep_rule``)."""
+    return evaluate(df, [sep_rule(key, tokens, labels, sep_token)])
+
+
+def chk_prefix(windows: DataFrame, key: list[str], labels: str = "labels", segments: str | None = None,
+               mask: str | None = None, group: list[str] | None = None) -> DataFrame:
+    """J4 (``prefix_rule``); with ``group``, all rows of a group share one prefix length."""
+    out = evaluate(windows, [prefix_rule(key, labels, segments, mask)])
     if group:
+        p = first_sep_index(labels) + 1
         g = (windows.groupBy(*group).agg(F.countDistinct(p).alias("n_plen"))
              .where(F.col("n_plen") > 1))
         out = out.unionByName(_v(g, "chk_prefix", _key(group), F.concat(F.lit("prefix lengths: "),
@@ -69,6 +112,23 @@ def chk_prefix(windows: DataFrame, key: list[str], labels: str = "labels", segme
     return out
 
 
+def check_examples(rows: DataFrame) -> DataFrame:
+    """J6 and J11 over example rows in one scan: a row goes on once for its own rules and once
+    for its file, and one aggregate by (query, file, row) yields both kinds of violations."""
+    each = rows.select("query_name", "code_file_path", "row_id", "example_type", F.size("answer_spans").alias("n"),
+                       F.explode(F.array(F.lit(True), F.lit(False))).alias("whole"))
+    g = each.groupBy("query_name", "code_file_path", "whole", F.when(~F.col("whole"), F.col("row_id")).alias("row_id")).agg(
+        F.min("example_type").alias("lo"), F.max("example_type").alias("hi"), F.max("n").alias("max_spans"))
+    return evaluate(g, [Rule("chk_class_per_file", _key(["query_name", "code_file_path"]), F.when(F.col("whole"), _class_detail())),
+                        Rule("chk_positive", F.col("row_id"), F.when(~F.col("whole") & (F.col("hi") != 1), F.col("hi")))])
+
+
+def _class_detail() -> Column:
+    return (F.when(F.col("lo") != F.col("hi"), "mixed example types")
+            .when((F.col("max_spans") > 0) & (F.col("lo") != 1), "spans on a negative file")
+            .when((F.col("max_spans") == 0) & (F.col("lo") == 1), "positive file without spans"))
+
+
 def chk_windows(windows: DataFrame, seqs: DataFrame, width: int, key: str = "example_id",
                 labels: str = "labels") -> DataFrame:
     """Split ids run 0..s-1, every window carries the same prefix and the count is
@@ -101,10 +161,7 @@ def chk_class_per_file(rows: DataFrame) -> DataFrame:
     g = rows.groupBy("query_name", "code_file_path").agg(
         F.min("example_type").alias("lo"), F.max("example_type").alias("hi"),
         F.max(F.size("answer_spans")).alias("max_spans"))
-    detail = (F.when(F.col("lo") != F.col("hi"), "mixed example types")
-              .when((F.col("max_spans") > 0) & (F.col("lo") != 1), "spans on a negative file")
-              .when((F.col("max_spans") == 0) & (F.col("lo") == 1), "positive file without spans"))
-    return _v(g.where(detail.isNotNull()), "chk_class_per_file", _key(["query_name", "code_file_path"]), detail)
+    return evaluate(g, [Rule("chk_class_per_file", _key(["query_name", "code_file_path"]), _class_detail())])
 
 
 def chk_negative_empty(picks: DataFrame) -> DataFrame:
@@ -142,13 +199,13 @@ def chk_schema_equal(a: DataFrame, b: DataFrame) -> bool:
 
 
 def chk_pass_count(counts: DataFrame, n: int = 10, key: str = "i") -> DataFrame:
-    """At most n matching candidates per row."""
-    return _v(counts.where(F.col("c") > n), "chk_pass_count", F.col(key), F.col("c"))
+    """J10 alone (``pass_count_rule``)."""
+    return evaluate(counts, [pass_count_rule(n, key)])
 
 
 def chk_positive(rows: DataFrame) -> DataFrame:
-    """Row-level prompts need positive examples."""
-    return _v(rows.where(F.col("example_type") != 1), "chk_positive", F.col("row_id"), F.col("example_type"))
+    """J11 alone (``positive_rule``)."""
+    return evaluate(rows, [positive_rule()])
 
 
 def chk_group_counts(blocks: DataFrame, preds: DataFrame, keys=("query_name", "code_file_path")) -> DataFrame:

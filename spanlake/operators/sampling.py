@@ -56,6 +56,23 @@ def bucket_major_order(sample: DataFrame) -> DataFrame:
     return sample.withColumn("consume_order", F.row_number().over(w))
 
 
+def sample_with_topup(rows: DataFrame, n: int = 10, key: str = "row_id", seed: int = SEED) -> DataFrame:
+    """E2, F2 and G1 in one pass: of the files with a single row, ``n`` rows per query in seeded
+    order; a query that has fewer gives its rows with more than one answer span twice.
+
+    A query short of ``n`` rows has all of them in its first ``n``, so one ranked cut per query
+    (a partial limit before the shuffle) holds everything, and a count over the cut tells the
+    short ones.  Two shuffles: by file, with partial aggregation, and by query."""
+    single = (rows.groupBy("query_name", "code_file_path")
+              .agg(F.count(F.lit(1)).alias("n_rows"), F.any_value(F.struct(*rows.columns)).alias("row"))
+              .where("n_rows = 1").select("row.*"))
+    by_query = Window.partitionBy("query_name")
+    drawn = (single.withColumn("_rank", F.row_number().over(by_query.orderBy(hash_order(key, seed), F.col(key)))).where(F.col("_rank") <= n)
+             .withColumn("_n", F.count(F.lit(1)).over(by_query)))
+    times = F.when((F.col("_n") < n) & (F.size("answer_spans") > 1), 2).otherwise(1)
+    return drawn.withColumn("_turn", F.explode(F.sequence(F.lit(1), times))).drop("_rank", "_n", "_turn")
+
+
 def union_topup(sampled: DataFrame, pool: DataFrame, n: int = 10) -> DataFrame:
     """G1: when a query drew fewer than ``n`` rows, append every pool row with more than one
     answer span (bag union; may repeat rows)."""

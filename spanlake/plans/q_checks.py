@@ -125,10 +125,15 @@ SELECT 'chk_class_per_file' AS "check", query_name || '|' || code_file_path AS k
             WHEN max_spans > 0 AND lo <> 1 THEN 'spans on a negative file'
             ELSE 'positive file without spans' END AS detail
 FROM (SELECT query_name, code_file_path, min(example_type) AS lo, max(example_type) AS hi,
-             max(len(answer_texts)) AS max_spans FROM fx_rows GROUP BY 1, 2)
+             max(len(answer_texts)) AS max_spans FROM fx_rows GROUP BY 1, 2
+      UNION ALL
+      SELECT query_name, code_file_path, min(em), max(em), max(len(answer_texts)) FROM fx_rows GROUP BY 1, 2)
 WHERE lo <> hi OR (max_spans > 0 AND lo <> 1) OR (max_spans = 0 AND lo = 1)"""))
 def q_chk_class_per_file(spark, d):
-    return J.chk_class_per_file(fx.fx_rows(spark, d))
+    """The rows by their class (which hold the rule), and with the match flag for the class,
+    which mixes classes in a file and gives spans to negative ones."""
+    r = fx.fx_rows(spark, d)
+    return J.chk_class_per_file(r).unionByName(J.chk_class_per_file(r.withColumn("example_type", F.col("em"))))
 
 
 @reg("chk_negative_empty", with_fx(["fx_rows"], """
@@ -166,18 +171,6 @@ def q_chk_sample_size(spark, d):
     return J.chk_sample_size(sample_files(f), avail, 20).unionByName(J.chk_log_size(fx.fx_cands(spark, d), 20))
 
 
-@reg("chk_schema_equal", with_fx(["fx_rows"], """
-SELECT 'chk_schema_equal' AS "check", true AS ok, count(*) AS rows_checked FROM fx_rows"""))
-def q_chk_schema_equal(spark, d):
-    """Schema equality of the two sides of the sample top-up union (driver metadata)."""
-    r = fx.fx_rows(spark, d)
-    a = r.select("query_name", "row_id", "answer_spans")
-    b = r.where(F.size("answer_spans") > 1).select("query_name", "row_id", "answer_spans")
-    ok = J.chk_schema_equal(a, b)
-    return r.groupBy().agg(F.count(F.lit(1)).alias("rows_checked")).select(
-        F.lit("chk_schema_equal").alias("check"), F.lit(ok).alias("ok"), "rows_checked")
-
-
 @reg("chk_pass_count", with_fx(["fx_cands"], f"""
 SELECT 'chk_pass_count' AS "check", CAST(i AS VARCHAR) AS key, CAST(c AS VARCHAR) AS detail
 FROM (SELECT i, CAST(sum(CASE WHEN {sql_strip('cand')} <> '' AND {sql_match('ans_spans', 'cand')}
@@ -210,3 +203,35 @@ def q_chk_group_counts(spark, d):
     labelled = fx.table(spark, d, "labels").select(F.col("doc_id").alias("conv_id"))
     preds = b.join(labelled, "conv_id", "left_semi").select("query_name", "code_file_path", "block_ordinal")
     return J.chk_group_counts(b, preds)
+
+
+# several rules over one table in one scan ------------------------------------------------
+@reg("chk_sequences", with_fx(["fx_seq"], f"""
+SELECT 'chk_lengths' AS "check", CAST(example_id AS VARCHAR) AS key, CAST(len(tokens) AS VARCHAR) || ',' || CAST(w AS VARCHAR) AS detail
+FROM (SELECT *, len(list_filter(tokens, lambda t: length(t) > 0)) AS w FROM fx_seq) WHERE len(tokens) <> w
+UNION ALL SELECT 'chk_padded', CAST(example_id AS VARCHAR), CAST(len(labels) AS VARCHAR) FROM fx_seq WHERE len(labels) <> 1024
+UNION ALL SELECT 'chk_has_sep', CAST(example_id AS VARCHAR),
+  CASE WHEN list_position(tokens, '[SEP]_') IS NULL THEN 'no separator' ELSE 'separator label not on separator token' END
+FROM fx_seq WHERE list_position(tokens, '[SEP]_') IS NULL OR coalesce(tokens[{_FIRST_SEP_OUT}] <> '[SEP]_', true)
+UNION ALL SELECT 'chk_prefix', CAST(example_id AS VARCHAR), 'prefix not all pad' FROM (SELECT *, {_FIRST_SEP_OUT} AS p FROM fx_seq)
+WHERE p IS NULL OR len(list_filter(list_slice(output, 1, p), lambda x: x <> 4)) > 0 OR p > plen"""))
+def q_chk_sequences(spark, d):
+    """J1 to J4 over the sequences: the words that are not empty, the unpadded length, and the
+    outputs' separators and prefixes, all in one scan."""
+    s = (fx.fx_seq(spark, d).withColumn("words", F.filter("tokens", lambda t: F.length(t) > 0))
+         .withColumn("segments", F.transform("tokens", lambda t, i: (i >= F.col("plen")).cast("int"))))
+    key = ["example_id"]
+    return J.evaluate(s, [J.lengths_rule(key, ["tokens", "words"]), J.padded_rule(key, ["labels"], 1024),
+                          J.sep_rule(key, "tokens", "output"), J.prefix_rule(key, "output", "segments")])
+
+
+@reg("chk_examples", with_fx(["fx_rows"], """
+SELECT 'chk_class_per_file' AS "check", query_name || '|' || code_file_path AS key,
+       CASE WHEN lo <> hi THEN 'mixed example types' WHEN max_spans > 0 AND lo <> 1 THEN 'spans on a negative file'
+            ELSE 'positive file without spans' END AS detail
+FROM (SELECT query_name, code_file_path, min(em) AS lo, max(em) AS hi, max(len(answer_texts)) AS max_spans FROM fx_rows GROUP BY 1, 2)
+WHERE lo <> hi OR (max_spans > 0 AND lo <> 1) OR (max_spans = 0 AND lo = 1)
+UNION ALL SELECT 'chk_positive', CAST(row_id AS VARCHAR), CAST(em AS VARCHAR) FROM fx_rows WHERE em <> 1"""))
+def q_chk_examples(spark, d):
+    """J6 and J11 with the match flag for the class, in one scan."""
+    return J.check_examples(fx.fx_rows(spark, d).withColumn("example_type", F.col("em")))

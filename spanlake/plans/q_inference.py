@@ -1,8 +1,9 @@
-"""Registered queries for the batch-inference surface (I1-I7), with deterministic fakes."""
+"""Registered queries for the batch-inference surface (I1-I4), with deterministic fakes.
 
-from __future__ import annotations
+Generation (I5, I6) and tokenizer plug-ins (I7) call user code only; they are library code
+under tests and have no query of their own."""
 
-import re
+from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from spanlake.operators import joins as C
 from spanlake.operators.sequences import pad_relevance_inputs, pad_span_inputs, span_inputs
 from spanlake.plans import fakes
 from spanlake.plans import fixtures as fx
-from spanlake.plans.oracle_fixtures import TOKEN_RE, with_fx
+from spanlake.plans.oracle_fixtures import with_fx
 from spanlake.plans.shared import ints, sql_ints, sql_spans
 
 QUERIES, SQL = {}, {}
@@ -104,64 +105,3 @@ def q_example_em(spark, d):
                      labels="labels")
     # -1: no separator (the benchmark rejects such an example)
     return out.select("example_id", F.coalesce(F.col("em"), F.lit(-1)).alias("em"))
-
-
-def _prompts(spark, d):
-    from spanlake.plans.q_scalar import prompts
-    return prompts(spark, d)
-
-
-def _long_responses(df):
-    return df.select("query_name", "code_file_path", "prompt_hash",
-                     F.posexplode("cands").alias("j", "r")).select(
-        "query_name", "code_file_path", "prompt_hash", "j", "r.text", "r.finish_reason", "r.success")
-
-
-def _no_sleep(_s):
-    return None
-
-
-def _sql_generate(extra: str, done: str = "stop") -> str:
-    """The fake client restated in SQL over the rendered prompts."""
-    from spanlake.plans.q_scalar import PROMPT_CTES, _sql_prompt
-    body = f"""
-SELECT query_name, code_file_path, sha256(prompt) AS prompt_hash, CAST(j AS INTEGER) AS j,
-       CASE WHEN left(md5(prompt), 1) IN ('0', '1', '2') THEN NULL
-            WHEN j = 9 THEN '  '
-            ELSE list_filter(string_split(prompt, chr(10)), lambda l: trim(l) <> '')[-1] || {extra} || ' #' || CAST(j AS VARCHAR)
-       END AS text,
-       CASE left(md5(prompt), 1) WHEN '0' THEN 'RateLimit' WHEN '1' THEN 'InvalidRequest' WHEN '2' THEN 'Error'
-            ELSE '{done}' END AS finish_reason,
-       left(md5(prompt), 1) NOT IN ('0', '1', '2') AS success
-FROM (SELECT query_name, fin.code_file_path, {_sql_prompt()} AS prompt, unnest(range(0, 10)) AS j
-      FROM fin LEFT JOIN shots USING (query_name))"""
-    return with_fx(["fx_rows", "fx_meta"], body, PROMPT_CTES)
-
-
-@reg("generate_candidates", _sql_generate("''"))
-def q_generate_candidates(spark, d):
-    p = _prompts(spark, d).repartition(8)
-    g = I.generate_candidates(p, fakes.echo_client, n=10, max_attempts=3, timeout=0.0, sleep=_no_sleep)
-    return _long_responses(g)
-
-
-@reg("generate_edits", _sql_generate("' [fix ' || query_name || ']'", "edit done"))
-def q_generate_edits(spark, d):
-    p = _prompts(spark, d).withColumn("instruction", F.concat(F.lit("fix "), F.col("query_name"))).repartition(8)
-    g = I.generate_candidates(p, fakes.echo_client, n=10, instruction_col="instruction", max_attempts=3,
-                              timeout=0.0, sleep=_no_sleep)
-    return _long_responses(g)
-
-
-_TOKEN = re.compile(TOKEN_RE)
-
-
-def _py_tokens(text: str) -> list:
-    return _TOKEN.findall(text)
-
-
-@reg("custom_tokenizer", f"""
-SELECT doc_id AS row_id, CAST(len(regexp_extract_all(text, '{TOKEN_RE}')) AS INTEGER) AS file_tokens FROM documents""")
-def q_custom_tokenizer(spark, d):
-    count = I.token_count_udf(_py_tokens)
-    return fx.table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), count("text").alias("file_tokens"))

@@ -151,11 +151,19 @@ def q_first_sep_index(spark, d):
 
 
 @reg("extract_spans", with_fx(["fx_seq"], f"""
-SELECT example_id, {sql_spans('labels')} AS spans_target, {sql_spans('output')} AS spans_output FROM fx_seq"""))
+SELECT example_id, spans_target, spans_output, (
+    SELECT coalesce(string_agg(array_to_string(list_slice(blocks, CAST(split_part(z, ':', 1) AS INT) + 1,
+               CAST(split_part(z, ':', 1) AS INT) + CAST(split_part(z, ':', 2) AS INT)), ','), ';' ORDER BY k), '')
+    FROM (SELECT unnest(string_split(spans_target, ';')) AS z, unnest(range(len(string_split(spans_target, ';')))) AS k)
+    WHERE z <> '') AS span_blocks
+FROM (SELECT example_id, {sql_spans('labels')} AS spans_target, {sql_spans('output')} AS spans_output,
+             list_transform(range(len(labels)), lambda i: i // 100) AS blocks FROM fx_seq)"""))
 def q_extract_spans(spark, d):
-    s = fx.fx_seq(spark, d)
+    """Spans of both label arrays, and the block (of 100 positions) of every position of the target's."""
+    s = fx.fx_seq(spark, d).withColumn("blocks", F.transform("labels", lambda x, i: F.floor(i / 100).cast("int")))
+    blocks = F.transform(SP.extract_block_spans("labels", "blocks"), lambda x: F.array_join(x["blocks"].cast("array<string>"), ","))
     return s.select("example_id", SP.spans_to_string(SP.extract_spans("labels")).alias("spans_target"),
-                    SP.spans_to_string(SP.extract_spans("output")).alias("spans_output"))
+                    SP.spans_to_string(SP.extract_spans("output")).alias("spans_output"), F.array_join(blocks, ";").alias("span_blocks"))
 
 
 @reg("extract_spans_twostep", with_fx(["fx_blocks"], f"""

@@ -135,11 +135,8 @@ WHERE len(answer_texts) > 1
                      HAVING (SELECT count(*) FROM seeded s WHERE s.query_name = single.query_name) < 10)""",
                             BLOCK_ROWS + ",\n" + SINGLE + ",\n" + SEEDED))
 def q_union_topup(spark, d):
-    pool = E.singleton_files(_block_rows(spark, d))
-    cols = ["query_name", "row_id", "answer_spans"]
-    sampled = S.seeded_sample_n(pool, 10).select(*cols)
-    out = S.union_topup(sampled, pool.select(*cols), 10)
-    return out.select("query_name", "row_id", F.size("answer_spans").alias("n_answers"))
+    rows = _block_rows(spark, d).select("query_name", "code_file_path", "row_id", "answer_spans")
+    return S.sample_with_topup(rows, 10).select("query_name", "row_id", F.size("answer_spans").alias("n_answers"))
 
 
 @reg("distinct_files", with_fx(["fx_rows"], "SELECT DISTINCT query_name, code_file_path FROM fx_rows"))

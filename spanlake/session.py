@@ -3,7 +3,12 @@
 Intermediate tables and checkpoints go under the cluster's shared
 ``spark.checkpoint.dir``.  A private directory is created only when the
 setting is absent *and* Spark runs in local mode (tests, benches); on a
-cluster an unset checkpoint directory is a configuration error.
+cluster (``local-cluster`` is one: its executors are processes of their own)
+an unset checkpoint directory is a configuration error.
+
+Scratch folders live as long as the frames that read them may be read, which
+only the caller knows: ``scratch_scope`` removes those made inside it, and
+``clear_scratch`` all that this application made.
 """
 
 from __future__ import annotations
@@ -11,6 +16,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -58,7 +64,7 @@ def _checkpoint_root(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
-    if not sc.master.startswith("local"):
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise RuntimeError(
             "spark.checkpoint.dir is not set: configure a shared folder for the cluster")
     local = tempfile.mkdtemp(prefix="spanlake-ckpt-")
@@ -101,4 +107,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, name: str = "tmp") -> str:
     """A fresh sub-folder of the shared checkpoint location."""
     root = _checkpoint_root(spark)
-    return os.path.join(root, "spanlake", f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(root, "spanlake", f"{name}-{uuid.uuid4().hex[:12]}")
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_SCRATCH: dict[str, list[str]] = {}
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove every scratch folder that this application has made; returns how many.  Frames
+    that read them can't be read afterwards."""
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    _delete(spark, paths)
+    return len(paths)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Removes the scratch folders made inside the scope when it ends, also by an error.  Write
+    or collect what you need before."""
+    mine = _SCRATCH.setdefault(spark.sparkContext.applicationId, [])
+    before = len(mine)
+    try:
+        yield
+    finally:
+        _delete(spark, mine[before:])
+        del mine[before:]

@@ -88,3 +88,23 @@ def test_a_miss_stops_the_write(spark, tmp_path):
         C.join_query_meta(ex, meta, "fail").write.parquet(str(tmp_path / "out"))
     assert not (tmp_path / "out" / "_SUCCESS").exists()
     assert C.join_query_meta(ex.where("row_id = 1"), meta, "fail").first()["desc"] == "d1"
+
+
+def test_rules_share_one_scan(spark):
+    from spanlake.plans.catalog import all_queries
+    for name in ("chk_sequences", "chk_examples"):
+        df = all_queries()[name](spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation") == 1, name
+    df = spark.createDataFrame([(1, [1], [1, 2]), (2, [1], [1]), (None, None, [1])], "id int, a array<int>, b array<int>")
+    got = J.evaluate(df, [J.lengths_rule(["id"], ["a", "b"]), J.padded_rule(["id"], ["b"], 2)]).collect()
+    assert {(r["check"], r["key"], r["detail"]) for r in got} >= {("chk_lengths", "1", "1,2"), ("chk_padded", "2", "1")}
+    assert J.evaluate(df.limit(0), [J.lengths_rule(["id"], ["a", "b"])]).count() == 0
+
+
+def test_examples_are_checked_by_row_and_by_file(spark):
+    df = spark.createDataFrame([("q", "f", 1, 1, ["a"]), ("q", "f", 2, 0, []), ("q", "g", 3, 1, []), ("q", "h", 4, 0, ["x"]), ("q", "i", 5, 1, ["x"])],
+                               "query_name string, code_file_path string, row_id long, example_type int, answer_spans array<string>")
+    got = {(r["check"], r["key"], r["detail"]) for r in J.check_examples(df).collect()}
+    want = {(r["check"], r["key"], r["detail"]) for r in J.chk_class_per_file(df).unionByName(J.chk_positive(df)).collect()}
+    assert got == want and len(got) == 5

@@ -275,3 +275,25 @@ def test_batches_are_consecutive_rows_whatever_the_ordinals(spark):
     odd = D.batch_loss(_losses(spark, [None, 1, 1, 1, 1, 7, 7, None, 9])).first()
     assert odd["n_batches"] == 3
     assert D.batch_loss(_losses(spark, [1]).limit(0)).first()["n_batches"] == 0
+
+
+def test_topup_in_one_pass_equals_the_union(spark):
+    from spanlake.operators import windows as E
+    rnd = random.Random(3)
+    rows = [(f"q{rnd.randint(0, 6) if i % 3 else 9}", f"f{rnd.randint(0, 90)}", i, [(str(j),) for j in range(rnd.randint(0, 3))]) for i in range(260)]
+    df = spark.createDataFrame(rows, "query_name string, code_file_path string, row_id long, answer_spans array<struct<span:string>>").repartition(6)
+    pool = E.singleton_files(df)
+    for n in (1, 10, 40):
+        two = S.union_topup(S.seeded_sample_n(pool, n).select(*df.columns), pool.select(*df.columns), n)
+        one = S.sample_with_topup(df, n)
+        assert one.columns == df.columns and sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+    plan = S.sample_with_topup(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "WindowGroupLimit" in plan
+
+
+def test_spans_with_block_ids(spark):
+    from spanlake.functions.spans import extract_block_spans
+    df = spark.createDataFrame([(1, [2, 0, 1, 1, 3, 2, 1, 0], [5, 5, 5, 6, 6, 6, 7, 7]), (2, [], []), (3, [0, 1], [1]), (4, None, None)],
+                               "i int, l array<int>, b array<int>")
+    got = {r["i"]: r["s"] and [tuple(x) for x in r["s"]] for r in df.select("i", extract_block_spans("l", "b").alias("s")).collect()}
+    assert got == {1: [(1, 3, 0, [5, 5, 6]), (4, 1, 3, [6]), (7, 1, 0, [7])], 2: [], 3: None, 4: None}
