@@ -72,9 +72,9 @@ def vocab_encode(df: DataFrame, vocab: DataFrame, key: str, tokens_col: str, out
       bytes of tokens, measured before anything is collected) is
       broadcast once as a hash map and each token array is mapped in Arrow batches:
       a narrow operator, no shuffle of the (large) token side at all.
-    * ``"join"`` - tokens are exploded with their position, looked up with a join
-      (broadcast by size, else a shuffle join with AQE skew splitting), and re-assembled per key together with the rest of the row: one
-      shuffle, whose partial aggregation collapses a sequence inside its partition.
+    * ``"join"`` - rows are dealt into blocks where they stand; each block's distinct tokens
+      are looked up with a join, and the ids come back by a join of bucketed tables: tokens
+      are shuffled once per block, rows never.
     * ``"auto"`` - ``map`` when the vocabulary is within the bounds, else ``join``.
 
     Both give the same rows: one per input row whatever its key, null token arrays stay
@@ -134,26 +134,79 @@ def _encode_map(df: DataFrame, rows: list, tokens_col: str, out_col: str) -> Dat
     return df.mapInArrow(run, schema)
 
 
-def _encode_join(df: DataFrame, vocab: DataFrame, tokens_col: str, out_col: str) -> DataFrame:
+#: A block of the join form: rows of at most so many tokens (or one row).
+BLOCK_TOKENS = 1 << 16
+
+
+def _blocks(tokens_col: str, block_tokens: int):
+    """Batches as block rows: the rows of a block as structs, each with the positions of its
+    tokens in the block's dictionary, and the dictionary."""
+    def run(batches):
+        import uuid
+
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        for b in batches:
+            toks = b.column(tokens_col)
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(toks), 0)).astype(np.int64)
+            of = np.cumsum(sizes) // block_tokens
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                part = b.slice(i, j - i)
+                lists = part.column(tokens_col)
+                words = lists.flatten().dictionary_encode()
+                offsets = pc.subtract(lists.offsets, lists.offsets[0]) if lists.offset or i else lists.offsets
+                at = pa.ListArray.from_arrays(offsets, pc.cast(words.indices, pa.int32()), mask=lists.is_null())
+                rows = pa.StructArray.from_arrays([*part.columns, at], names=[*part.schema.names, "_at"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), rows),
+                     pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), pc.cast(words.dictionary, pa.string()))],
+                    names=["_block", "_rows", "_words"])
+
+    return run
+
+
+def _bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
+    """``df`` stored as a table bucketed by ``_block`` in the scratch folder."""
+    import os
+
     from spanlake.session import scratch_dir
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, name)
+    table = "spanlake_" + os.path.basename(path).replace("-", "_")
+    df.write.bucketBy(buckets, "_block").option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def _encode_join(df: DataFrame, vocab: DataFrame, tokens_col: str, out_col: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Rows are dealt into blocks where they stand, a block keeps the positions of its tokens in
+    its own dictionary, and only dictionaries meet the vocabulary.  Their ids come back as one
+    array per block, by a join of two tables bucketed alike: no row and no token occurrence is
+    shuffled, and a frequent word comes once per block."""
+    from pyspark.sql import types as T
+
+    from spanlake.session import ensure_library_on_workers
+    ensure_library_on_workers(df.sparkSession)
     unk = token_id(vocab, UNK_TOKEN)
     v = vocab.groupBy(F.col("token").alias("_qtok")).agg(F.max("id").alias("_id"))
-    # rows are numbered once and stored, so equal or null keys do not mix
-    spark, path = df.sparkSession, scratch_dir(df.sparkSession, "vocab-rows")
-    df = df.drop(out_col).withColumn("_row", F.monotonically_increasing_id())
-    df.write.parquet(path)
-    df, key = spark.read.schema(df.schema).parquet(path), "_row"
-    # only (key, position, token) travel through the lookup; carrying the whole row per
-    # token would copy it once per token
-    ex = df.select(key, F.posexplode(tokens_col).alias("_pos", "_tok"))
-    hit = (ex.withColumn("_qtok", F.concat(F.lit("'"), F.col("_tok"), F.lit("'")))
-           .join(v, "_qtok", "left")
-           .select(key, "_pos", F.coalesce(F.col("_id"), F.lit(unk)).cast("int").alias("_id")))
-    enc = hit.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_e"))
-    enc = enc.select(key, F.transform("_e", lambda x: x["_id"]).alias(out_col))
-    # sequences with no tokens keep an empty id array, null sequences stay null
-    return df.join(enc, key, "left").withColumn(out_col, F.when(
-        F.col(tokens_col).isNotNull(), F.coalesce(F.col(out_col), F.array().cast("array<int>")))).drop("_row")
+    df = df.drop(out_col)
+    row = T.StructType([*df.schema.fields, T.StructField("_at", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("_block", T.StringType()), T.StructField("_rows", T.ArrayType(row)),
+                           T.StructField("_words", T.ArrayType(T.StringType()))])
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = _bucketed(df.mapInArrow(_blocks(tokens_col, block_tokens), schema), "vocab-blocks", buckets)
+    words = blocks.select("_block", F.posexplode("_words").alias("_pos", "_tok"))
+    hit = (words.withColumn("_qtok", F.concat(F.lit("'"), F.col("_tok"), F.lit("'"))).join(v, "_qtok", "left")
+           .select("_block", "_pos", F.coalesce(F.col("_id"), F.lit(unk)).cast("int").alias("_id")))
+    ids = _bucketed(hit.groupBy("_block").agg(F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_e"))
+                    .select("_block", F.transform("_e", lambda x: x["_id"]).alias("_ids")), "vocab-ids", buckets)
+    joined = blocks.select("_block", "_rows").join(ids, "_block", "left")
+    encoded = F.transform("_rows", lambda r: F.struct(
+        *[r[c].alias(c) for c in df.columns],
+        F.transform(r["_at"], lambda i: F.coalesce(F.get(F.col("_ids"), i), F.lit(unk).cast("int"))).alias(out_col)))
+    return joined.select(F.inline(encoded))
 
 
 def token_id(vocab: DataFrame, token: str) -> int | None:
