@@ -154,6 +154,85 @@ def test_maxent_counts(spark):
         assert math.isfinite(r["score"]) and r["score"] < 0
 
 
+def plain_maxent(rows, train):
+    """{doc: log10 probability} of the class-factored model, position by position."""
+    import xxhash
+    full = (1 << 64) - 1
+
+    def mix(h):
+        for _ in range(2):
+            h = ((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & full
+        return h ^ (h >> 32)
+
+    words = {d: re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split() + [""] for d, t in rows}
+    h = {w: xxhash.xxh3_64_intdigest(w.encode()) for ws in words.values() for w in ws}
+    count = collections.Counter(w for d in train for w in words[d])
+    kind = {w: maxent.ending(w.encode()) for w in h}
+    own = sorted((w for w in h if count[w]), key=lambda w: (-count[w], h[w]))[:maxent.OWN]
+    size = {c: [sum(count[w] for w in h if kind[w] == c and w not in own), sum(count[w] > 0 for w in h if kind[w] == c and w not in own)]
+            for c in range(maxent.CLASSES)}
+    kind |= {w: k for k, w in enumerate(sorted(own, key=h.get))}
+    n = maxent.SLOTS - 1
+
+    def slots(ws, i):
+        one = h[ws[i - 1]] if i else int(maxent._START)
+        two = h[ws[i - 2]] if i > 1 else int(maxent._START)
+        return [0, 1 + mix(one) % n, 1 + mix((mix(one) + two) & full) % n, 1 + mix(two ^ 0xA5A5A5A5A5A5A5A5) % n]
+
+    seen = collections.defaultdict(lambda: np.zeros(maxent.CLASSES))
+    places = [(slots(words[d], i), kind[words[d][i]]) for d in train for i in range(len(words[d]))]
+    for f, y in places:
+        for s in f:
+            seen[s][y] += 1
+    share = (seen[0] + 1) / (seen[0].sum() + maxent.CLASSES)
+    weight = {s: maxent.START * np.log((x + maxent.PRIOR * share) / (x.sum() + maxent.PRIOR) / share) for s, x in seen.items()}
+    weight[0] = np.log(share)
+
+    def chances(f):
+        z = sum(weight.get(s, np.zeros(maxent.CLASSES)) for s in f)
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    for _ in range(maxent.ROUNDS):
+        hoped = collections.defaultdict(lambda: np.zeros(maxent.CLASSES))
+        for f, _ in places:
+            p = chances(f)
+            for s in f:
+                hoped[s] += p
+        weight = {s: w + maxent.RATE * (seen[s] - hoped[s]) / (np.maximum(seen[s], hoped[s]) + maxent.PRIOR * share) for s, w in weight.items()}
+    out = {}
+    for d, ws in words.items():
+        out[d] = 0.0
+        for i, w in enumerate(ws):
+            out[d] += math.log10(chances(slots(ws, i))[kind[w]])
+            if kind[w] >= maxent.OWN:
+                out[d] += math.log10((count[w] + 1) / (sum(size[kind[w]]) + 1))
+    return out
+
+
+def test_maxent_score_equals_plain(spark):
+    random.seed(2)
+    pool = ["the", "cat", "sat", "on", "mat.", "Haus", "im", "Garten,", "été", "x1", "mat", "dans", "la", "ville", "é", "--", "und", "die",
+            "der", "old", "new", "big", "one", "two", "three", "four", "five", "six", "seven", "eight"]
+    rows = [(i, " ".join(random.choice(pool) for _ in range(random.randint(0, 14)))) for i in range(40)] + [(40, None), (41, "new words only here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain_maxent(rows, [d for d, _ in rows if d % 4])
+    for parts in (1, 5):
+        got = maxent.score(docs.repartition(parts), F.col("doc_id") % 4 == 0, F.col("doc_id") % 4 != 0).collect()
+        assert {r["doc_id"] for r in got} == set(want)
+        assert all(r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-4) for r in got)
+
+
+def test_maxent_beats_its_base(spark):
+    """Held-out texts score better than under unigrams, alike in any layout."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    got = [{r["doc_id"]: r for r in maxent.score(docs.repartition(p), held, ~held).collect()} for p in (1, 6)]
+    out = [r for r in got[0].values() if r["held_out"]]
+    assert sum(r["score"] for r in out) / sum(r["n_tokens"] for r in out) > sum(r["base_score"] for r in out) / sum(r["n_tokens"] for r in out) + 0.1
+    assert all(abs(r["score"] - got[1][d]["score"]) < 1e-5 * r["n_tokens"] for d, r in got[0].items())
+
+
 def luhn(d):
     return sum(int(x) if i % 2 == 0 else [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][int(x)] for i, x in enumerate(reversed(d))) % 10 == 0
 
