@@ -86,7 +86,8 @@ def sample_distinct_check(sample: DataFrame, size: int = SAMPLE_SIZE) -> DataFra
 def file_answer_agg(rows: DataFrame, row_separator: str = "", sep: str = SPAN_JOIN) -> DataFrame:
     """Per (query, file) the answer and fact texts: spans of a row joined with the span
     separator, rows appended in row order with ``row_separator`` (none, as the benchmark
-    does); no answers at all gives 'N/A'."""
+    does); no answers at all gives 'N/A'.  A file is one cell: ``limits.split_oversized`` takes
+    out files that no task should hold."""
     per_row = rows.select("query_name", "code_file_path", "row_id", "example_type",
                           F.array_join(F.col("answer_spans.span"), sep).alias("a"),
                           F.array_join(F.col("supporting_fact_spans.span"), sep).alias("f"))

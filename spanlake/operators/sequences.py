@@ -86,7 +86,8 @@ def stitch_windows(windows: DataFrame, arrays: list[str], key: str = "example_id
     ``slice``, code-generated); after grouping, the sorted windows' arrays are
     concatenated with native field extraction + ``flatten`` - no per-window lambda.  The
     prefix length is the windows' ``plen`` column when present, else the window's own
-    first separator (all windows of an example share it; ``chk_windows`` verifies)."""
+    first separator (all windows of an example share it; ``chk_windows`` verifies).  An example
+    is one cell: ``limits.split_oversized`` takes out those that no task should hold."""
     p = F.col("plen") if "plen" in windows.columns else first_sep_index(labels) + 1
     staged = windows.select(key, "split_id", p.alias("_p"), *arrays)
 

@@ -38,6 +38,29 @@ def file_tokens(source_files: DataFrame) -> DataFrame:
     return source_files.select("code_file_path", token_count("content").alias("file_tokens"))
 
 
+def sequence_inputs(examples: DataFrame, vocab: DataFrame, key: str = "row_id", tokens: str = "subtokenized_input_sequence",
+                    labels: str = "label_sequence", mode: str = "all", setting: str = "tokens") -> tuple[DataFrame, DataFrame]:
+    """H5 with its setting: (inputs, rejects) of the examples of the type ``mode``.
+
+    In the setting ``tokens`` the sequence holds subtokens and is encoded through the
+    vocabulary; in ``prefix`` it already holds ids (integers) and only the separator's id comes
+    from the vocabulary.  Rejected with their reason: labels of another length, no separator."""
+    from spanlake.operators.filters import filter_example_type
+    from spanlake.operators.sequences import span_inputs
+    if setting not in ("tokens", "prefix"):
+        raise ValueError(setting)
+    rows = filter_example_type(examples, mode) if mode != "all" else examples
+    if setting == "prefix":
+        rows = rows.withColumn("ids", F.col(tokens).cast("array<int>"))
+    else:
+        rows = C.vocab_encode(rows, vocab, key, tokens)
+    s = span_inputs(rows, "ids", C.sep_id(vocab))
+    detail = (F.when(~F.equal_null(F.size("ids"), F.size(labels)), "labels of another length").when(~F.col("has_sep"), "no separator"))
+    s = s.withColumn("detail", detail)
+    rejects = s.where("detail IS NOT NULL").select(F.lit("sequence_inputs").alias("check"), F.col(key).cast("string").alias("key"), "detail")
+    return s.where("detail IS NULL").drop("detail", "has_sep"), rejects
+
+
 def example_em(examples: DataFrame, vocab: DataFrame, predictor_factory: Callable, key: str = "row_id",
                tokens: str = "subtokenized_input_sequence", labels: str = "label_sequence",
                extra_inputs: tuple[str, ...] = (), batch_size: int = 4) -> DataFrame:

@@ -79,7 +79,7 @@ def q_few_shot_values(spark, d):
 
 
 @reg("segment_ids", with_fx(["fx_seq"], """
-SELECT example_id,
+SELECT unnest(['tokens', 'prefix']) AS setting, example_id,
        CASE WHEN list_position(tokens, '[SEP]_') IS NOT NULL THEN
          array_to_string(list_transform(tokens, lambda t, i: CASE WHEN i - 1 >= list_position(tokens, '[SEP]_')
                                                              THEN '1' ELSE '0' END), ',') END AS segments,
@@ -88,8 +88,17 @@ FROM fx_seq"""))
 def q_segment_ids(spark, d):
     vocab = fx.fx_vocab(spark, d)
     enc = C.vocab_encode(fx.fx_seq(spark, d).select("example_id", "tokens"), vocab, "example_id", "tokens")
-    s = span_inputs(enc, "ids", C.sep_id(vocab))
-    return s.select("example_id", ints("segments").alias("segments"),
+    s = span_inputs(enc, "ids", C.sep_id(vocab)).select(F.lit("tokens").alias("setting"), "example_id", "segments", "mask", "has_sep")
+    # the other setting: the sequences hold ids, and rejects come as rows of their own
+    ok, bad = L.sequence_inputs(enc.select("example_id", F.col("ids").alias("seq"), F.col("ids").alias("labels")), vocab, "example_id",
+                                "seq", "labels", setting="prefix")
+    none = F.lit(None).cast("array<int>")
+    s = (s.unionByName(ok.select(F.lit("prefix").alias("setting"), "example_id", "segments", "mask", F.lit(True).alias("has_sep")))
+         .unionByName(bad.select(F.lit("prefix").alias("setting"), F.col("key").cast("long").alias("example_id"), none.alias("segments"),
+                                 none.alias("mask"), F.lit(False).alias("has_sep"))
+                      .join(enc.select("example_id", F.transform("ids", lambda x: F.lit(1)).alias("ones")), "example_id")
+                      .withColumn("mask", F.col("ones")).drop("ones")))
+    return s.select("setting", "example_id", ints("segments").alias("segments"),
                     F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("mask_ones"), "has_sep")
 
 
