@@ -239,6 +239,6 @@ ranked as (
     count(*) filter (n_features >= 20) over () as eligible
   from final)
 select doc_id, n_features, weight, score,
-  case when n_features >= 20 and place <= eligible * 10 // 100 then place end as rank
+  case when n_features >= 20 and place <= eligible * 10 // 100 then place::double end as rank  -- nullable numbers are doubles in pandas
 from ranked
 """

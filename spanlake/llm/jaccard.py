@@ -5,7 +5,9 @@ node.  In every run a node chooses, from a path of shingles, each of its shingle
 probability ``1 / (threshold * size)`` by a hash of path and shingle, so two similar sets
 are expected to share at least one choice at every level.  Paths of length ``SHALLOW`` are
 buckets; a bucket of more than ``SMALL`` nodes is split further, on paths of length
-``DEEP``.  ``RUNS`` runs bring the expected recall of a pair at the threshold to over 0.99.
+``DEEP``.  A pair at the threshold is expected to meet in ``RUNS`` runs with a probability of
+over 0.99 in buckets that need no split; the worst case, a set that holds the other and
+shares only buckets that are split, meets with 0.983.
 
 In a bucket, nodes are compared by small bin-minimum sketches, in one pass that keeps only
 leaders: a node is linked to every leader of similarity 0.5 or more (by sketch) and becomes

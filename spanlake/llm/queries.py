@@ -25,6 +25,7 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op4_decontaminate": decontaminate.SQL,
+    "op8_warc": warc.SQL,
     "op12_importance": importance.SQL,
     "op13_conversations": conversations.SQL,
 }

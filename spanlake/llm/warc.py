@@ -139,6 +139,8 @@ def parse(data: bytes) -> tuple:
                 named, kind, refers)
     except KeyError as e:
         raise WarcError(f"missing header {e}") from None
+    except ValueError as e:  # a length that is no number, a header that is no UTF-8
+        raise e if isinstance(e, WarcError) else WarcError(f"unreadable header: {e}") from None
 
 
 def _digests(batches):
@@ -256,5 +258,5 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
          1 + ((CAST('0x' || substr(h, 1 + 5 * (k // 4), 5) AS INTEGER) >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31), 1)), '')
          AS payload_digest,
        CASE WHEN page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN CAST(first_id AS DOUBLE) END AS refers_to
 FROM p"""

@@ -119,6 +119,122 @@ def test_nearest_recall():
     assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found, true)]) >= 0.95
 
 
+def test_nearest_over_many_shards(spark):
+    """Recall against brute force when every query is answered by many shards."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    x = {r["vec_id"]: np.array(r["embedding"], float) for r in rows.collect()}
+    got = collections.defaultdict(list)
+    for r in ann.nearest(rows, F.col("vec_id") % 20 == 0, shard=32, query_block=8).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    hit = n = 0
+    for q in (k for k in x if k % 20 == 0):
+        true = sorted((-float(x[q] @ v), k) for k, v in x.items() if k != q)[:20]
+        hit, n = hit + len({k for _, k in true} & {k for k, _ in got[q]}), n + len(true)
+        assert all(s == pytest.approx(float(x[q] @ x[k])) for k, s in got[q]) and len(got[q]) == 20
+    assert hit >= 0.95 * n
+
+
+def plain_profile(texts, top):
+    """The most frequent n-grams of letters, ties by code points."""
+    count = collections.Counter()
+    for t in texts:
+        t = " " + "".join(c if c.isalpha() else " " for c in (t or "").lower()) + " "
+        for i in range(len(t)):
+            for g in (t[i:i + n] for n in (1, 2, 3) if i + n <= len(t)):
+                if len(g) == 1 and g != " " or len(g) == 2 and g != "  " or len(g) == 3 and g[1] != " ":
+                    count[g] += 1
+    key = lambda g: sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+    return sorted(count, key=lambda g: (-count[g], key(g)))[:top]
+
+
+def plain_language(profiles, text):
+    own = plain_profile([text], langid.TOP)
+    if not own or not profiles:
+        return "und", 0.0
+    away = {}
+    for lang in sorted(profiles):
+        place = {g: k for k, g in enumerate(profiles[lang])}
+        away[lang] = sum(abs(place[g] - k) if g in place else langid.SIZE for k, g in enumerate(own))
+    best = min(sorted(away), key=away.get)
+    return best, max(0.0, 1 - away[best] / (len(own) * langid.SIZE))
+
+
+def test_language_equals_plain(spark):
+    rows = spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()
+    learn = collections.defaultdict(set)
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["lang"] is not None and r["text"] is not None:
+            learn[r["lang"]].add(r["text"])
+    assert max(map(len, learn.values())) <= langid.PER_LANG
+    profiles = {k: plain_profile(v, langid.SIZE) for k, v in learn.items()}
+    for r in langid.op2_language(spark, SF_SMALL).collect():
+        text = next(x["text"] for x in rows if x["doc_id"] == r["doc_id"])
+        lang, score = plain_language(profiles, text)
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score), r["doc_id"]
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def plain_shingles(text):
+    w = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_pipeline_equals_plain(spark, tmp_path):
+    """``run`` against plain versions of its stages on a small corpus."""
+    import corpus_pipeline
+    random.seed(6)
+    pools = {"en": "the cat sat with that old man while they were there and then went home through this wood".split(),
+             "de": "der die das und ist nicht mit einem auch schon wir haben eine kleine stadt durch den wald".split(),
+             "fr": "le la les et est dans une ville avec nous avons petite maison pour les enfants toujours bien".split()}
+    rows = []
+    for i in range(90):
+        lang = ["en", "de", "fr"][i % 3]
+        rows.append([i, " ".join(random.choice(pools[lang]) for _ in range(random.randint(12, 40))), lang, f"s{i % 4}"])
+    rows[40][1] = rows[7][1]
+    rows[50][1] = rows[8][1] + " extra"
+    rows[12][1] += " write to ann@example.org or +1 (212) 555-0147"
+    item = "one two three four five six seven eight nine ten eleven"
+    rows[21][1] += f" {item}"
+    rows += [[90, None, None, "s0"], [91, "12 34 !!", None, "s1"]]
+    spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    learn = collections.defaultdict(set)
+    for i, text, lang, _ in rows:
+        if zlib.crc32(str(i).encode()) % 5 and lang and text:
+            learn[lang].add(text)
+    profiles = {k: plain_profile(v, langid.SIZE) for k, v in learn.items()}
+    kept = [r for r in rows if (p := plain_language(profiles, r[1]))[0] != "und" and p[1] >= corpus_pipeline.MIN_SCORE]
+    assert {r[0] for r in rows} - {r[0] for r in kept} == {90, 91}
+    sets = {r[0]: plain_shingles(r[1]) for r in kept}
+    label = {r[0]: r[0] for r in kept}
+    for a in sorted(label):
+        for b in sorted(label):
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low = min(label[a], label[b])
+                label = {k: low if v in (label[a], label[b]) else v for k, v in label.items()}
+    kept = [r for r in kept if label[r[0]] == r[0]]
+    words = tuple(item.split())
+    kept = [r for r in kept if not any(w in " ".join(r[1].split()) for w in (" ".join(words[:10]), " ".join(words[1:])))]
+    want = {r[0]: r[1].replace("ann@example.org", "<EMAIL>").replace("+1 (212) 555-0147", "<PHONE>") for r in kept}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {40, 50, 21}.isdisjoint(want) and {r["doc_id"] for r in got} <= set(want)
+    assert all(r["text"] == want[r["doc_id"]] and r["size"] == len(r["text"].split()) and r["n_chars"] == len(r["text"]) for r in got)
+    # the mix: targets by weight 1, 2, 3, 1 (capped at three times a source), met within a document
+    size = collections.Counter()
+    for r in kept:
+        size[r[3]] += len(want[r[0]].split())
+    taken, copies = collections.Counter(), collections.Counter()
+    for r in got:
+        taken[r["source"]] += r["size"]
+        copies[r["doc_id"]] += 1
+        assert r["source_size"] == size[r["source"]]
+    weight = dict(zip(sorted(size), (1, 2, 3, 1)))
+    assert max(copies.values()) <= 3 and all(3 * size[s] > sum(size.values()) * weight[s] / 7 for s in size)
+    for s in size:
+        assert abs(taken[s] - sum(size.values()) * weight[s] / 7) <= 45
+
+
 def test_decontamination(spark):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()] + [(900, "the of"), (901, "the of")]
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -368,6 +484,15 @@ def test_urls_that_part_deep(spark):
     assert got[120]["template"].endswith("/d/spam/**") and got[240]["verdict"] == "allow" and len(got) == 241
 
 
+def test_warc_unreadable_headers():
+    good = warc.record(1, "http://a/", b"abc", warc.digest(b"abc"), None, False)
+    head = good.partition(b"\r\n\r\n")[0]
+    length = next(x for x in head.split(b"\r\n") if x.lower().startswith(b"content-length"))
+    for bad in (good.replace(length, b"Content-Length: twelve", 1), good.replace(b"http://a/", b"http://\xff/", 1)):
+        with pytest.raises(warc.WarcError):
+            warc.parse(bad)
+
+
 def test_warc_rejects_damage():
     data = warc.member(warc.record(1, "http://a/", b"abc" * 50, warc.digest(b"abc" * 50), None, False))
     assert warc.parse(next(warc.members(io.BytesIO(data * 2))))[2] == b"abc" * 50
