@@ -17,7 +17,8 @@ shares, and takes ``ROUNDS`` distributed gradient steps: every task sums the exp
 counts of all its training positions under the common weights, the tasks' sums are added up,
 and the weights move along observed less expected counts, scaled by their size.  A round sums
 over positions, so neither the layout of the corpus nor the cut into blocks decides anything
-(but for the rounding of sums).  Scoring gathers the few weights of each position.
+(but for the rounding of sums).  A block's equal histories are evaluated once and weigh as
+often as they occur.  Scoring gathers the few weights of each position.
 
 Defined results: null and empty texts are one end token; a null doc_id is not held out and
 teaches nothing; with nothing to learn all counts are 0; repeated rows are scored (and
@@ -40,11 +41,12 @@ from spanlake.llm.shingles import mix
 
 FOLDS, HELD_OUT = 7, 2
 BLOCK_BYTES = 8 << 20
-CLASSES, OWN = 32, 12
+CLASSES, OWN = 64, 24
 SLOTS = 1 << 14
-#: Positions handled at a time: a batch's rows of weights stay in the processor's caches.
-BATCH, COUNT_BATCH = 1 << 13, 1 << 18
-ROUNDS, START, RATE, PRIOR = 1, 0.5, 0.3, 50.0
+#: Positions handled at a time: a batch's rows of weights stay in the processor's caches; sums
+#: by slot and counts take more at a time.
+BATCH, SUM_BATCH, COUNT_BATCH = 1 << 12, 1 << 16, 1 << 18
+ROUNDS, START, RATE, PRIOR = 4, 0.5, 0.3, 50.0
 PARTS = 16
 END = b""
 _END_HASH = np.uint64(xxhash.xxh3_64_intdigest(END))
@@ -226,31 +228,47 @@ def observed(f: np.ndarray, y: np.ndarray, total: np.ndarray) -> None:
         total += np.bincount(f[:, k] * CLASSES + y, minlength=total.size).reshape(total.shape)
 
 
-def expected(f: np.ndarray, w: np.ndarray, total: np.ndarray) -> None:
-    """Add the classes that the weights expect after every feature."""
-    p = chances(w, f)
-    total[0] += np.ones(len(p), p.dtype) @ p
-    for k in range(1, f.shape[1]):
-        slot = f[:, k].astype(np.uint16)
-        order = np.argsort(slot, kind="stable")
-        slot = slot[order]
-        at = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
-        total[slot[at]] += np.add.reduceat(p.take(order, axis=0), at, axis=0)
+def histories(parts) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows of the features in ``parts``, in order, and how often each occurs)."""
+    key = np.sort(np.concatenate([(f[:, 1] * SLOTS + f[:, 2]) * SLOTS + f[:, 3] for f in parts]))
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    count = np.diff(np.append(at, len(key)))
+    key = key[at]
+    return np.column_stack([np.zeros_like(key), key // (SLOTS * SLOTS), key // SLOTS % SLOTS, key % SLOTS]), count
+
+
+def expected(f: np.ndarray, count: np.ndarray, w: np.ndarray, total: np.ndarray) -> None:
+    """Add to ``total`` (classes x slots) the classes that the weights expect after every feature
+    of the histories ``f``, which occur ``count`` times."""
+    for i in range(0, len(f), SUM_BATCH):
+        some = f[i:i + SUM_BATCH]
+        p = np.empty((CLASSES, len(some)))
+        for j in range(0, len(some), BATCH):
+            part = some[j:j + BATCH]
+            p[:, j:j + BATCH] = (chances(w, part) * count[i + j:i + j + len(part), None].astype(np.float32)).T
+        total[:, 0] += p.sum(axis=1)
+        for k in range(1, f.shape[1]):
+            slot = np.ascontiguousarray(some[:, k])
+            for c in range(CLASSES):
+                total[c] += np.bincount(slot, p[c], SLOTS)
 
 
 def _sums(model: Model):
     """A task's observed (without weights) or expected class counts of all its positions."""
     def run(batches):
-        total = np.zeros((SLOTS, CLASSES))
+        total = np.zeros((SLOTS, CLASSES) if model.weights is None else (CLASSES, SLOTS))
         for b in batches:
-            for r in b.to_pylist():
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
                 if not any(r["train"]):
                     continue
-                for f, y in _training(r, model, COUNT_BATCH if model.weights is None else BATCH):
-                    if model.weights is None:
+                if model.weights is None:
+                    for f, y in _training(r, model, COUNT_BATCH):
                         observed(f, y, total)
-                    else:
-                        expected(f, model.weights, total)
+                else:
+                    expected(*histories(f for f, _ in _training(r, model, COUNT_BATCH)), model.weights, total)
+        if model.weights is not None:
+            total = np.ascontiguousarray(total.T)
         rows = SLOTS // PARTS
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(PARTS, dtype=np.int32)),
@@ -269,11 +287,15 @@ def _add(t: pa.Table) -> pa.Table:
 
 
 def totals(corpus: DataFrame, model: Model) -> np.ndarray:
-    """The class counts of every feature over the whole corpus, added in two levels."""
+    """The class counts of every feature over the whole corpus.  Every task writes one table of
+    sums, so the tasks are as many as the cores keep busy, whatever the blocks' partitions; many
+    tables are added in two levels."""
     schema = "part int, w binary"
-    parts = corpus.select("train", "lengths", "tokens", "dictionary", "kinds").mapInArrow(_sums(model), schema)
-    some = parts.withColumn("salt", F.spark_partition_id() % 16)
-    some = some.groupBy("part", "salt").applyInArrow(_add, schema).groupBy("part").applyInArrow(_add, schema)
+    tasks = 2 * corpus.sparkSession.sparkContext.defaultParallelism
+    some = corpus.select("train", "lengths", "tokens", "dictionary", "kinds").coalesce(tasks).mapInArrow(_sums(model), schema)
+    if tasks > 64:
+        some = some.withColumn("salt", F.spark_partition_id() % 16).groupBy("part", "salt").applyInArrow(_add, schema)
+    some = some.groupBy("part").applyInArrow(_add, schema)
     out, rows = np.zeros((SLOTS, CLASSES)), SLOTS // PARTS
     for r in some.collect():
         out[r["part"] * rows:(r["part"] + 1) * rows] = np.frombuffer(r["w"], np.float64).reshape(rows, CLASSES)
