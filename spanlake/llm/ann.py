@@ -5,8 +5,12 @@ gets a graph: vectors are inserted in batches, a greedy beam search proposes nei
 relaxed distance pruning (an edge stays unless a kept neighbour is ``alpha`` times closer to
 its end) keeps diverse ones, and reverse edges are pruned the same way.  Inner product
 becomes distance by one more coordinate that lifts all vectors of a shard to one norm.
-A search beams through every shard's graph, in blocks of queries, and rescoring is exact in
-double precision on the original vectors.
+Besides its pruned neighbours a point keeps ``LONG`` random ones, so tight clusters stay
+connected; a search starts from several points, those of the largest norms among them.  It
+beams through every shard's graph, in blocks of queries, and rescoring is exact in double
+precision on the original vectors.  Every search is checked: for up to ``CHECKED`` of its
+queries the shard's exact nearest are computed, and the beam is doubled for the whole block
+while fewer than ``RECALL`` of them were found.
 
 Equal vectors are one point of the index; only the ``k + 1`` smallest ids of a point can
 appear among a query's ``k`` nearest, so groups of equal vectors of any size cost as much
@@ -32,8 +36,10 @@ from pyspark.sql.window import Window
 from spanlake.llm.common import materialize, python_ready, table
 
 SHARD = 4096
-DEGREE = 32
+DEGREE, LONG = 32, 8
+STARTS = 16
 BEAM = 96
+CHECKED, RECALL = 64, 0.99
 ALPHA = 1.3
 PASSES = 2
 K = 20
@@ -42,23 +48,29 @@ BATCH = 256
 
 
 def _lift(x: np.ndarray) -> np.ndarray:
-    """Rows with one more coordinate, so that all have the largest norm; float32."""
+    """Rows, scaled to components of at most 1, with one more coordinate, so that all have the
+    largest norm.  Doubles: beside a few long vectors the short ones differ in late digits."""
+    x = x / np.abs(x).max()
     sq = (x * x).sum(axis=1)
-    return np.column_stack([x, np.sqrt(np.maximum(sq.max() - sq, 0.0))]).astype(np.float32)
+    return np.column_stack([x, np.sqrt(np.maximum(sq.max() - sq, 0.0))])
 
 
-def beam_search(x: np.ndarray, sq: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray,
+def beam_search(x: np.ndarray, sq: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries: np.ndarray,
                 beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, squared distances) of each query's beam, nearest first; -1 pads."""
+    """(ids, squared distances) of each query's beam from the entry points, nearest first; -1 pads."""
     q, n = len(queries), len(x)
     rows = np.arange(q)
     seen = np.zeros((q, n), bool)
+    entries = np.atleast_1d(entries)[:beam]
+    m = len(entries)
     ids = np.full((q, beam), -1, np.int64)
-    dist = np.full((q, beam), np.inf, np.float32)
+    dist = np.full((q, beam), np.inf)
     todo = np.zeros((q, beam), bool)
-    ids[:, 0], todo[:, 0], seen[:, entry] = entry, True, True
+    seen[:, entries], todo[:, :m] = True, True
     q_sq = (queries * queries).sum(axis=1)
-    dist[:, 0] = q_sq + sq[entry] - 2 * queries @ x[entry]
+    start = q_sq[:, None] + sq[entries] - 2 * queries @ x[entries].T
+    order = np.argsort(start, axis=1, kind="stable")
+    ids[:, :m], dist[:, :m] = entries[order], np.take_along_axis(start, order, axis=1)
     while True:
         live = rows[todo.any(axis=1)]
         if not len(live):
@@ -112,25 +124,26 @@ def robust_prune(x: np.ndarray, sq: np.ndarray, own: np.ndarray, cands: np.ndarr
 
 
 def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA,
-          seed: int = 7, passes: int = PASSES) -> tuple[np.ndarray, int]:
-    """(graph of out-neighbours padded with -1, entry point) of one shard; every pass but the
-    last prunes without relaxation."""
+          seed: int = 7, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
+    """(graph of out-neighbours padded with -1, entry points) of one shard; every pass but the
+    last prunes without relaxation.  The last ``LONG`` columns are random neighbours."""
     x = _lift(vectors)
     n, rng = len(x), np.random.default_rng(seed)
     sq = (x * x).sum(axis=1)
-    entry = int(np.argmin(((x - x.mean(axis=0)) ** 2).sum(axis=1)))
-    graph = np.full((n, degree), -1, np.int64)
+    middle = int(np.argmin(((x - x.mean(axis=0)) ** 2).sum(axis=1)))
+    entries = np.unique(np.concatenate([[middle], np.argsort(x[:, -1], kind="stable")[:STARTS], rng.permutation(n)[:STARTS]]))
+    graph = np.full((n, degree + LONG), -1, np.int64)
     if n > 1:
-        some = min(degree, n - 1, 8)
-        graph[:, :some] = (np.arange(n)[:, None] + rng.integers(1, n, (n, some))) % n
+        graph[:, degree:] = (np.arange(n)[:, None] + rng.integers(1, n, (n, LONG))) % n
     order = np.concatenate([rng.permutation(n) for _ in range(passes)])
     for i in range(0, len(order), BATCH):
         own = np.unique(order[i:i + BATCH])
         relaxed = alpha if i >= n * (passes - 1) else 1.0
-        found, _ = beam_search(x, sq, graph, entry, x[own], beam)
-        graph[own] = robust_prune(x, sq, own, np.concatenate([found, graph[own]], axis=1), degree, relaxed)
-        src, at = np.nonzero(graph[own] >= 0)
-        back, to = graph[own][src, at], own[src]
+        found, _ = beam_search(x, sq, graph, entries, x[own], beam)
+        kept = robust_prune(x, sq, own, np.concatenate([found, graph[own]], axis=1), degree, relaxed)
+        graph[own, :degree] = kept
+        src, at = np.nonzero(kept >= 0)
+        back, to = kept[src, at], own[src]
         by = np.argsort(back, kind="stable")
         back, to = back[by], to[by]
         ends, first, count = np.unique(back, return_index=True, return_counts=True)
@@ -139,33 +152,50 @@ def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
         more[of, np.arange(len(back)) - first[of]] = to
         for j in range(0, len(ends), BATCH):
             e = ends[j:j + BATCH]
-            graph[e] = robust_prune(x, sq, e, np.concatenate([graph[e], more[j:j + BATCH]], axis=1), degree, relaxed)
-    return graph, entry
+            graph[e, :degree] = robust_prune(x, sq, e, np.concatenate([graph[e, :degree], more[j:j + BATCH]], axis=1), degree, relaxed)
+    return graph, entries
 
 
-def search(vectors: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, k: int,
-           beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers, exact inner products) of each query's ``k`` best, -1 pads."""
-    n = len(vectors)
-    if n <= beam:
-        ids = np.tile(np.arange(n), (len(queries), 1))
-    else:
-        x = _lift(vectors)
-        sq = (x * x).sum(axis=1)
-        # scaling a query does not change its order of neighbours
-        unit = queries / np.linalg.norm(queries, axis=1, keepdims=True) * math.sqrt(float(sq.max()) or 1.0)
-        lifted = np.column_stack([unit, np.zeros(len(queries))]).astype(np.float32)
-        ids = np.concatenate([beam_search(x, sq, graph, entry, lifted[i:i + BATCH], beam)[0]
-                              for i in range(0, len(queries), BATCH)])
-    score = np.empty(ids.shape)
-    for i in range(0, len(queries), BATCH):
-        part = ids[i:i + BATCH]
-        score[i:i + BATCH] = np.einsum("qkd,qd->qk", vectors[np.maximum(part, 0)], queries[i:i + BATCH])
+def _best(vectors: np.ndarray, queries: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, exact inner products) of the ``k`` best of each query's ``ids``; ties to the first row."""
+    score = np.einsum("qkd,qd->qk", vectors[np.maximum(ids, 0)], queries)
     score[ids < 0] = -np.inf
-    order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    order = np.lexsort((ids, -score))[:, :k]
     return np.take_along_axis(ids, order, axis=1), np.take_along_axis(score, order, axis=1)
 
 
+def _recall(vectors: np.ndarray, queries: np.ndarray, score: np.ndarray) -> float:
+    """The share of the exact nearest of some queries whose inner products are in ``score``."""
+    some = np.unique(np.linspace(0, len(queries) - 1, min(CHECKED, len(queries))).astype(np.int64))
+    k = min(score.shape[1], len(vectors))
+    least = -np.partition(-(queries[some] @ vectors.T), k - 1, axis=1)[:, k - 1]
+    least -= 1e-9 * np.linalg.norm(queries[some], axis=1) * np.linalg.norm(vectors, axis=1).max()
+    return float((score[some, :k] >= least[:, None]).mean())
+
+
+def search(vectors: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries: np.ndarray, k: int,
+           beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, exact inner products) of each query's ``k`` best, -1 pads."""
+    n, x = len(vectors), _lift(vectors)
+    sq = (x * x).sum(axis=1)
+    # scaling a query does not change its order of neighbours
+    unit = queries / np.abs(queries).max(axis=1, keepdims=True)
+    unit *= math.sqrt(float(sq.max())) / np.linalg.norm(unit, axis=1, keepdims=True)
+    lifted = np.column_stack([unit, np.zeros(len(queries))])
+    while True:
+        out = []
+        for i in range(0, len(queries), BATCH):
+            some = queries[i:i + BATCH]
+            ids = (np.tile(np.arange(n), (len(some), 1)) if n <= beam
+                   else beam_search(x, sq, graph, entries, lifted[i:i + BATCH], beam)[0])
+            rows = max(1, (BATCH * BEAM) // ids.shape[1])
+            out += [_best(vectors, some[j:j + rows], ids[j:j + rows], k) for j in range(0, len(some), rows)]
+        ids, score = (np.concatenate(p) for p in zip(*out))
+        if n <= beam or _recall(vectors, queries, score) >= RECALL:
+            return ids, score
+        beam *= 2
+
+
 def _matrix(col) -> np.ndarray:
     flat = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     n = len(flat)
@@ -175,10 +205,10 @@ def _matrix(col) -> np.ndarray:
 def _index_shard(t: pa.Table) -> pa.Table:
     order = np.argsort(np.asarray(t["rep"]))
     ids, x = np.asarray(t["rep"])[order], _matrix(t["e"])[order]
-    graph, entry = build(x)
+    graph, entries = build(x)
     return pa.table({"dim": t["dim"][:1], "shard": t["shard"][:1], "ids": pa.array([ids.tobytes()]),
                      "vectors": pa.array([x.tobytes()]), "graph": pa.array([graph.astype(np.int32).tobytes()]),
-                     "entry": pa.array([entry], pa.int32())})
+                     "entries": pa.array([entries.astype(np.int32).tobytes()])})
 
 
 def _pack_queries(t: pa.Table) -> pa.Table:
@@ -213,7 +243,7 @@ def nearest(table_: DataFrame, is_query, k: int = K, shard: int = SHARD, query_b
     # a partition number of its own keeps small shards from being merged into few long tasks
     index = (reps.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
              .repartition(2 * shards, "dim", "shard").groupBy("dim", "shard")
-             .applyInArrow(_index_shard, "dim int, shard int, ids binary, vectors binary, graph binary, entry int"))
+             .applyInArrow(_index_shard, "dim int, shard int, ids binary, vectors binary, graph binary, entries binary"))
     index = materialize(index, "ann-index")
     packed = (asked.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(blocks)).cast("int")).groupBy("dim", "block")
               .applyInArrow(_pack_queries, "dim int, block int, q_ids binary, q_vectors binary")
@@ -225,7 +255,7 @@ def nearest(table_: DataFrame, is_query, k: int = K, shard: int = SHARD, query_b
                 ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"]).reshape(-1, r["dim"])
                 q_ids, q = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_vectors"]).reshape(-1, r["dim"])
                 graph = np.frombuffer(r["graph"], np.int32).reshape(len(ids), -1).astype(np.int64)
-                found, score = search(x, graph, r["entry"], q, k + 1)
+                found, score = search(x, graph, np.frombuffer(r["entries"], np.int32), q, k + 1)
                 at = found >= 0
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.broadcast_to(q_ids[:, None], found.shape)[at]), pa.array(ids[found[at]]), pa.array(score[at])],
