@@ -67,12 +67,20 @@ def extract_spans_twostep(seq) -> Column:
         F.transform(F.slice(s, sp["start"] + 1, sp["len"]), lambda x: F.struct(
             x["block_index"].cast("int").alias("block_index"),
             x["block_offset"].cast("int").alias("block_offset"))).alias("items")))
-    return F.array_sort(F.array_distinct(spans))
+    return _sorted_set(spans)
+
+
+def _sorted_set(spans: Column) -> Column:
+    """The distinct elements of an array in order.  ``array_distinct`` compares structs all to
+    all; here equal neighbours go after the sort.  The one-element array around the sorted
+    spans binds them to a lambda variable, so they are sorted once and not per element."""
+    return F.get(F.transform(F.array(F.sort_array(spans)), lambda s: F.filter(
+        s, lambda x, i: (i == 0) | ~F.equal_null(x, F.get(s, i - 1)))), F.lit(0))
 
 
 def span_set_equal(a, b) -> Column:
     """Set equality of two span arrays (order and duplicates ignored)."""
-    return F.array_sort(F.array_distinct(_c(a))) == F.array_sort(F.array_distinct(_c(b)))
+    return _sorted_set(_c(a)) == _sorted_set(_c(b))
 
 
 def spans_to_string(spans) -> Column:
