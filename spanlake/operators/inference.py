@@ -28,6 +28,8 @@ from spanlake.session import ensure_library_on_workers
 
 _WORKER_CACHE: OrderedDict = OrderedDict()
 _WORKER_CACHE_SIZE = 4
+#: Rows of predictions that a worker holds before they leave it.
+OUT_ROWS = 256
 
 
 def _cached(token: str, factory: Callable):
@@ -66,31 +68,44 @@ def filter_rows(df: DataFrame, predicate: Callable[[pd.DataFrame], pd.Series]) -
 # I2 / I3 -------------------------------------------------------------------------------
 def _score(df: DataFrame, factory: Callable, inputs: list[str], predicted: T.DataType, scores: T.DataType,
            scores_col: str | None, batch_size: int) -> DataFrame:
-    """Model scores per row, reduced to the best class (lowest on ties) inside the batch; the
-    scores themselves leave the worker only when ``scores_col`` asks for them."""
-    import numpy as np
+    """Model scores per row, reduced to the best class (lowest on ties) as each model batch is
+    answered; the scores themselves leave the worker only when ``scores_col`` asks for them.
+    Only the inputs become Python objects, one model batch at a time: all columns pass through
+    as Arrow, ``OUT_ROWS`` rows at a time.  Select the columns needed downstream first."""
     fields = [f for f in df.schema.fields if f.name not in ("predicted", scores_col)]
     keep = [f.name for f in fields]
     fields.append(T.StructField("predicted", predicted))
     if scores_col:
         fields.append(T.StructField(scores_col, scores))
     schema = T.StructType(fields)
+    names = schema.fieldNames()
     ensure_library_on_workers(df.sparkSession)
     token = uuid.uuid4().hex
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    nested = isinstance(predicted, T.ArrayType)
+    step = batch_size * max(1, OUT_ROWS // batch_size)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        classes = pa.list_(pa.int32()) if nested else pa.int32()
+        numbers = pa.list_(pa.list_(pa.float64())) if nested else pa.list_(pa.float64())
         model = _cached(token, factory)
         for b in batches:
-            outs = []
-            for s in range(0, len(b), batch_size):
-                chunk = b.iloc[s:s + batch_size]
-                outs.extend(model({c: list(chunk[c]) for c in inputs}))
-            out = b[keep].copy()
-            out["predicted"] = [np.argmax(np.asarray(o), axis=-1).astype("int32") for o in outs]
-            if scores_col:
-                out[scores_col] = outs
-            yield out
-    return df.mapInPandas(run, schema)
+            for i in range(0, b.num_rows, step):
+                part = b.slice(i, step)
+                best, outs = [], []
+                for s in range(0, part.num_rows, batch_size):
+                    chunk = part.slice(s, batch_size)
+                    for o in model({c: list(chunk.column(c).to_pandas(date_as_object=True)) for c in inputs}):
+                        best.append(np.argmax(np.asarray(o), axis=-1).astype("int32"))
+                        if scores_col:
+                            outs.append(np.asarray(o, "float64").tolist())
+                        o = None
+                cols = [*(part.column(c) for c in keep), pa.array(best, classes)]
+                if scores_col:
+                    cols.append(pa.array(outs, numbers))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+    return df.mapInArrow(run, schema)
 
 
 def predict_labels(df: DataFrame, predictor_factory: Callable, inputs=("ids", "segments", "mask"),

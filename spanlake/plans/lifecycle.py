@@ -74,6 +74,7 @@ def example_em(examples: DataFrame, vocab: DataFrame, predictor_factory: Callabl
     enc = C.vocab_encode(examples.select(*cols), vocab, key, tokens)
     s = span_inputs(enc, "ids", C.sep_id(vocab)).withColumn("target", F.col(labels))
     padded = pad_span_inputs(s.withColumnRenamed(labels, "labels"))
+    padded = padded.select(*dict.fromkeys([key, "ids", "segments", "mask", *extra_inputs, "target", "has_sep"]))
     p = predict_labels(padded, predictor_factory, inputs=("ids", "segments", "mask", *extra_inputs),
                        batch_size=batch_size)
     em = F.when(F.col("has_sep"), same_spans("target", "predicted").cast("int"))

@@ -72,7 +72,7 @@ def q_predict_labels(spark, d):
     seq = fx.fx_seq(spark, d).select("example_id", "tokens", "labels")
     enc = C.vocab_encode(seq, vocab, "example_id", "tokens")
     s = pad_span_inputs(span_inputs(enc, "ids", C.sep_id(vocab)))
-    p = I.predict_labels(s, fakes.table_predictor(_classes(vocab)), batch_size=4)
+    p = I.predict_labels(s.select("example_id", "ids", "segments", "mask"), fakes.table_predictor(_classes(vocab)), batch_size=4)
     return p.select("example_id", ints("predicted").alias("predicted"), F.size("predicted").alias("n_positions"))
 
 
@@ -87,7 +87,7 @@ def q_predict_relevance(spark, d):
     blocks = fx.fx_blocks(spark, d).select("row_id", "subtokenized_input_sequence")
     enc = C.vocab_encode(blocks, vocab, "row_id", "subtokenized_input_sequence")
     s = pad_relevance_inputs(span_inputs(enc, "ids", C.sep_id(vocab)))
-    return I.predict_relevance(s, fakes.parity_relevance, batch_size=16).select("row_id", "predicted")
+    return I.predict_relevance(s.select("row_id", "ids", "segments", "mask"), fakes.parity_relevance, batch_size=16).select("row_id", "predicted")
 
 
 @reg("example_em", with_fx(["fx_seq", "fx_vocab"], f"""
