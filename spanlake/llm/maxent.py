@@ -17,9 +17,12 @@ shares, and takes ``ROUNDS`` distributed gradient steps: every task sums the exp
 counts of all its training positions under the common weights, the tasks' sums are added up,
 and the weights move along observed less expected counts, scaled by their size.  A round sums
 over positions, so neither the layout of the corpus nor the cut into blocks decides anything
-(but for the rounding of sums).  A block's equal histories are evaluated once and weigh as
+(but for the rounding of sums).  Equal histories of a few blocks are evaluated once and weigh as
 often as they occur.  Scoring gathers the few weights of each position.
 
+A block's large cells are compressed where they are made (frequent tokens have small numbers, so
+their upper bytes are nearly all zero), so Spark reads, shuffles and holds small rows.
+
 Defined results: null and empty texts are one end token; a null doc_id is not held out and
 teaches nothing; with nothing to learn all counts are 0; repeated rows are scored (and
 taught) each; further columns are ignored.
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 import string
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +49,13 @@ CLASSES, OWN = 64, 24
 SLOTS = 1 << 14
 #: Positions handled at a time: a batch's rows of weights stay in the processor's caches; sums
 #: by slot and counts take more at a time.
-BATCH, SUM_BATCH, COUNT_BATCH = 1 << 12, 1 << 16, 1 << 18
+BATCH, SUM_BATCH, COUNT_BATCH = 1 << 11, 1 << 16, 1 << 18
+#: Training positions from which a task evaluates the histories it has gathered.
+GATHERED = 1 << 21
+#: Rows of a batch whose texts are Python objects at a time.
+ROWS = 256
+#: Words of all blocks' dictionaries that one group of the count takes at most, but for chance.
+BUCKET_WORDS = 1 << 20
 ROUNDS, START, RATE, PRIOR = 4, 0.5, 0.3, 50.0
 PARTS = 16
 END = b""
@@ -59,33 +69,68 @@ def tokens(text: str | None) -> list[bytes]:
     return words
 
 
+@lru_cache(1 << 16)
+def _tail_class(tail: bytes) -> int:
+    return OWN + xxhash.xxh3_64_intdigest(tail) % (CLASSES - OWN)
+
+
 def ending(word: bytes) -> int:
     """The class of a token that is not one of its own."""
-    tail = word.decode().rstrip(string.punctuation)[-2:]
-    return OWN + xxhash.xxh3_64_intdigest(tail.encode()) % (CLASSES - OWN)
+    tail = word[-2:]
+    if not tail.isalnum():  # else it has neither punctuation nor parts of longer characters
+        tail = word.decode().rstrip(string.punctuation)[-2:].encode()
+    return _tail_class(tail)
+
+
+_ZSTD = pa.Codec("zstd")
+
+
+def pack(x: np.ndarray) -> bytes:
+    """A cell of numbers: size, then the compressed bytes, first those of the lowest place."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
+    return np.int64(x.nbytes).tobytes() + _ZSTD.compress(planes, asbytes=True)
+
+
+def unpack(cell: bytes, dtype) -> np.ndarray:
+    size = int(np.frombuffer(cell, np.int64, 1)[0])
+    planes = np.frombuffer(_ZSTD.decompress(memoryview(cell)[8:], size), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).reshape(-1)
+
+
+class _Numbers(dict):
+    """Numbers by order of appearance."""
+
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
 
 
 def _make_blocks(batches):
-    """Rows of (block, doc ids, flags, lengths, tokens, dictionary, its classes, training counts)."""
+    """Rows of (block, doc ids, flags, lengths, tokens, dictionary, its classes, training counts, its size)."""
 
     def close():
-        h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in names), np.uint64, len(names))
         length, flag = np.array(lengths, np.int64), np.array(train, bool)
         ids_ = np.concatenate(parts)
+        often = np.argsort(-np.bincount(ids_), kind="stable")
+        rank = np.empty(len(often), np.int32)
+        rank[often] = np.arange(len(often), dtype=np.int32)
+        ids_ = rank[ids_]
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))[often]
+        kind = np.fromiter(map(ending, names), np.uint8, len(names))[often]
         count = np.bincount(ids_[np.repeat(flag, length)], minlength=len(h))
         return pa.RecordBatch.from_arrays(
             [pa.array([xxhash.xxh3_64_hexdigest(h.tobytes() + length.tobytes() + repr(docs[:4]).encode()) + f"-{seq}"]),
              pa.array([docs], pa.list_(pa.int64())), pa.array([np.array(held, bool).tobytes()]), pa.array([flag.tobytes()]),
-             pa.array([length.astype(np.int32).tobytes()]), pa.array([ids_.astype(np.int32).tobytes()]),
-             pa.array([h.tobytes()]), pa.array([np.fromiter(map(ending, names), np.uint8, len(names)).tobytes()]),
-             pa.array([count.astype(np.int64).tobytes()]), pa.array([int(count.sum())])],
-            names=["block", "docs", "held", "train", "lengths", "tokens", "dictionary", "kinds", "counts", "n_train"])
+             pa.array([length.astype(np.int32).tobytes()]), pa.array([pack(ids_)]),
+             pa.array([h.tobytes()]), pa.array([pack(kind)]),
+             pa.array([pack(count.astype(np.int64))]), pa.array([len(h)], pa.int64())],
+            names=["block", "docs", "held", "train", "lengths", "tokens", "dictionary", "kinds", "counts", "n_words"])
 
-    names, docs, held, train, lengths, parts, size, seq = {}, [], [], [], [], [], 0, 0
-    for b in batches:
+    names, docs, held, train, lengths, parts, size, seq = _Numbers(), [], [], [], [], [], 0, 0
+    for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
         for doc, out, fit, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
             words = tokens(text)
-            parts.append(np.array([names.setdefault(w, len(names)) for w in words], np.int32))
+            parts.append(np.fromiter(map(names.__getitem__, words), np.int32, len(words)))
             docs.append(doc)
             held.append(out)
             train.append(fit)
@@ -93,13 +138,13 @@ def _make_blocks(batches):
             size += len(text or "")
             if size >= BLOCK_BYTES or len(docs) >= 20_000:
                 yield close()
-                names, docs, held, train, lengths, parts, size, seq = {}, [], [], [], [], [], 0, seq + 1
+                names, docs, held, train, lengths, parts, size, seq = _Numbers(), [], [], [], [], [], 0, seq + 1
     if docs:
         yield close()
 
 
 BLOCK_SCHEMA = ("block string, docs array<long>, held binary, train binary, lengths binary, tokens binary, "
-                "dictionary binary, kinds binary, counts binary, n_train long")
+                "dictionary binary, kinds binary, counts binary, n_words long")
 
 
 def blocks(docs: DataFrame, held_out, train) -> DataFrame:
@@ -117,17 +162,24 @@ def _by_bucket(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(n + 1))
 
 
+def buckets(corpus: DataFrame) -> int:
+    """Buckets of the count: more than the shuffle's partitions once these would hold too much."""
+    n = corpus.agg(F.sum("n_words")).first()[0] or 0
+    return max(shuffle_partitions(corpus.sparkSession), -(-n // BUCKET_WORDS))
+
+
 def _deal(n):
     def run(batches):
         for b in batches:
             for block, d, k, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                h, kind, count = np.frombuffer(d, np.uint64), np.frombuffer(k, np.uint8), np.frombuffer(c, np.int64)
+                h, kind, count = np.frombuffer(d, np.uint64), unpack(k, np.uint8), unpack(c, np.int64)
                 order, at = _by_bucket(h, n)
                 h, kind, count = h[order], kind[order], count[order]
                 full = np.flatnonzero(at[1:] > at[:-1])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block] * len(full), pa.string()), pa.array(full.astype(np.int32)),
-                     *[pa.array([x[at[i]:at[i + 1]].tobytes() for i in full], pa.binary()) for x in (h, kind, count)]],
+                     *[pa.array([cell(x[at[i]:at[i + 1]]) for i in full], pa.binary())
+                       for x, cell in ((h, np.ndarray.tobytes), (kind, np.ndarray.tobytes), (count, pack))]],
                     names=["block", "bucket", "hashes", "kinds", "counts"])
 
     return run
@@ -140,10 +192,10 @@ def _sum_bucket(t: pa.Table) -> pa.Table:
     every = np.concatenate(hashes)
     h, first, at = np.unique(every, return_index=True, return_inverse=True)
     kind = np.concatenate([np.frombuffer(x, np.uint8) for x in t["kinds"].to_pylist()])[first].astype(np.int64)
-    c = np.bincount(at, np.concatenate([np.frombuffer(x, np.int64) for x in t["counts"].to_pylist()]),
+    c = np.bincount(at, np.concatenate([unpack(x, np.int64) for x in t["counts"].to_pylist()]),
                     minlength=len(h)).astype(np.int64)
     ends = np.cumsum([len(x) for x in hashes])
-    out = [c[at[z - len(x):z]].tobytes() for x, z in zip(hashes, ends, strict=True)]
+    out = [pack(c[at[z - len(x):z]]) for x, z in zip(hashes, ends, strict=True)]
     top = np.lexsort((h, -c))[:OWN]
     stats = np.concatenate([np.bincount(kind, c, CLASSES), np.bincount(kind, c > 0, CLASSES)]).astype(np.int64)
     best = np.concatenate([h[top], c[top].astype(np.uint64), kind[top].astype(np.uint64)])
@@ -183,20 +235,22 @@ def features(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     one[first] = two[first] = _START
     second = first[first + 1 < len(h)] + 1
     two[second] = _START
-    out = np.zeros((len(h), 4), np.int64)
-    n = np.uint64(SLOTS - 1)
-    out[:, 1] = 1 + (mix(one) % n).astype(np.int64)
-    out[:, 2] = 1 + (mix(mix(one) + two) % n).astype(np.int64)
-    out[:, 3] = 1 + (mix(two ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % n).astype(np.int64)
-    return out
+    out = np.zeros((4, len(h)), np.int64)
+    n, mixed = np.uint64(SLOTS - 1), mix(one)
+    for row, x in zip(out[1:], (mixed, mix(mixed + two), mix(two ^ np.uint64(0xA5A5A5A5A5A5A5A5))), strict=True):
+        row[:] = x - x // n * n  # the remainder; a division by one number is the faster way to it
+        row += 1
+    return out.T
 
 
-def chances(w: np.ndarray, f: np.ndarray) -> np.ndarray:
+def chances(w: np.ndarray, f: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
     """The classes' probabilities after every history (rows).  Weights are logs of ratios of
-    smoothed counts and some bounded steps, so their sums need no shift before ``exp``."""
-    z = w.take(f[:, 1], axis=0)
-    z += w.take(f[:, 2], axis=0)
-    z += w.take(f[:, 3], axis=0)
+    smoothed counts and some bounded steps, so their sums need no shift before ``exp``.
+    ``room``: two tables of rows, used again by every call; the result is in the first."""
+    z, other = np.empty((2, len(f), w.shape[1]), w.dtype) if room is None else room[:, :len(f)]
+    w.take(f[:, 1], axis=0, out=z, mode="clip")
+    for k in (2, 3):
+        z += w.take(f[:, k], axis=0, out=other, mode="clip")
     z += w[0]
     np.exp(z, out=z)
     z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
@@ -205,7 +259,7 @@ def chances(w: np.ndarray, f: np.ndarray) -> np.ndarray:
 
 def _positions(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     length = np.frombuffer(r["lengths"], np.int32).astype(np.int64)
-    tok = np.frombuffer(r["tokens"], np.int32)
+    tok = unpack(r["tokens"], np.int32)
     d = np.frombuffer(r["dictionary"], np.uint64)
     return length, np.cumsum(length) - length, tok, d
 
@@ -216,7 +270,7 @@ def _training(r: dict, model: Model, batch: int):
     keep = np.repeat(np.frombuffer(r["train"], bool), length)
     starts = np.zeros(len(tok), bool)
     starts[first] = True
-    h, starts, y = d[tok][keep], starts[keep], model.classes(d, np.frombuffer(r["kinds"], np.uint8))[tok[keep]]
+    h, starts, y = d[tok][keep], starts[keep], model.classes(d, unpack(r["kinds"], np.uint8))[tok[keep]]
     for i in range(0, len(y), batch):
         a = max(i - 2, 0)
         yield features(h[a:i + batch], np.flatnonzero(starts[a:i + batch]))[i - a:], y[i:i + batch]
@@ -224,39 +278,60 @@ def _training(r: dict, model: Model, batch: int):
 
 def observed(f: np.ndarray, y: np.ndarray, total: np.ndarray) -> None:
     """Add the classes that follow every feature."""
-    for k in range(f.shape[1]):
+    total[0] += np.bincount(y, minlength=CLASSES)
+    for k in range(1, f.shape[1]):
         total += np.bincount(f[:, k] * CLASSES + y, minlength=total.size).reshape(total.shape)
 
 
+def _keys(f: np.ndarray) -> np.ndarray:
+    """One number for every row of features."""
+    return (f[:, 1] * SLOTS + f[:, 2]) * SLOTS + f[:, 3]
+
+
+def _unkeyed(keys: np.ndarray) -> np.ndarray:
+    upper = keys // SLOTS
+    one = upper // SLOTS
+    return np.stack([np.zeros_like(keys), one, upper - one * SLOTS, keys - upper * SLOTS]).T
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys.sort()
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[at], np.diff(np.append(at, len(keys)))
+
+
 def histories(parts) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct rows of the features in ``parts``, in order, and how often each occurs)."""
-    key = np.sort(np.concatenate([(f[:, 1] * SLOTS + f[:, 2]) * SLOTS + f[:, 3] for f in parts]))
-    at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    count = np.diff(np.append(at, len(key)))
-    key = key[at]
-    return np.column_stack([np.zeros_like(key), key // (SLOTS * SLOTS), key // SLOTS % SLOTS, key % SLOTS]), count
+    """(keys of the distinct rows of the features in ``parts``, in order, and how often each occurs)."""
+    return _distinct(np.concatenate([_keys(f) for f in parts]))
 
 
-def expected(f: np.ndarray, count: np.ndarray, w: np.ndarray, total: np.ndarray) -> None:
+def expected(keys: np.ndarray, count: np.ndarray, w: np.ndarray, total: np.ndarray) -> None:
     """Add to ``total`` (classes x slots) the classes that the weights expect after every feature
-    of the histories ``f``, which occur ``count`` times."""
-    for i in range(0, len(f), SUM_BATCH):
-        some = f[i:i + SUM_BATCH]
-        p = np.empty((CLASSES, len(some)))
-        for j in range(0, len(some), BATCH):
-            part = some[j:j + BATCH]
-            p[:, j:j + BATCH] = (chances(w, part) * count[i + j:i + j + len(part), None].astype(np.float32)).T
+    of the ``histories`` with these keys, which occur ``count`` times."""
+    rows = np.empty((2, BATCH, CLASSES), w.dtype)
+    # a row's length is no power of two, else all rows' places meet in the same lines of the caches
+    room = np.empty((CLASSES, min(len(keys), SUM_BATCH) + 8))
+    for i in range(0, len(keys), SUM_BATCH):
+        f = _unkeyed(keys[i:i + SUM_BATCH])
+        p = room[:, :len(f)]
+        for j in range(0, len(f), BATCH):
+            z = chances(w, f[j:j + BATCH], rows)
+            z *= count[i + j:i + j + len(z), None].astype(np.float32)
+            p[:, j:j + len(z)] = z.T
         total[:, 0] += p.sum(axis=1)
-        for k in range(1, f.shape[1]):
-            slot = np.ascontiguousarray(some[:, k])
+        one = f[:, 1]
+        at = np.flatnonzero(np.append(True, one[1:] != one[:-1]))  # equal ones are neighbours
+        total[:, one[at]] += np.add.reduceat(p, at, axis=1)
+        for k in (2, 3):
             for c in range(CLASSES):
-                total[c] += np.bincount(slot, p[c], SLOTS)
+                total[c] += np.bincount(f[:, k], p[c], SLOTS)
 
 
 def _sums(model: Model):
     """A task's observed (without weights) or expected class counts of all its positions."""
     def run(batches):
         total = np.zeros((SLOTS, CLASSES) if model.weights is None else (CLASSES, SLOTS))
+        keys, n = [], 0
         for b in batches:
             for i in range(b.num_rows):
                 r = b.slice(i, 1).to_pylist()[0]
@@ -265,8 +340,15 @@ def _sums(model: Model):
                 if model.weights is None:
                     for f, y in _training(r, model, COUNT_BATCH):
                         observed(f, y, total)
-                else:
-                    expected(*histories(f for f, _ in _training(r, model, COUNT_BATCH)), model.weights, total)
+                    continue
+                for f, _ in _training(r, model, SUM_BATCH):
+                    keys.append(_keys(f))
+                    n += len(f)
+                if n >= GATHERED:
+                    some, keys, n = np.concatenate(keys), [], 0
+                    expected(*_distinct(some), model.weights, total)
+        if keys:
+            expected(*_distinct(np.concatenate(keys)), model.weights, total)
         if model.weights is not None:
             total = np.ascontiguousarray(total.T)
         rows = SLOTS // PARTS
@@ -348,8 +430,8 @@ def _score(model: Model, n_buckets: int):
             order, _ = _by_bucket(d, n_buckets)
             got = sorted(zip(replies["bucket"].to_pylist(), replies["counts"].to_pylist(), strict=True))
             c = np.empty(len(d), np.int64)
-            c[order] = np.concatenate([np.frombuffer(x, np.int64) for _, x in got])
-            kind = model.classes(d, np.frombuffer(r["kinds"], np.uint8))
+            c[order] = np.concatenate([unpack(x, np.int64) for _, x in got])
+            kind = model.classes(d, unpack(r["kinds"], np.uint8))
             is_own = kind < OWN
             in_class = np.where(is_own, 0.0, np.log10((c + 1) / (model.class_n[kind] + model.class_v[kind] + 1)))
             base = np.log10(c + 1) - np.log10(model.n + model.v + 1)
@@ -375,7 +457,7 @@ def _score(model: Model, n_buckets: int):
 def score(docs: DataFrame, held_out, train) -> DataFrame:
     """Scores of every row of ``docs`` under a model of the rows that ``train`` selects."""
     corpus = blocks(docs, held_out, train)
-    n_buckets = shuffle_partitions(docs.sparkSession)
+    n_buckets = buckets(corpus)
     counted = materialize(corpus.select("block", "dictionary", "kinds", "counts")
                           .mapInArrow(_deal(n_buckets), "block string, bucket int, hashes binary, kinds binary, counts binary")
                           .groupBy("bucket").applyInArrow(
