@@ -23,6 +23,32 @@ def test_source_file_keys(spark, tmp_path):
     assert {r["code_file_path"]: r["content"] for r in only} == {"x/e%20 é+.py": ""}
 
 
+def test_many_small_files_share_tasks(spark, tmp_path):
+    """Spark deals 32 small files to a task and lists by a task a folder; empty files need a scan more."""
+    for i in range(200):
+        os.makedirs(tmp_path / f"d{i}")
+        (tmp_path / f"d{i}" / "f.py").write_text(str(i))
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, tracker = spark.conf.get(key), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "")
+    files = read_source_files(spark, str(tmp_path))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    listing = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert listing and all(tracker.getStageInfo(s).numTasks <= 16 * spark.sparkContext.defaultParallelism for s in listing)
+    assert spark.conf.get(key) == before
+    assert files.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert files._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    want = {f"d{i}/f.py": str(i) for i in range(200)}
+    assert {r["code_file_path"]: r["content"] for r in files.collect()} == want
+    (tmp_path / "d7" / "none.py").write_text("")
+    assert {r["code_file_path"]: r["content"] for r in read_source_files(spark, str(tmp_path)).collect()} == want | {"d7/none.py": ""}
+
+
+def test_folder_of_empty_files(spark, tmp_path):
+    (tmp_path / "a.py").write_text("")
+    assert [tuple(r) for r in read_source_files(spark, str(tmp_path)).collect()] == [("a.py", "")]
+
+
 def test_malformed_metadata_fails(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"name": "n", "desc": "d", "reccomendation": "r"}]')
     assert read_query_meta(spark, str(tmp_path)).count() == 1
