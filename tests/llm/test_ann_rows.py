@@ -32,6 +32,14 @@ def test_recall(kind):
     assert hit.mean() >= 0.97
 
 
+def test_neighbours_come_once():
+    """Also where a random edge of a node leads to one of its pruned neighbours."""
+    x = np.random.default_rng(5).normal(size=(500, 64))
+    graph, entry = ann.build(x)
+    found, _ = ann.search(x, graph, entry, x[::20], 21)
+    assert [len(set(r)) for r in found.tolist()] == [21] * 25
+
+
 def plain_prune(x, own, cands, degree, alpha):
     apart = lambda a, b: ((x[a] - x[b]) ** 2).sum()
     kept = []
